@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import bpe, langid, simhash, toxicity
 from tidemark.llm.common import table
 
 
@@ -17,8 +17,43 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+def _held_out(folds: int, fold: int):
+    return F.crc32(F.col("doc_id").cast("string")) % folds == fold
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn_profiles(docs.where(~_held_out(3, 1)))
+    out = langid.predict(docs, profiles)
+    return out.withColumnRenamed("id", "doc_id").select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~_held_out(5, 0)))
+    out = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}

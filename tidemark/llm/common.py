@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one step of a Python task holds at a time.
@@ -17,17 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in spark.checkpoint.dir.
-
-    Only a session that names no folder (a local test) gets one of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a session that names none (a local test) gets one of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: columnar and compressed, for what is read more than once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """Apply `step` to each Arrow batch of `df`."""
 
@@ -47,7 +59,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     if sizes <= limit:
         yield batch
         return
-    lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), float))
+    lengths = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), float))
     group = (np.cumsum(lengths) // limit).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, simhash, toxicity
+from tidemark.llm import bpe, langid, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     if path is None:
         import public_tokenizers
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op10_bpe": op10_bpe,
 }
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python task holds at a time.
 CHUNK_CHARS = 8_000_000
@@ -129,3 +130,22 @@ def smallest_labels(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | No
                 break
             label = up
     return label
+
+
+def deal_hot_keys(rows: DataFrame, at_once: int, broadcast_most: int) -> DataFrame:
+    """Split the work of hot keys of (key, home, id, ...): a key with over `at_once` homes becomes several keys.
+
+    Each of them has a share of the homes and all rows, as members to compare with.
+    The hot keys are few (one for each `at_once` homes at most) and counted first:
+    up to `broadcast_most` of them are broadcast, more are joined by a shuffle.
+    """
+    hot = checkpoint(rows.where("home").groupBy("key").count().where(F.col("count") > at_once))
+    n_hot = hot.count()
+    if not n_hot:
+        return rows
+    hot = hot.select("key", F.ceil(F.col("count") / at_once).cast("int").alias("deals"))
+    rows = rows.join(F.broadcast(hot) if n_hot <= broadcast_most else hot, "key", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    rows = rows.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("id"), F.col("deals")) == F.col("deal")))
+    # keys whose hashes are equal only share a group, in which every pair is compared in full
+    return rows.withColumn("key", F.when(F.col("deals") == 1, F.col("key")).otherwise(F.xxhash64("key", "deal"))).drop("deals", "deal")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_batches, map_text, pairs_in_groups, smallest_labels, whole_groups
+from tidemark.llm.common import checkpoint, deal_hot_keys, map_batches, map_text, pairs_in_groups, smallest_labels, whole_groups
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -143,17 +143,8 @@ def fingerprint_links(fps: DataFrame, threshold: int = 3) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(home), batch.column("id").take(pa.array(row))], ["key", "fp", "home", "id"])
 
     spread = map_batches(fps.select("id", "fp"), replicate, "key long, fp long, home boolean, id long")
-    hot = checkpoint(spread.where("home").groupBy("key").count().where(F.col("count") > HOMES_AT_ONCE))
-    n_hot = hot.count()
-    keys = ["key"]
-    if n_hot:  # the homes of a hot anchor are dealt to several tasks, each with all that was sent there
-        hot = hot.select("key", F.ceil(F.col("count") / HOMES_AT_ONCE).cast("int").alias("deals"))
-        spread = spread.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "key", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
-        spread = spread.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-        spread = spread.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("deals")) == F.col("deal")))
-        spread = spread.withColumn("key", F.when(F.col("deals") == 1, F.col("key")).otherwise(F.xxhash64("key", "deal")))
-        # two keys of equal hash only share a group, in which whole fingerprints are compared
-    return spread.select("key", "fp", "home", "id").repartition(*keys).sortWithinPartitions("key").mapInArrow(_links_at_anchors(threshold), "src long, dst long")
+    spread = deal_hot_keys(spread, HOMES_AT_ONCE, HOT_BROADCAST)
+    return spread.select("key", "fp", "home", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_links_at_anchors(threshold), "src long, dst long")
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, threshold: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, langid, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, embeddings, langid, mixing, quality, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -49,6 +49,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Shares of all tokens that op9 mixes to.
+MIX = {"clean": 0.80, "low": 0.15, "toxic": 0.05}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.domain_of_labels(table(spark, sf_dir, "labels"))
+    rates, domains = mixing.mix(table(spark, sf_dir, "documents"), labelled, weights=MIX)
+    shares = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
+    return rates.select(F.col("id").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"), *shares, "rate")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     if path is None:
         import public_tokenizers
@@ -70,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }
 

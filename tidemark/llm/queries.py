@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, langid, mixing, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, embeddings, langid, mixing, quality, simhash, substrings, toxicity, weaklabels
 from tidemark.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = weaklabels.label_and_score(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("pattern").alias("votes"), "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: Shares of all tokens that op9 mixes to.
 MIX = {"clean": 0.80, "low": 0.15, "toxic": 0.05}
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }

@@ -150,11 +150,13 @@ def natural_totals(members: DataFrame, domains: list[str]) -> dict[str, float]:
     return dict(zip(domains, map(float, row)))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, targets: dict[str, float] | None = None, max_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """(id, tokens, p0.., rate) and the domains of p0... Give token `targets`, or `weights` of the total that rate 1 has."""
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, targets: dict[str, float] | None = None, scale: dict[str, float] | None = None, max_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """(id, tokens, p0.., rate) and the domains of p0... Give token `targets`, `weights` of the total that rate 1 has, or for each domain a `scale` of what it has at rate 1."""
     model = learn(docs, labelled, id_col, text_col)
     members = materialize(memberships(docs, model, id_col, text_col))
     natural = natural_totals(members, model.domains)
+    if scale is not None:
+        targets = {d: n * scale.get(d, 0.0) for d, n in natural.items()}
     if targets is None:
         share = sum(weights.values()) if weights else 1.0
         targets = {d: sum(natural.values()) * w / share for d, w in weights.items()} if weights else natural

@@ -226,19 +226,20 @@ def _merged(runs: list[dict] | None, length: int) -> np.ndarray:
     return np.c_[r[first, 0], reach[np.r_[first[1:] - 1, len(r) - 1]]]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, kept_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`; spans are maximal removed runs of bytes.
+def _runs_by_text(texts: DataFrame, length: int, levels: tuple[int, ...], hot: int) -> DataFrame:
+    windows = repeated_windows(texts.withColumn("n", F.lit(1).cast("long")), length, levels, hot)
+    return windows.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
-    With `kept_text` also `text`, what is left: a character that is cut in two stays whole there.
-    """
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`; spans are maximal removed runs of bytes."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    windows = repeated_windows(texts.withColumn("n", F.lit(1).cast("long")), length, levels, hot)
-    by_text = windows.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    by_text = _runs_by_text(texts, length, levels, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "text": []}
+                out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
                 for value, runs in zip(part.column("text"), part.column("runs")):
                     text = value.as_buffer().to_pybytes() if value.is_valid else b""
                     spans = _merged(runs.as_py(), length)
@@ -248,22 +249,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out["n_removed"].append(len(text) - len(kept))
                     out["n_spans"].append(len(spans))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    if kept_text and value.is_valid:
-                        inside = lambda at: 0 < at < len(text) and text[at] & 0xC0 == 0x80
-                        for k in range(len(spans)):
-                            while inside(edges[2 * k + 1]):
-                                edges[2 * k + 1] += 1
-                            while inside(edges[2 * k + 2]):
-                                edges[2 * k + 2] -= 1
-                        kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                        out["text"].append(kept.decode("utf-8", "replace"))
-                    elif kept_text:
-                        out["text"].append(None)
                 columns = {"id": part.column("id")} | {c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}
                 columns["kept_sha256"] = pa.array(out["kept_sha256"], pa.string())
-                if kept_text:
-                    columns["text"] = pa.array(out["text"], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * kept_text
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return texts.join(by_text, "id", "left").mapInArrow(run, schema)
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
+    """The rows of `docs`, all columns, with the repeated bytes taken out of the text; a character that a cut would halve stays. Null texts stay null."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    by_text = _runs_by_text(texts, length, levels, hot).select(F.col("id").alias("__id"), F.col("runs").alias("__runs"))
+
+    def strip(text: str | None, runs: list[dict] | None) -> str | None:
+        if not runs or text is None:
+            return text
+        raw = text.encode()
+        edges = [0, *_merged(runs, length).ravel().tolist(), len(raw)]
+        inside = lambda at: 0 < at < len(raw) and raw[at] & 0xC0 == 0x80
+        for k in range(1, len(edges) - 1):
+            while inside(edges[k]):
+                edges[k] += 1 if k % 2 else -1
+        return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "replace")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text_col):
+                columns = {c: part.column(c) for c in names}
+                columns[text_col] = pa.array([strip(t.as_py(), r.as_py()) for t, r in zip(part.column(text_col), part.column("__runs"))], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    names = docs.columns
+    joined = docs.join(by_text, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    return joined.mapInArrow(run, docs.schema)

@@ -174,3 +174,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.cast("long").alias(k) for k, c in extra.items()))
     schema = "id long, " + "".join(f"{k} long, " for k in extra) + "score double, spans array<struct<start:int,length:int,score:double>>"
     return read.mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, that score below `threshold`."""
+
+    def run(batches):
+        known = _Known(bucket)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([_noisy_or(model.sentence_scores(*_sentences(t.as_py(), known))) < threshold for t in column], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -167,11 +167,12 @@ def scan(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE)
     for template, found in diagonals.items():
         found.sort()
         words = index.words[template]
+        near = min(band, max(2, len(words) // 2))  # a short template may stand twice within the band
         first = 0
         for k in range(1, len(found) + 1):
-            if k < len(found) and found[k] - found[first] <= band:
+            if k < len(found) and found[k] - found[first] <= near:
                 continue
-            pairs = align(words, ids, found[(first + k - 1) // 2], band)
+            pairs = align(words, ids, found[(first + k - 1) // 2], near)
             first = k
             share = len(pairs) / len(words)
             if share >= coverage:

@@ -48,12 +48,12 @@ def w16_positions_from_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(p.select("account", "instrument", "seq", "position", "position_notional"), "position_notional", n=4)
 
 
-@query(f"""with {TRADES} select account, instrument, seq, 0.0::double as realised, sum(qty) over w::double as open_qty, round(case when sum(qty) over w > 0 then sum(qty * price) over w / sum(qty) over w else 0 end, 4) as avg_cost
+@query(f"""with {TRADES} select account, instrument, seq, 0.0::double as realised, sum(qty) over w::double as open_qty, round(case when sum(qty) over w > 0 then sum(qty * price) over w / sum(qty) over w else 0 end, 8) as avg_cost
     from trades where side = 'BUY' window w as (partition by account, instrument order by seq rows between unbounded preceding and current row)""".replace("sum(qty) over w::double", "cast(sum(qty) over w as double)"))
 def w22_average_cost_one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buys only: nothing is realised and the average is the running mean."""
     t = trades(spark, sf_dir).where("side = 'BUY'").withColumns({"notional": F.col("qty") * F.col("price"), "qty": F.col("qty").cast("double")})
-    return _r(L.average_cost_pnl(t.select("account", "instrument", "seq", "side", "qty", "notional"), ["account", "instrument"], ["seq"]), "avg_cost", n=4)
+    return _r(L.average_cost_pnl(t.select("account", "instrument", "seq", "side", "qty", "notional"), ["account", "instrument"], ["seq"]), "avg_cost", n=8)
 
 
 @query()

@@ -67,7 +67,7 @@ def verify_manifest(manifest: DataFrame, actual: DataFrame, key: list[str], valu
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and SHA-256 of the files under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
 def snapshot_id(cols: list[str]) -> Column:

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EVENTS = T.StructType.fromDDL("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
-ORDERS = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
-LOG = T.StructType.fromDDL("timestamp string, level string, logger string, message string, extra map<string,string>")
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+EVENTS = _schema(event_id=T.LongType(), ts=T.TimestampNTZType(), user_id=T.LongType(), event_type=T.StringType(), value=T.DoubleType(), props=T.StringType())
+ORDERS = _schema(o_orderkey=T.LongType(), o_custkey=T.LongType(), o_orderstatus=T.StringType(), o_totalprice=T.DoubleType(), o_orderdate=T.TimestampNTZType(), o_orderpriority=T.StringType())
+LOG = _schema(timestamp=T.StringType(), level=T.StringType(), logger=T.StringType(), message=T.StringType(), extra=T.MapType(T.StringType(), T.StringType()))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:

@@ -117,6 +117,24 @@ def rank_candidates(results: DataFrame, gates: Column, order: list[Column], k: i
     return results.where(gates).orderBy(*order).limit(k)
 
 
+def run_id(cols: list[str]) -> Column:
+    """The id of a run is a digest of everything that makes it: versions, ranges, parameters, seed, cost model, code."""
+    from tidemark.functions.scalar import canonical_digest
+
+    return F.concat(F.lit("run-"), F.substring(canonical_digest(cols), 1, 16))
+
+
+def register_run(runs: DataFrame, registry: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows to append to the registry: runs whose id it does not have, each once."""
+    new = runs.withColumn("run_id", run_id(cols)).dropDuplicates(["run_id"])
+    return new.join(registry.select("run_id"), "run_id", "left_anti")
+
+
+def promote(history: DataFrame, alias: str = "alias", at: str = "at") -> DataFrame:
+    """The run that each alias names now. History is append-only: a rollback is a further row that names an earlier run."""
+    return history.groupBy(alias).agg(F.max_by("run_id", F.struct(at, "run_id")).alias("run_id"), F.count("*").alias("changes"))
+
+
 def factor_ic(df: DataFrame, factor: str, label: str, period: str) -> DataFrame:
     """Pearson and rank correlation of a factor and the following return in each period."""
     d = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).withColumn("period", F.date_trunc(period, "bar_start"))

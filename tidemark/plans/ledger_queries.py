@@ -128,10 +128,10 @@ def t1_stream_dedup_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(e.where("event_id % 5 = 0")).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {TRADES} select instrument, date_trunc('hour', ts) as start, count(*) as n, sum(qty)::bigint as volume, round(sum(case when side = 'BUY' then qty else -qty end) / nullif(sum(qty), 0), 6) as imbalance, round(avg(price), 4) as mean_price, round(stddev_samp(price), 4) as sd_price from trades group by 1, 2""")
+@query(f"""with {TRADES} select instrument, date_trunc('hour', ts) as start, count(*) as n, sum(qty)::bigint as volume, round(sum(case when side = 'BUY' then qty else -qty end) / nullif(sum(qty), 0), 6) as imbalance, round(avg(price), 8) as mean_price, round(stddev_samp(price), 7) as sd_price from trades group by 1, 2""")
 def t3_stream_features_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = T.stream_features(trades(spark, sf_dir), "1 hour", "1 hour").drop("end")
-    return _r(_r(ntz(out, "start"), "imbalance"), "mean_price", "sd_price", n=4)
+    return _r(_r(_r(ntz(out, "start"), "imbalance"), "mean_price", n=8), "sd_price", n=7)
 
 
 @query("""with h as (select event_type, max(ts) - interval 3 day as high from events group by 1) select e.event_type as instrument, count(*) as late, max(epoch(date_trunc('second', high)) - epoch(date_trunc('second', ts)))::bigint as largest

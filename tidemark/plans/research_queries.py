@@ -99,13 +99,13 @@ def s8_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(R.rank_candidates(s, F.col("score") > -1e9, [F.desc(F.round("score", 6)), F.col("threshold")], 3), "score", n=4)
 
 
-@query("""select c_mktsegment as alias, 'run-' || substr(sha256(c_mktsegment || '|' || max(c_custkey)), 1, 12) as run_id, count(*) as registered from customer group by 1""")
+@query("""select c_mktsegment as alias, 'run-' || substr(sha256('{"c_name":"' || max(c_name) || '"}'), 1, 16) as run_id, count(*) as changes from customer group by 1""")
 def s9_register_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per run id; registering again adds nothing; an alias names its latest run."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("alias"), "c_custkey", F.concat(F.lit("run-"), F.substring(F.sha2(F.concat_ws("|", "c_mktsegment", "c_custkey"), 256), 1, 12)).alias("run_id"))
-    again = c.where("c_custkey % 2 = 0")
-    runs = c.unionByName(again.join(c.select("run_id"), "run_id", "left_anti"))
-    return runs.groupBy("alias").agg(F.max_by("run_id", "c_custkey").alias("run_id"), F.count("*").alias("registered"))
+    """Runs registered twice are there once; an alias names the last run given to it."""
+    c = table(spark, sf_dir, "customer").select("c_name", F.col("c_mktsegment").alias("alias"), F.col("c_custkey").alias("at"))
+    first = R.register_run(c.where("at % 2 = 0"), spark.createDataFrame([], "run_id string"), ["c_name"])
+    registry = first.unionByName(R.register_run(c, first, ["c_name"]))
+    return R.promote(registry)
 
 
 @query(f"with {BARS}, {_BT} select instrument, bar_start, signal from sig")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.bars import dedup_latest, find_gaps, resample_bars, trades_to_bars
 from tidemark.operators.quality import gate_summary, normalize_trade, overall_status
-from tidemark.plans import gate_queries, ledger_queries, market_queries, research_queries, scalar_queries, text_queries  # noqa: F401
+from tidemark.plans import gate_queries, ledger_queries, market_queries, research_queries, scalar_queries, stream_queries, text_queries  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES  # noqa: F401
 from tidemark.sources.tables import table
 

@@ -40,8 +40,8 @@ def w16_positions_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("account", "flag").agg(F.count("*").alias("n"), F.round(F.max("position"), 2).alias("total"))
 
 
-@query(f"""with {TRADES} select account, instrument, seq, sum(case when side = 'BUY' then qty else -qty end) over w::bigint as position, round(sum(case when side = 'BUY' then qty * price else -qty * price end) over w, 4) as position_notional
-    from trades window w as (partition by account, instrument order by ts, seq rows between unbounded preceding and current row)""".replace("over w::bigint", "over w"))
+@query(f"""with {TRADES} select account, instrument, seq, cast(sum(case when side = 'BUY' then qty else -qty end) over w as bigint) as position, round(sum(case when side = 'BUY' then qty * price else -qty * price end) over w, 4) as position_notional
+    from trades window w as (partition by account, instrument order by ts, seq rows between unbounded preceding and current row)""")
 def w16_positions_from_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir).withColumn("notional", F.col("qty") * F.col("price"))
     p = L.positions_from_fills(t, ["account", "instrument"], ["ts", "seq"])

@@ -11,7 +11,7 @@ from tidemark.plans.base import BARS, TRADES, query
 from tidemark.sources.tables import EVENTS, ntz, read_table, table, trades
 
 
-@query("select event_type, count(*) as n, sum(user_id) as users from events where value > 100 group by 1")
+@query("select event_type, count(*) as n, sum(user_id)::bigint as users from events where value > 100 group by 1")
 def c1_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, f"{sf_dir}/events.parquet", EVENTS)
     return df.where("value > 100").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))

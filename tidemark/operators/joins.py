@@ -99,10 +99,14 @@ def ngrams(text: Column, n: int) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """Documents that share word n-grams with a benchmark item, and how many of its n-grams."""
+    """Documents that share word n-grams with a benchmark item, and how many of its n-grams.
+
+    A benchmark of up to SMALL_ROWS n-grams is broadcast, so the n-grams of the documents are not shuffled.
+    """
     b = benchmark.select(item_col, F.explode(ngrams(F.col("text"), n)).alias("gram"))
     d = docs.select(id_col, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    return d.join(b, "gram").groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
+    small = b.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return d.join(F.broadcast(b) if small else b, "gram").groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
 
 
 def merged_names(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from tidemark.llm.common import text_slices
 #: Fixed value: the pattern that byte-level tokenizers of this family cut texts by, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces and longest piece that a task remembers.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 500_000, 40
 
 
 def byte_names() -> dict[str, int]:
@@ -51,60 +52,73 @@ class Codec:
         self.bytes_of: dict[int, bytes] = {i: bytes(map(names.__getitem__, token)) for token, i in vocab.items() if token not in self.special}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
         self.single = {b: vocab[c] for c, b in names.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
+        #: rank of each mergeable pair of ids, packed, and the id that each rank makes
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
+        for merge in spec["model"]["merges"]:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.joined = np.zeros((256, 256), bool)
+            self.rank.setdefault(vocab[a] << 20 | vocab[b], len(self.made))
+            self.made.append(vocab[a + b])
+        self.joined = bytearray(65536)  # 1 for two bytes that stand side by side in some token
         for token in self.bytes_of.values():
-            t = np.frombuffer(token, np.uint8)
-            self.joined[t[:-1], t[1:]] = True
+            for x, y in zip(token, token[1:]):
+                self.joined[x << 8 | y] = 1
         self.pieces = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
 
     def fragments(self, piece: bytes) -> Iterator[bytes]:
         """Cut at the certain boundaries."""
-        t = np.frombuffer(piece, np.uint8)
-        cuts = (np.flatnonzero(~self.joined[t[:-1], t[1:]]) + 1).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(piece)]):
-            yield piece[a:b]
+        joined, start = self.joined, 0
+        for k, (x, y) in enumerate(zip(piece, piece[1:]), 1):
+            if not joined[x << 8 | y]:
+                yield piece[start:k]
+                start = k
+        yield piece[start:]
 
     def merge(self, fragment: bytes) -> list[int]:
         """Apply the merges of a fragment, the lowest rank first, the leftmost of equal ones."""
         ids = [self.single[b] for b in fragment]
         if len(ids) > 64:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best = min(((m[0], k, m[1]) for k, pair in enumerate(zip(ids, ids[1:])) if (m := merges.get(pair))), default=None)
-            if best is None:
+        get, made, never = self.rank.get, self.made, 1 << 60
+        ranks = [get(a << 20 | b, never) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == never:
                 break
-            ids[best[1] : best[1] + 2] = [best[2]]
+            k = ranks.index(low)
+            new = made[low]
+            ids[k : k + 2] = [new]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 20 | new, never)
+            if k < len(ranks):
+                ranks[k] = get(new << 20 | ids[k + 1], never)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list: n log n."""
-        n = len(ids)
+        n, get = len(ids), self.rank.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], k, m[1], ids[k], ids[k + 1]) for k in range(n - 1) if (m := self.merges.get((ids[k], ids[k + 1])))]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := get(ids[k] << 20 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, new, a, b = heapq.heappop(heap)
+            r, k, a, b = heapq.heappop(heap)
             j = after[k]
             if ids[k] != a or j >= n or ids[j] != b:
                 continue
-            ids[k], ids[j] = new, -1
+            ids[k], ids[j] = self.made[r], -1
             after[k] = after[j]
             if after[j] < n:
                 before[after[j]] = k
             for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < n and (m := self.merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, m[1], ids[left], ids[right]))
+                if left >= 0 and right < n and (r := get(ids[left] << 20 | ids[right])) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        out = np.array([i for f in self.fragments(piece.encode()) for i in self.merge(f)], np.int32).tobytes()
+        out = array("i", [i for f in self.fragments(piece.encode()) for i in self.merge(f)]).tobytes()
         if len(piece) <= LONGEST:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()

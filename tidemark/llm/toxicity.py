@@ -31,7 +31,7 @@ MAX_ROWS = 8000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 #: Words whose hashes a task remembers; beyond it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def bucket(word: str) -> int:
@@ -81,40 +81,41 @@ def _noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 120, rate: float = 0.25, l1: float = 2e-4) -> Model:
-    """From (label, word buckets, sentence numbers) of documents: proximal Adagrad on the noisy-or likelihood."""
+def fit(label: np.ndarray, starts: np.ndarray, words: np.ndarray, sentences: np.ndarray, n_sentences: np.ndarray, steps: int = 120, rate: float = 0.25, l1: float = 2e-4, lift: float = 1.5) -> Model:
+    """Proximal Adagrad on the noisy-or likelihood.
+
+    Document d has the label label[d], n_sentences[d] sentences, and the distinct (sentence,
+    word) pairs starts[d] to starts[d + 1]. Only words that toxic documents hold `lift` times
+    as often get a weight; the other sentences have the bias alone and are only counted.
+    """
     size = 1 << BITS
-    rows = [r for r in rows if len(r[1])]
-    label = np.array([r[0] for r in rows], float)
-    if not len(rows) or label.min() == label.max():
+    label = label.astype(float)
+    if not len(label) or label.min() == label.max():
         return Model(np.zeros(size), -30.0)
-    spread = np.zeros(size, np.int64)
-    for _, words, _ in rows:
-        spread[np.unique(words)] += 1
-    used = np.flatnonzero((spread >= 3) & (spread < 0.5 * len(rows)))  # rarer words tell nothing, commoner ones are no sign
-    at = np.full(size, -1, np.int64)
+    spread = np.zeros((2, size), np.int64)
+    for d in range(len(label)):
+        spread[int(label[d]), np.unique(words[starts[d] : starts[d + 1]])] += 1
+    toxic = label.sum()
+    often = (spread[1] + 0.5) / (toxic + 1) > lift * (spread[0] + 0.5) / (len(label) - toxic + 1)
+    used = np.flatnonzero(often & (spread.sum(axis=0) >= 3))
+    at = np.full(size, -1, np.int32)
     at[used] = np.arange(len(used))
-    word, sent, doc, n = [], [], [], 0
-    for k, (_, words, sentence) in enumerate(rows):
-        pairs = np.unique(at[words] + (sentence << BITS)) if len(words) else words
-        w, s = pairs & (size - 1), pairs >> BITS
-        real = at[words] >= 0
-        pairs = np.unique(at[words][real] | sentence[real] << BITS)
-        w, s = pairs & (size - 1), pairs >> BITS
-        word.append(w)
-        sent.append(s + n)
-        doc.append(np.full(int(sentence.max()) + 1, k))
-        n += int(sentence.max()) + 1
-    word, sent, doc = np.concatenate(word), np.concatenate(sent), np.concatenate(doc)
+    real = np.flatnonzero(at[words] >= 0)
+    doc = np.searchsorted(starts, real, "right") - 1
+    offset = np.r_[0, np.cumsum(n_sentences)]
+    active, sent = np.unique(sentences[real] + offset[doc], return_inverse=True)
+    doc_of = np.searchsorted(offset, active, "right") - 1
+    word, n = at[words[real]], len(active)
+    rest = n_sentences - np.bincount(doc_of, minlength=len(label))
     theta, bias = np.zeros(len(used)), -5.0
     seen, seen_bias = np.full(len(used), 1e-8), 1e-8
-    lift = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9)) / len(rows)  # both kinds weigh the same
+    weight = np.where(label == 1, 0.5 / toxic, 0.5 / (len(label) - toxic))  # both kinds weigh the same
     for _ in range(steps):
-        p = _sigmoid(bias + np.bincount(sent, theta[word], n))
-        none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(rows)))
-        up = np.where(label == 1, none / np.maximum(1 - none, 1e-6), -1.0) * lift
-        slope = up[doc] * p
-        g, gb = np.bincount(word, slope[sent], len(used)), slope.sum()
+        p, base = _sigmoid(bias + np.bincount(sent, theta[word], n)), float(_sigmoid(np.array(bias)))
+        none = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(label)) + rest * np.log1p(-base))
+        up = np.where(label == 1, none / np.maximum(1 - none, 1e-6), -1.0) * weight
+        slope = up[doc_of] * p
+        g, gb = np.bincount(word, slope[sent], len(used)), slope.sum() + (up * rest).sum() * base
         seen += g * g
         seen_bias += gb * gb
         step = rate / np.sqrt(seen)
@@ -134,15 +135,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = _Known(bucket)
-        found = [_sentences(t.as_py(), known) for t in batch.column("text")]
-        lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *lists], ["id", "label", "words", "sentence"])
-
-    got = map_text(texts, step, "id long, label int, words array<int>, sentence array<int>").toArrow()
-    order = np.argsort(got.column("id").to_numpy(), kind="stable")  # the fit must not depend on the order of arrival
+        words, sentences, n = [], [], []
+        for t in batch.column("text"):
+            w, s = _sentences(t.as_py(), known)
+            pairs = np.unique(s << BITS | w)
+            words.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
+            sentences.append((pairs >> BITS).astype(np.int32))
+            n.append(int(s.max()) + 1 if len(s) else 0)
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (words, sentences)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(n, pa.int64()), *lists], ["id", "label", "n", "words", "sentence"])
+
+    got = map_text(texts, step, "id long, label int, n long, words array<int>, sentence array<int>").toArrow()
+    got = got.sort_by("id").combine_chunks()  # the fit must not depend on the order of arrival
     words, sentences = (got.column(c).combine_chunks() for c in ("words", "sentence"))
-    label = got.column("label").to_pylist()
-    return fit([(label[k], words[k].values.to_numpy().astype(np.int64), sentences[k].values.to_numpy().astype(np.int64)) for k in order.tolist()])
+    starts = words.offsets.to_numpy().astype(np.int64)
+    label, n = got.column("label").to_numpy(), got.column("n").to_numpy()
+    return fit(label, starts - starts[:1], words.flatten().to_numpy(), sentences.flatten().to_numpy(), n)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:

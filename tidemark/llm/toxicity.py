@@ -81,7 +81,7 @@ def _noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(label: np.ndarray, starts: np.ndarray, words: np.ndarray, sentences: np.ndarray, n_sentences: np.ndarray, steps: int = 120, rate: float = 0.25, l1: float = 2e-4, lift: float = 1.5) -> Model:
+def fit(label: np.ndarray, starts: np.ndarray, words: np.ndarray, sentences: np.ndarray, n_sentences: np.ndarray, steps: int = 400, rate: float = 0.5, l1: float = 5e-5, lift: float = 3.0) -> Model:
     """Proximal Adagrad on the noisy-or likelihood.
 
     Document d has the label label[d], n_sentences[d] sentences, and the distinct (sentence,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators.joins import asof_join, ngrams
+from tidemark.operators.nearsets import near_set_classes
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,6 +33,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("a", "b", (F.col("shared") / (F.size("ha") + F.size("hb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """(id, set_id, class_id) for each row of `docs`: the smallest id with an equal shingle set, and the smallest id that links at the threshold reach. The members of a class are its rows, so nothing is lost by taking equal sets as one."""
+    from tidemark.llm.common import materialize
+
+    keyed = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")))
+    rows = near_set_classes(keyed, F.col("row"), F.col("text"), threshold, words).join(keyed.select("row", "id"), "row")
+    sets = rows.groupBy("set_row", "class_row").agg(F.min("id").alias("set_id"))
+    classes = sets.groupBy("class_row").agg(F.min("set_id").alias("class_id"))
+    named = sets.join(classes, "class_row").select("set_row", "set_id", "class_id")
+    return rows.join(named, "set_row").select(F.col("id").alias(id_col), "set_id", "class_id")
+
+
 def event_clusters(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, cluster) by passing the smallest label along the pairs until nothing changes; a checkpoint cuts each round."""
     edges = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()

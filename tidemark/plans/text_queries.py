@@ -19,7 +19,8 @@ def e1_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.near_duplicates(table(spark, sf_dir, "documents"))
+    """One row for each document: its set of equal shingles and its class of near copies."""
+    return E.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 @query("""with l as (select doc_id, lang, coalesce(text, '') as t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') as lines from documents)

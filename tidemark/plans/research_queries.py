@@ -181,7 +181,8 @@ def a24_period_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m2_fit_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab, folds = _folds(spark, sf_dir)
     rows = R.purge(R.assign_folds(lab, folds, "bar_start"), "label_end").where("ret_24 is not null and label is not null")
-    out = R.fit_folds(rows, [0, 1], ["ret_1", "ret_4", "ret_24"], "label")
+    numbers = sorted(r.fold for r in folds.select("fold").collect())
+    out = R.fit_folds(rows, numbers, ["ret_1", "ret_4", "ret_24"], "label")
     return ntz(out.select("instrument", "bar_start", "fold", F.round("prediction", 6).alias("prediction")), "bar_start")
 
 

@@ -25,9 +25,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import checkpoint, materialize
 
-#: Bounds of the fit: labelled rows taken (those of the smallest hashed ids) and features kept.
+#: Bounds of the fit: labelled ids of the input taken (those of the smallest hashes) and features kept.
 SAMPLE, N_FEATURES = 8000, 64
 STEPS, ENOUGH = 30, 1e-6
 
@@ -77,12 +77,13 @@ class Classifier:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE, n_features: int = N_FEATURES) -> Classifier:
-    """Fit on at most `sample` rows of `labelled` (id, domain); an id with several domains takes the first by name."""
+    """Fit on the rows of `docs` of at most `sample` ids of `labelled` (id, domain) that `docs` has; an id with several domains takes the first by name."""
     known = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(domain_col).alias("domain")).where("id is not null and domain is not null")
-    chosen = known.groupBy("id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    present = known.groupBy("id").agg(F.min("domain").alias("domain")).join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+    chosen = checkpoint(present.orderBy(F.xxhash64("id"), "id").limit(sample))
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rows = read.select("domain", F.explode(_features(F.col("text"))).alias("feature"))
-    totals = {r.domain: r["count"] for r in chosen.groupBy("domain").count().collect()}
+    totals = {r.domain: r["count"] for r in read.groupBy("domain").count().collect()}
     domains = sorted(totals)
     if not domains:
         return Classifier([], [], [], [])

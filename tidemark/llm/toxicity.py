@@ -128,9 +128,10 @@ def fit(label: np.ndarray, starts: np.ndarray, words: np.ndarray, sentences: np.
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the labelled rows of `docs`, at most `max_rows` of them; a document with several labels takes the largest."""
+    """Fit on the labelled rows of `docs`, those of at most `max_rows` ids that `docs` has; a document with several labels takes the largest."""
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
-    chosen = named.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    present = named.groupBy("id").agg(F.max("label").alias("label")).join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -18,8 +18,8 @@ all documents counted, matches never crossing texts:
    itself, for which counting is all.
 
 Null texts are empty. Texts shorter than `length` lose nothing. Copies lose all of
-their bytes. Repeated ids are not expected: ids name the texts. Further columns are
-ignored. Empty tables give empty results.
+their bytes. Each input row has a key of its own, so repeated and null ids are rows
+like any other. Further columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -233,8 +233,8 @@ def _runs_by_text(texts: DataFrame, length: int, levels: tuple[int, ...], hot: i
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`; spans are maximal removed runs of bytes."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    by_text = _runs_by_text(texts, length, levels, hot)
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")))
+    by_text = _runs_by_text(keyed.select(F.col("row").alias("id"), "text"), length, levels, hot).withColumnRenamed("id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,13 +254,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return texts.join(by_text, "id", "left").mapInArrow(run, schema)
+    return keyed.join(by_text, "row", "left").mapInArrow(run, schema)
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
+def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
     """The rows of `docs`, all columns, with the repeated bytes taken out of the text; a character that a cut would halve stays. Null texts stay null."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    by_text = _runs_by_text(texts, length, levels, hot).select(F.col("id").alias("__id"), F.col("runs").alias("__runs"))
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    texts = keyed.select(F.col("__row").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    by_text = _runs_by_text(texts, length, levels, hot).select(F.col("id").alias("__row"), F.col("runs").alias("__runs"))
 
     def strip(text: str | None, runs: list[dict] | None) -> str | None:
         if not runs or text is None:
@@ -281,5 +282,4 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_pydict(columns)
 
     names = docs.columns
-    joined = docs.join(by_text, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
-    return joined.mapInArrow(run, docs.schema)
+    return keyed.join(by_text, "__row", "left").drop("__row").mapInArrow(run, docs.schema)

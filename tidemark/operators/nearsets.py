@@ -2,16 +2,18 @@
 
 Equal sets are one node. MinHash bands give the candidates: with the defaults a pair at
 0.8 shares one of 24 bands of 4 with probability 0.999997. Every link is checked on the
-whole sets. The pairs of a band group are not emitted: in two rounds each group compares its members
-with one of them, what is linked so is one component, and only pairs of different
-components are compared after that, group by group in blocks, of which each gives a tree of
-its links. A text of fewer words than a shingle has its whole word sequence as
-its one shingle; texts without words, nulls included, are one set.
+whole sets. The pairs of a band group are not emitted: in two rounds each group compares
+its members with one of them, what is linked so is one component, and only pairs of
+different components are compared after that, group by group in tiles of two blocks, of
+which each gives a tree of its links. A text of fewer words than a shingle has its whole
+word sequence as its one shingle; texts without words, nulls included, are one set.
+Empty tables give empty results; ties have no effect, a class is named by its smallest row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +21,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.components import connected_components
+from tidemark.operators.lineage import checkpoint, materialize
+
 SEED = 42
 #: Members of a band group that a task compares with as many others at a time.
 BLOCK = 256
 #: Rounds in which each group compares its members with one of them.
 ROUNDS = 2
+#: Shingles of a tile that are compared at once.
+COLUMNS = 1 << 15
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct XXH64 of the word shingles of a text that is in lower case already."""
-    w = (text or "").encode().split()
-    if not w:
+def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included, A-Z lowered; of a shorter text the whole word sequence is the one shingle."""
+    words = (text or "").encode().lower().split()  # bytes.split() cuts at \x20 and \x09-\x0D, bytes.lower() lowers A-Z only
+    if not words:
         return np.zeros(0, np.uint64)
-    n = max(len(w) - words + 1, 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[k : k + words]), SEED) for k in range(n)), np.uint64, n))
+    joined = b" ".join(words)
+    if len(words) <= words_in_shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    cut = map(slice, starts[: len(words) - words_in_shingle + 1].tolist(), ends[words_in_shingle - 1 :].tolist())
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cut), repeat(SEED)), np.uint64, len(words) - words_in_shingle + 1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles of a text that is in lower case already."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -93,9 +110,36 @@ def _checked(threshold: float):
     return run
 
 
-def _tree(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
-    """Links that join (node, component, low, high, hashes) of a tile, of low with high rows; rows of one component are joined already."""
-    root = {r[1]: r[1] for r in rows}
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `a` shares with each of `b`: the product of their incidence matrices, COLUMNS elements at a time."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    at = [np.searchsorted(both, x) for x in flat]
+    real = [np.flatnonzero((k < len(both)) & (both[np.minimum(k, len(both) - 1)] == x)) if len(both) else np.zeros(0, np.int64) for k, x in zip(at, flat)]
+    for low in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - low)
+        sides = []
+        for side, n in ((0, len(a)), (1, len(b))):
+            column = at[side][real[side]]
+            use = (column >= low) & (column < low + width)
+            m = np.zeros((n, width), np.float32)
+            m[row[side][real[side]][use], column[use] - low] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _tree(component: np.ndarray, low: np.ndarray, high: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links of components that join the rows of a tile, low with high ones; rows of one component are joined already."""
+    if (component == component[0]).all():
+        return []
+    i, j = np.flatnonzero(low), np.flatnonzero(high)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    shared = shared_counts([sets[k] for k in i], [sets[k] for k in j])
+    near = (shared >= threshold * (size[i][:, None] + size[j][None, :] - shared)) & (component[i][:, None] != component[j][None, :])
+    root = {c: c for c in component.tolist()}
 
     def find(c: int) -> int:
         while root[c] != c:
@@ -104,29 +148,34 @@ def _tree(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
         return c
 
     links = []
-    for x in rows:
-        if x[2]:
-            for y in rows:
-                if y[3] and x[0] != y[0] and (p := find(x[1])) != (q := find(y[1])) and alike(x[4], y[4], threshold):
-                    root[max(p, q)] = min(p, q)
-                    links.append((x[0], y[0]))
+    for x, y in np.argwhere(near).tolist():
+        p, q = find(int(component[i[x]])), find(int(component[j[y]]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            links.append((p, q))
     return links
 
 
 def _tiles(threshold: float):
+    """Tiles come sorted; one has at most two blocks of rows and is held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            links = _tree(rows, threshold)
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            columns = [t.column(c).to_numpy() for c in ("component", "low", "high")]
+            links = _tree(*columns, [_set(x) for x in t.column("hashes")], threshold)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["src", "dst"])
 
         now, held = None, []
         for batch in batches:
-            for tile, node, component, low, high, h in zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "component", "low", "high")), batch.column("hashes")):
-                if tile != now and held:
+            tile = batch.column("tile").to_numpy()
+            first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else []
+            for a, b in zip(first, np.r_[first[1:], len(tile)]):
+                if tile[a] != now and held:
                     yield out(held)
                     held = []
-                now = tile
-                held.append((node, component, low, high, _set(h).copy()))
+                now = tile[a]
+                held.append(batch.slice(int(a), int(b - a)))
         if held:
             yield out(held)
 
@@ -134,38 +183,36 @@ def _tiles(threshold: float):
 
 
 def near_set_classes(docs: DataFrame, row: Column, text: Column, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
-    """(row, set_row, class_row) for each row of `docs`: the smallest row with an equal set, and the smallest one reached by links. `row` must be distinct, not null, and the same each time that `docs` is read."""
-    from tidemark.llm.common import checkpoint, materialize
-    from tidemark.llm.components import connected_components
+    """(row, set_row, class_row) for each row of `docs`: the smallest row with an equal set, and the smallest one reached by links. `row` must be distinct, not null, and the same each time that `docs` is read.
 
+    What a group is joined with is written first, so that the join is a stage of its own and a hot group is dealt to several tasks.
+    """
     read = docs.select(row.cast("long").alias("row"), F.lower(text).alias("text"))
     sketches = materialize(read.mapInArrow(_sketches(bands, rows, words), "row long, digest binary, keys array<long>"))
     nodes = sketches.groupBy("digest").agg(F.min("row").alias("node"))
     firsts = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     banded = firsts.select(F.col("row").alias("node"), F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
-    met = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    met = checkpoint(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"))
     groups = materialize(banded.join(met, "key").select("key", "node"))
-    named = groups.select(F.col("node").alias("row")).distinct()
-    sets = materialize(read.join(named, "row", "left_semi").mapInArrow(_sets(words), "node long, hashes binary"))
+    found = checkpoint(groups.select("node").distinct().withColumn("component", F.col("node")))
+    sets = materialize(read.join(found.select(F.col("node").alias("row")), "row", "left_semi").mapInArrow(_sets(words), "node long, hashes binary"))
 
-    links = None
-    found = groups.select("node", F.col("node").alias("component")).distinct()
     for k in range(ROUNDS + 1):
         state = groups.join(found, "node")
-        open_ = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(k))).alias("lead")).where("a <> b")
+        open_ = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(k))).alias("lead"))
+        open_ = checkpoint(open_.where("a <> b").select("key", "lead", F.ceil(F.col("n") / BLOCK).alias("blocks")))
         if k < ROUNDS:
-            pairs = state.join(open_.select("key", "lead"), "key").where("component <> lead.component").select(F.least("node", "lead.node").alias("src"), F.greatest("node", "lead.node").alias("dst")).distinct()
-            a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(h)) for x, h in (("src", "ha"), ("dst", "hb")))
-            new = pairs.join(a, "src").join(b, "dst").select("src", "dst", "ha", "hb").mapInArrow(_checked(threshold), "src long, dst long")
+            met = state.join(open_, "key").where("component <> lead.component")
+            pairs = met.select(F.col("node").alias("x"), F.col("lead.node").alias("y"), F.col("component").alias("src"), F.col("lead.component").alias("dst")).distinct()
+            a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("x", "ha"), ("y", "hb")))
+            links = pairs.join(a, "x").join(b, "y").select("src", "dst", "ha", "hb").mapInArrow(_checked(threshold), "src long, dst long")
         else:
-            dealt = state.join(open_.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(k)), F.col("blocks")))
+            dealt = state.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(k)), F.col("blocks")))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             low, high = F.least("block", "other"), F.greatest("block", "other")
             tiles = dealt.select(F.xxhash64("key", low, high).alias("tile"), "node", "component", (F.col("block") == low).alias("low"), (F.col("block") == high).alias("high"))
-            new = tiles.join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "src long, dst long")
-        new = checkpoint(new)
-        links = new if links is None else links.union(new)
-        joined = checkpoint(connected_components(links))
-        found = groups.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    classes = nodes.join(joined, "node", "left").select("digest", F.col("node").alias("set_row"), F.coalesce("component", "node").alias("class_row"))
+            links = tiles.join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "src long, dst long")
+        joined = connected_components(links).withColumnRenamed("node", "was").withColumnRenamed("component", "now")
+        found = checkpoint(found.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")))
+    classes = nodes.join(found, "node", "left").select("digest", F.col("node").alias("set_row"), F.coalesce("component", "node").alias("class_row"))
     return sketches.select("row", "digest").join(classes, "digest").select("row", "set_row", "class_row")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators.joins import asof_join, ngrams
+from tidemark.operators.components import connected_components
+from tidemark.operators.joins import asof_join
+from tidemark.operators.lineage import checkpoint, materialize
 from tidemark.operators.nearsets import near_set_classes
 
 
@@ -16,47 +18,20 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.groupBy(key.alias("text_key")).agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = 10, rows: int = 2) -> DataFrame:
-    """Pairs of texts whose word shingles have a Jaccard similarity over the threshold: MinHash bands give candidates, then the sets are compared.
-
-    Equal shingle sets are one entry first, so copies make no pairs. With the defaults a pair at 0.8 shares a band with probability 0.99996.
-    """
-    shingled = docs.select(id_col, F.array_sort(ngrams(F.coalesce(F.col(text_col), F.lit("")), words)).alias("shingles")).where(F.size("shingles") > 0)
-    sets = shingled.groupBy("shingles").agg(F.min(id_col).alias("id")).withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
-    low = lambda k: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, F.lit(k))))
-    keys = F.array(*(F.xxhash64(F.lit(b), *(low(b * rows + r) for r in range(rows))) for b in range(bands)))
-    entries = sets.select("id", "hashes", keys.alias("keys"))
-    banded = entries.select("id", F.explode("keys").alias("key"))
-    met = banded.alias("x").join(banded.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    a, b = entries.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), entries.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    out = met.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("ha", "hb")))
-    return out.select("a", "b", (F.col("shared") / (F.size("ha") + F.size("hb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5) -> DataFrame:
     """(id, set_id, class_id) for each row of `docs`: the smallest id with an equal shingle set, and the smallest id that links at the threshold reach. The members of a class are its rows, so nothing is lost by taking equal sets as one."""
-    from tidemark.llm.common import materialize
-
     keyed = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")))
     rows = near_set_classes(keyed, F.col("row"), F.col("text"), threshold, words).join(keyed.select("row", "id"), "row")
     sets = rows.groupBy("set_row", "class_row").agg(F.min("id").alias("set_id"))
-    classes = sets.groupBy("class_row").agg(F.min("set_id").alias("class_id"))
+    classes = checkpoint(sets.groupBy("class_row").agg(F.min("set_id").alias("class_id")))
     named = sets.join(classes, "class_row").select("set_row", "set_id", "class_id")
     return rows.join(named, "set_row").select(F.col("id").alias(id_col), "set_id", "class_id")
 
 
-def event_clusters(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, cluster) by passing the smallest label along the pairs until nothing changes; a checkpoint cuts each round."""
-    edges = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.select(F.col("a").alias("id"), F.col("a").alias("cluster")).distinct()
-    for _ in range(rounds):
-        seen = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("low"))
-        new = labels.join(seen, labels.id == seen.a).select("id", F.least("cluster", "low").alias("cluster")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-    raise RuntimeError("clusters did not settle")
+def event_clusters(pairs: DataFrame) -> DataFrame:
+    """(id, cluster) for the ids of `pairs` (a, b); cluster is the smallest id reached, however long the chain."""
+    found = connected_components(pairs, "a", "b")
+    return found.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
 def filter_docs(docs: DataFrame, langs: list[str], least: int = 50, most: int = 100_000, junk: float = 0.1, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,13 @@ def e1_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.dedup_exact(table(spark, sf_dir, "documents")).select("doc_id", "copies")
 
 
-@query()
+@query("""with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as words from documents),
+    s as (select doc_id, case when len(words) <= 5 then [array_to_string(words, ' ')] else list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k : k + 4], ' ')))) end as shingles from w),
+    sets as (select shingles, min(doc_id) as set_id, len(shingles) as n from s group by 1), one as (select set_id, n, unnest(shingles) as shingle from sets),
+    links as (select a.set_id as a, b.set_id as b from one a join one b on a.shingle = b.shingle and a.set_id < b.set_id group by 1, 2 having count(*) >= 0.8 * (max(a.n) + max(b.n) - count(*))),
+    edges as (select a, b from links union select b, a from links), reach(id, r) as (select set_id, set_id from sets union select e.b, reach.r from reach join edges e on e.a = reach.id),
+    classes as (select id, min(r) as class_id from reach group by 1)
+    select s.doc_id, sets.set_id, classes.class_id from s join sets on s.shingles = sets.shingles join classes on classes.id = sets.set_id""")
 def e2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: its set of equal shingles and its class of near copies."""
     return E.near_duplicate_classes(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 Equal sets are one node. MinHash bands give the candidates: with the defaults a pair at
 0.8 shares one of 24 bands of 4 with probability 0.999997. Every link is checked on the
-whole sets. The pairs of a band group are not emitted: in two rounds each group compares
+whole sets. The pairs of a band group are not emitted: in a first round each group compares
 its members with one of them, what is linked so is one component, and only pairs of
 different components are compared after that, group by group in tiles of two blocks, of
 which each gives a tree of its links. A text of fewer words than a shingle has its whole
@@ -12,6 +12,7 @@ Empty tables give empty results; ties have no effect, a class is named by its sm
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,31 +26,48 @@ from tidemark.operators.components import connected_components
 from tidemark.operators.lineage import checkpoint, materialize
 
 SEED = 42
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Members of a band group that a task compares with as many others at a time.
 BLOCK = 256
 #: Rounds in which each group compares its members with one of them.
-ROUNDS = 2
+ROUNDS = 1
 #: Shingles of a tile that are compared at once.
 COLUMNS = 1 << 15
 
 
-def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
-    """XXH64 of the word shingles of a text, repeats included, A-Z lowered; of a shorter text the whole word sequence is the one shingle."""
-    words = (text or "").encode().lower().split()  # bytes.split() cuts at \x20 and \x09-\x0D, bytes.lower() lowers A-Z only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= words_in_shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    cut = map(slice, starts[: len(words) - words_in_shingle + 1].tolist(), ends[words_in_shingle - 1 :].tolist())
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cut), repeat(SEED)), np.uint64, len(words) - words_in_shingle + 1)
+def hash_blocks(text: str | None, words_in_shingle: int, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, repeats included, A-Z lowered, for about `size` bytes of the text at a time.
+
+    Of a text with fewer words than a shingle the whole word sequence is the one shingle.
+    """
+    raw = (text or "").encode().lower()  # bytes.split() cuts at \x20 and \x09-\x0D, bytes.lower() lowers A-Z only
+    carried: list[bytes] = []
+    at, told = 0, False
+    while at < len(raw):
+        end = at + size
+        gap = SPACE.search(raw, end) if end < len(raw) else None
+        end = gap.start() if gap else len(raw)
+        words = carried + raw[at:end].split()
+        at, n = end, len(words) - words_in_shingle + 1
+        if n < 1:
+            carried = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.r_[0, ends[:-1] + 1]
+        cut = map(slice, starts[:n].tolist(), ends[words_in_shingle - 1 :].tolist())
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cut), repeat(SEED)), np.uint64, n)
+        carried, told = words[n:], True
+    if carried and not told:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], np.uint64)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct hashes of the word shingles of a text that is in lower case already."""
-    return np.unique(shingle_hashes(text, words))
+    found = np.zeros(0, np.uint64)
+    for block in hash_blocks(text, words):
+        found = np.union1d(found, block) if len(found) else np.unique(block)
+    return found
 
 
 def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:

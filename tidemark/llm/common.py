@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,33 +11,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import checkpoint, materialize, shared_folder  # noqa: F401
+
 #: Characters of text that one step of a Python task holds at a time.
 CHUNK_CHARS = 8_000_000
+#: Characters of one text that are taken apart at a time.
+BLOCK_CHARS = 1 << 20
+_GAP = re.compile(r"(?<=\S)\s")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a session that names none (a local test) gets one of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: columnar and compressed, for what is read more than once."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def text_blocks(text: str | None, size: int | None = None) -> Iterator[str]:
+    """A text in pieces of about `size` characters, cut before white space that follows other characters; concatenated they are the text."""
+    text, size, at = text or "", size or BLOCK_CHARS, 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end] if at or gap else text
+        at = end
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
@@ -132,20 +125,23 @@ def smallest_labels(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | No
     return label
 
 
-def deal_hot_keys(rows: DataFrame, at_once: int, broadcast_most: int) -> DataFrame:
-    """Split the work of hot keys of (key, home, id, ...): a key with over `at_once` homes becomes several keys.
+def deal_tiles(rows: DataFrame, at_once: int, broadcast_most: int) -> DataFrame:
+    """Deal the groups of (key, id, ...) to tasks: columns `low` and `high` are added, and a low and a high row of one key are to be compared.
 
-    Each of them has a share of the homes and all rows, as members to compare with.
-    The hot keys are few (one for each `at_once` homes at most) and counted first:
-    up to `broadcast_most` of them are broadcast, more are joined by a shuffle.
+    A key with more than `at_once` rows is split into blocks, and each two blocks make a
+    tile, which has a key of its own and at most `2 * at_once` rows; low rows of a tile
+    are those of its one block, high rows those of the other. Every pair of rows of a
+    key meets in exactly one tile, so counts add up and no task holds a whole hot group.
+    The hot keys are few (one for each `at_once` rows at most) and counted first: up to
+    `broadcast_most` of them are broadcast, more are joined by a shuffle.
     """
-    hot = checkpoint(rows.where("home").groupBy("key").count().where(F.col("count") > at_once))
+    hot = checkpoint(rows.groupBy("key").count().where(F.col("count") > at_once).select("key", F.ceil(F.col("count") / at_once).alias("blocks")))
     n_hot = hot.count()
     if not n_hot:
-        return rows
-    hot = hot.select("key", F.ceil(F.col("count") / at_once).cast("int").alias("deals"))
-    rows = rows.join(F.broadcast(hot) if n_hot <= broadcast_most else hot, "key", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
-    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-    rows = rows.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("id"), F.col("deals")) == F.col("deal")))
-    # keys whose hashes are equal only share a group, in which every pair is compared in full
-    return rows.withColumn("key", F.when(F.col("deals") == 1, F.col("key")).otherwise(F.xxhash64("key", "deal"))).drop("deals", "deal")
+        return rows.withColumns({"low": F.lit(True), "high": F.lit(True)})
+    rows = rows.join(F.broadcast(hot) if n_hot <= broadcast_most else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.withColumns({"low": F.col("block") == first, "high": F.col("block") == second, "tile": F.xxhash64("key", first, second)})
+    return rows.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.col("tile"))).drop("blocks", "block", "other", "tile")

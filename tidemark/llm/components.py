@@ -1,41 +1,3 @@
-"""Connected components of a link table, by alternating star contractions."""
+"""Connected components of a link table (the core's, under the name that the operators of this subpackage use)."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tidemark.llm.common import checkpoint
-
-
-def _hang(pairs: DataFrame) -> DataFrame:
-    """For each node `u` of (u, v), hang u and its `v`s on the smallest of them. Sums by partial aggregation; no group is gathered."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return pairs.join(low, "u")
-
-
-def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", most: int = 100) -> DataFrame:
-    """(node, component) for every node of `links`; component is the smallest node reached.
-
-    Large-star and small-star steps run in turn (each a min-aggregation and an
-    equi-join on the node) until the table of links stays as it is; each round is
-    checkpointed. Self links and null ends are ignored, so a node that has no other
-    link is absent. An empty table gives an empty one.
-    """
-    edges = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    was = None
-    for _ in range(most):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or now == was:
-            break
-        was = now
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        hung = _hang(large)
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(hung.select("u", F.col("m").alias("v")))
-        edges = checkpoint(small.where("u <> v").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+from tidemark.operators.components import connected_components  # noqa: F401

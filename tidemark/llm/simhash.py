@@ -11,54 +11,45 @@ compared there. Covering all 64 bits at once would send each fingerprint to
 hundreds of anchors; the slices keep the method and cut that to 32.
 
 Nulls and texts without words have fingerprint zero and link like any other.
-Equal fingerprints are one node, so copies are never paired. Ties have no effect:
-a class is named by its smallest id. Further columns are ignored.
+Equal fingerprints are one node, named by the fingerprint itself, so copies are never
+paired and ids take no part in the linking: a row with a null id, or with an id that
+other rows have too, is a row like any other. A class is named by its smallest id that
+is not null, and by null if it has none. Further columns are ignored. Empty tables give
+empty results. Long texts are hashed block by block.
+
+Three differing bits find copies with an edit or two. A pair at a Jaccard similarity of
+0.8 differs in about 10 of 64 bits, so two fingerprints of 64 bits that far apart are
+out of the reach of any anchors that still part strangers: `near_copies`, for 5-word
+shingles at 0.8 and more, takes its candidates from MinHash bands (README).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, deal_hot_keys, map_batches, map_text, pairs_in_groups, smallest_labels, whole_groups
+from tidemark.llm.common import checkpoint, deal_tiles, map_batches, map_text, materialize, pairs_in_groups, smallest_labels, whole_groups
 from tidemark.llm.components import connected_components
+from tidemark.operators.nearsets import hash_blocks, near_set_classes
 
-SEED = 42
-#: Homes that one task compares at an anchor; an anchor with more is dealt to several.
-HOMES_AT_ONCE = 4096
+#: Fingerprints of an anchor that one task compares with as many others; an anchor with more is dealt to several.
+AT_ONCE = 8192
 #: Hot anchors up to this number are broadcast (16 bytes each).
 HOT_BROADCAST = 50_000
 
 
-def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
-    """XXH64 of the word shingles of a text, repeats included, A-Z lowered."""
-    words = (text or "").encode().lower().split()  # bytes.split() cuts at \x20 and \x09-\x0D, bytes.lower() lowers A-Z only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= words_in_shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    cut = map(slice, starts[: len(words) - words_in_shingle + 1].tolist(), ends[words_in_shingle - 1 :].tolist())
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cut), repeat(SEED)), np.uint64, len(words) - words_in_shingle + 1)
-
-
 def fingerprint(text: str | None, words_in_shingle: int) -> int:
-    """The bits set in over half of the shingle hashes, as a signed 64-bit number."""
-    h = shingle_hashes(text, words_in_shingle)
-    if not len(h):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 65536):
-        ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+    """The bits set in over half of the shingle hashes, as a signed 64-bit number. A long text is hashed block by block."""
+    ones, n = np.zeros(64, np.int64), 0
+    for block in hash_blocks(text, words_in_shingle):
+        n += len(block)
+        for k in range(0, len(block), 65536):
+            ones += np.unpackbits(block[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
@@ -112,25 +103,25 @@ def _shape(threshold: int) -> tuple[int, int]:
 def _links_at_anchors(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key"):
-            key, fp, home, node = (group.column(c).to_numpy() for c in ("key", "fp", "home", "id"))
-            fp = fp.view(np.uint64)
+            key, fp, home, low, high = (group.column(c).to_numpy() for c in ("key", "id", "home", "low", "high"))
+            bits = fp.view(np.uint64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[starts[1:], len(key)]
             per_row = np.repeat(np.arange(len(starts)), ends - starts)
             first, last = starts[per_row], ends[per_row]
             label = np.arange(len(key))
             for i, j in pairs_in_groups(first, last, np.flatnonzero(home & (last - first > 1))):
-                near = (np.bitwise_count(fp[i] ^ fp[j]) <= threshold) & (i != j)
+                near = (np.bitwise_count(bits[i] ^ bits[j]) <= threshold) & (i != j) & ((low[i] & high[j]) | (high[i] & low[j]))
                 label = smallest_labels(len(key), i[near], j[near], label)
             linked = np.flatnonzero(label != np.arange(len(key)))
-            pairs = np.unique(np.c_[node[linked], node[label[linked]]], axis=0)
+            pairs = np.unique(np.c_[fp[linked], fp[label[linked]]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
     return run
 
 
 def fingerprint_links(fps: DataFrame, threshold: int = 3) -> DataFrame:
-    """(src, dst) that join the rows of (id, fp), whose fps are distinct, into their classes.
+    """(src, dst), fingerprints that join those of (fp), which are distinct, into their classes.
 
     At each anchor the links found are given as a tree, so a group of g near copies
     makes at most g links at an anchor and not g squared.
@@ -140,17 +131,25 @@ def fingerprint_links(fps: DataFrame, threshold: int = 3) -> DataFrame:
     def replicate(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column("fp").to_numpy()
         row, key, home = anchors(fp.view(np.uint64), parts, width)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(home), batch.column("id").take(pa.array(row))], ["key", "fp", "home", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(home)], ["key", "id", "home"])
 
-    spread = map_batches(fps.select("id", "fp"), replicate, "key long, fp long, home boolean, id long")
-    spread = deal_hot_keys(spread, HOMES_AT_ONCE, HOT_BROADCAST)
-    return spread.select("key", "fp", "home", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_links_at_anchors(threshold), "src long, dst long")
+    spread = map_batches(fps.select("fp"), replicate, "key long, id long, home boolean")
+    dealt = deal_tiles(spread, AT_ONCE, HOT_BROADCAST)
+    return dealt.select("key", "id", "home", "low", "high").repartition("key").sortWithinPartitions("key").mapInArrow(_links_at_anchors(threshold), "src long, dst long")
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, threshold: int = 3) -> DataFrame:
     """(id, fp, component_id) for every row of `docs`; component_id is the smallest id reachable by links."""
-    fps = checkpoint(fingerprints(docs, id_col, text_col, words_in_shingle))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("id"))
+    fps = materialize(fingerprints(docs, id_col, text_col, words_in_shingle))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")))
     found = connected_components(fingerprint_links(nodes, threshold))
-    classes = nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # what a hot class or a hot fingerprint is joined with is written first: the join is then a stage of its own, which deals hot groups out
+    own = checkpoint(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root")))
+    least = checkpoint(own.groupBy("root").agg(F.min("id").alias("component_id")))
+    classes = own.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, row: Column, text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, set_row, class_row): classes of texts whose shingle sets have a Jaccard similarity of `similarity` or more; `row` is as in `near_set_classes`."""
+    return near_set_classes(docs, row, F.col(text_col), similarity, words_in_shingle)

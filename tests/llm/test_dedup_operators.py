@@ -191,19 +191,58 @@ def test_long_texts_are_cut_in_chunks(spark, monkeypatch):
 
 
 # --- op9 --------------------------------------------------------------------
-def test_rates_meet_targets(spark):
+def plain_rates(t, p, target, most, steps=60_000):
+    """Least squares with bounds by accelerated projected gradient in numpy; the totals reached."""
+    a = p * np.sqrt(t)[:, None]  # rates scaled by the root of the tokens
+    high = most * np.sqrt(t)
+    size = np.linalg.eigvalsh(a.T @ a).max()
+    x = np.minimum(np.sqrt(t), high)
+    y, turn = x.copy(), 1.0
+    for _ in range(steps):
+        new = np.clip(y - a @ (a.T @ y - target) / size, 0, high)
+        turn_new = (1 + np.sqrt(1 + 4 * turn * turn)) / 2
+        if (y - new) @ (new - x) > 0:
+            turn_new, y = 1.0, new
+        else:
+            y = new + (turn - 1) / turn_new * (new - x)
+        x, turn = new, turn_new
+    return a.T @ x
+
+
+@pytest.mark.parametrize("scale, most", [([1.5, 1.0, 0.4], None), ([1.0, 1.0, 0.05], None), ([1.0, 0.5, 0.25], 1.0), ([3.0, 0.01, 0.2], 1.5), ([0.0, 0.0, 0.0], None), ([1.0, 1.0, 1.0], None), ([0.2, 0.0, 4.0], None)])
+def test_rates_against_plain_least_squares(spark, scale, most):
     rng = np.random.default_rng(6)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 500)
-    rows = [(k, float(rng.integers(10, 1000)), *map(float, p[k])) for k in range(500)]
-    members = spark.createDataFrame(rows, "id bigint, tokens double, p0 double, p1 double, p2 double").cache()
+    p = np.round(rng.dirichlet([0.3, 0.3, 0.3], 300), 3)
+    p[:, 0] = 1 - p[:, 1] - p[:, 2]
+    p[:, 2] = np.minimum(p[:, 2], 0.9)
+    p /= p.sum(axis=1, keepdims=True)
+    rows = [(k, float(rng.integers(10, 1000)), *map(float, p[k])) for k in range(300)]
+    members = spark.createDataFrame(rows, "kept bigint, tokens double, p0 double, p1 double, p2 double").cache()
     t = np.array([r[1] for r in rows])
+    total = t.sum()
     natural = (t[:, None] * p).sum(axis=0)
-    targets = dict(zip("abc", natural * [1.5, 1.0, 0.4]))
-    out, reached = mixing.fit_rates(members, ["a", "b", "c"], targets)
-    r = np.array([x.rate for x in out.orderBy("id").collect()])
-    assert (r >= 0).all() and np.allclose((t[:, None] * p * r[:, None]).sum(axis=0), list(targets.values()), rtol=1e-4)
-    capped, _ = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", natural * [1.0, 1.0, 0.3])), max_rate=1.0)
-    assert all(0 <= x.rate <= 1 for x in capped.collect())
+    target = natural * scale
+    out, reached = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", target.tolist())), most)
+    r = np.array([x.rate for x in out.orderBy("kept").collect()])
+    got = (t[:, None] * p * r[:, None]).sum(axis=0)
+    want = plain_rates(t / total, p, target / total, most or np.inf) * total
+    assert (r >= 0).all() and (r <= (most or np.inf)).all() and np.allclose(got, list(reached.values()), rtol=1e-6, atol=1e-6 * total)
+    assert np.abs(got - want).max() <= 1e-4 * max(np.abs(target).max(), total / 100)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_query_reaches_the_best_totals(spark, sf):
+    from tidemark.llm import queries
+
+    rows = queries.op9_mixing(spark, f"/root/testdata/{sf}").toPandas()
+    p = rows[["p_clean", "p_low", "p_toxic"]].to_numpy()
+    t = rows.tokens.to_numpy().astype(float)
+    total = t.sum()
+    target = np.array([0.80, 0.15, 0.05])
+    got = (t[:, None] * p * rows.rate.to_numpy()[:, None]).sum(axis=0) / total
+    want = plain_rates(t / total, p, target, np.inf, 20_000)  # slow to settle on so many rows, but no rates of its may be better
+    assert np.abs(p.sum(axis=1) - 1).max() < 1e-9 and ((got - target) ** 2).sum() <= ((want - target) ** 2).sum() + 1e-8
+    assert sf != "sf0.001" or np.abs(got - want).max() < 1e-4
 
 
 def test_mixing_odd_rows(spark, odd, empty):
@@ -220,7 +259,7 @@ def test_classifier_tells_domains_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labelled = spark.createDataFrame([(k, "x" if k % 3 == 0 else "y") for k in range(60)], "doc_id bigint, domain string")
     model = mixing.learn(docs, labelled)
-    out = {r.id: r.p0 for r in mixing.memberships(docs, model).collect()}
+    out = {r.kept: r.p0 for r in mixing.memberships(docs, model).collect()}
     assert all((out[k] > 0.9) == (k % 3 == 0) and (out[k] < 0.1) == (k % 3 > 0) for k in range(60, 120))
 
 

@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def text_blocks(text: str | None, size: int | None = None) -> Iterator[str]:
     """A text in pieces of about `size` characters, cut before white space that follows other characters; concatenated they are the text."""
     text, size, at = text or "", size or BLOCK_CHARS, 0

@@ -66,7 +66,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domain_of_labels(table(spark, sf_dir, "labels"))
     rates, domains = mixing.mix(table(spark, sf_dir, "documents"), labelled, weights=MIX)
     shares = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
-    return rates.select(F.col("id").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"), *shares, "rate")
+    return rates.select(F.col("kept").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"), *shares, "rate")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

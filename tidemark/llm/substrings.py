@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_slices, whole_groups
+from tidemark.llm.common import materialize, text_slices, unused, whole_groups
 from tidemark.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 200
@@ -259,15 +259,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
     """The rows of `docs`, all columns, with the repeated bytes taken out of the text; a character that a cut would halve stays. Null texts stay null."""
-    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    texts = keyed.select(F.col("__row").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    by_text = _runs_by_text(texts, length, levels, hot).select(F.col("id").alias("__row"), F.col("runs").alias("__runs"))
+    row, runs = unused(docs, "row"), unused(docs, "runs")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = keyed.select(F.col(row).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    by_text = _runs_by_text(texts, length, levels, hot).select(F.col("id").alias(row), F.col("runs").alias(runs))
 
-    def strip(text: str | None, runs: list[dict] | None) -> str | None:
-        if not runs or text is None:
+    def strip(text: str | None, found: list[dict] | None) -> str | None:
+        if not found or text is None:
             return text
         raw = text.encode()
-        edges = [0, *_merged(runs, length).ravel().tolist(), len(raw)]
+        edges = [0, *_merged(found, length).ravel().tolist(), len(raw)]
         inside = lambda at: 0 < at < len(raw) and raw[at] & 0xC0 == 0x80
         for k in range(1, len(edges) - 1):
             while inside(edges[k]):
@@ -278,8 +279,8 @@ def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
         for batch in batches:
             for part in text_slices(batch, text_col):
                 columns = {c: part.column(c) for c in names}
-                columns[text_col] = pa.array([strip(t.as_py(), r.as_py()) for t, r in zip(part.column(text_col), part.column("__runs"))], pa.string())
+                columns[text_col] = pa.array([strip(t.as_py(), r.as_py()) for t, r in zip(part.column(text_col), part.column(runs))], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     names = docs.columns
-    return keyed.join(by_text, "__row", "left").drop("__row").mapInArrow(run, docs.schema)
+    return keyed.join(by_text, row, "left").drop(row).mapInArrow(run, docs.schema)

@@ -18,8 +18,8 @@ def one(spark, col, **values):
 
 
 @pytest.mark.parametrize("text, want", [
-    ("2026-07-19T07:01:20Z", "2026-07-19T07:01:20Z"), ("2026-07-19T07:01:20+08:00", "2026-07-18T23:01:20Z"), ("2026-07-19T22:01:20-05:00", "2026-07-20T03:01:20Z"),
-    ("2026-07-19T07:01:20.123456Z", "2026-07-19T07:01:20.123456Z"), ("", None), ("2026-02-30T07:01:20Z", None), ("2026-07-19T25:01:20Z", None), ("2026-07-19T07:01:20", None),
+    ("2031-03-09T23:59:07Z", "2031-03-09T23:59:07Z"), ("2031-03-10T01:30:00+05:30", "2031-03-09T20:00:00Z"), ("2030-12-31T20:15:00-04:00", "2031-01-01T00:15:00Z"),
+    ("2031-03-09T23:59:07.000250Z", "2031-03-09T23:59:07.000250Z"), ("", None), ("2031-04-31T10:00:00Z", None), ("2031-03-09T24:30:00Z", None), ("2031-03-09T10:00:00", None),
 ])
 def test_parse_and_format(spark, text, want):
     assert one(spark, S.format_utc(S.parse_utc(F.col("t"))), t=text) == want
@@ -63,20 +63,61 @@ def test_redaction(spark):
 
 
 def test_canary_is_nowhere(spark):
-    df = spark.sql("select named_struct('Api_Key', 'CANARY', 'items', array(named_struct('token', 'CANARY', 'safe', 's'))) as nested, 'CANARY' as Cookie, map('SECRET', 'CANARY', 'ok', 'v') as m, 'kept' as similar_tokenized")
-    safe = S.redact_keys(df)
+    df = spark.sql("""select named_struct('Api_Key', 'CANARY', 'items', array(named_struct('token', 'CANARY', 'safe', 's'))) as nested, 'CANARY' as Cookie,
+        map('SECRET', 'CANARY', 'ok', 'v') as m, map('password', 7, 'n', 1) as numbers, map('token', named_struct('v', 'CANARY'), 'x', named_struct('v', 'kept')) as structs,
+        map('x', named_struct('password', 'CANARY', 'q', 2)) as inner, array(map('cookie', 'CANARY')) as listed, 'kept' as cookie_jar, '{"a": [{"Token": {"b": "CANARY"}, "c": 1}]}' as js, 'no json, token: CANARY' as bad_js, cast(null as string) as no_js""")
+    safe = S.redact_keys(df, json_cols=("js", "bad_js", "no_js"))
     assert S.canary_rows(df, "CANARY").count() == 1 and S.canary_rows(safe, "CANARY").count() == 0
     row = safe.first()
-    assert row.nested["items"][0].safe == "s" and row.m["ok"] == "v" and row.similar_tokenized == "kept"
+    assert row.nested["items"][0].safe == "s" and row.m["ok"] == "v" and row.cookie_jar == "kept"
+    assert row.numbers == {"password": None, "n": 1} and row.structs["token"] is None and row.structs["x"].v == "kept" and row.inner["x"].q == 2
+    assert row.js == '{"a":[{"Token":"<redacted>","c":1}]}' and row.bad_js == "no json, <redacted>" and row.no_js is None
 
 
-@pytest.mark.parametrize("text, want", [("HTTP 403 rate limit", ("rate-limit", 403)), ("http 403: upgrade", ("plan-limit", 403)), ("needs sso 403", ("scope-or-permission", 403)), (" 503", ("service", None)), ("x", ("unknown", None))])
+@pytest.mark.parametrize("text, want", [
+    ("HTTP 403 rate limit", ("rate-limit", 403)), ("http 403: upgrade", ("plan-limit", 403)), ("needs sso 403", ("scope-or-permission", 403)), (" 503", ("service", None)), ("x", ("unknown", None)), (None, ("unknown", None)),
+    ("403 branch protection: not available", ("plan-limit", 403)), ("403 branch protection", ("permission", 403)), ("http 401 and 403", ("authentication", 401)), ("http 429", ("rate-limit", 429)),
+])
 def test_errors(spark, text, want):
-    assert tuple(one(spark, S.classify_error(F.col("t")), t=text)) == want
+    got = one(spark, S.classify_error(F.col("t")), t=text)
+    assert (got.category, got.http_status) == want and got.reason.startswith(("github-", "network-", "required-"))
+
+
+def test_logs_are_redacted(spark):
+    def summary(text, kind="other", failed=False):
+        return one(spark, S.summarize_log(F.col("t"), F.lit(kind), {"tests": "=+ ([^\\n]*passed[^\\n]*) =+"}, F.lit(failed)), t=text)
+
+    assert summary("a\r\npassword: hunter2 C:\\x\n\n") == "<redacted> <absolute-path-redacted>"
+    assert summary("== 3 passed ==\nmore", "tests") == "3 passed" and summary(" \n") == "pass"
+    assert summary("a\ntoken=abc", failed=True) == "a\n<redacted>"
+    assert len(summary("y" * 500)) == 240 - 16 + len("…<truncated>")
+
+
+def test_digests_do_not_depend_on_order(spark):
+    df = spark.sql("select map('a', 1, 'b', 2) as x, map('b', 2, 'a', 1) as y, named_struct('q', map('k', array(map('d', 1, 'c', 2)))) as u, named_struct('q', map('k', array(map('c', 2, 'd', 1)))) as v")
+    d = [t.select(S.canonical_digest(["m"], t.schema).alias("d")).first().d for t in (df.select(F.col(c).alias("m")) for c in "xyuv")]
+    assert d[0] == d[1] and d[2] == d[3] and d[0] != d[2]
+
+
+def test_records_by_spec(spark):
+    rows = [('{"a": {"n": 3, "t": "x"}, "l": ["b", 1, "a", null], "d": "' + "f" * 40 + '", "b": "body"}',), ('{"a": {"n": "3", "t": 4}, "l": "b", "d": "zz", "b": 5}',), ("broken",), (None,)]
+    spec = {"n": ("a.n", "bigint"), "t": ("a.t", "string"), "l": ("l", "names"), "d": ("d", "digest"), "b": ("b", "body")}
+    out = [tuple(r)[1:] for r in Q.flatten_record(spark.createDataFrame(rows, "j string"), "j", spec).collect()]
+    import hashlib
+
+    assert out[0] == (3, "x", ["a", "b"], "f" * 40, hashlib.sha256(b"body").hexdigest(), 4)
+    assert out[1:] == [(None,) * 6] * 3
+
+
+def test_overall_statuses(spark):
+    area = "array(named_struct('name', 'a', 'status', 'verified', 'files', array('f'), 'evidence', array('e'), 'remaining_risk', cast(null as string)))"
+    df = spark.sql(f"select {area} as areas, o as overall from values ('verified'), ('partial'), ('not_verified'), ('partially_verified'), (null) t(o)")
+    out = {r.overall: r.violations for r in Q.validate_artifact(df).collect()}
+    assert out == {"verified": [], "partial": [], "not_verified": [], "partially_verified": ["overall:invalid"], None: ["overall:invalid"]}
 
 
 @pytest.mark.parametrize("body, want", [
-    ("### Goal\nA: 1\nB: 2", "ok"), ("A: 1", "section-count"), ("### Goal\nA: 1\nA: 2\nB: 3", "duplicate"), ("### Goal\nA:\nB: 1", "empty"), ("### Goal\nA: 1\n## Next\nB: 2", "missing"), ("", "unavailable"), (None, "unavailable"),
+    ("### Goal\nA: 1\nB: 2", "ok"), ("A: 1", "section-count"), ("### Goal\nA: 1\nA: 2\nB: 3", "duplicate"), ("### Goal\nA:\nB: 1", "empty"), ("### Goal\nA: 1\n## Next\nB: 2", "missing"), ("### Goal\r\nA: 1\r\nB: 2\r\n", "ok"), ("", "unavailable"), (None, "unavailable"),
 ])
 def test_fields(spark, body, want):
     assert one(spark, S.extract_fields(F.col("t"), "### Goal", ["a", "b"]), t=body).status == want

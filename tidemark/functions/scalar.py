@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
+from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -12,17 +15,36 @@ from pyspark.sql import types as T
 
 REDACTED = "<redacted>"
 PATH_REDACTED = "<absolute-path-redacted>"
-#: Key names whose values are secrets.
+#: Key names whose values are secrets, in any case.
 SENSITIVE_KEYS = ("password", "secret", "token", "api_key", "apikey", "authorization", "cookie")
-#: Formats of secrets in free text, in the order they are replaced.
-SECRET_FORMATS = (
-    "gh[opsru]_[0-9A-Za-z]{20,}",
-    "(?i)\\bbearer\\s+[-0-9A-Za-z._~]{16,}",
-    "-----BEGIN ((RSA|EC|OPENSSH) )?PRIVATE KEY-----",
-    "(?i)(password|secret|token|cookie|authorization|api[-_]?key)\\s*[=:]\\s*\\S+",
-)
-WINDOWS_PATH = "(?<![0-9A-Za-z])[A-Za-z]:[/\\\\][^\\s'\"]+"
-POSIX_PATH = "(?<![0-9A-Za-z:/])/(?!/)[^\\s'\"]+"
+#: Letters of a provider's token kinds (gh?_), algorithms in private-key headers, and the shortest provider and bearer tokens.
+TOKEN_KINDS, KEY_ALGORITHMS, TOKEN_LENGTH, BEARER_LENGTH = ("p", "o", "u", "s", "r"), ("RSA", "EC", "OPENSSH"), 20, 16
+
+
+def _any(words: Iterable[str]) -> str:
+    return "(" + "|".join(words) + ")"
+
+
+def secret_formats() -> list[str]:
+    """Expressions for secrets in free text, in the order that they are replaced: provider tokens, bearer tokens, private-key headers, `key: value`.
+
+    They use no look-around, so any regular-expression engine runs them.
+    """
+    named = dict.fromkeys(key.replace("_", "").replace("apikey", "api[_-]?key") for key in SENSITIVE_KEYS)
+    return [
+        f"gh{_any(TOKEN_KINDS)}_[a-zA-Z0-9]{{{TOKEN_LENGTH},}}",
+        f"(?i)\\bbearer\\s+[\\w.~-]{{{BEARER_LENGTH},}}",
+        f"-----BEGIN {_any(a + ' ' for a in KEY_ALGORITHMS)}?PRIVATE KEY-----",
+        f"(?i){_any(named)}\\s*[:=]\\s*\\S+",
+    ]
+
+
+def path_formats() -> list[str]:
+    """Expressions for absolute paths in free text, drive letters first. Group 1 is what stands in front of the path and stays; URLs do not match."""
+    rest = "[^\\s'\"]"
+    return [f"(^|[^a-zA-Z0-9])[a-zA-Z]:[/\\\\]{rest}+", f"(^|[^a-zA-Z0-9:/])/[^/\\s'\"]{rest}*"]
+
+
 _OFFSET = "(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
@@ -115,33 +137,63 @@ def url_identity(col: Column) -> Column:
 
 
 # --- redaction --------------------------------------------------------------
-def redact_keys(df: DataFrame, keys: tuple[str, ...] = SENSITIVE_KEYS) -> DataFrame:
-    """By the schema, everything under a sensitive key name (any case, exact) becomes `<redacted>`."""
+def redact_keys(df: DataFrame, keys: tuple[str, ...] = SENSITIVE_KEYS, json_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Everything under a sensitive key name (any case, exact) becomes `<redacted>`, at any depth of structs, arrays and maps.
+
+    The schema is walked once, when the plan is made. A map holds one type of values, so a
+    sensitive value of a map that is no text becomes null. Columns named in `json_cols` hold
+    JSON text and are walked as values; text there that is no JSON is redacted as free text.
+    """
 
     def walk(col: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StructType):
-            parts = [field(col[f.name], f).alias(f.name) for f in kind.fields]
-            return F.when(col.isNotNull(), F.struct(*parts))
+            return F.when(col.isNotNull(), F.struct(*(field(col[f.name], f).alias(f.name) for f in kind.fields)))
         if isinstance(kind, T.ArrayType):
             return F.transform(col, lambda x: walk(x, kind.elementType))
-        if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-            return F.transform_values(col, lambda k, v: F.when(F.lower(k).isin(*keys), REDACTED).otherwise(v))
+        if isinstance(kind, T.MapType):
+            hidden = F.lit(REDACTED) if isinstance(kind.valueType, T.StringType) else F.lit(None)
+            return F.transform_values(col, lambda k, v: F.when(F.lower(k.cast("string")).isin(*keys), hidden).otherwise(walk(v, kind.valueType)))
         return col
 
     def field(col: Column, f: T.StructField) -> Column:
-        return F.lit(REDACTED) if f.name.lower() in keys else walk(col, f.dataType)
+        if f.name.lower() in keys:
+            return F.lit(REDACTED)
+        return redact_json(col, keys) if f.name in json_cols else walk(col, f.dataType)
 
     return df.select(*(field(F.col(f"`{f.name}`"), f).alias(f.name) for f in df.schema.fields))
 
 
+def _hide(value, keys: frozenset[str]):
+    if isinstance(value, dict):
+        return {k: REDACTED if k.lower() in keys else _hide(v, keys) for k, v in value.items()}
+    return [_hide(v, keys) for v in value] if isinstance(value, list) else value
+
+
+def redact_json(col: Column, keys: tuple[str, ...] = SENSITIVE_KEYS) -> Column:
+    """R1 for JSON text of any shape, which no schema names; what is no JSON is redacted as free text. Python works on it in Arrow batches."""
+    names = frozenset(keys)
+
+    @F.pandas_udf("string")
+    def hide(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(_hide(json.loads(text), names), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return F.coalesce(hide(col), redact_text(col))
+
+
 def redact_text(col: Column) -> Column:
     """R2: secrets in free text."""
-    return reduce(lambda c, fmt: F.regexp_replace(c, fmt, REDACTED), SECRET_FORMATS, col)
+    return reduce(lambda c, form: F.regexp_replace(c, form, REDACTED), secret_formats(), col)
 
 
 def redact_paths(col: Column) -> Column:
     """Absolute Windows and POSIX paths; URLs stay."""
-    return F.regexp_replace(F.regexp_replace(col, WINDOWS_PATH, PATH_REDACTED), POSIX_PATH, PATH_REDACTED)
+    return reduce(lambda c, form: F.regexp_replace(c, form, f"$1{PATH_REDACTED}"), path_formats(), col)
 
 
 def redact_url(col: Column) -> Column:
@@ -184,9 +236,21 @@ def bound_bytes(col: Column, n: int = 4096) -> Column:
 
 
 # --- digests -----------------------------------------------------------------
-def canonical_digest(cols: list[str]) -> Column:
-    """SHA-256 of the columns as one JSON object, keys sorted, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(cols))), {"ignoreNullFields": "false"}), 256)
+def _sorted_form(col: Column, kind: T.DataType) -> Column:
+    """A value with the fields of its structs and the entries of its maps in order of their names, at any depth."""
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*(_sorted_form(col[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _sorted_form(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(col, lambda k, v: _sorted_form(v, kind.valueType))), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return col
+
+
+def canonical_digest(cols: list[str], schema: T.StructType | None = None) -> Column:
+    """SHA-256 of the columns as one JSON object, keys sorted, nulls kept. With the schema of the rows, structs and maps in them are sorted as well; without it the columns must be flat."""
+    parts = [F.col(c) if schema is None else _sorted_form(F.col(c), schema[c].dataType).alias(c) for c in sorted(cols)]
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
 
 
 def is_digest(col: Column) -> Column:
@@ -217,28 +281,35 @@ def categorize_state(*cols: Column) -> Column:
     return out.otherwise("skipped-or-unknown")
 
 
-def classify_error(text: Column) -> Column:
-    """K2: the first rule that a message meets gives (category, http_status)."""
-    t = F.lower(text)
+#: Fixed values: (groups of phrases, category, reason, HTTP status). A rule is met by a text that has a phrase of each group, in lower case; the first rule that is met counts.
+ERROR_RULES: list[tuple[list[list[str]], str, str, int | None]] = [
+    ([[" 401", "bad credentials", "requires authentication"]], "authentication", "github-authentication-failure", 401),
+    ([["403"], ["plan", "upgrade", "requires github pro", "requires github team", "private repositories require"]], "plan-limit", "github-plan-limit-403", 403),
+    ([["403"], ["branch protection"], ["private repositories", "not available", "not included"]], "plan-limit", "github-plan-limit-403", 403),
+    ([["403"], ["rate limit", "secondary rate"]], "rate-limit", "github-rate-limit-403", 403),
+    ([["403"], ["resource not accessible by integration", "scope", "sso"]], "scope-or-permission", "github-scope-or-sso-403", 403),
+    ([["403"]], "permission", "github-permission-403", 403),
+    ([[" 429", "rate limit"]], "rate-limit", "github-rate-limit", 429),
+    ([["could not resolve host", "connection refused", "operation timed out", "network", "proxyconnect"]], "network", "network-failure", None),
+    ([["parse", "schema", "json"]], "schema-or-parse", "github-schema-or-parse-failure", None),
+    ([[" 5"]], "service", "github-service-failure", None),
+]
+#: What a text that meets no rule is.
+NO_RULE = ("unknown", "required-checks-query-failed", None)
+
 
-    def has(*words: str) -> Column:
-        return reduce(lambda a, b: a | b, (t.contains(w) for w in words))
+def classify_error(text: Column) -> Column:
+    """K2: (category, reason, http_status) of the first rule that a message meets."""
+    low = F.lower(F.coalesce(text, F.lit("")))
 
-    def result(category: str, status: int | None) -> Column:
-        return F.struct(F.lit(category).alias("category"), F.lit(status).cast("int").alias("http_status"))
+    def outcome(category: str, reason: str, status: int | None) -> Column:
+        return F.struct(F.lit(category).alias("category"), F.lit(reason).alias("reason"), F.lit(status).cast("int").alias("http_status"))
 
-    plan = has("plan", "upgrade", "requires github pro", "requires github team", "private repositories require") | (has("branch protection") & has("private repositories", "not available", "not included"))
-    forbidden = F.when(plan, result("plan-limit", 403)).when(has("rate limit", "secondary rate"), result("rate-limit", 403))
-    forbidden = forbidden.when(has("resource not accessible by integration", "scope", "sso"), result("scope-or-permission", 403)).otherwise(result("permission", 403))
-    return (
-        F.when(has(" 401", "http 401", "bad credentials", "requires authentication"), result("authentication", 401))
-        .when(has("403"), forbidden)
-        .when(has(" 429", "http 429", "rate limit"), result("rate-limit", 429))
-        .when(has("could not resolve host", "connection refused", "operation timed out", "network", "proxyconnect"), result("network", None))
-        .when(has("parse", "schema", "json"), result("schema-or-parse", None))
-        .when(has(" 5", "http 5"), result("service", None))
-        .otherwise(result("unknown", None))
-    )
+    found = outcome(*NO_RULE)
+    for groups, *told in reversed(ERROR_RULES):
+        met = F.forall(F.array(*(F.exists(F.array(*map(F.lit, phrases)), low.contains) for phrases in groups)), lambda x: x)
+        found = F.when(met, outcome(*told)).otherwise(found)
+    return found
 
 
 def extract_fields(text: Column, heading: str, keys: list[str]) -> Column:
@@ -247,7 +318,7 @@ def extract_fields(text: Column, heading: str, keys: list[str]) -> Column:
     The section ends at the next heading. It must occur once; each key once and non-empty.
     Errors name the rule and never hold text of the body.
     """
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(x))
     n = F.size(F.filter(lines, lambda x: x == heading))
     tail = F.slice(lines, F.greatest(F.array_position(lines, heading), F.lit(1)).cast("int") + 1, F.size(lines))
     stops = F.transform(tail, lambda x, i: F.when(x.rlike("^#+ "), i))
@@ -265,13 +336,13 @@ def extract_fields(text: Column, heading: str, keys: list[str]) -> Column:
 
 
 def summarize_log(text: Column, kind: Column, patterns: dict[str, str], failed: Column, limit: int = 240) -> Column:
-    """K4: the first line that matches the kind's pattern, else the last line that is not blank, else `pass`; failures keep their tail."""
+    """K4: the first match of the kind's pattern (its first group, if it has one), else the last line that is not blank, else `pass`, redacted and cut to `limit`; failures keep their redacted tail."""
     summary = F.lit("")
     for name, pattern in patterns.items():
-        summary = F.when(kind == name, F.regexp_extract(text, pattern, 0)).otherwise(summary)
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        summary = F.when(kind == name, F.regexp_extract(text, pattern, min(re.compile(pattern).groups, 1))).otherwise(summary)
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     line = F.coalesce(F.nullif(F.trim(summary), F.lit("")), F.try_element_at(lines, F.lit(-1)), F.lit("pass"))
-    return F.when(failed, tail_text(text, 1200)).otherwise(F.substring(line, 1, limit))
+    return F.when(failed, tail_text(text, 1200)).otherwise(bound_text(line, limit))
 
 
 def find_key(json: Column, paths: list[str]) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 
 _PASS, _FAIL, _UNKNOWN = "pass", "fail", "unknown"
+#: Statuses of an area of a review, and of the review.
+AREA_STATUSES, OVERALL_STATUSES = ("verified", "partially_verified", "not_verified"), ("verified", "partial", "not_verified")
 
 
 def _reasons(rules: dict[str, Column]) -> Column:
@@ -39,15 +41,40 @@ def normalize_book_ticker(raw: DataFrame, schema_version: int = 1) -> DataFrame:
     return out.withColumn("reject", F.when(F.col("instrument").isNull(), "instrument").when(numbers, "number").when(F.col("bid") >= F.col("ask"), "crossed"))
 
 
-def flatten_record(df: DataFrame, json_col: str) -> DataFrame:
-    """Nested JSON to flat facts: wrong types are null, a value that is no digest is null, names sorted, the body replaced by digest and length."""
-    kind = "body string, names array<string>, digest string, facts struct<k: bigint>"
-    r = df.withColumn("_r", F.from_json(json_col, kind))
-    digest = F.when(S.is_digest(F.col("_r.digest")), F.col("_r.digest"))
-    return r.select(
-        *df.columns, F.col("_r.facts.k").alias("k"), F.sha2("_r.body", 256).alias("body_sha256"), F.length("_r.body").alias("body_length"),
-        F.array_sort(F.filter("_r.names", lambda x: x.isNotNull())).alias("names"), digest.alias("digest"),
-    )
+#: What `flatten_record` reads unless told: name of the fact -> (path in the record, kind).
+RECORD_SPEC = {"k": ("facts.k", "bigint"), "body": ("body", "body"), "names": ("names", "names"), "digest": ("digest", "digest")}
+
+
+def flatten_record(df: DataFrame, json_col: str, spec: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Nested JSON to flat facts by a spec {fact: (dotted path, kind)}.
+
+    The kind is a SQL type, read as it is, null if the value is of another; `digest`, null
+    unless it is one; `names`, a list of texts, sorted, items of a wrong type dropped; or
+    `body`, replaced by `<fact>_sha256` and `<fact>_length`. A record that is no JSON has
+    null facts. The record is parsed once, as a variant.
+    """
+    spec = RECORD_SPEC if spec is None else spec
+    doc = F.try_parse_json(json_col)
+
+    def read(path: str, kind: str) -> Column:
+        return F.try_variant_get(doc, "$." + path, kind)
+
+    def text(path: str) -> Column:
+        value = read(path, "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", read(path, "string"))
+
+    out: list[Column] = []
+    for fact, (path, kind) in spec.items():
+        if kind == "body":
+            out += [F.sha2(text(path), 256).alias(f"{fact}_sha256"), F.length(text(path)).alias(f"{fact}_length")]
+        elif kind == "digest":
+            out.append(F.when(S.is_digest(text(path)), text(path)).alias(fact))
+        elif kind == "names":
+            items = F.filter(read(path, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+            out.append(F.array_sort(F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))).alias(fact))
+        else:
+            out.append((text(path) if kind == "string" else F.when(F.schema_of_variant(read(path, "variant")) != "STRING", read(path, kind))).alias(fact))
+    return df.select(*df.columns, *out)
 
 
 def parse_refs(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -101,7 +128,7 @@ def split_valid(df: DataFrame, col: str = "violations") -> tuple[DataFrame, Data
 
 def validate_artifact(df: DataFrame) -> DataFrame:
     """V4: nested reviews (areas array<struct<name,status,files,evidence,remaining_risk>>, overall) with all violations `name:rule`."""
-    statuses = ("verified", "partially_verified", "not_verified")
+    statuses, overalls = AREA_STATUSES, OVERALL_STATUSES
 
     def area(a: Column) -> Column:
         bad_risk = a["status"].isin(*statuses[1:]) & (F.trim(F.coalesce(a["remaining_risk"], F.lit(""))) == "")
@@ -114,7 +141,7 @@ def validate_artifact(df: DataFrame) -> DataFrame:
     own = F.flatten(F.transform("areas", area))
     top = _reasons({
         "areas:empty": F.coalesce(F.size("areas"), F.lit(0)) <= 0,
-        "overall:invalid": ~F.coalesce(F.col("overall").isin(*statuses), F.lit(False)),
+        "overall:invalid": ~F.coalesce(F.col("overall").isin(*overalls), F.lit(False)),
         "overall:areas": (F.col("overall") == "verified") & ~F.forall("areas", lambda a: F.coalesce(a["status"] == "verified", F.lit(False))),
     })
     return df.withColumn("violations", F.concat(top, F.coalesce(own, F.array().cast("array<string>"))))

@@ -115,18 +115,28 @@ def n6_flatten_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.flatten_record(record, "record").select("event_id", "k", "body_sha256", "body_length", "names", "digest")
 
 
-@query("""select c_custkey, '<redacted>' as Authorization, c_name as safe, '<redacted>' as nested_api_key, c_mktsegment as similar_tokenized, '<redacted>' as map_token, c_mktsegment as map_safe from customer""")
+@query("""select c_custkey, '<redacted>' as Authorization, c_name as safe, '<redacted>' as nested_api_key, c_mktsegment as token_count, '<redacted>' as map_token, c_mktsegment as map_safe, null::bigint as deep_cookie, c_custkey as deep_kept, '{"user":{"Password":"<redacted>","name":"' || c_name || '"},"tokens":[1]}' as payload from customer""")
 def r1_redact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     nested = c.select(
         "c_custkey", F.col("c_name").alias("Authorization"), F.struct(F.col("c_name").alias("api_key"), F.col("c_name").alias("safe")).alias("nested"),
-        F.col("c_mktsegment").alias("similar_tokenized"), F.create_map(F.lit("Token"), F.col("c_name"), F.lit("safe"), F.col("c_mktsegment")).alias("m"),
+        F.col("c_mktsegment").alias("token_count"), F.create_map(F.lit("Token"), F.col("c_name"), F.lit("safe"), F.col("c_mktsegment")).alias("m"),
+        F.create_map(F.lit("a"), F.create_map(F.lit("COOKIE"), F.col("c_custkey"), F.lit("kept"), F.col("c_custkey"))).alias("deep"),
+        F.concat(F.lit('{"user": {"Password": ["x"], "name": "'), F.col("c_name"), F.lit('"}, "tokens": [1]}')).alias("payload"),
     )
-    out = S.redact_keys(nested)
-    return out.select("c_custkey", "Authorization", F.col("nested.safe").alias("safe"), F.col("nested.api_key").alias("nested_api_key"), "similar_tokenized", F.col("m")["Token"].alias("map_token"), F.col("m")["safe"].alias("map_safe"))
+    out = S.redact_keys(nested, json_cols=("payload",))
+    return out.select("c_custkey", "Authorization", F.col("nested.safe").alias("safe"), F.col("nested.api_key").alias("nested_api_key"), "token_count", F.col("m")["Token"].alias("map_token"), F.col("m")["safe"].alias("map_safe"), F.col("deep")["a"]["COOKIE"].alias("deep_cookie"), F.col("deep")["a"]["kept"].alias("deep_kept"), "payload")
 
 
-_SECRETS_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, 'gh[opsru]_[0-9A-Za-z]{{20,}}', '<redacted>', 'g'), '(?i)\\bbearer\\s+[-0-9A-Za-z._~]{{16,}}', '<redacted>', 'g'), '-----BEGIN ((RSA|EC|OPENSSH) )?PRIVATE KEY-----', '<redacted>', 'g'), '(?i)(password|secret|token|cookie|authorization|api[-_]?key)\\s*[=:]\\s*\\S+', '<redacted>', 'g')"
+def _replaced(sql: str, forms: list[str], by: str) -> str:
+    """SQL that replaces every match of each expression in turn, as the operator does."""
+    for form in forms:
+        sql = "regexp_replace({}, '{}', '{}', 'g')".format(sql, form.replace("'", "''").replace("{", "{{").replace("}", "}}"), by)
+    return sql
+
+
+_SECRETS_SQL = _replaced("{}", S.secret_formats(), S.REDACTED)
+_PATHS_SQL = _replaced("{}", S.path_formats(), "\\1" + S.PATH_REDACTED)
 
 
 @query(f"select doc_id, sha256(x) as text_sha256, len(regexp_extract_all(x, '<redacted>')) as hits from (select doc_id, {_SECRETS_SQL.format('text')} as x from documents)")
@@ -135,9 +145,9 @@ def r2_redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.sha2("x", 256).alias("text_sha256"), F.regexp_count("x", F.lit(S.REDACTED)).alias("hits"))
 
 
-@query()
+@query(f"""select page_id, {_PATHS_SQL.format("url || ' /srv/data/' || page_id || ' C:\\data\\x and ''D:/y'' but a/b'")} as text from pages""")
 def r3_redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.col("url"), F.lit(" /srv/data/"), F.col("page_id"), F.lit(" C:\\data\\x"))
+    text = F.concat(F.col("url"), F.lit(" /srv/data/"), F.col("page_id"), F.lit(" C:\\data\\x and 'D:/y' but a/b"))
     return table(spark, sf_dir, "pages").select("page_id", S.redact_paths(text).alias("text"))
 
 
@@ -147,12 +157,13 @@ def r4_redact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", S.redact_url(secret).alias("url"))
 
 
-@query("select count(*) as n_rows, 0 as leaks from customer")
+@query("select c_custkey from customer where c_custkey % 7 = 3")
 def r5_canary_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("CANARY-7731-"), F.col("c_name")).alias("password"), F.struct(F.lit("CANARY-7731").alias("Token")).alias("nested"))
-    safe = S.redact_keys(c)
-    leaks = F.instr(F.to_json(F.struct(*safe.columns)), "CANARY-7731") > 0
-    return safe.agg(F.count("*").alias("n_rows"), F.count_if(leaks).cast("int").alias("leaks"))
+    """The canary stands under sensitive keys everywhere and, in every seventh row, under a key that is not: those rows leak and no other."""
+    c = table(spark, sf_dir, "customer")
+    planted = F.concat(F.lit("CANARY-7731-"), F.col("c_name"))
+    rows = c.select("c_custkey", planted.alias("password"), F.struct(planted.alias("Token"), F.when(F.col("c_custkey") % 7 == 3, planted).alias("note")).alias("nested"))
+    return S.canary_rows(S.redact_keys(rows), "CANARY-7731").select("c_custkey")
 
 
 @query(f"""select doc_id, length(y) as n, sha256(y) as sha from (select doc_id, case when length(x) <= 512 then x else substr(x, 1, 496) || '…<truncated>' end as y
@@ -182,10 +193,14 @@ def b4_bound_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "b.text", "b.truncated", F.col("b.sha256").alias("digest"))
 
 
-@query("""select c_custkey, sha256('{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","missing":null}') as digest from customer""")
+@query("""select c_custkey, sha256('{"c_mktsegment":"' || c_mktsegment || '","m":{"a":' || c_custkey || ',"b":2},"missing":null,"s":{"x":"' || c_name || '","y":null}}') as digest from customer""")
 def d1_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").withColumn("missing", F.lit(None).cast("string"))
-    return df.select("c_custkey", S.canonical_digest(["c_name", "missing", "c_mktsegment"]).alias("digest"))
+    """The entries of the map stand in either order, and the fields of the struct in the wrong one; the digests are those of sorted keys."""
+    a, b = (F.lit("a"), F.col("c_custkey")), (F.lit("b"), F.lit(2).cast("bigint"))
+    m = F.when(F.col("c_custkey") % 2 == 0, F.create_map(*a, *b)).otherwise(F.create_map(*b, *a))
+    s = F.struct(F.lit(None).cast("string").alias("y"), F.col("c_name").alias("x"))
+    df = table(spark, sf_dir, "customer").withColumns({"missing": F.lit(None).cast("string"), "m": m, "s": s})
+    return df.select("c_custkey", S.canonical_digest(["s", "missing", "m", "c_mktsegment"], df.schema).alias("digest"))
 
 
 @query("select event_id, event_id % 3 < 2 as ok from events")
@@ -208,28 +223,33 @@ def k1_categorize_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.categorize_state(F.lit(""), state).alias("category"))
 
 
-@query("""select event_id, case event_id % 8 when 0 then 'authentication' when 1 then 'plan-limit' when 2 then 'rate-limit' when 3 then 'permission' when 4 then 'rate-limit' when 5 then 'network' when 6 then 'schema-or-parse' else 'unknown' end as category,
-    case event_id % 8 when 0 then 401 when 1 then 403 when 2 then 403 when 3 then 403 when 4 then 429 end::int as http_status from events""")
+_MESSAGES = [
+    ("Bad credentials", "authentication", "github-authentication-failure", 401), ("HTTP 403: upgrade your account", "plan-limit", "github-plan-limit-403", 403), ("http 403 secondary rate", "rate-limit", "github-rate-limit-403", 403),
+    ("HTTP 403", "permission", "github-permission-403", 403), ("API rate limit reached", "rate-limit", "github-rate-limit", 429), ("Could not resolve host", "network", "network-failure", None), ("cannot parse reply", "schema-or-parse", "github-schema-or-parse-failure", None),
+    ("odd", "unknown", "required-checks-query-failed", None), ("got 403, branch protection is not included", "plan-limit", "github-plan-limit-403", 403), ("http 403: needs sso", "scope-or-permission", "github-scope-or-sso-403", 403), ("answer 502", "service", "github-service-failure", None),
+]
+
+
+@query("select event_id, m.category, m.reason, m.http_status::int as http_status from events join (values {}) m(k, category, reason, http_status) on event_id % {} = m.k".format(
+    ", ".join(f"({k}, '{c}', '{r}', {'null' if n is None else n})" for k, (_, c, r, n) in enumerate(_MESSAGES)), len(_MESSAGES)))
 def k2_classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ["Bad credentials", "HTTP 403: upgrade your account", "http 403 secondary rate", "HTTP 403", "API rate limit reached", "Could not resolve host", "cannot parse reply", "odd"]
-    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 8 + 1).cast("int"))
-    e = S.classify_error(F.concat_ws("\n", text, F.col("event_type")))
-    return table(spark, sf_dir, "events").select("event_id", e["category"].alias("category"), e["http_status"].alias("http_status"))
+    text = F.element_at(F.array(*(F.lit(m[0]) for m in _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", S.classify_error(F.concat_ws("\n", text, F.col("event_type"))).alias("e")).select("event_id", "e.*")
 
 
 @query("""select event_id, case event_id % 4 when 0 then 'ok' when 1 then 'section-count' when 2 then 'duplicate' else 'missing' end as status, case when event_id % 4 = 0 then event_type end as caller from events""")
 def k3_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 4
     good = F.concat(F.lit("intro\n### Outcome\nCaller: "), F.col("event_type"), F.lit("\nResult: done\n### Next\nCaller: other"))
-    body = F.when(k == 0, good).when(k == 1, F.concat(good, F.lit("\n### Outcome"))).when(k == 2, F.replace(good, F.lit("Result: done"), F.lit("Result: done\nResult: twice"))).otherwise(F.replace(good, F.lit("Result: done"), F.lit("")))
+    body = F.when(k == 0, F.replace(good, F.lit("\n"), F.lit("\r\n"))).when(k == 1, F.concat(good, F.lit("\n### Outcome"))).when(k == 2, F.replace(good, F.lit("Result: done"), F.lit("Result: done\nResult: twice"))).otherwise(F.replace(good, F.lit("Result: done"), F.lit("")))
     f = S.extract_fields(body, "### Outcome", ["caller", "result"])
     return table(spark, sf_dir, "events").select("event_id", f["status"].alias("status"), f["caller"].alias("caller"))
 
 
-@query("""select event_id, case event_id % 3 when 0 then '3 passed in 1s' when 1 then 'last ' || event_type else 'boom ' || event_type end as summary from events""")
+@query("""select event_id, case event_id % 3 when 0 then '3 passed in 1s' when 1 then 'last <redacted> ' || event_type else 'boom <redacted> ' || event_type end as summary from events""")
 def k4_summarize_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 3
-    text = F.when(k == 0, F.lit("x\n3 passed in 1s\n")).when(k == 1, F.concat(F.lit("a\n last "), F.col("event_type"), F.lit("\n\n"))).otherwise(F.concat(F.lit("boom "), F.col("event_type")))
+    text = F.when(k == 0, F.lit("x\n3 passed in 1s\n")).when(k == 1, F.concat(F.lit("a\r\n last password: x "), F.col("event_type"), F.lit("\n\n"))).otherwise(F.concat(F.lit("boom token=abc "), F.col("event_type")))
     kind = F.when(k == 0, "tests").otherwise("other")
     return table(spark, sf_dir, "events").select("event_id", S.summarize_log(text, kind, {"tests": "[0-9]+ passed[^\\n]*"}, k == 2).alias("summary"))
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_slices
+from tidemark.llm.common import text_blocks, text_slices
 
 #: Fixed value: the pattern that byte-level tokenizers of this family cut texts by, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -132,7 +132,8 @@ class Codec:
             if part in self.special:
                 out.append(np.array([self.special[part]], np.int32).tobytes())
             else:
-                out += [known.get(p) or self._piece(p) for p in self.pieces.findall(part)]
+                for block in text_blocks(part):  # cut where white space follows other characters, which is a boundary of pieces
+                    out += [known.get(p) or self._piece(p) for p in self.pieces.findall(block)]
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import checkpoint, materialize, shared_folder  # noqa: F401
@@ -17,7 +17,7 @@ from tidemark.operators.lineage import checkpoint, materialize, shared_folder  #
 CHUNK_CHARS = 8_000_000
 #: Characters of one text that are taken apart at a time.
 BLOCK_CHARS = 1 << 20
-_GAP = re.compile(r"(?<=\S)\s")
+_GAP = re.compile(r"(?<=\S)[ \t\r\n]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def within(df: DataFrame, size: Column, most: int, order: list[Column]) -> DataFrame:
+    """The first rows of `df`, a bounded number of rows that are read twice, whose sizes add up to at most `most`: what the driver can hold."""
+    upto = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")
+
+
 def text_blocks(text: str | None, size: int | None = None) -> Iterator[str]:
     """A text in pieces of about `size` characters, cut before white space that follows other characters; concatenated they are the text."""
     text, size, at = text or "", size or BLOCK_CHARS, 0

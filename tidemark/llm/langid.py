@@ -10,7 +10,7 @@ language wins, ties going to the first name. Its score is
 
 Null, empty and letterless texts are `und` with score 0, as is every text if no
 language was learned. Rows with a null language teach nothing. Repeated rows count
-each time. Further columns are ignored.
+each time. Long texts are counted block by block. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_text, text_slices
+from tidemark.llm.common import map_text, materialize, text_slices
 
 SIZE = 300
-#: Profiles are sent to every task; this bounds them to MOST_LANGUAGES * SIZE rows of about 16 bytes.
+#: Up to this number of languages the profiles (SIZE rows of about 16 bytes each) go to every task; more are compared by a join.
 MOST_LANGUAGES = 2000
 #: Characters that are counted at once, and distinct n-grams that a task holds before it hands them on.
 COUNT_CHARS, HELD_GRAMS = 1_000_000, 1_000_000
@@ -37,22 +37,54 @@ def _letters() -> np.ndarray:
     return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
-def ngrams(text: str | None) -> np.ndarray:
-    """The packed n-grams of a text, 21 bits a character; empty without letters."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    letter = _letters()[codes]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    codes = np.r_[32, np.where(letter, codes, 32), 32]
-    codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]]
+def gram_blocks(text: str | None) -> Iterator[np.ndarray]:
+    """The packed n-grams of a text, 21 bits a character, for about COUNT_CHARS characters at a time; nothing without letters."""
+    text, last, seen = text or "", np.array([32]), False
+    for at in range(0, len(text), COUNT_CHARS):
+        codes = np.frombuffer(text[at : at + COUNT_CHARS].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        letter = _letters()[codes]
+        seen |= bool(letter.any())
+        codes = np.r_[last, np.where(letter, codes, 32), [32] if at + COUNT_CHARS >= len(text) else []].astype(np.int64)
+        codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]]
+        new = len(last)
+        if seen:
+            yield _grams(codes, new)
+        last = codes[-2:]
+
+
+def _grams(codes: np.ndarray, new: int) -> np.ndarray:
+    """The n-grams that end in `codes[new:]`."""
     two = codes[:-1] << 21 | codes[1:]
-    return np.concatenate([codes[codes != 32], two, two[:-1] << 21 | codes[2:]])
+    one = codes[new:]
+    return np.concatenate([one[one != 32], two[new - 1 :], (two[:-1] << 21 | codes[2:])[max(new - 2, 0) :]])
+
+
+def ngrams(text: str | None) -> np.ndarray:
+    """All n-grams of a text; empty without letters."""
+    return np.concatenate([np.zeros(0, np.int64), *gram_blocks(text)])
+
+
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of n-grams added up."""
+    if len(counts) == 1:
+        return counts[0]
+    grams, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(g for g, _ in counts)]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in counts)]), len(grams)).astype(np.int64)
 
 
-def ranked(grams: np.ndarray, size: int) -> np.ndarray:
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text and how often each stands in it, block by block."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in gram_blocks(text):
+        held.append(np.unique(block, return_counts=True))
+        if len(held) == 8:
+            held = [_merged(held)]
+    return _merged(held)
+
+
+def ranked(counts: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
     """The most frequent n-grams, first the largest count, then the smallest code."""
-    found, n = np.unique(grams, return_counts=True)
-    return found[np.argsort(-n, kind="stable")[:size]]
+    return counts[0][np.argsort(-counts[1], kind="stable")[:size]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,15 +97,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in text_slices(batch, limit=COUNT_CHARS):
-            by_lang: dict[str, list[np.ndarray]] = {}
+            by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            short: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text")):
-                by_lang.setdefault(lang, []).append(ngrams(text.as_py()))
-            for lang, grams in by_lang.items():
-                new, n = np.unique(np.concatenate(grams), return_counts=True)
-                if lang in held:
-                    new, at = np.unique(np.r_[held[lang][0], new], return_inverse=True)
-                    n = np.bincount(at, np.r_[held[lang][1], n]).astype(np.int64)
-                held[lang] = new, n
+                value = text.as_py()
+                if len(value) > COUNT_CHARS:
+                    by_lang.setdefault(lang, []).append(gram_counts(value))
+                else:
+                    short.setdefault(lang, []).append(ngrams(value))
+            for lang, grams in short.items():
+                by_lang.setdefault(lang, []).append(np.unique(np.concatenate(grams), return_counts=True))
+            for lang, counts in by_lang.items():
+                held[lang] = _merged([*counts, *([held[lang]] if lang in held else [])])
             if sum(len(g) for g, _ in held.values()) > HELD_GRAMS:
                 yield from give()
     yield from give()
@@ -90,16 +125,19 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, keep: dict[str, Column] | None = None) -> DataFrame:
     """(id, lang_pred, score), and the `keep` columns (bigint), for each row of `docs`."""
     rows = profiles.limit(MOST_LANGUAGES * size + 1).collect()
+    extra = keep or {}
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.cast("long").alias(k) for k, c in extra.items()))
     if len(rows) > MOST_LANGUAGES * size:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        return _predict_by_join(read, profiles, size, list(extra))
     langs = sorted({r.lang for r in rows})
+    at_of = {lang: k for k, lang in enumerate(langs)}
     grams = np.unique(np.array([r.gram for r in rows], np.int64))
     places = np.full((len(langs), len(grams)), -1, np.int64)
     for r in rows:
-        places[langs.index(r.lang), np.searchsorted(grams, r.gram)] = r.place - 1
+        places[at_of[r.lang], np.searchsorted(grams, r.gram)] = r.place - 1
 
     def one(text: str | None) -> tuple[str, float]:
-        own = ranked(ngrams(text), size)
+        own = ranked(gram_counts(text), size)
         if not len(own) or not langs:
             return "und", 0.0
         at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
@@ -115,6 +153,30 @@ def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_c
         columns |= {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())}
         return pa.RecordBatch.from_pydict(columns)
 
-    extra = keep or {}
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.cast("long").alias(k) for k, c in extra.items()))
     return map_text(read, step, "id long, " + "".join(f"{k} long, " for k in extra) + "lang_pred string, score double")
+
+
+def _predict_by_join(read: DataFrame, profiles: DataFrame, size: int, extra: list[str]) -> DataFrame:
+    """The same for any number of languages: each text's ranked n-grams meet the profiles in a join, and out-of-place distances are sums by (row, language).
+
+    A language that shares no n-gram with a text is as far away as can be, and only the
+    nearest one counts; a text that shares none with any takes the first name at score 0.
+    """
+    keyed = materialize(read.withColumn("row", F.monotonically_increasing_id()))
+
+    def own_ranks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [ranked(gram_counts(t.as_py()), size) for t in batch.column("text")]
+        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(f)) for f in found)])
+        n = np.repeat([len(f) for f in found], [len(f) for f in found]).astype(np.int64)
+        grams = np.concatenate([np.zeros(0, np.int64), *found])
+        return pa.RecordBatch.from_pydict({"row": batch.column("row").take(pa.array(row)), "gram": pa.array(grams), "own": pa.array(place), "n": pa.array(n)})
+
+    ranks = materialize(map_text(keyed.select("row", "text"), own_ranks, "row long, gram long, own long, n long"))
+    met = ranks.join(profiles, "gram").groupBy("row", "lang").agg(F.sum(F.lit(size) - F.abs(F.col("place") - 1 - F.col("own"))).alias("saved"), F.first("n").alias("n"))
+    best = met.groupBy("row").agg(F.min_by(F.struct("lang", "saved"), F.struct((-F.col("saved")).alias("away"), F.col("lang").alias("name"))).alias("b"), F.first("n").alias("n"))
+    first = profiles.agg(F.min("lang")).first()[0]
+    lettered = ranks.select("row").distinct().withColumn("lettered", F.lit(True))
+    out = keyed.drop("text").join(best, "row", "left").join(lettered, "row", "left")
+    lang = F.coalesce(F.col("b.lang"), F.when(F.col("lettered"), F.lit(first)), F.lit("und"))
+    return out.select("id", *extra, lang.alias("lang_pred"), F.coalesce(F.col("b.saved") / (F.col("n") * size), F.lit(0.0)).alias("score"))

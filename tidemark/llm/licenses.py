@@ -17,54 +17,32 @@ task; MOST_FINGERPRINTS bounds it. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from importlib import resources
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize, text_blocks
+
 WORD = re.compile(r"[^\W_]+")
 K, WINDOW, BAND, COVERAGE = 3, 2, 16, 0.8
+#: Up to this number of fingerprints the index goes to every task; more are searched in parts of that size.
 MOST_FINGERPRINTS = 2_000_000
+#: Words of a text that are fingerprinted at a time.
+WORDS_AT_ONCE = 1 << 20
 
-#: Notices and texts of public licenses, one or more for each SPDX name.
-TEMPLATES: dict[str, list[str]] = {
-    "MIT": [
-        "Released under the MIT License",
-        "Licensed under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "BSD-2-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    ],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    ],
-    "ISC": [
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ],
-    "MPL-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0"],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
+#: Texts and notices of public licenses, one or more for each SPDX name, from a file beside this module. Only the driver reads it.
+TEMPLATES: dict[str, list[str]] = json.loads(resources.files("tidemark.llm").joinpath("license_texts.json").read_text(encoding="utf-8"))
 
 
 def _gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -109,8 +87,6 @@ def build_index(templates: dict[str, list[str]], k: int = K, window: int = WINDO
                 found[int(h[place])].append((len(names), place))
             names.append(name)
             words.append(ids)
-    if sum(map(len, found.values())) > MOST_FINGERPRINTS:
-        raise ValueError(f"more than {MOST_FINGERPRINTS} fingerprints")
     return Index(names, words, vocabulary, dict(found), np.sort(np.array(list(found), np.uint64)), k, window)
 
 
@@ -149,27 +125,53 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> l
     return pairs[::-1]
 
 
+def _lowered(text: str) -> Iterator[tuple[int, str]]:
+    """A text in lower case, block by block, with the place of each block; as long as the text, so that places are those of the text."""
+    at = 0
+    for block in text_blocks(text):
+        lower = block.lower()
+        if len(lower) != len(block):  # some letters change length
+            lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in block)
+        yield at, lower
+        at += len(block)
+
+
+def _word_numbers(text: str, known: dict[str, int]) -> np.ndarray:
+    """The number of each word, 0 if no template has it."""
+    parts = [np.fromiter((known.get(w, 0) for w in words), np.int32, len(words)) for _, lower in _lowered(text) for words in (WORD.findall(lower),)]
+    return np.concatenate([np.zeros(0, np.int32), *parts])
+
+
+def _word_places(text: str) -> np.ndarray:
+    """(start, end) of each word."""
+    return np.fromiter((at + x for at, lower in _lowered(text) for m in WORD.finditer(lower) for x in m.span()), np.int64).reshape(-1, 2)
+
+
+def _hits(ids: np.ndarray, index: Index) -> list[tuple[int, int]]:
+    """(place, fingerprint) of the text's fingerprints that the index has, WORDS_AT_ONCE words at a time."""
+    found: list[tuple[int, int]] = []
+    over = index.k + index.window - 2
+    for low in range(0, max(len(ids) - over, 1), WORDS_AT_ONCE):
+        part = ids[low : low + WORDS_AT_ONCE + over]
+        if not part.any() or not len(index.hashes):
+            continue
+        h = _gram_hashes(part, index.k)
+        places = winnow(h, index.window)
+        at = np.minimum(np.searchsorted(index.hashes, h[places]), len(index.hashes) - 1)
+        hit = places[index.hashes[at] == h[places]]
+        found += [(low + p, x) for p, x in zip(hit.tolist(), h[hit].tolist())]
+    return sorted(set(found))
+
+
 def scan(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE) -> list[dict]:
     """The matches in one text: name, coverage, matched words, and the span in code points."""
-    lower = text.lower()
-    if len(lower) != len(text):  # some letters change length: spans must be those of the text
-        lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    known = index.vocabulary
-    ids = np.array([known.get(w, 0) for w in WORD.findall(lower)], np.int64)
-    if not ids.any():
-        return []
-    h = _gram_hashes(ids, index.k)
-    places = winnow(h, index.window)
-    at = np.minimum(np.searchsorted(index.hashes, h[places]), len(index.hashes) - 1)
-    hits = places[index.hashes[at] == h[places]] if len(index.hashes) else places[:0]
-    if not len(hits):
-        return []
+    ids = _word_numbers(text, index.vocabulary)
     diagonals: dict[int, list[int]] = defaultdict(list)
-    for place in hits.tolist():
-        for template, own in index.found[int(h[place])]:
+    for place, fingerprint in _hits(ids, index):
+        for template, own in index.found[fingerprint]:
             diagonals[template].append(place - own)
-    spans = [m.span() for m in WORD.finditer(lower)]
     matches = []
+    places = _word_places(text) if diagonals else np.zeros((0, 2), np.int64)
     for template, found in diagonals.items():
         found.sort()
         words = index.words[template]
@@ -182,29 +184,57 @@ def scan(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE)
             first = k
             share = len(pairs) / len(words)
             if share >= coverage:
-                a, b = spans[pairs[0][1]][0], spans[pairs[-1][1]][1]
+                a, b = int(places[pairs[0][1], 0]), int(places[pairs[-1][1], 1])
                 matches.append({"license": index.names[template], "coverage": share, "matched": len(pairs), "start": a, "length": b - a})
-    matches.sort(key=lambda m: (-m["matched"], -m["coverage"], m["license"], m["start"]))
-    kept: list[dict] = []
-    for m in matches:
-        if all(m["start"] + m["length"] <= o["start"] or o["start"] + o["length"] <= m["start"] for o in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m["start"])
+    return apart(matches)
+
+
+def apart(matches: list[dict]) -> list[dict]:
+    """Of matches that overlap the one with most matched words, then the better coverage, then the first name."""
+    kept: list[dict] = []  # in order of place; none overlap, so a new one only has to fit between its neighbours
+    for m in sorted(matches, key=lambda m: (-m["matched"], -m["coverage"], m["license"], m["start"])):
+        at = bisect_left(kept, m["start"], key=lambda o: o["start"])
+        before = at == 0 or kept[at - 1]["start"] + kept[at - 1]["length"] <= m["start"]
+        if before and (at == len(kept) or m["start"] + m["length"] <= kept[at]["start"]):
+            kept.insert(at, m)
+    return kept
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
     """(id, license, coverage, matched, start, length): one row for each match in `docs`."""
-    index = build_index(TEMPLATES if templates is None else templates, k, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = [], []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                found = scan(text.as_py(), index, band, coverage) if text.is_valid else []
-                ids += [key] * len(found)
-                rows += found
-            kinds = {"license": pa.string(), "coverage": pa.float64(), "matched": pa.int64(), "start": pa.int64(), "length": pa.int64()}
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64())} | {c: pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()})
-
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, "id long, license string, coverage double, matched long, start long, length long")
+    parts = index_parts(TEMPLATES if templates is None else templates, k, window)
+    kinds = {"license": pa.string(), "coverage": pa.float64(), "matched": pa.int64(), "start": pa.int64(), "length": pa.int64()}
+
+    def scanned(read: DataFrame, index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, rows = [], []
+                for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                    found = scan(text.as_py(), index, band, coverage) if text.is_valid else []
+                    ids += [key] * len(found)
+                    rows += found
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64())} | {c: pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()})
+
+        return read.mapInArrow(run, "id long, license string, coverage double, matched long, start long, length long")
+
+    if len(parts) == 1:
+        return scanned(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), parts[0])
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    found = reduce(DataFrame.union, (scanned(keyed.select(F.col("row").alias("id"), "text"), index) for index in parts)).withColumnRenamed("id", "row")
+    best = found.groupBy("row").applyInPandas(lambda g: pd.DataFrame(apart(g.to_dict("records")), columns=g.columns), found.schema)
+    return best.join(keyed.select("row", "id"), "row").select("id", *kinds)
+
+
+def index_parts(templates: dict[str, list[str]], k: int, window: int) -> list[Index]:
+    """Indexes of at most about MOST_FINGERPRINTS fingerprints each; a template has no more fingerprints than words."""
+    parts: list[dict[str, list[str]]] = [{}]
+    size = 0
+    for name in sorted(templates):
+        for text in templates[name]:
+            n = len(WORD.findall(text))
+            if size + n > MOST_FINGERPRINTS and size:
+                parts.append({})
+                size = 0
+            parts[-1].setdefault(name, []).append(text)
+            size += n
+    return [build_index(part, k, window) for part in parts]

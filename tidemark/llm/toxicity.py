@@ -7,8 +7,9 @@ labels are given; the gradient of the noisy-or likelihood spreads them over the
 sentences, and an L1 penalty leaves weights on telling words alone. The sentences
 with p >= 0.5 are given as spans of code points.
 
-The fit takes at most `max_rows` labelled documents, those of the smallest hashed
-ids, on the driver; scores cover every row. Null and empty texts have no sentence
+The fit takes at most `max_rows` labelled documents, those of the smallest hashed ids,
+and of them the first whose distinct (sentence, word) pairs add up to MAX_PAIRS, on the
+driver; scores cover every row. Null and empty texts have no sentence
 and score 0. Without a labelled row of each kind every score is 0. Repeated rows
 score alike. Further columns are ignored.
 """
@@ -24,10 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_text
+from tidemark.llm.common import checkpoint, map_text, text_blocks, within
 
 BITS = 18
-MAX_ROWS = 8000
+#: Bounds of the fit: labelled documents, and their distinct (sentence, word) pairs, 8 bytes each on the driver.
+MAX_ROWS, MAX_PAIRS = 8000, 8_000_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 #: Words whose hashes a task remembers; beyond it starts anew.
@@ -54,9 +56,9 @@ class _Known(dict):
 
 
 def _sentences(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of the words, and of each word the number of its sentence (sentences without words are not numbered)."""
-    tokens = TOKEN.findall((text or "").lower())
-    ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    """The buckets of the words, and of each word the number of its sentence (sentences without words are not numbered). Long texts are read block by block."""
+    parts = [np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)) for block in text_blocks(text) for tokens in (TOKEN.findall(block.lower()),)]
+    ids = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int64), *parts])
     ends = ids < 0
     number = np.cumsum(ends)[~ends]
     return ids[~ends], np.unique(number, return_inverse=True)[1] if len(number) else number
@@ -146,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lists = [pa.array(x, pa.list_(pa.int32())) for x in (words, sentences)]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(n, pa.int64()), *lists], ["id", "label", "n", "words", "sentence"])
 
-    got = map_text(texts, step, "id long, label int, n long, words array<int>, sentence array<int>").toArrow()
+    pairs = checkpoint(map_text(texts, step, "id long, label int, n long, words array<int>, sentence array<int>"))
+    got = within(pairs, F.size("words"), MAX_PAIRS, [F.xxhash64("id"), F.col("id"), F.col("n")]).toArrow()
     got = got.sort_by("id").combine_chunks()  # the fit must not depend on the order of arrival
     words, sentences = (got.column(c).combine_chunks() for c in ("words", "sentence"))
     starts = words.offsets.to_numpy().astype(np.int64)

@@ -8,7 +8,8 @@ posterior of its pattern is a text's weak label; a linear scorer on hashed words
 word shapes learns the posteriors from a bounded sample of texts and scores every
 text, also where the labellers abstain.
 
-Null and empty texts get an abstaining pattern and the score of the bias alone.
+Null and empty texts get an abstaining pattern and the score of the bias alone. Long
+texts are read block by block; what is kept of one are its distinct words with counts.
 Repeated rows count each time. Without any row there is nothing to score. Further
 columns are ignored.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,39 +27,75 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_text
+from tidemark.llm.common import checkpoint, map_text, text_blocks, within
 
 BITS, SAMPLE = 18, 8000
 #: Names of the labellers, in the order of the digits of a pattern (0 poor, 1 good, 2 abstains).
 LABELLERS = ("letters", "symbols", "upper", "tables", "dup_lines", "variety", "sentences", "top_word")
 REMEMBERED = 500_000
-
-
-def votes(text: str | None) -> str:
+#: A text of n words, or sqrt(VARIETY * n) if that is less, different words has full variety.
+VARIETY = 100
+#: Bound of the fit: features of the sampled texts, 8 bytes each on the driver.
+MAX_FEATURES = 8_000_000
+
+
+@dataclass
+class Facts:
+    """What labellers and scorer take from a text, which is read block by block."""
+
+    words: Counter
+    n: int  # words
+    letters: int  # characters in words
+    alphabetic: int
+    capitals: int
+    symbols: int
+    bars: int
+    ends: int
+    lines: int  # lines with a word
+    own_lines: int  # different ones
+
+
+def facts(text: str | None) -> Facts:
+    words, lines, n_lines, left = Counter(), set(), 0, ""
+    alphabetic = symbols = bars = ends = 0
+    for block in text_blocks(text):
+        words.update(block.split())
+        *whole, left = (left + block).split("\n")
+        whole = [x for x in whole if x.strip()]
+        n_lines += len(whole)
+        lines.update(map(xxhash.xxh3_128_digest, whole))
+        alphabetic += sum(map(str.isalpha, block))
+        symbols += sum(map(block.count, "#*$%&|<>"))
+        bars += block.count("|")
+        ends += block.count(".") + block.count("?")
+    if left.strip():
+        n_lines += 1
+        lines.add(xxhash.xxh3_128_digest(left))
+    n = words.total()
+    capitals = sum(k for w, k in words.items() if len(w) > 1 and w.isupper())
+    return Facts(words, n, sum(len(w) * k for w, k in words.items()), alphabetic, capitals, symbols, bars, ends, n_lines, len(lines))
+
+
+def votes(text: str | Facts | None) -> str:
     """The pattern of votes on a text, a digit for each labeller."""
-    text = text or ""
-    words = text.split()
-    n = len(words)
+    f = text if isinstance(text, Facts) else facts(text)
+    n = f.n
     if not n:
         return "2" * len(LABELLERS)
-    letters = sum(map(len, words))
-    lines = [x for x in text.split("\n") if x.strip()]
 
     def judge(x: float, good_below: float, poor_above: float) -> str:
         return "1" if x <= good_below else "0" if x >= poor_above else "2"
 
-    symbols = sum(map(text.count, "#*$%&|<>"))
-    capitals = sum(1 for w in words if len(w) > 1 and w.isupper())
-    ends = text.count(".") + text.count("?")
     return "".join((
-        judge(1 - sum(map(str.isalpha, text)) / letters, 0.15, 0.30),
-        judge(symbols / n, 0.02, 0.10),
-        judge(capitals / n, 0.05, 0.25),
-        judge(text.count("|") / n, 0.01, 0.10),
-        judge(1 - len(set(lines)) / len(lines), 0.10, 0.40) if len(lines) >= 4 else "2",
-        judge(1 - len(set(words)) / n, 0.60, 0.80) if 20 <= n <= 400 else "2",
-        judge(n / (ends + 1), 40, 120) if n >= 40 else "2",
-        judge(max(Counter(words).values()) / n, 0.15, 0.30) if n >= 20 else "2",
+        judge(1 - f.alphabetic / f.letters, 0.15, 0.30),
+        judge(f.symbols / n, 0.02, 0.10),
+        judge(f.capitals / n, 0.05, 0.25),
+        judge(f.bars / n, 0.01, 0.10),
+        judge(1 - f.own_lines / f.lines, 0.10, 0.40) if f.lines >= 4 else "2",
+        # words repeat the more the longer a text is: different words are held against the square root of its length
+        judge(1 - min(len(f.words) / min(n, np.sqrt(VARIETY * n)), 1.0), 0.60, 0.80) if n >= 20 else "2",
+        judge(n / (f.ends + 1), 40, 120) if n >= 40 else "2",
+        judge(max(f.words.values()) / n, 0.15, 0.30) if n >= 20 else "2",
     ))
 
 
@@ -94,8 +132,8 @@ _SHAPES = regex.compile(r"\p{Lu}\p{Lu}+|\p{Lu}|\p{Ll}+|\p{N}+|[^\p{L}\p{N}]")
 
 
 def shape(word: str) -> str:
-    """Runs of a word's character classes: Aa for Word, AA!! for SHOUT!!, a*** for word***."""
-    return "".join("AA" if len(m) > 1 and m.isupper() else "A" if m.isupper() else "a" if m.isalpha() else "0" if m.isnumeric() else m for m in _SHAPES.findall(word[:40]))
+    """Runs of a word's character classes: Aa for Word, AA!! for SHOUT!!, a*** for word***. It is hashed, so its length does not matter."""
+    return "".join("AA" if len(m) > 1 and m.isupper() else "A" if m.isupper() else "a" if m.isalpha() else "0" if m.isnumeric() else m for m in _SHAPES.findall(word))
 
 
 def _buckets(word: str) -> tuple[int, int]:
@@ -111,16 +149,17 @@ class _Known(dict):
         return pair
 
 
-def features(text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | Facts | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of a text: shares of its words and of their shapes, and bounded marks of repetition and size."""
-    words = (text or "").split()
-    if not words:
+    f = text if isinstance(text, Facts) else facts(text)
+    if not f.n:
         return np.zeros(0, np.int64), np.zeros(0)
-    at, n = np.unique(np.array(list(map(known.__getitem__, words)), np.int64).ravel(), return_counts=True)
-    lines = [x for x in (text or "").split("\n") if x.strip()]
-    marks = (f"\tvariety {int(10 * len(set(words)) / len(words))}", f"\tlines {int(10 * len(set(lines)) / max(len(lines), 1))}", f"\tsize {len(words).bit_length()}")
+    pairs = np.array(list(map(known.__getitem__, f.words)), np.int64)
+    at, place = np.unique(pairs.ravel(), return_inverse=True)
+    n = np.bincount(place, np.repeat(np.fromiter(f.words.values(), np.int64, len(f.words)), 2), len(at))
+    marks = (f"\tvariety {int(10 * len(f.words) / f.n)}", f"\tlines {int(10 * f.own_lines / max(f.lines, 1))}", f"\tsize {f.n.bit_length()}")
     own = np.array([xxhash.xxh32_intdigest(m) & ((1 << BITS) - 1) for m in marks], np.int64)
-    return np.r_[at, own], np.r_[n / len(words), np.ones(len(own))]
+    return np.r_[at, own], np.r_[n / f.n, np.ones(len(own))]
 
 
 def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.5, l2: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -164,7 +203,8 @@ def label_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             lists = [pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pattern"), *lists], ["id", "pattern", "at", "x"])
 
-    got = read.join(F.broadcast(chosen), "id").mapInArrow(featurise, "id long, pattern string, at array<int>, x array<float>").toArrow()
+    sampled = checkpoint(read.join(F.broadcast(chosen), "id").mapInArrow(featurise, "id long, pattern string, at array<int>, x array<float>"))
+    got = within(sampled, F.size("at"), MAX_FEATURES, [F.xxhash64("id"), F.col("id"), F.col("pattern")]).toArrow()
     rows, names = [], got.column("pattern").to_pylist()
     at, x = got.column("at").combine_chunks(), got.column("x").combine_chunks()
     for k in np.argsort(got.column("id").to_numpy(), kind="stable").tolist():
@@ -176,9 +216,10 @@ def label_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             out, pat = [], []
             for t in batch.column("text"):
-                a, w = features(t.as_py(), known)
+                f = facts(t.as_py())
+                a, w = features(f, known)
                 out.append(float(1 / (1 + np.exp(-np.clip(bias + (theta[a] * w).sum(), -30, 30)))))
-                pat.append(votes(t.as_py()))
+                pat.append(votes(f))
             columns = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             columns |= {"pattern": pa.array(pat, pa.string()), "posterior": pa.array([posterior[p] for p in pat], pa.float64()), "score": pa.array(out, pa.float64())}
             yield pa.RecordBatch.from_pydict(columns)

@@ -201,6 +201,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int,
     whole = classes.where("n > 1").select("key", "segment", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
     if levels[0] < length:
         met = classes.groupBy("key").agg(F.count("*").alias("distinct"), F.min("n").alias("least")).where("distinct > 1 and least = 1")
+        met = materialize(met)  # the join below is then a stage of its own, which deals a hot key out
         wanted = classes.join(met.select("key", "distinct"), "key")
         cut = _cut(texts, wanted.where(F.col("distinct") <= hot), length)
         sorted_ = cut.select("key", "segment", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length), "key long, segment long, runs array<struct<a:int,b:int>>")

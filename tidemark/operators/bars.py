@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.carry import bucket_of, last_known, with_carry
+
 
 def trades_to_bars(trades: DataFrame, width: str = "1 hour") -> DataFrame:
     """A1: OHLCV per instrument and window; open and close by (ts, seq). One shuffle, all aggregates partial."""
@@ -30,11 +32,14 @@ def dedup_latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def check_monotonic(df: DataFrame, by: str, arrival: str, ts: str = "ts") -> DataFrame:
-    """In arrival order, rows behind the latest time seen so far and rows that repeat the time before."""
-    w = Window.partitionBy(by).orderBy(arrival)
-    seen = F.max(ts).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumns({"out_of_order": F.coalesce(F.col(ts) < seen, F.lit(False)), "duplicate_time": F.coalesce(F.col(ts) == F.lag(ts).over(w), F.lit(False))})
+def check_monotonic(df: DataFrame, by: str, arrival: str, ts: str = "ts", bucket: int | None = None) -> DataFrame:
+    """In arrival order, rows behind the latest time seen so far and rows that repeat the time before. An instrument is cut into buckets of its arrival order."""
+    rows = df.withColumns({"_high": F.col(ts), "_last": F.struct(F.col(ts).alias("v"))})
+    rows = with_carry(rows, [by], bucket_of(df, arrival, bucket), {"_high": (F.max("_high"), F.max), "_last": (F.max_by("_last", arrival), last_known)})
+    w = Window.partitionBy(by, "_b").orderBy(F.desc("_carry"), arrival)
+    seen = F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumns({"out_of_order": F.coalesce(F.col(ts) < seen, F.lit(False)), "duplicate_time": F.coalesce(F.col(ts) == F.lag("_last").over(w)["v"], F.lit(False))})
+    return out.where(~F.col("_carry")).select(*df.columns, "out_of_order", "duplicate_time")
 
 
 def find_gaps(bars: DataFrame, width: str) -> DataFrame:
@@ -54,10 +59,13 @@ def fill_grid(bars: DataFrame, width: str) -> DataFrame:
     return grid.join(bars.select("instrument", "bar_start"), ["instrument", "bar_start"], "left_anti")
 
 
-def check_sequence(df: DataFrame, by: str, order: list[str], seq: str = "seq") -> DataFrame:
-    """Jumps and repeats of a sequence number."""
-    step = F.col(seq) - F.lag(seq).over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumns({"step": step, "is_break": F.coalesce(step > 1, F.lit(False)), "is_duplicate": F.coalesce(step == 0, F.lit(False))})
+def check_sequence(df: DataFrame, by: str, order: list[str], seq: str = "seq", bucket: int | None = None) -> DataFrame:
+    """Jumps and repeats of a sequence number. An instrument is cut into buckets of the first order column."""
+    rows = df.withColumn("_last", F.struct(F.col(seq).alias("v")))
+    rows = with_carry(rows, [by], bucket_of(df, order[0], bucket), {"_last": (F.max_by("_last", F.struct(*order)), last_known)})
+    step = F.col(seq) - F.lag("_last").over(Window.partitionBy(by, "_b").orderBy(F.desc("_carry"), *order))["v"]
+    out = rows.withColumn("step", step).where(~F.col("_carry"))
+    return out.select(*df.columns, "step", F.coalesce(F.col("step") > 1, F.lit(False)).alias("is_break"), F.coalesce(F.col("step") == 0, F.lit(False)).alias("is_duplicate"))
 
 
 def gap_rate(bars: DataFrame, width: str) -> DataFrame:

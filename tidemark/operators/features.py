@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.carry import bucket_of, with_carry
+
 
 def by_bar() -> WindowSpec:
     return Window.partitionBy("instrument").orderBy("bar_start")
@@ -77,11 +79,13 @@ def oi_price_state(df: DataFrame) -> DataFrame:
     return df.withColumn("oi_state", state)
 
 
-def flow_imbalance(trades: DataFrame, bucket: int) -> DataFrame:
-    """Signed imbalance in equal-volume buckets of each instrument's trades in (ts, seq) order."""
-    upto = F.sum("qty").over(Window.partitionBy("instrument").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1))
+def flow_imbalance(trades: DataFrame, bucket: int, seconds: int | None = None) -> DataFrame:
+    """Signed imbalance in equal-volume buckets of each instrument's trades in (ts, seq) order. The running volume is carried from one span of `seconds` to the next."""
+    rows = with_carry(trades.withColumn("_v", F.col("qty")), ["instrument"], bucket_of(trades, "ts", seconds), {"_v": (F.sum("_v"), F.sum)})
+    upto = F.sum("_v").over(Window.partitionBy("instrument", "_b").orderBy(F.desc("_carry"), "ts", "seq").rowsBetween(Window.unboundedPreceding, -1))
     signed = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
-    out = trades.withColumn("bucket", F.floor(F.coalesce(upto, F.lit(0)) / bucket)).groupBy("instrument", "bucket").agg(F.sum(signed).alias("signed"), F.sum("qty").alias("volume"))
+    dealt = rows.withColumn("bucket", F.floor(F.coalesce(upto, F.lit(0)) / bucket)).where(~F.col("_carry"))
+    out = dealt.groupBy("instrument", "bucket").agg(F.sum(signed).alias("signed"), F.sum("qty").alias("volume"))
     return out.withColumn("imbalance", F.try_divide(F.col("signed"), F.col("volume")))
 
 

@@ -7,16 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.carry import bucket_of, last_known, with_carry
+from tidemark.operators.lineage import checkpoint
+
 #: A side of a range join or a grid up to this many rows is broadcast.
 SMALL_ROWS = 200_000
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[str], cols: list[str], tolerance: str | None = None, direction: str = "backward") -> DataFrame:
+def is_small(df: DataFrame) -> bool:
+    """Whether `df` has at most SMALL_ROWS rows, by a count of one row more."""
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[str], cols: list[str], tolerance: str | None = None, direction: str = "backward", bucket: int | None = None) -> DataFrame:
     """Each left row with the latest right row at or before it (`forward`: the earliest at or after), equal times matching.
 
-    Both sides are tagged and united; one window over (by, time, side) carries the last
-    right row along, so there is one shuffle and no range product. `on` are the time
-    columns; of right rows at one time the last by `cols` counts.
+    Both sides are tagged and united, and cut into buckets of time (`bucket` seconds); a
+    window over (by, bucket) carries the last right row along from the one that earlier
+    buckets hand over. So there is no range product, and one key may hold all rows. `on`
+    are the time columns; of right rows at one time the last by `cols` counts.
     """
     lt, rt = on
     back = direction == "backward"
@@ -24,9 +33,12 @@ def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     left_rows = left.select(*keep, F.col(lt).alias("_t"), F.lit(1 if back else 0).alias("_side"), F.lit(None).cast(right.select(F.struct(rt, *cols)).schema[0].dataType).alias("_r"))
     empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) if c not in by else F.col(c) for c in left.columns]
     right_rows = right.where(F.col(rt).isNotNull()).select(*empty, F.col(rt).alias("_t"), F.lit(0 if back else 1).alias("_side"), F.struct(rt, *cols).alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", F.col("_r")) if back else Window.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_r"))
+    both = left_rows.unionByName(right_rows)
+    both = with_carry(both, by, bucket_of(both, "_t", bucket), {"_r": (F.max("_r") if back else F.min("_r"), last_known)}, backwards=not back)
+    order = [F.col("_t"), F.col("_side"), F.col("_r")] if back else [F.desc("_t"), F.desc("_side"), F.desc("_r")]
+    w = Window.partitionBy(*by, "_b").orderBy(F.desc("_carry"), *order)
     last = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    j = left_rows.unionByName(right_rows).withColumn("_m", last).where(F.col("_side") == (1 if back else 0))
+    j = both.withColumn("_m", last).where((F.col("_side") == (1 if back else 0)) & ~F.col("_carry"))
     if tolerance is not None:
         near = F.col(f"_m.{rt}") >= F.col("_t") - F.expr(f"interval {tolerance}") if back else F.col(f"_m.{rt}") <= F.col("_t") + F.expr(f"interval {tolerance}")
         j = j.withColumn("_m", F.when(near, F.col("_m")))
@@ -34,18 +46,17 @@ def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
 
 
 def interval_join(events: DataFrame, ranges: DataFrame, ts: str, start: str, end: str, by: list[str], bucket_seconds: int = 86_400) -> DataFrame:
-    """Events in [start, end). Both sides are cut into time buckets, so it is an equi-join with a residual."""
+    """Events in [start, end). Both sides are cut into time buckets, so it is an equi-join with a residual; few ranges are broadcast."""
     b = lambda c: F.floor(F.unix_timestamp(c) / bucket_seconds)
     last = F.floor((F.unix_micros(end) - 1) / (1_000_000 * bucket_seconds))
     r = ranges.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(b(start), last)))
     e = events.withColumn("_b", b(ts))
-    return e.join(r, [*by, "_b"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_b")
+    return e.join(F.broadcast(r) if is_small(r) else r, [*by, "_b"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_b")
 
 
 def enrich(df: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     """Add a dimension's columns; it is broadcast if a count of at most SMALL_ROWS + 1 rows says that it is small."""
-    small = dim.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return df.join(F.broadcast(dim) if small else dim, on, "left")
+    return df.join(F.broadcast(dim) if is_small(dim) else dim, on, "left")
 
 
 def reconcile(local: DataFrame, remote: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
@@ -85,7 +96,7 @@ def unique_match(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def param_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
     """Every row with every parameter set. The grid is a bounded list: more than SMALL_ROWS sets is an error."""
-    if grid.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+    if not is_small(grid):
         raise ValueError(f"a grid of over {SMALL_ROWS} parameter sets")
     return df.crossJoin(F.broadcast(grid))
 
@@ -98,15 +109,30 @@ def ngrams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *(z[str(k)] for k in range(n)))))
 
 
+def _gram_hashes(text: Column, n: int) -> Column:
+    """The distinct 64-bit hashes of the word n-grams of a lower-cased text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[^\\s]+"), 0)
+    m = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    shifted = [F.slice(words, F.lit(k + 1), m).alias(str(k)) for k in range(n)]
+    return F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*(z[str(k)] for k in range(n)))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """Documents that share word n-grams with a benchmark item, and how many of its n-grams.
 
-    A benchmark of up to SMALL_ROWS n-grams is broadcast, so the n-grams of the documents are not shuffled.
+    N-grams meet as 64-bit hashes, which are all that is taken from each document; a
+    benchmark of up to SMALL_ROWS n-grams is broadcast, so that nothing of the others is
+    shuffled. What met is then checked word by word in the few texts concerned.
     """
-    b = benchmark.select(item_col, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    d = docs.select(id_col, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    small = b.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return d.join(F.broadcast(b) if small else b, "gram").groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
+    grams = benchmark.select(item_col, F.explode(ngrams(F.col("text"), n)).alias("gram"))
+    b = grams.select(item_col, "gram", F.xxhash64(*(F.split("gram", " ")[k] for k in range(n))).alias("hash"))
+    d = docs.select(id_col, F.explode(_gram_hashes(F.col("text"), n)).alias("hash"))
+    met = checkpoint(d.join(F.broadcast(b) if is_small(b) else b, "hash").select(id_col, item_col, "gram"))
+    ids = met.select(id_col).distinct()
+    texts = docs.join(F.broadcast(ids) if is_small(ids) else ids, id_col, "left_semi")
+    padded = texts.select(id_col, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[^\\s]+"), 0), " "), F.lit(" ")).alias("_words"))
+    sure = met.join(padded, id_col).where(F.contains("_words", F.concat(F.lit(" "), "gram", F.lit(" "))))
+    return sure.select(id_col, item_col, "gram").distinct().groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
 
 
 def merged_names(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

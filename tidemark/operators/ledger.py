@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.carry import bucket_of, walk_sorted, with_carry
+
 COSTS = ("fee", "spread", "slippage", "impact", "borrow", "funding", "transfer", "failure")
 SEVERITY = {"NORMAL": 0, "REDUCE_ONLY": 1, "HALT": 2}
 
@@ -30,43 +31,40 @@ def pnl_attribution(rows: DataFrame, by: list[str], parts: tuple[str, ...] = ("a
     return out.withColumn("residual", F.col("net") - reduce(lambda a, b: a + b, (F.col(p) for p in parts)))
 
 
-def positions_from_fills(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Running signed quantity and notional."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return fills.withColumns({"position": F.sum(signed("qty")).over(w), "position_notional": F.sum(signed("notional")).over(w)})
+def positions_from_fills(fills: DataFrame, by: list[str], order: list[str], bucket: int | None = None) -> DataFrame:
+    """Running signed quantity and notional, carried from one bucket of the first order column to the next."""
+    rows = fills.withColumns({"_q": signed("qty"), "_n": signed("notional")})
+    rows = with_carry(rows, by, bucket_of(fills, order[0], bucket), {"_q": (F.sum("_q"), F.sum), "_n": (F.sum("_n"), F.sum)})
+    w = Window.partitionBy(*by, "_b").orderBy(F.desc("_carry"), *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({"position": F.sum("_q").over(w), "position_notional": F.sum("_n").over(w)})
+    return out.where(~F.col("_carry")).select(*fills.columns, "position", "position_notional")
 
 
 def average_cost_pnl(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Realised profit by average cost, fills in order within each account and instrument.
 
-    The running state (quantity, average cost) cannot be told by a window, so a group's
-    fills are walked in one task; the group is one account's fills of one instrument.
+    The running state (quantity, average cost) cannot be told by a window, so the fills
+    are walked in order, as a stream sorted by Spark with one state held at a time.
     """
-    names = [*by, *order]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fills.schema.fields if f.name in names) + ", realised double, open_qty double, avg_cost double"
-    cols = [f.name for f in fills.schema.fields if f.name in names]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        held = cost = 0.0
-        out = []
-        for side, qty, notional in zip(pdf["side"], pdf["qty"], pdf["notional"]):
-            move = qty if side == "BUY" else -qty
-            price = notional / qty if qty else 0.0
-            gain = 0.0
-            if held * move < 0:
-                closed = min(abs(move), abs(held))
-                gain = closed * (price - cost) * (1 if held > 0 else -1)
-            if held * move >= 0 and held + move:
-                cost = (abs(held) * cost + abs(move) * price) / abs(held + move)
-            elif abs(move) > abs(held):
+    names = [c for c in fills.columns if c in {*by, *order}]
+    schema = ", ".join(f"`{c}` {fills.schema[c].dataType.simpleString()}" for c in names) + ", realised double, open_qty double, avg_cost double"
+
+    def step(state: dict, row: dict) -> dict:
+        held, cost, qty = state["held"], state["cost"], float(row["qty"] or 0)
+        move = qty if row["side"] == "BUY" else -qty
+        price = float(row["notional"] or 0) / qty if qty else 0.0
+        gain = 0.0
+        if held * move < 0:
+            gain = min(abs(move), abs(held)) * (price - cost) * (1 if held > 0 else -1)
+            if abs(move) > abs(held):
                 cost = price
-            held += move
-            out.append((gain, held, cost if held else 0.0))
-        pdf[["realised", "open_qty", "avg_cost"]] = pd.DataFrame(out, index=pdf.index, dtype=float)
-        return pdf[[*cols, "realised", "open_qty", "avg_cost"]]
+        elif held + move:
+            cost = (abs(held) * cost + abs(move) * price) / abs(held + move)
+        state["held"], state["cost"] = held + move, cost
+        return {c: row[c] for c in names} | {"realised": gain, "open_qty": held + move, "avg_cost": cost if held + move else 0.0}
 
-    return fills.groupBy(*by).applyInPandas(walk, schema)
+    read = fills.select(*names, *(c for c in ("side", "qty", "notional") if c not in names))
+    return walk_sorted(read, by, order, schema, lambda: {"held": 0.0, "cost": 0.0}, step)
 
 
 def exposure(positions: DataFrame, account: str, instrument: str, notional: str, equity: str | None = None) -> DataFrame:
@@ -141,25 +139,24 @@ FOLLOWS = {
 
 
 def order_state(events: DataFrame, key: str, order: list[str], kind: str) -> DataFrame:
-    """T7, batch form: each order's last legal state and the illegal transitions, duplicates ignored, by an ordered fold."""
-    steps = F.array_sort(F.collect_set(F.struct(*order, kind)))
-
-    def legal(state: Column, nxt: Column) -> Column:
-        ok = state.isNull() & (nxt == "NEW")
-        for s, after in FOLLOWS.items():
-            ok = ok | ((state == s) & nxt.isin(*after))
-        return F.coalesce(ok, F.lit(False))
-
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).alias("illegal"), F.lit(None).cast("string").alias("seen"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = F.coalesce(acc["seen"] == x[kind], F.lit(False)) & (x[kind] != "PARTIAL")
-        good = legal(acc["state"], x[kind])
-        state = F.when(good & ~same, x[kind]).otherwise(acc["state"])
-        return F.struct(state.alias("state"), (acc["illegal"] + F.when(~good & ~same, 1).otherwise(0)).alias("illegal"), x[kind].alias("seen"))
-
-    out = events.groupBy(key).agg(F.aggregate(steps, start, step).alias("s"))
-    return out.select(key, F.coalesce("s.state", F.lit("UNKNOWN")).alias("state"), F.col("s.illegal").alias("illegal"))
+    """T7, batch form: each order's last legal state and the illegal transitions, by an ordered fold; an event told twice, and a kind told twice in a row that is not PARTIAL, count once."""
+
+    def step(state: dict, row: dict) -> None:
+        now, event = row[kind], (*(row[c] for c in order), row[kind])
+        if event != state["event"] and (now != state["seen"] or now == "PARTIAL"):
+            if (state["state"] is None and now == "NEW") or now in FOLLOWS.get(state["state"], ()):
+                state["state"] = now
+            else:
+                state["illegal"] += 1
+            state["seen"] = now
+        state["event"] = event
+
+    def end(state: dict, row: dict) -> dict:
+        return {key: row[key], "state": state["state"] or "UNKNOWN", "illegal": state["illegal"]}
+
+    read = events.select(key, *(c for c in dict.fromkeys([*order, kind]) if c != key))
+    schema = f"`{key}` {events.schema[key].dataType.simpleString()}, state string, illegal int"
+    return walk_sorted(read, [key], [*order, kind], schema, lambda: {"state": None, "illegal": 0, "seen": None, "event": None}, step, end)
 
 
 def kill_switch(events: DataFrame, by: str, order: list[str], severity: str, reset: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators.joins import param_grid
 
 _PASS, _FAIL, _UNKNOWN = "pass", "fail", "unknown"
 #: Statuses of an area of a review, and of the review.
@@ -204,9 +205,17 @@ def dependency_gate(edges: DataFrame, by: list[str], state: str = "state", decla
     return out.withColumn("gate", gate).drop("_declared", "_truncated")
 
 
-def set_digest(df: DataFrame, by: list[str], item: str) -> DataFrame:
-    """A digest of each group's members that does not depend on their order."""
-    return df.groupBy(*by).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.col(item).cast("string")))), 256).alias("digest"), F.count(item).alias("members"))
+def set_digest(df: DataFrame, by: list[str], item: str, digits: int = 3) -> DataFrame:
+    """A digest of each group's members that does not depend on their order; null members are none.
+
+    Members are dealt to blocks by the first `digits` of their own digests; a block's
+    digest is that of its sorted members, the group's that of its blocks in order. So a
+    group of any size is gathered as one line for each of at most 16**digits blocks.
+    """
+    member = df.select(*by, F.sha2(F.col(item).cast("string"), 256).alias("_h"))
+    block = member.groupBy(*by, F.substring("_h", 1, digits).alias("_k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"), F.count("_h").alias("_n"))
+    lines = F.array_sort(F.collect_list(F.when(F.col("_n") > 0, F.concat("_k", F.lit(":"), "_d"))))
+    return block.groupBy(*by).agg(F.sha2(F.array_join(lines, ","), 256).alias("digest"), F.sum("_n").alias("members"))
 
 
 def run_rollup(df: DataFrame, by: list[str], expected: int | Column, name: str = "name", seq: str = "seq", ok: str = "ok") -> DataFrame:
@@ -216,8 +225,8 @@ def run_rollup(df: DataFrame, by: list[str], expected: int | Column, name: str =
 
 
 def require_all(gates: DataFrame, subjects: DataFrame, names: DataFrame, by: str, if_present: bool = False) -> DataFrame:
-    """Every named gate of every subject passes; a missing one fails, or is skipped in the if-present form. `names` is a small fixed list."""
-    wanted = subjects.select(by).distinct().crossJoin(F.broadcast(names.select("name")))
+    """Every named gate of every subject passes; a missing one fails, or is skipped in the if-present form. `names` is a small fixed list, whose size is checked."""
+    wanted = subjects.select(by).distinct().transform(lambda subject: param_grid(subject, names.select("name")))
     ok = F.coalesce(F.col("status") == _PASS, F.lit(if_present))
     return wanted.join(gates.select(by, "name", known_status(F.col("status")).alias("status")), [by, "name"], "left").groupBy(by).agg(F.bool_and(ok).alias("satisfied"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import by_bar
-from tidemark.operators.joins import param_grid
+from tidemark.operators.joins import interval_join, is_small, param_grid
 
 BARS_PER_YEAR = 24 * 365
 
@@ -27,10 +27,9 @@ def walk_forward(df: DataFrame, ts: str, train_days: int = 10, test_days: int =
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, ts: str) -> DataFrame:
-    """Rows with each fold that has them and their role, train or test. Folds are few: they are a bounded grid."""
-    j = param_grid(df, folds)
-    role = F.when((F.col(ts) >= F.col("test_start")) & (F.col(ts) < F.col("test_end")), "test").when((F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("train_end")), "train")
-    return j.withColumn("role", role).where("role is not null")
+    """Rows with each fold that has them and their role, train or test: a range join on days, so a row only meets folds of its time."""
+    ranges = folds.withColumn("_x", F.explode(F.array(*(F.struct(F.lit(role).alias("role"), F.col(f"{role}_start").alias("_s"), F.col(f"{role}_end").alias("_e")) for role in ("test", "train")))))
+    return interval_join(df, ranges.select(*folds.columns, "_x.*"), ts, "_s", "_e", []).drop("_s", "_e")
 
 
 def purge(assigned: DataFrame, label_end: str) -> DataFrame:
@@ -40,7 +39,8 @@ def purge(assigned: DataFrame, label_end: str) -> DataFrame:
 
 def embargo(rows: DataFrame, folds: DataFrame, ts: str, gap: str) -> DataFrame:
     """S3: rows within a gap after the test window of their fold go; `rows` carry `fold`."""
-    j = rows.join(F.broadcast(folds.select("fold", F.col("test_end").alias("_e"))), "fold")
+    ends = folds.select("fold", F.col("test_end").alias("_e"))
+    j = rows.join(F.broadcast(ends) if is_small(ends) else ends, "fold")
     return j.where(~((F.col(ts) >= F.col("_e")) & (F.col(ts) < F.col("_e") + F.expr(f"interval {gap}")))).drop("_e")
 
 

@@ -56,7 +56,13 @@ def w22_average_cost_one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(L.average_cost_pnl(t.select("account", "instrument", "seq", "side", "qty", "notional"), ["account", "instrument"], ["seq"]), "avg_cost", n=8)
 
 
-@query()
+@query(f"""with recursive {TRADES}, t as (select account, instrument, row_number() over (partition by account, instrument order by seq) as k, case when side = 'BUY' then qty else -qty end::double as move, case when qty = 0 then 0.0 else price end::double as price from trades),
+    r(account, instrument, k, held, cost, gain) as (select account, instrument, 0::bigint, 0.0::double, 0.0::double, 0.0::double from t where k = 1
+        union all select t.account, t.instrument, t.k, held + move,
+            case when held * move < 0 then case when abs(move) > abs(held) then price else cost end when held + move <> 0 then (abs(held) * cost + abs(move) * price) / abs(held + move) else cost end,
+            gain + case when held * move < 0 then least(abs(move), abs(held)) * (price - cost) * sign(held) else 0 end
+        from r join t on t.account = r.account and t.instrument = r.instrument and t.k = r.k + 1)
+    select account, instrument, round(arg_max(gain, k), 4) as realised, arg_max(held, k) as open_qty from r group by 1, 2""")
 def w22_average_cost_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir).withColumns({"notional": F.col("qty") * F.col("price"), "qty": F.col("qty").cast("double")})
     out = L.average_cost_pnl(t.select("account", "instrument", "seq", "side", "qty", "notional"), ["account", "instrument"], ["seq"])
@@ -178,7 +184,14 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.order_state(e, "user_id", ["ts", "seq"], "kind")
 
 
-@query()
+_FOLLOWS_SQL = " or ".join(f"(s = '{state}' and kind in ({', '.join(repr(x) for x in after)}))" for state, after in L.FOLLOWS.items())
+
+
+@query(f"""with recursive e as (select user_id, row_number() over (partition by user_id order by ts, event_id) as k, case event_type when 'signup' then 'NEW' when 'view' then 'PARTIAL' when 'purchase' then 'FILLED' when 'error' then 'REJECTED' when 'click' then 'CANCELLED' end as kind from events),
+    r(user_id, k, s, illegal, seen) as (select user_id, 0::bigint, null::varchar, 0, null::varchar from e where k = 1
+        union all select e.user_id, e.k, case when same then s when good then kind else s end, case when same or good then illegal else illegal + 1 end, kind
+        from (select r.*, e.kind, coalesce(r.seen = e.kind, false) and e.kind <> 'PARTIAL' as same, coalesce(s is null and kind = 'NEW', false) or coalesce({_FOLLOWS_SQL}, false) as good from r join e on e.user_id = r.user_id and e.k = r.k + 1) x join e on e.user_id = x.user_id and e.k = x.k + 1)
+    select user_id, coalesce(arg_max(coalesce(s, 'UNKNOWN'), k), 'UNKNOWN') as state, arg_max(illegal, k)::int as illegal from r group by 1""".replace("e.user_id, e.k, case", "e.user_id, e.k, case").replace("then kind else s end", "then x.kind else s end").replace("illegal + 1 end, kind", "illegal + 1 end, x.kind"))
 def t7_order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir)
 

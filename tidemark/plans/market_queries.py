@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 from tidemark.operators import features as X
 from tidemark.operators import joins as J
+from tidemark.operators.lineage import shared_folder
 from tidemark.plans.base import BARS, FILLS, TRADES, query
 from tidemark.sources import ingest as I
 from tidemark.sources.tables import fills, ntz, table, trades
@@ -17,6 +20,15 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.trades_to_bars(trades(spark, sf_dir), "1 hour")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for queries that write what they read back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def table_at(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def _r(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c in cols})
 
@@ -25,10 +37,11 @@ def _r(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
 @query("""select o_orderstatus, count(*) as n_rows, count(distinct o_orderkey) as n_keys, min(o_orderdate) as first_ts, max(o_orderdate) as last_ts from orders group by 1""")
 def c4_land_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed twice is landed once: the second landing only appends what is not there."""
-    o = table(spark, sf_dir, "orders")
-    landed = o.where("o_orderkey % 2 = 0")
-    again = o.join(landed.select("o_orderkey").distinct(), "o_orderkey", "left_anti")
-    return landed.unionByName(again).groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"), F.min("o_orderdate").alias("first_ts"), F.max("o_orderdate").alias("last_ts"))
+    o, path = table(spark, sf_dir, "orders"), fresh_path(spark, "landed")
+    I.land_raw(o.where("o_orderkey % 2 = 0"), path, ["o_orderkey"], ["o_orderstatus"])
+    for _ in range(2):
+        I.land_raw(o, path, ["o_orderkey"], ["o_orderstatus"])
+    return table_at(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"), F.min("o_orderdate").alias("first_ts"), F.max("o_orderdate").alias("last_ts"))
 
 
 @query("""select event_type, count(*) as n_rows, count(distinct event_id) as n_keys, min(ts) as first_ts, max(ts) as last_ts from events group by 1""")
@@ -43,9 +56,12 @@ def c6_verify_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.verify_manifest(m, actual, ["user_id"])
 
 
-@query("""select 'ev-' || substr(sha256('{"c_mktsegment":"' || c_mktsegment || '"}'), 1, 16) as snapshot_id, count(*) as n from customer group by 1""")
+@query("""select 'ev-' || substr(sha256('{"c_mktsegment":"' || c_mktsegment || '"}'), 1, 16) as snapshot_id, 1 as n from customer group by c_mktsegment""")
 def c7_store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").withColumn("snapshot_id", I.snapshot_id(["c_mktsegment"])).groupBy("snapshot_id").agg(F.count("*").alias("n"))
+    path = fresh_path(spark, "snapshots")
+    for _ in range(2):
+        I.store_snapshot(table(spark, sf_dir, "customer").select("c_mktsegment"), path, ["c_mktsegment"])
+    return table_at(spark, path).groupBy("snapshot_id").agg(F.count("*").alias("n"))
 
 
 @query("""select source, count(*) as n from (select case when event_id % 3 = 0 then 'live' when event_id % 3 = 1 then 'recent' else 'backfill' end as source from events) group by 1""")
@@ -162,13 +178,15 @@ def j6_duplicates_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.duplicates_between(e.where("event_id % 3 = 0"), e.where("event_id % 2 = 0"), ["event_id"]).groupBy("event_type").agg(F.count("*").alias("overlap"))
 
 
-@query(f"with {BARS} select instrument, bar_start, true as equal from bars")
+@query(f"with {BARS} select instrument, bar_start, hour(bar_start) % 6 <> 0 as equal from bars where hour(bar_start) % 8 <> 7 union all select instrument, bar_start, false from bars where hour(bar_start) % 8 = 7")
 def j10_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.streaming.stream import stream_features
 
     t = trades(spark, sf_dir)
     online = stream_features(t, "1 hour", "1 hour").select("instrument", F.col("start").alias("bar_start"), F.col("volume").cast("double").alias("x"))
     offline = B.trades_to_bars(t, "1 hour").select("instrument", "bar_start", F.col("volume").cast("double").alias("x"))
+    # planted: online values that are off, and bars that one side lacks
+    online = online.where(F.hour("bar_start") % 8 != 7).withColumn("x", F.col("x") + F.when(F.hour("bar_start") % 6 == 0, 0.5).otherwise(0.0))
     return ntz(J.parity(offline, online, ["instrument", "bar_start"], "x").select("instrument", "bar_start", "equal"), "bar_start")
 
 
@@ -324,9 +342,13 @@ def o2_top_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.top_k_per_group(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.col("event_id")], 3)
 
 
-@query("""select o_orderpriority, count(*) as n, case when count(*) > 1 then 'conflict' else 'match' end as state, case when count(*) = 1 then min(o_orderkey) end as o_orderkey from orders group by 1""")
+@query("""select 'all' as which, 'many' as found from orders having count(*) > 1 union all select 'one', 'one' from orders having count(*) filter (where o_orderkey = (select min(o_orderkey) from orders)) = 1
+    union all select 'none', 'none' from orders having count(*) filter (where o_orderkey < 0) = 0""")
 def o3_detect_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.unique_match(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    first = o.agg(F.min("o_orderkey")).first()[0]
+    found = {"all": F.lit(True), "one": F.col("o_orderkey") == first, "none": F.col("o_orderkey") < 0}
+    return spark.createDataFrame([(which, J.detect_many(o, key)) for which, key in found.items()], "which string, found string")
 
 
 @query("select c_mktsegment as name from customer union select upper(event_type) from events")

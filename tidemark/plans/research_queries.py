@@ -54,18 +54,28 @@ def s3_embargo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.embargo(rows, folds, "bar_start", "4 hours").groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query(f"with {BARS}, {_LABEL} select count(*) as n_rows, 0 as future_features, 0 as early_labels from lab")
+@query(f"with {BARS} select count(*) as n_rows, count(*) filter (where hour(bar_start) % 5 = 0) as future_features, count(*) filter (where hour(bar_start) % 7 = 0) as early_labels from bars")
 def s4_leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = X.label_forward_return(bars(spark, sf_dir)).withColumns({"available": F.col("bar_start") + F.expr("interval 1 hour"), "decision": F.col("bar_start") + F.expr("interval 1 hour"), "label_start": F.col("bar_start") + F.expr("interval 2 hours")})
-    out = R.leakage_report(lab, "available", "decision", "label_start")
-    return out.select("n_rows", F.col("future_features").cast("int").alias("future_features"), F.col("early_labels").cast("int").alias("early_labels"))
+    """Planted: features known an hour after the decision at some hours, and labels that start with the bar at others."""
+    at = lambda n: F.col("bar_start") + F.make_dt_interval(hours=F.lit(n))
+    late, early = F.hour("bar_start") % 5 == 0, F.hour("bar_start") % 7 == 0
+    lab = bars(spark, sf_dir).withColumns({"available": F.when(late, at(2)).otherwise(at(1)), "decision": at(1), "label_start": F.when(early, at(1)).otherwise(at(2))})
+    return R.leakage_report(lab, "available", "decision", "label_start")
 
 
-@query("select 'x' as instrument, timestamp '2024-01-01' as bar_start limit 0")
+@query(f"""with {BARS}, f as (select instrument, bar_start, lead(close, 4) over {_W}) as ahead from bars), p as (select instrument, bar_start, lead(close, 4) over {_W}) as ahead from bars where bar_start < timestamp '2024-01-15')
+    select f.instrument, f.bar_start from f join p using (instrument, bar_start) where f.ahead is distinct from p.ahead""")
 def s5_prefix_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features are stable, and so add no row; a column that looks four bars ahead is not, for the last four bars of each instrument."""
     cut = F.col("bar_start") < F.lit("2024-01-15").cast("timestamp")
-    out = R.prefix_stability(X.build_features, bars(spark, sf_dir), cut, ["instrument", "bar_start"], ["ret_1", "ret_24", "vol", "regime", "volume_z"])
-    return ntz(out.select("instrument", "bar_start"), "bar_start")
+
+    def build(b: DataFrame) -> DataFrame:
+        return X.build_features(b).withColumn("ahead", F.lead("close", 4).over(X.by_bar()))
+
+    key = ["instrument", "bar_start"]
+    out = R.prefix_stability(build, bars(spark, sf_dir), cut, key, ["ret_1", "ret_24", "vol", "regime", "volume_z", "ahead"])
+    stable = R.prefix_stability(X.build_features, bars(spark, sf_dir), cut, key, ["ret_1", "ret_24", "vol", "regime", "volume_z"])
+    return ntz(out.select(*key).unionByName(stable.select(*key)), "bar_start")
 
 
 @query(f"""with {BARS}, {_BT}, m as (select instrument, mult as multiplier, sum(position * ret - turnover * 0.00065 * mult) as net from turn, (values (1.0::double), (1.5::double), (2.0::double)) as g(mult) group by 1, 2)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import text as E
 from tidemark.plans.base import BARS, query
-from tidemark.plans.market_queries import bars
+from tidemark.plans.market_queries import bars, fresh_path
 from tidemark.plans.scalar_queries import _SECRETS_SQL
+from tidemark.sources import ingest as I
 from tidemark.sources.tables import ntz, table
 
 
@@ -87,18 +89,24 @@ def a10_compare_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tokens_pct", F.round("tokens_pct", 4))
 
 
-@query("select role as level, count(*) as n from conversations group by 1")
+@query("select role as level, count(*) as n, sum(length(text))::bigint as chars, min(conv_id::varchar || '/' || turn) as first_key from conversations group by 1")
 def c3_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as JSON lines of the log schema and back, without a file: the sink form is held against this in the tests."""
-    c = table(spark, sf_dir, "conversations")
-    log = c.select(F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.col("role").alias("level"), F.lit("chat").alias("logger"), F.col("text").alias("message"))).alias("line"))
-    back = log.select(F.from_json("line", "timestamp string, level string, logger string, message string").alias("r")).where("r.message is not null")
-    return back.groupBy(F.col("r.level").alias("level")).agg(F.count("*").alias("n"))
+    """Written as JSON lines in two appends and read back with the log's schema."""
+    c, path = table(spark, sf_dir, "conversations"), fresh_path(spark, "log")
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    log = c.select(F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.col("role").alias("level"), F.lit("chat").alias("logger"), F.col("text").alias("message"), F.create_map(F.lit("key"), key).alias("extra"), "conv_id")
+    for part in (0, 1):
+        I.write_log(log.where(F.col("conv_id") % 2 == part), path)
+    return I.read_log(spark, path).groupBy("level").agg(F.count("*").alias("n"), F.sum(F.length("message")).alias("chars"), F.min(F.col("extra")["key"]).alias("first_key"))
 
 
-@query("""select doc_id, (n_chars >= 0)::boolean as ok, 0 as corrupt from documents""")
+@query("""select doc_id, case when doc_id % 9 <> 4 then n_chars end as n_chars, doc_id % 9 = 4 as corrupt from documents""")
 def c2_read_json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strict parse of JSON text with a declared schema: a malformed row would be an error."""
-    d = table(spark, sf_dir, "documents")
-    parsed = d.select("doc_id", F.from_json(F.to_json(F.struct("doc_id", "n_chars")), "doc_id bigint, n_chars bigint", {"mode": "FAILFAST"}).alias("r"))
-    return parsed.select("doc_id", (F.col("r.n_chars") >= 0).alias("ok"), F.lit(0).alias("corrupt"))
+    """JSON lines on disk, every ninth of them cut short: those are kept apart as corrupt, with their text, and no row is lost."""
+    path = fresh_path(spark, "json")
+    line = F.to_json(F.struct("doc_id", "n_chars"))
+    table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 9 == 4, F.replace(line, F.lit("}"), F.lit(""))).otherwise(line).alias("value")).write.text(path)
+    read = I.read_json_strict(spark, path, T.StructType.fromDDL("doc_id bigint, n_chars bigint"), quarantine=True)
+    corrupt = F.col("_corrupt_record").isNotNull()
+    own = F.regexp_extract("_corrupt_record", '"doc_id":(-?[0-9]+)', 1).cast("bigint")
+    return read.select(F.when(corrupt, own).otherwise(F.col("doc_id")).alias("doc_id"), F.when(~corrupt, F.col("n_chars")).alias("n_chars"), corrupt.alias("corrupt"))

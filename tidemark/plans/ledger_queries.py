@@ -177,9 +177,11 @@ def t7_order_state_started(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("user_id", (F.col("state") != "UNKNOWN").alias("started"))
 
 
+_KINDS = {"signup": "NEW", "view": "PARTIAL", "purchase": "FILLED", "error": "REJECTED", "click": "CANCELLED"}
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = {"signup": "NEW", "view": "PARTIAL", "purchase": "FILLED", "error": "REJECTED", "click": "CANCELLED"}
-    kind = F.create_map(*(F.lit(x) for p in kinds.items() for x in p))[F.col("event_type")]
+    kind = F.create_map(*(F.lit(x) for p in _KINDS.items() for x in p))[F.col("event_type")]
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"))
     return L.order_state(e, "user_id", ["ts", "seq"], "kind")
 

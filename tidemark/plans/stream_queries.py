@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.base import BARS, TRADES, query
-from tidemark.plans.market_queries import _r
+from tidemark.plans.base import BARS, ORACLES, TRADES, query
+from tidemark.plans.ledger_queries import _KINDS
+from tidemark.plans.market_queries import _r, fresh_path
 from tidemark.sources import ingest as I
-from tidemark.sources.tables import EVENTS, ntz
+from tidemark.sources.tables import EVENTS, ntz, read_table
 from tidemark.streaming import stream as T
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one; only a session that names none gets a folder of its own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, order: str, batches: int = 4) -> DataFrame:
+    """The trades as a stream of several batches, one file after the other: `order` is the number of a row's batch, in SQL over events."""
+    path = _folder(spark)
+    events = read_table(spark, f"{sf_dir}/events.parquet", EVENTS)
+    for k in range(batches):
+        events.where(f"{order} = {k}").coalesce(1).write.mode("append").parquet(path)  # a file at a time: the source takes them by their times
+    return _as_trades(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +31,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select(
+    return _as_trades(_events(spark, sf_dir))
+
+
+def _as_trades(events: DataFrame) -> DataFrame:
+    return events.select(
         F.upper("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"),
         F.regexp_extract("props", "-?[0-9]+", 0).cast("bigint").alias("qty"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("user_id").alias("account"),
     )
@@ -80,3 +89,43 @@ _CLOSED = f"{TRADES}, m as (select instrument, date_trunc('hour', ts) as start,
 def t10_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _trades(spark, sf_dir).withColumn("qty", F.when(F.col("qty") < 20, 0).otherwise(F.col("qty")))
     return ntz(_run(T.stream_metrics(t, "1 hour")).drop("last_ts"), "start")
+
+
+@query(f"""with {TRADES}, b as (select *, seq % 4 as batch from trades), m as (select instrument, batch, max(ts) as t from b group by 1, 2),
+    h as (select b.instrument, b.seq, b.ts, (select max(t) from m where m.instrument = b.instrument and m.batch < b.batch) as high from b)
+    select seq, coalesce(ts < high - interval 10 minute, false) as late, case when ts < high - interval 10 minute then epoch(date_trunc('second', high))::bigint - epoch(date_trunc('second', ts))::bigint end as lateness from h""")
+def t4_late_rows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches that each go over the whole time, so later ones bring late rows; the sinks together hold every row once."""
+    path = _folder(spark)
+    T.late_rows_stream(_arrivals(spark, sf_dir, "event_id % 4"), path)
+    on_time = spark.read.parquet(f"{path}/on_time").select("seq", F.lit(False).alias("late"), F.lit(None).cast("bigint").alias("lateness"))
+    return on_time.unionByName(spark.read.parquet(f"{path}/late").select("seq", F.lit(True).alias("late"), "lateness"))
+
+
+@query(f"""with {TRADES}, b as (select *, case when instrument = 'VIEW' then 0 else (day(ts) - 1) // 8 end as batch from trades where instrument <> 'VIEW' or day(ts) <= 8), k as (select unnest([0, 1, 2, 3]) as batch),
+    n as (select instrument, k.batch from (select distinct instrument from trades union all select 'GHOST'), k), l as (select n.instrument, n.batch, (select max(ts) from b where b.instrument = n.instrument and b.batch <= n.batch) as last_ts, (select max(ts) from b where b.batch <= n.batch) as clock from n)
+    select instrument, batch, case when last_ts is null then 'unknown' when floor(epoch(clock)) - floor(epoch(last_ts)) <= 86400 then 'pass' else 'fail' end as gate from l""")
+def t5_freshness_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches of eight days; one instrument falls silent after the first and another is never seen."""
+    path = _folder(spark)
+    days = "cast((day(ts) - 1) / 8 as int)"
+    arrived = _arrivals(spark, sf_dir, f"case when event_type <> 'view' then {days} when day(ts) <= 8 then 0 else -1 end")
+    instruments = read_table(spark, f"{sf_dir}/events.parquet", EVENTS).select(F.upper("event_type").alias("instrument")).distinct()
+    T.freshness_stream(arrived, path, instruments.union(spark.createDataFrame([("GHOST",)], "instrument string")), 86_400)
+    return spark.read.parquet(f"{path}/gates").select("instrument", F.col("batch_id").cast("int").alias("batch"), "gate")
+
+
+@query(ORACLES["t7_order_state"])
+def t7_order_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of the batch form, state kept over four batches."""
+    kind = F.create_map(*(F.lit(x) for p in _KINDS.items() for x in p))[F.lower("instrument")]
+    orders = _arrivals(spark, sf_dir, "cast((day(ts) - 1) / 8 as int)").select(F.col("account").alias("user_id"), "ts", "seq", kind.alias("kind"))
+    return T.last_states(T.order_state_stream(orders, "user_id"), _folder(spark)).withColumnRenamed("key", "user_id")
+
+
+@query(f"""with s as ({ORACLES["t8_kill_switch"]}) select user_id, arg_max(switch, (ts, event_id)) as switch from s join events using (event_id) group by 1""")
+def t8_kill_switch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The switch of each account at the end, state kept over four batches."""
+    severity = F.when(F.col("instrument") == "ERROR", 1).when((F.col("instrument") == "PURCHASE") & (F.col("price") > 300), 2).otherwise(0)
+    events = _arrivals(spark, sf_dir, "cast((day(ts) - 1) / 8 as int)").select(F.col("account").alias("user_id"), "ts", "seq", severity.alias("severity"), (F.col("instrument") == "SIGNUP").alias("reset"))
+    return T.last_states(T.kill_switch_stream(events, "user_id"), _folder(spark)).withColumnRenamed("key", "user_id")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.bars import find_gaps
@@ -46,6 +47,66 @@ def late_rows(batch: DataFrame, high_water: DataFrame, delay: str = LATENESS) ->
     return j.where(~late).drop("high_ts"), j.where(late).withColumn("lateness", F.unix_timestamp("high_ts") - F.unix_timestamp("ts"))
 
 
+def late_rows_stream(stream: DataFrame, path: str, delay: str = LATENESS) -> None:
+    """T4 over a stream, until its input is used up: each batch against the high-water marks of all batches before it.
+
+    In time and late rows and the marks are written by batch under `path` (on_time, late,
+    marks); a batch that is run again overwrites its own partitions and reads the marks of
+    the one before it, so replays change nothing.
+    """
+    spark = stream.sparkSession
+
+    def marks_before(batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], "instrument string, high_ts timestamp")
+        return spark.read.schema("instrument string, high_ts timestamp").parquet(f"{path}/marks/batch_id={batch_id - 1}")
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        before = marks_before(batch_id)
+        on_time, late = late_rows(batch, before, delay)
+        on_time.write.mode("overwrite").parquet(f"{path}/on_time/batch_id={batch_id}")
+        late.write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        after = before.unionByName(batch.select("instrument", F.col("ts").alias("high_ts"))).groupBy("instrument").agg(F.max("high_ts").alias("high_ts"))
+        after.write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def freshness_stream(stream: DataFrame, path: str, required: DataFrame, max_age_seconds: int) -> None:
+    """T5 over a stream: after each batch the gate of each required instrument at the newest time that any has reached, written by batch under `path`/gates; the newest times are kept as in `late_rows_stream`."""
+    spark = stream.sparkSession
+    kind = "instrument string, ts timestamp"
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        known = batch.select("instrument", "ts")
+        if batch_id:
+            known = known.unionByName(spark.read.schema(kind).parquet(f"{path}/last/batch_id={batch_id - 1}"))
+        known.groupBy("instrument").agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/last/batch_id={batch_id}")
+        last = spark.read.schema(kind).parquet(f"{path}/last/batch_id={batch_id}")
+        clock = last.agg(F.max("ts")).first()[0]
+        freshness_gate(last, required, clock, max_age_seconds).write.mode("overwrite").parquet(f"{path}/gates/batch_id={batch_id}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def last_states(stream: DataFrame, path: str, key: str = "key") -> DataFrame:
+    """Run a stream of updated states to its end, its batches written under `path`, and give the last state of each key."""
+    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(provider)
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/states/batch={batch_id}")
+
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what stateful processors need
+    try:
+        stream.writeStream.foreachBatch(one).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, was)
+    states = spark.read.option("basePath", f"{path}/states").schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/states")
+    others = [c for c in stream.columns if c != key]
+    return states.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("s")).select(key, "s.*")
+
+
 def freshness_gate(rows: DataFrame, required: DataFrame, clock, max_age_seconds: int) -> DataFrame:
     """T5: pass, fail or unknown (no data) for each required instrument at a given clock."""
     last = rows.groupBy("instrument").agg(F.max("ts").alias("last_ts"))

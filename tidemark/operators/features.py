@@ -53,7 +53,10 @@ def volatility(bars: DataFrame, n: int = 24) -> DataFrame:
 
 
 def volume_surprise(bars: DataFrame) -> DataFrame:
-    """Volume over its mean at the same hour of all earlier days, and the share of those days below it."""
+    """Volume over its mean at the same hour of all earlier days, and the share of those days below it.
+
+    A frame holds one value a day of one instrument and hour, some thousands for ten years of bars.
+    """
     past = Window.partitionBy("instrument", F.hour("bar_start")).orderBy("bar_start").rowsBetween(Window.unboundedPreceding, -1)
     mean = F.avg("volume").over(past)
     seen = F.collect_list("volume").over(past)

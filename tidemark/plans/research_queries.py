@@ -149,7 +149,10 @@ def a22_deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(R.deflated_sharpe(_grid_scores(spark, sf_dir), "threshold", "net"), "sharpe", "deflated")
 
 
-@query()
+@query(f"""with {BARS}, {_GRID}, b as (select threshold, (datediff('day', date '2024-01-01', bar_start::date) // 4) % 8 as block, sum(net) as s, count(net) as n from g3 group by 1, 2), masks as (select m from range(256) t(m) where bit_count(m) = 4),
+    means as (select m, threshold, sum(s) filter ((m >> block) & 1 = 1) / sum(n) filter ((m >> block) & 1 = 1) as inside, sum(s) filter ((m >> block) & 1 = 0) / sum(n) filter ((m >> block) & 1 = 0) as outside from b, masks group by 1, 2),
+    k as (select m, row_number() over (partition by m order by inside desc, threshold) as best, rank() over (partition by m order by outside) as place, count(*) over (partition by m) as configs from means)
+    select count(*) as splits, avg(case when place / (configs + 1) <= 0.5 then 1.0 else 0.0 end) as pbo from k where best = 1""")
 def a23_pbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff("bar_start", F.lit("2024-01-01").cast("date"))
     g = _grid_scores(spark, sf_dir).withColumn("block", F.pmod(F.floor(day / 4), F.lit(8)))

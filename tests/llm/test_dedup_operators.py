@@ -150,8 +150,8 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [16384, 2])
-def test_repeats_against_all_windows(spark, hot):
+@pytest.mark.parametrize("hot, by_count", [(16384, True), (2, True), (16384, False), (2, False)])
+def test_repeats_against_all_windows(spark, hot, by_count):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdeéü") for _ in range(rng.randint(1, 7)))
     passage = " ".join(word() for _ in range(60))
@@ -166,12 +166,19 @@ def test_repeats_against_all_windows(spark, hot):
         texts[k] = body
     texts |= {60: "x" * 1000, 61: "line of text \n" * 60, 62: texts[3], 63: texts[3], 64: "", 65: None, 66: "ab" * 99 + "a", 67: "\x00" * 250, 68: "é" * 150}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumns({"id": F.lit("clash"), "runs": F.lit(1), "n": F.lit(2)})
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, hot=hot).collect()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, hot=hot, by_count=by_count).collect()}
     assert got == plain_removal({k: (t or "").encode() for k, t in texts.items()}, 200)
-    stripped = {r.doc_id: r.text for r in substrings.strip_repeats(docs, hot=hot).collect()}
+    stripped = {r.doc_id: r.text for r in substrings.strip_repeats(docs, hot=hot, by_count=by_count).collect()}
     assert stripped[65] is None and stripped[62] == "" and all("�" not in (t or "") for t in stripped.values())
 
 
+def test_suffix_arrays_alone_find_what_counting_finds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    counted, sorted_ = (sorted(map(tuple, substrings.remove_repeats(docs, by_count=c).select(*columns).collect())) for c in (True, False))
+    assert counted == sorted_ and sum(r[2] for r in counted) > 0
+
+
 def test_repeats_odd_rows(spark, odd, empty):
     assert substrings.remove_repeats(odd).count() == 11
     assert substrings.remove_repeats(empty).count() == 0

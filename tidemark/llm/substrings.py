@@ -164,7 +164,7 @@ def _runs(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "b": int(b)} for a, b in edge.reshape(-1, 2)]
 
 
-def _sort_shards(length: int):
+def _sort_shards(length: int, by_count: bool):
     def shards(table: pa.Table) -> Iterator[pa.Table]:
         """About SHARD bytes of whole keys."""
         key = table.column("key").to_numpy()
@@ -178,7 +178,9 @@ def _sort_shards(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key", least=20_000):
             for shard in shards(group):
-                found = [_runs(f) for f in _repeats_in_shard(shard.column("text").to_pylist(), length)]
+                texts = shard.column("text").to_pylist()
+                again = [] if by_count else [t for t, n in zip(texts, shard.column("n").to_pylist()) if n > 1]
+                found = [_runs(f) for f in _repeats_in_shard(texts + again, length)[: len(texts)]]
                 kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
                 columns = {c: shard.column(c).combine_chunks() for c in ("key", "segment")} | {"runs": pa.array(found, kind)}
                 yield from pa.table(columns).to_batches()
@@ -186,10 +188,13 @@ def _sort_shards(length: int):
     return run
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
     """(id, a, b): ranges [a, b) of starts of windows that start elsewhere too, for texts (id, text, n standing n times).
 
-    The ranges of a text may touch but do not overlap.
+    The ranges of a text may touch but do not overlap. With `by_count` the windows of a
+    segment that stands twice are repeats by its count; without it every segment of a
+    minimizer that stands twice is sorted, those that stand twice as two, and all repeats
+    come from the suffix arrays and their common prefixes (three times the sorting).
     """
     rows = materialize(_segments(texts, levels[0], length))
     keys = rows.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
@@ -198,21 +203,23 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int,
     found = materialize(rows.join(F.broadcast(keys) if small else keys, "key"))
     classes = found.groupBy("key", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "windows")).alias("first"))
     classes = materialize(classes.select("key", "segment", "n", "first.*"))
-    whole = classes.where("n > 1").select("key", "segment", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
+    whole = classes.where("n > 1" if by_count or levels[0] == length else "false").select("key", "segment", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
     if levels[0] < length:
-        met = classes.groupBy("key").agg(F.count("*").alias("distinct"), F.min("n").alias("least")).where("distinct > 1 and least = 1")
+        met = classes.groupBy("key").agg(F.count("*").alias("distinct"), F.min("n").alias("least")).where("distinct > 1 and least = 1" if by_count else "distinct > 1 or least > 1")
         met = materialize(met)  # the join below is then a stage of its own, which deals a hot key out
         wanted = classes.join(met.select("key", "distinct"), "key")
         cut = _cut(texts, wanted.where(F.col("distinct") <= hot), length)
-        sorted_ = cut.select("key", "segment", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length), "key long, segment long, runs array<struct<a:int,b:int>>")
-        single = classes.where("n = 1").select("key", "segment")
-        whole = whole.union(sorted_.where("size(runs) > 0").join(single, ["key", "segment"], "left_semi"))
+        sorted_ = cut.select("key", "segment", "n", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length, by_count), "key long, segment long, runs array<struct<a:int,b:int>>")
+        told = sorted_.where("size(runs) > 0")
+        if by_count:
+            told = told.join(classes.where("n = 1").select("key", "segment"), ["key", "segment"], "left_semi")
+        whole = whole.union(told)
         crowded = wanted.where(F.col("distinct") > hot)
         if met.where(F.col("distinct") > hot).limit(1).count():
             again = materialize(_cut(texts, crowded, length).withColumn("id", F.monotonically_increasing_id()))
-            deeper = repeated_windows(again.select("id", "text", "n"), length, levels[1:], hot)
+            deeper = repeated_windows(again.select("id", "text", "n"), length, levels[1:], hot, by_count)
             runs = deeper.groupBy("id").agg(F.collect_list(F.struct(F.col("a").cast("int"), F.col("b").cast("int"))).alias("runs"))
-            whole = whole.union(runs.join(again.where("n = 1"), "id").select("key", "segment", "runs"))
+            whole = whole.union(runs.join(again.where("n = 1") if by_count else again, "id").select("key", "segment", "runs"))
     out = found.join(whole, ["key", "segment"]).select("id", "lo", F.explode("runs").alias("r"))
     return out.select("id", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
 
@@ -227,15 +234,15 @@ def _merged(runs: list[dict] | None, length: int) -> np.ndarray:
     return np.c_[r[first, 0], reach[np.r_[first[1:] - 1, len(r) - 1]]]
 
 
-def _runs_by_text(texts: DataFrame, length: int, levels: tuple[int, ...], hot: int) -> DataFrame:
-    windows = repeated_windows(texts.withColumn("n", F.lit(1).cast("long")), length, levels, hot)
+def _runs_by_text(texts: DataFrame, length: int, levels: tuple[int, ...], hot: int, by_count: bool) -> DataFrame:
+    windows = repeated_windows(texts.withColumn("n", F.lit(1).cast("long")), length, levels, hot, by_count)
     return windows.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`; spans are maximal removed runs of bytes."""
     keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")))
-    by_text = _runs_by_text(keyed.select(F.col("row").alias("id"), "text"), length, levels, hot).withColumnRenamed("id", "row")
+    by_text = _runs_by_text(keyed.select(F.col("row").alias("id"), "text"), length, levels, hot, by_count).withColumnRenamed("id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,12 +265,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keyed.join(by_text, "row", "left").mapInArrow(run, schema)
 
 
-def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
+def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
     """The rows of `docs`, all columns, with the repeated bytes taken out of the text; a character that a cut would halve stays. Null texts stay null."""
     row, runs = unused(docs, "row"), unused(docs, "runs")
     keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     texts = keyed.select(F.col(row).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    by_text = _runs_by_text(texts, length, levels, hot).select(F.col("id").alias(row), F.col("runs").alias(runs))
+    by_text = _runs_by_text(texts, length, levels, hot, by_count).select(F.col("id").alias(row), F.col("runs").alias(runs))
 
     def strip(text: str | None, found: list[dict] | None) -> str | None:
         if not found or text is None:

@@ -159,19 +159,19 @@ def correlation_matrix(df: DataFrame, col: str) -> DataFrame:
 def deflated_sharpe(trials: DataFrame, by: str, value: str) -> DataFrame:
     """The Sharpe ratio of each trial and the probability that it beats the expected best of that many trials without skill."""
     s = trials.groupBy(by).agg(F.count(value).alias("n"), (F.avg(value) / F.stddev_samp(value)).alias("sharpe"), F.skewness(value).alias("skew"), (F.kurtosis(value) + 3).alias("kurt"))
-    all_ = s.agg(F.count("*").alias("trials"), F.var_samp("sharpe").alias("var"))
+    n_trials, spread = s.agg(F.count("*"), F.var_samp("sharpe")).first()
     normal, euler = NormalDist(), 0.5772156649015329
 
     @F.pandas_udf("double")
     def probability(n: pd.Series, sharpe: pd.Series, skew: pd.Series, kurt: pd.Series, trials: pd.Series, var: pd.Series) -> pd.Series:
         out = []
-        for a, sr, g3, g4, t, v in zip(n, sharpe, skew, kurt, trials, var):
+        for a, sr, g3, g4, t, v in zip(n, sharpe, skew, kurt, trials, var.fillna(0.0)):
             best = math.sqrt(v) * ((1 - euler) * normal.inv_cdf(1 - 1 / t) + euler * normal.inv_cdf(1 - 1 / (t * math.e))) if t > 1 and v > 0 else 0.0
             scale = 1 - g3 * sr + (g4 - 1) / 4 * sr * sr
             out.append(normal.cdf((sr - best) * math.sqrt(a - 1) / math.sqrt(scale)) if a > 1 and scale > 0 else None)
         return pd.Series(out)
 
-    j = s.crossJoin(F.broadcast(all_))  # one row
+    j = s.withColumns({"trials": F.lit(n_trials), "var": F.lit(spread).cast("double")})
     return j.withColumn("deflated", probability("n", "sharpe", "skew", "kurt", "trials", "var")).select(by, "n", "sharpe", "deflated")
 
 

@@ -50,10 +50,8 @@ def texts():
 
 
 @pytest.mark.parametrize("block", [256, 3])
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_classes_against_all_pairs(spark, monkeypatch, block, rounds):
+def test_classes_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(nearsets, "BLOCK", block)
-    monkeypatch.setattr(nearsets, "ROUNDS", rounds)
     rows = texts()
     df = spark.createDataFrame(list(enumerate(rows)), "k bigint, text string")
     got = {r.row: r.class_row for r in nearsets.near_set_classes(df, df.k, df.text).collect()}

@@ -2,10 +2,10 @@
 
 Equal sets are one node. MinHash bands give the candidates: with the defaults a pair at
 0.8 shares one of 24 bands of 4 with probability 0.999997. Every link is checked on the
-whole sets. The pairs of a band group are not emitted: in a first round each group compares
-its members with one of them, what is linked so is one component, and only pairs of
-different components are compared after that, group by group in tiles of two blocks, of
-which each gives a tree of its links. A text of fewer words than a shingle has its whole
+whole sets. The pairs of a band group are not emitted: first each group compares its
+members with one of them, its lead, and a member goes by the lead that it is linked to;
+only members that go by different names are compared after that, group by group in tiles
+of two blocks, of which each gives a tree of its links. A text of fewer words than a shingle has its whole
 word sequence as its one shingle; texts without words, nulls included, are one set.
 Empty tables give empty results; ties have no effect, a class is named by its smallest row.
 """
@@ -29,8 +29,6 @@ SEED = 42
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Members of a band group that a task compares with as many others at a time.
 BLOCK = 256
-#: Rounds in which each group compares its members with one of them.
-ROUNDS = 1
 #: Shingles of a tile that are compared at once.
 COLUMNS = 1 << 15
 
@@ -212,25 +210,24 @@ def near_set_classes(docs: DataFrame, row: Column, text: Column, threshold: floa
     banded = firsts.select(F.col("row").alias("node"), F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
     met = checkpoint(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"))
     groups = materialize(banded.join(met, "key").select("key", "node"))
-    found = checkpoint(groups.select("node").distinct().withColumn("component", F.col("node")))
-    sets = materialize(read.join(found.select(F.col("node").alias("row")), "row", "left_semi").mapInArrow(_sets(words), "node long, hashes binary"))
-
-    for k in range(ROUNDS + 1):
-        state = groups.join(found, "node")
-        open_ = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(k))).alias("lead"))
-        open_ = checkpoint(open_.where("a <> b").select("key", "lead", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-        if k < ROUNDS:
-            met = state.join(open_, "key").where("component <> lead.component")
-            pairs = met.select(F.col("node").alias("x"), F.col("lead.node").alias("y"), F.col("component").alias("src"), F.col("lead.component").alias("dst")).distinct()
-            a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("x", "ha"), ("y", "hb")))
-            links = pairs.join(a, "x").join(b, "y").select("src", "dst", "ha", "hb").mapInArrow(_checked(threshold), "src long, dst long")
-        else:
-            dealt = state.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(k)), F.col("blocks")))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            low, high = F.least("block", "other"), F.greatest("block", "other")
-            tiles = dealt.select(F.xxhash64("key", low, high).alias("tile"), "node", "component", (F.col("block") == low).alias("low"), (F.col("block") == high).alias("high"))
-            links = tiles.join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "src long, dst long")
-        joined = connected_components(links).withColumnRenamed("node", "was").withColumnRenamed("component", "now")
-        found = checkpoint(found.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")))
+    named = groups.select("node").distinct()
+    sets = materialize(read.join(named.withColumnRenamed("node", "row"), "row", "left_semi").mapInArrow(_sets(words), "node long, hashes binary"))
+
+    # each group compares its members with one of them, its lead
+    lead = checkpoint(groups.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("lead")))
+    pairs = groups.join(lead, "key").where("node <> lead").select(F.col("node").alias("src"), F.col("lead").alias("dst")).distinct()
+    a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("src", "ha"), ("dst", "hb")))
+    led = checkpoint(pairs.join(a, "src").join(b, "dst").select("src", "dst", "ha", "hb").mapInArrow(_checked(threshold), "src long, dst long"))
+    # a node goes by the lead that it is linked to; rows of a group that go by one name are joined already
+    label = led.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.xxhash64("dst")).alias("to"))
+    state = groups.join(label, "node", "left").select("key", "node", F.coalesce("to", "node").alias("component"))
+    open_ = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
+    open_ = checkpoint(open_.where("a <> b").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    dealt = state.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tiles = dealt.select(F.xxhash64("key", low, high).alias("tile"), "node", "component", (F.col("block") == low).alias("low"), (F.col("block") == high).alias("high"))
+    met = tiles.join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "src long, dst long")
+    found = connected_components(led.union(met))
     classes = nodes.join(found, "node", "left").select("digest", F.col("node").alias("set_row"), F.coalesce("component", "node").alias("class_row"))
     return sketches.select("row", "digest").join(classes, "digest").select("row", "set_row", "class_row")

@@ -33,7 +33,9 @@ def unused(df: DataFrame, stem: str) -> str:
 
 
 def within(df: DataFrame, size: Column, most: int, order: list[Column]) -> DataFrame:
-    """The first rows of `df`, a bounded number of rows that are read twice, whose sizes add up to at most `most`: what the driver can hold."""
+    """The first rows of `df`, a checkpoint of a bounded number of rows, whose sizes add up to at most `most`: what the driver can hold. All of them, if they do."""
+    if (df.agg(F.sum(size)).first()[0] or 0) <= most:
+        return df
     upto = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")
 

@@ -8,8 +8,8 @@ sentences, and an L1 penalty leaves weights on telling words alone. The sentence
 with p >= 0.5 are given as spans of code points.
 
 The fit takes at most `max_rows` labelled documents, those of the smallest hashed ids,
-and of them the first whose distinct (sentence, word) pairs add up to MAX_PAIRS, on the
-driver; scores cover every row. Null and empty texts have no sentence
+and of them the first whose distinct pairs of a sentence and a telling word add up to
+MAX_PAIRS, on the driver; scores cover every row. Null and empty texts have no sentence
 and score 0. Without a labelled row of each kind every score is 0. Repeated rows
 score alike. Further columns are ignored.
 """
@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_text, text_blocks, within
+from tidemark.llm.common import checkpoint, map_batches, map_text, text_blocks, within
 
 BITS = 18
-#: Bounds of the fit: labelled documents, and their distinct (sentence, word) pairs, 8 bytes each on the driver.
+#: Bounds of the fit: labelled documents, and their distinct pairs of a sentence and a telling word, 8 bytes each on the driver.
 MAX_ROWS, MAX_PAIRS = 8000, 8_000_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
@@ -83,12 +83,21 @@ def _noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(label: np.ndarray, starts: np.ndarray, words: np.ndarray, sentences: np.ndarray, n_sentences: np.ndarray, steps: int = 400, rate: float = 0.5, l1: float = 5e-5, lift: float = 3.0) -> Model:
+#: Only words that toxic documents hold this many times as often as others, and this many documents hold, get a weight.
+LIFT, LEAST_DOCS = 3.0, 3
+
+
+def _telling(toxic_docs, other_docs, n_toxic: float, n_other: float):
+    """Whether a word in so many toxic and other documents gets a weight; of numbers, arrays or columns."""
+    return ((toxic_docs + 0.5) / (n_toxic + 1) > LIFT * (other_docs + 0.5) / (n_other + 1)) & (toxic_docs + other_docs >= LEAST_DOCS)
+
+
+def fit(label: np.ndarray, starts: np.ndarray, words: np.ndarray, sentences: np.ndarray, n_sentences: np.ndarray, steps: int = 400, rate: float = 0.5, l1: float = 5e-5) -> Model:
     """Proximal Adagrad on the noisy-or likelihood.
 
     Document d has the label label[d], n_sentences[d] sentences, and the distinct (sentence,
-    word) pairs starts[d] to starts[d + 1]. Only words that toxic documents hold `lift` times
-    as often get a weight; the other sentences have the bias alone and are only counted.
+    word) pairs starts[d] to starts[d + 1]. Only telling words get a weight; sentences
+    without any have the bias alone and are only counted.
     """
     size = 1 << BITS
     label = label.astype(float)
@@ -98,8 +107,7 @@ def fit(label: np.ndarray, starts: np.ndarray, words: np.ndarray, sentences: np.
     for d in range(len(label)):
         spread[int(label[d]), np.unique(words[starts[d] : starts[d + 1]])] += 1
     toxic = label.sum()
-    often = (spread[1] + 0.5) / (toxic + 1) > lift * (spread[0] + 0.5) / (len(label) - toxic + 1)
-    used = np.flatnonzero(often & (spread.sum(axis=0) >= 3))
+    used = np.flatnonzero(_telling(spread[1], spread[0], toxic, len(label) - toxic))
     at = np.full(size, -1, np.int32)
     at[used] = np.arange(len(used))
     real = np.flatnonzero(at[words] >= 0)
@@ -148,8 +156,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lists = [pa.array(x, pa.list_(pa.int32())) for x in (words, sentences)]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(n, pa.int64()), *lists], ["id", "label", "n", "words", "sentence"])
 
-    pairs = checkpoint(map_text(texts, step, "id long, label int, n long, words array<int>, sentence array<int>"))
-    got = within(pairs, F.size("words"), MAX_PAIRS, [F.xxhash64("id"), F.col("id"), F.col("n")]).toArrow()
+    kind = "id long, label int, n long, words array<int>, sentence array<int>"
+    pairs = checkpoint(map_text(texts, step, kind))
+    n_toxic, n_all = pairs.agg(F.count_if(F.col("label") == 1), F.count("*")).first()
+    each = pairs.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("o"))
+    told = np.zeros(1 << BITS, bool)
+    told[[r.word for r in each.where(_telling(F.col("t"), F.col("o"), n_toxic, n_all - n_toxic)).select("word").collect()]] = True  # at most 2**BITS
+
+    def keep_telling(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists: tuple[list, list] = ([], [])
+        for w, s in zip(batch.column("words"), batch.column("sentence")):
+            w, s = w.values.to_numpy(), s.values.to_numpy()
+            real = told[w]
+            lists[0].append(w[real])
+            lists[1].append(s[real])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("n"), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], batch.schema.names)
+
+    kept = checkpoint(map_batches(pairs, keep_telling, kind))
+    got = within(kept, F.size("words"), MAX_PAIRS, [F.xxhash64("id"), F.col("id"), F.col("n")]).toArrow()
     got = got.sort_by("id").combine_chunks()  # the fit must not depend on the order of arrival
     words, sentences = (got.column(c).combine_chunks() for c in ("words", "sentence"))
     starts = words.offsets.to_numpy().astype(np.int64)

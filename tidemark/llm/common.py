@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.lineage import checkpoint, materialize, shared_folder  # noqa: F401
+from tidemark.operators.lineage import bucketed, checkpoint, materialize, shared_folder  # noqa: F401
 
 #: Characters of text that one step of a Python task holds at a time.
 CHUNK_CHARS = 8_000_000

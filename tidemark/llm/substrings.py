@@ -17,6 +17,9 @@ all documents counted, matches never crossing texts:
    and named by longer minimizers. At the last level the minimizer is the window
    itself, for which counting is all.
 
+The texts are written once, dealt by their row keys, so they are not shuffled again to
+be cut or to lose their repeats.
+
 Null texts are empty. Texts shorter than `length` lose nothing. Copies lose all of
 their bytes. Each input row has a key of its own, so repeated and null ids are rows
 like any other. Further columns are ignored. Empty tables give empty results.
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_slices, unused, whole_groups
+from tidemark.llm.common import bucketed, materialize, text_slices, unused, whole_groups
 from tidemark.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 200
@@ -200,7 +203,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int,
     keys = rows.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     keys = materialize(keys)
     small = keys.count() <= KEYS_BROADCAST
-    found = materialize(rows.join(F.broadcast(keys) if small else keys, "key"))
+    found = rows.join(F.broadcast(keys), "key") if small else materialize(rows.join(keys, "key"))  # read twice; a broadcast join is no work
     classes = found.groupBy("key", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "windows")).alias("first"))
     classes = materialize(classes.select("key", "segment", "n", "first.*"))
     whole = classes.where("n > 1" if by_count or levels[0] == length else "false").select("key", "segment", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
@@ -241,7 +244,7 @@ def _runs_by_text(texts: DataFrame, length: int, levels: tuple[int, ...], hot: i
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`; spans are maximal removed runs of bytes."""
-    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")))
+    keyed = bucketed(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")), "row")
     by_text = _runs_by_text(keyed.select(F.col("row").alias("id"), "text"), length, levels, hot, by_count).withColumnRenamed("id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
     """The rows of `docs`, all columns, with the repeated bytes taken out of the text; a character that a cut would halve stays. Null texts stay null."""
     row, runs = unused(docs, "row"), unused(docs, "runs")
-    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    keyed = bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row)
     texts = keyed.select(F.col(row).alias("id"), F.col(text_col).cast("binary").alias("text"))
     by_text = _runs_by_text(texts, length, levels, hot, by_count).select(F.col("id").alias(row), F.col("runs").alias(runs))
 

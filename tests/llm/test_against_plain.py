@@ -143,8 +143,8 @@ def whole_alignment(template, text):
 
 def test_altered_licenses_are_found():
     rng = random.Random(6)
-    index = licenses.build_index(licenses.TEMPLATES)
-    texts = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if 30 <= len(t.split()) <= 400]
+    index = licenses.build_index(licenses.templates())
+    texts = [(n, t) for n, ts in licenses.templates().items() for t in ts if 30 <= len(t.split()) <= 400]
     found = 0
     for trial in range(120):
         name, text = rng.choice(texts)
@@ -157,10 +157,10 @@ def test_altered_licenses_are_found():
         found += any(m["license"] == name for m in got)
         own = licenses.WORD.findall(body.lower())
         for m in got:
-            best = max(whole_alignment(licenses.WORD.findall(t.lower()), own) for t in licenses.TEMPLATES[m["license"]]) if trial < 6 else np.inf
+            best = max(whole_alignment(licenses.WORD.findall(t.lower()), own) for t in licenses.templates()[m["license"]]) if trial < 6 else np.inf
             assert m["coverage"] >= licenses.COVERAGE and m["matched"] <= best + 0.3 * (len(own) + 400)
             if trial < 6 and m["license"] == name:
-                t = next(x for x in licenses.TEMPLATES[name] if len(licenses.WORD.findall(x.lower())) == round(m["matched"] / m["coverage"]))
+                t = next(x for x in licenses.templates()[name] if len(licenses.WORD.findall(x.lower())) == round(m["matched"] / m["coverage"]))
                 n = len(licenses.WORD.findall(t.lower()))
                 inside = licenses.WORD.findall(body[m["start"] : m["start"] + m["length"]].lower())
                 score = m["matched"] - 0.3 * (n - m["matched"] + len(inside) - m["matched"])

@@ -2,7 +2,7 @@
 
 from tidemark.llm import licenses
 
-INDEX = licenses.build_index(licenses.TEMPLATES)
+INDEX = licenses.build_index(licenses.templates())
 
 
 def found(text):
@@ -10,7 +10,7 @@ def found(text):
 
 
 def test_bsd_texts():
-    two, three = licenses.TEMPLATES["BSD-2-Clause"], licenses.TEMPLATES["BSD-3-Clause"]
+    two, three = licenses.templates()["BSD-2-Clause"], licenses.templates()["BSD-3-Clause"]
     for name, texts in (("BSD-2-Clause", two), ("BSD-3-Clause", three)):
         for text in texts:
             assert found(text) == [(name, 0, len(text) - 1)]
@@ -18,5 +18,5 @@ def test_bsd_texts():
 
 
 def test_mit_whole_text():
-    text = licenses.TEMPLATES["MIT"][-1]
+    text = licenses.templates()["MIT"][-1]
     assert "WITHOUT WARRANTY" in text and found(text) == [("MIT", 0, len(text) - 1)]

@@ -20,7 +20,7 @@ what = sys.argv[1]
 if what == "langid":
     langid.gram_counts(text)
 elif what == "licenses":
-    licenses.scan(text + licenses.TEMPLATES["MIT"][-1], licenses.build_index(licenses.TEMPLATES))
+    licenses.scan(text + licenses.templates()["MIT"][-1], licenses.build_index(licenses.templates()))
 elif what == "simhash":
     simhash.fingerprint(text, 3)
 elif what == "toxicity":
@@ -40,8 +40,8 @@ def test_memory_of_a_long_text(what, most):
 def test_blocks_change_nothing(monkeypatch):
     rng = random.Random(2)
     words = ["alpha", "Beta!", "GAMMA", "d.", "e?\n", "|", "###", "straße", "x\x1cy", "  ", "\n\n", "said so"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) + licenses.TEMPLATES["ISC"][0] * rng.randint(0, 1) for _ in range(60)]
-    index = licenses.build_index(licenses.TEMPLATES)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) + licenses.templates()["ISC"][0] * rng.randint(0, 1) for _ in range(60)]
+    index = licenses.build_index(licenses.templates())
     known = weaklabels._Known()
 
     def all_of(text):
@@ -69,10 +69,10 @@ def test_blocks_change_nothing(monkeypatch):
 
 
 def test_templates_in_parts(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, f"Head. {t} Tail.") for k, t in enumerate([licenses.TEMPLATES["ISC"][0], licenses.TEMPLATES["BSD-3-Clause"][1], "nothing"])] + [(None, "Released under the MIT License")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"Head. {t} Tail.") for k, t in enumerate([licenses.templates()["ISC"][0], licenses.templates()["BSD-3-Clause"][1], "nothing"])] + [(None, "Released under the MIT License")], "doc_id bigint, text string")
     whole = sorted(map(str, licenses.scan_documents(docs).collect()))
     monkeypatch.setattr(licenses, "MOST_FINGERPRINTS", 300)
-    assert len(licenses.index_parts(licenses.TEMPLATES, 3, 2)) > 5
+    assert len(licenses.index_parts(licenses.templates(), 3, 2)) > 5
     assert sorted(map(str, licenses.scan_documents(docs).collect())) == whole and len(whole) == 3
 
 

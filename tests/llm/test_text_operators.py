@@ -70,10 +70,10 @@ def lcs(a, b):
 
 
 def test_license_alignment_against_lcs(spark):
-    isc = licenses.TEMPLATES["ISC"][0]
+    isc = licenses.templates()["ISC"][0]
     changed = isc.replace("any purpose", "each and every purpose").replace("hereby", "")
     text = f"Foo bar. {changed} tail words here. Released under the MIT License."
-    index = licenses.build_index(licenses.TEMPLATES)
+    index = licenses.build_index(licenses.templates())
     found = licenses.scan(text, index)
     assert [m["license"] for m in found] == ["ISC", "MIT"]
     words = licenses.WORD.findall(isc.lower())
@@ -90,7 +90,7 @@ def test_license_scan_finds_every_notice(spark):
 
 def test_license_odd_rows(spark, odd, empty):
     assert licenses.scan_documents(odd).count() == 0 and licenses.scan_documents(empty).count() == 0
-    assert licenses.scan_documents(odd, templates={}).count() == 0
+    assert licenses.scan_documents(odd, texts={}).count() == 0
     twice = spark.createDataFrame([(1, "Released under the MIT License. İ x " * 2), (1, "Released under the MIT License.")], "doc_id bigint, text string")
     rows = licenses.scan_documents(twice).collect()
     assert len(rows) == 3 and all(r.coverage == 1 for r in rows)

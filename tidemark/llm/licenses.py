@@ -23,7 +23,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from importlib import resources
 
 import numpy as np
@@ -41,8 +41,10 @@ MOST_FINGERPRINTS = 2_000_000
 #: Words of a text that are fingerprinted at a time.
 WORDS_AT_ONCE = 1 << 20
 
-#: Texts and notices of public licenses, one or more for each SPDX name, from a file beside this module. Only the driver reads it.
-TEMPLATES: dict[str, list[str]] = json.loads(resources.files("tidemark.llm").joinpath("license_texts.json").read_text(encoding="utf-8"))
+@cache
+def templates() -> dict[str, list[str]]:
+    """Texts and notices of public licenses, one or more for each SPDX name, from a file beside this module. The driver reads it; tasks get the index."""
+    return json.loads(resources.files("tidemark.llm").joinpath("license_texts.json").read_text(encoding="utf-8"))
 
 
 def _gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -200,9 +202,9 @@ def apart(matches: list[dict]) -> list[dict]:
     return kept
 
 
-def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
+def scan_documents(docs: DataFrame, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
     """(id, license, coverage, matched, start, length): one row for each match in `docs`."""
-    parts = index_parts(TEMPLATES if templates is None else templates, k, window)
+    parts = index_parts(templates() if texts is None else texts, k, window)
     kinds = {"license": pa.string(), "coverage": pa.float64(), "matched": pa.int64(), "start": pa.int64(), "length": pa.int64()}
 
     def scanned(read: DataFrame, index: Index) -> DataFrame:

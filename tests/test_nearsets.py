@@ -56,15 +56,3 @@ def test_classes_against_all_pairs(spark, monkeypatch, block):
     df = spark.createDataFrame(list(enumerate(rows)), "k bigint, text string")
     got = {r.row: r.class_row for r in nearsets.near_set_classes(df, df.k, df.text).collect()}
     assert [got[k] for k in range(len(rows))] == plain_classes(rows)
-
-
-def test_pipeline_stage_keeps_one_row_of_each_class(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = texts()
-    data = [(k, t, None, None, None) for k, t in enumerate(rows)] + [(0, rows[0], None, None, None), (None, rows[0], None, None, None), (None, "alone without an id", None, None, None)] * 2
-    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    out = corpus_pipeline.simhash_stage(spark, docs, "")
-    want = sorted(set(plain_classes(rows)))
-    assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == want
-    assert out.where("doc_id is null").count() == 1

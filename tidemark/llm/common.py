@@ -61,6 +61,15 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a schema of plain columns and arrays of them, also where there is no session."""
+    kind = lambda t: pa.list_(_ARROW[t[6:-1]]) if t.startswith("array<") else _ARROW[t]
+    return pa.schema([(name, kind(t)) for name, t in (column.split() for column in ddl.split(", "))])
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `limit` bytes of text; a longer text is a run of its own."""
     if not batch.num_rows:

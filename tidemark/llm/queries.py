@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, langid, licenses, mixing, quality, simhash, substrings, toxicity, weaklabels
+from tidemark.llm import bpe, conversations, embeddings, langid, licenses, mixing, negatives, packing, quality, simhash, sql, substrings, toxicity, weaklabels
 from tidemark.llm.common import table
 
 
@@ -83,6 +83,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -94,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 def _op7_sql() -> str:
@@ -134,4 +155,8 @@ def _op7_sql() -> str:
     """
 
 
-ORACLES: dict[str, str] = {"op7_quality_rules": _op7_sql()}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": _op7_sql(),
+    "op11_conversation_repair": sql.conversation_repair(),
+    "op13_hard_negatives": sql.hard_negatives(),
+}

@@ -235,8 +235,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, Block, np.n
 
 def _rounds(blocks: DataFrame, anchors: DataFrame, round_bytes: int, scan, k: int) -> DataFrame:
     """The best k of each anchor and window over all row blocks. The anchor blocks of a round, of checked size, are broadcast; the row blocks stay where they are."""
-    size = anchors.agg(F.sum(F.length("vectors"))).first()[0] or 0
-    rounds = -(-size // round_bytes) or 1
+    size, n = anchors.agg(F.coalesce(F.sum(F.length("vectors")), F.lit(0)), F.count("*")).first()
+    rounds = max(1, min(-(-size // round_bytes), n))
     named = anchors.select("dim", *(F.col(c).alias(f"a_{c}") for c in ("rows", "ids", "labels", "vectors")), *[c for c in anchors.columns if c == "windows"])
     found = None
     for turn in range(rounds):
@@ -249,18 +249,18 @@ def _rounds(blocks: DataFrame, anchors: DataFrame, round_bytes: int, scan, k: in
 
 def mine(
     vectors: DataFrame, is_anchor: Column, label: Column, id_col: str = "vec_id", vector_col: str = "embedding", positives: int = 5, negatives: int = 3,
-    least: int = 50, most: int = 95, scale: int = 256, block_rows: int = BLOCK_ROWS, round_bytes: int = ROUND_BYTES,
+    least: int = 50, most: int = 95, scale: int = 256, block_rows: int = BLOCK_ROWS, anchor_rows: int = ANCHOR_ROWS, round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """(anchor, anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each anchor (a condition on `id`) and each of its best rows of its label the best rows of other labels with a score of `least` to `most` percent of the positive's."""
     rows = materialize(usable(vectors, label, id_col, vector_col, scale))
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
     blocks = materialize(_packed(rows.repartition(n), block_rows).withColumn("block", F.monotonically_increasing_id()))
     chosen = materialize(rows.where(is_anchor))
-    best = materialize(_rounds(blocks, materialize(_packed(chosen, ANCHOR_ROWS)), round_bytes, _positives(positives), positives))
+    best = materialize(_rounds(blocks, materialize(_packed(chosen, anchor_rows)), round_bytes, _positives(positives), positives))
     floor = lambda x: f"({x} - pmod({x}, 100)) div 100"
     window = F.array(F.col("anchor"), F.col("rank").cast("long"), F.expr(f"-({floor(f'(-{least} * score)')})"), F.expr(floor(f"({most} * score)")))
     windows = best.groupBy(F.col("anchor").alias("row")).agg(F.flatten(F.collect_list(window)).alias("windows"))  # `positives` for each anchor at most
-    hits = _rounds(blocks, materialize(_packed(chosen.join(windows, "row"), ANCHOR_ROWS)), round_bytes, _negatives(negatives), negatives)
+    hits = _rounds(blocks, materialize(_packed(chosen.join(windows, "row"), anchor_rows)), round_bytes, _negatives(negatives), negatives)
     pairs = best.select("anchor", F.col("rank").alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     names = chosen.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
     out = hits.select("anchor", "window", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(pairs, ["anchor", "window"]).join(names, "anchor")

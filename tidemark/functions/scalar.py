@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
-from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -13,29 +11,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import jsonscan
+
 REDACTED = "<redacted>"
 PATH_REDACTED = "<absolute-path-redacted>"
 #: Key names whose values are secrets, in any case.
 SENSITIVE_KEYS = ("password", "secret", "token", "api_key", "apikey", "authorization", "cookie")
-#: Letters of a provider's token kinds (gh?_), algorithms in private-key headers, and the shortest provider and bearer tokens.
-TOKEN_KINDS, KEY_ALGORITHMS, TOKEN_LENGTH, BEARER_LENGTH = ("p", "o", "u", "s", "r"), ("RSA", "EC", "OPENSSH"), 20, 16
-
-
-def _any(words: Iterable[str]) -> str:
-    return "(" + "|".join(words) + ")"
+#: How tokens of known providers begin, and how many further letters, digits, `_` or `-` they have at least.
+PROVIDER_TOKENS = {
+    "ghp_": 20, "gho_": 20, "ghu_": 20, "ghs_": 20, "ghr_": 20, "github_pat_": 22, "glpat-": 20, "xoxb-": 20, "xoxp-": 20, "npm_": 30, "hf_": 30, "AKIA": 16, "ASIA": 16,
+}
+#: What a value may look like: quoted (the closing quote may be cut off), or a word.
+_QUOTED = "\"[^\"\\\\]*(\\\\.[^\"\\\\]*)*\"?|'[^']*'?"
+_BLANK = "[ \\t\\r\\n]*"
 
 
 def secret_formats() -> list[str]:
-    """Expressions for secrets in free text, in the order that they are replaced: provider tokens, bearer tokens, private-key headers, `key: value`.
+    """Expressions for secrets in free text, in the order that they are replaced.
 
-    They use no look-around, so any regular-expression engine runs them.
+    They use what Java, RE2 and Python read alike: no look-around and no classes that differ.
     """
-    named = dict.fromkeys(key.replace("_", "").replace("apikey", "api[_-]?key") for key in SENSITIVE_KEYS)
+    key_name = "[A-Z ]*PRIVATE KEY-----"
+    is_ = f"[\"']?{_BLANK}[:=]{_BLANK}"
+    word = "[^ \\t\\r\\n]+"
     return [
-        f"gh{_any(TOKEN_KINDS)}_[a-zA-Z0-9]{{{TOKEN_LENGTH},}}",
-        f"(?i)\\bbearer\\s+[\\w.~-]{{{BEARER_LENGTH},}}",
-        f"-----BEGIN {_any(a + ' ' for a in KEY_ALGORITHMS)}?PRIVATE KEY-----",
-        f"(?i){_any(named)}\\s*[:=]\\s*\\S+",
+        # a private key with all that stands up to its end; one that is cut off with the lines of base64 that follow its header
+        f"-----BEGIN {key_name}[^-]*(-[^-]+)*-----END {key_name}",
+        f"-----BEGIN {key_name}([ \\t\\r\\n]*[A-Za-z0-9+/=]{{24,}})*",
+        *(f"\\b{start}[A-Za-z0-9_-]{{{least},}}" for start, least in PROVIDER_TOKENS.items()),
+        # credentials of a header, with the scheme that may stand before them
+        f"(?i)\\b(proxy-)?authorization{is_}[\"']?([a-z]+[ \\t]+)?{word}",
+        "(?i)\\bbearer[ \\t\\r\\n]+[A-Za-z0-9_.~+/=-]{16,}",
+        f"(?i)\\b(set-)?cookie{is_}({_QUOTED}|[^\\r\\n]+)",
+        # a named value: quoted whole, else one word
+        f"(?i)[\"']?(password|secret|token|api[_-]?key){is_}({_QUOTED}|{word})",
     ]
 
 
@@ -163,27 +172,20 @@ def redact_keys(df: DataFrame, keys: tuple[str, ...] = SENSITIVE_KEYS, json_cols
     return df.select(*(field(F.col(f"`{f.name}`"), f).alias(f.name) for f in df.schema.fields))
 
 
-def _hide(value, keys: frozenset[str]):
-    if isinstance(value, dict):
-        return {k: REDACTED if k.lower() in keys else _hide(v, keys) for k, v in value.items()}
-    return [_hide(v, keys) for v in value] if isinstance(value, list) else value
-
-
 def redact_json(col: Column, keys: tuple[str, ...] = SENSITIVE_KEYS) -> Column:
-    """R1 for JSON text of any shape, which no schema names; what is no JSON is redacted as free text. Python works on it in Arrow batches."""
-    names = frozenset(keys)
+    """R1 for JSON text of any shape, which no schema names: one pass over its tokens, so numbers and white space stay as they are written. Other strings in it, text that breaks off and text that is no JSON are redacted as free text. Python works on it in Arrow batches."""
+    names, forms = frozenset(keys), secret_formats()
 
     @F.pandas_udf("string")
     def hide(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            try:
-                return None if text is None else json.dumps(_hide(json.loads(text), names), ensure_ascii=False, separators=(",", ":"))
-            except (ValueError, RecursionError):
-                return None
+        rules = [re.compile(f, re.ASCII) for f in forms]
 
-        return texts.map(one)
+        def plain(text: str) -> str:
+            return reduce(lambda t, rule: rule.sub(REDACTED, t), rules, text)
 
-    return F.coalesce(hide(col), redact_text(col))
+        return texts.map(lambda t: None if t is None else jsonscan.redact(t, names, REDACTED, plain))
+
+    return hide(col)
 
 
 def redact_text(col: Column) -> Column:
@@ -345,7 +347,11 @@ def summarize_log(text: Column, kind: Column, patterns: dict[str, str], failed:
     return F.when(failed, tail_text(text, 1200)).otherwise(bound_text(line, limit))
 
 
-def find_key(json: Column, paths: list[str]) -> Column:
-    """K6: the first non-null value among declared JSON paths."""
-    doc = F.try_parse_json(json)
-    return F.coalesce(*(F.try_variant_get(doc, p, "string") for p in paths))
+def find_key(json: Column, key: str) -> Column:
+    """K6: the first value under a key, at any depth and in any case, in document order; an object counts by its `name`. Broken JSON is read as far as it goes. Python reads the tokens in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else jsonscan.find(t, key))
+
+    return found(json)

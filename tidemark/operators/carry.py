@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from tidemark.operators.lineage import materialize
 
 #: Width of a bucket: seconds of a time, units of a number.
 SECONDS, UNITS = 86_400, 1_000_000
@@ -42,30 +42,50 @@ def last_known(col: Column) -> Column:
     return F.last(col, ignorenulls=True)
 
 
-def walk_sorted(df: DataFrame, by: list[str], order: list[str], schema: str, start: Callable[[], dict], step: Callable[[dict, dict], dict | None], end: Callable[[dict, dict], dict | None] = lambda state, row: None) -> DataFrame:
-    """Fold each group's rows in order where no window can tell the state.
+def ranked(df: DataFrame, by: list[str], order: list[str], bucket: int | None = None, name: str = "_rank") -> DataFrame:
+    """The number of each row, from 0, in the order of its group: counts are carried from bucket to bucket of the first order column."""
+    rows = with_carry(df.withColumn("_n", F.lit(1).cast("long")), by, bucket_of(df, order[0], bucket), {"_n": (F.count("*"), F.sum)})
+    upto = Window.partitionBy(*by, "_b").orderBy(F.desc("_carry"), *order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum("_n").over(upto) - 1).where(~F.col("_carry")).drop("_n", "_b", "_carry")
+
+
+#: Rows that one composition of maps takes at a time.
+RADIX = 64
+Compose = Callable[[Column, Column], Column]
 
-    Rows are dealt by group and sorted by Spark; a task reads them as a stream and keeps
-    one state, so memory does not grow with a group. `step(state, row)` changes the state
-    and gives a row or None; `end(state, last row)` may give one more for the group.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, last = None, None, None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                key = tuple(row[c] for c in by)
-                if state is None or key != now:
-                    if state is not None and (told := end(state, last)) is not None:
-                        out.append(told)
-                    now, state = key, start()
-                if (told := step(state, row)) is not None:
-                    out.append(told)
-                last = row
-            yield pa.RecordBatch.from_pylist(out, arrow)
-        if state is not None and (told := end(state, last)) is not None:
-            yield pa.RecordBatch.from_pylist([told], arrow)
-
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+def _folded(rows: DataFrame, by: list[str], compose: Compose, identity: Column, radix: int) -> DataFrame:
+    """(by, _rank, _map) of blocks of `radix` rows, each with the composition of its maps."""
+    maps = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_map"))), lambda x: x["_map"])
+    return rows.groupBy(*by, F.floor(F.col("_rank") / radix).alias("_block")).agg(F.aggregate(maps, identity, compose).alias("_map")).withColumnRenamed("_block", "_rank")
+
+
+def compose_all(rows: DataFrame, by: list[str], compose: Compose, identity: Column, radix: int = RADIX) -> DataFrame:
+    """(by, _map): the maps of each group composed in the order of `_rank`, earlier maps first.
+
+    Composition is associative, so `radix` maps become one, level by level: a group may have
+    any number of rows, and no task sees more than `radix` of one.
+    """
+    most = rows.agg(F.max("_rank")).first()[0] or 0
+    out = rows.select(*by, "_rank", "_map")
+    while True:
+        out = _folded(out, by, compose, identity, radix)
+        if most < radix:
+            return out.drop("_rank")
+        most //= radix
+
+
+def compose_before(rows: DataFrame, by: list[str], compose: Compose, identity: Column, radix: int = RADIX, most: int | None = None) -> DataFrame:
+    """`rows`, a written table, with `_before`: the composition of the maps of all rows before it in its group, by `_rank`. Blocks of `radix` rows start from what the blocks before them make, which is told in the same way."""
+    if most is None:
+        most = rows.agg(F.max("_rank")).first()[0] or 0
+    block = F.floor(F.col("_rank") / radix)
+    marked = rows.withColumns({"_block": block, "_start": F.lit(False)})
+    if most >= radix:
+        blocks = materialize(_folded(rows.select(*by, "_rank", "_map"), by, compose, identity, radix))
+        started = compose_before(blocks, by, compose, identity, radix, most // radix)
+        starts = started.select(*by, F.col("_rank").alias("_block"), F.lit(-1).cast("long").alias("_rank"), F.col("_before").alias("_map"), F.lit(True).alias("_start"))
+        marked = marked.unionByName(starts, allowMissingColumns=True)
+    before = Window.partitionBy(*by, "_block").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    out = marked.withColumn("_before", F.aggregate(F.collect_list("_map").over(before), identity, compose))
+    return out.where(~F.col("_start")).drop("_block", "_start")

@@ -15,8 +15,17 @@ SMALL_ROWS = 200_000
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether `df` has at most SMALL_ROWS rows, by a count of one row more."""
-    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    """Whether `df` has at most SMALL_ROWS rows. A count is summed in the tasks, where a limit would send rows of every partition to one."""
+    return df.count() <= SMALL_ROWS
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Join on keys where null equals null; the key stands once, as with a join by names. Other columns must differ in name."""
+    right = b.withColumnsRenamed({k: f"_key_{k}" for k in key})
+    j = a.join(right, reduce(lambda x, y: x & y, (a[k].eqNullSafe(right[f"_key_{k}"]) for k in key)), how)
+    if how in ("left_anti", "left_semi"):
+        return j
+    return j.withColumns({k: F.coalesce(k, f"_key_{k}") for k in key}).drop(*(f"_key_{k}" for k in key))
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[str], cols: list[str], tolerance: str | None = None, direction: str = "backward", bucket: int | None = None) -> DataFrame:
@@ -25,10 +34,20 @@ def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     Both sides are tagged and united, and cut into buckets of time (`bucket` seconds); a
     window over (by, bucket) carries the last right row along from the one that earlier
     buckets hand over. So there is no range product, and one key may hold all rows. `on`
-    are the time columns; of right rows at one time the last by `cols` counts.
+    are the time columns; of right rows at one time the last by `cols` counts. A left row
+    without a time, or with a null in `by`, matches nothing.
     """
     lt, rt = on
     back = direction == "backward"
+    whole = left.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in [lt, *by])))
+    partial = left.where(reduce(lambda x, y: x | y, (F.col(c).isNull() for c in [lt, *by])))
+    matched = _asof(whole, right, on, by, cols, tolerance, back, bucket)
+    nothing = {c: F.lit(None).cast(matched.schema[c].dataType) for c in matched.columns if c not in left.columns}
+    return matched.unionByName(partial.withColumns(nothing))
+
+
+def _asof(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[str], cols: list[str], tolerance: str | None, back: bool, bucket: int | None) -> DataFrame:
+    lt, rt = on
     keep = [F.col(c).alias(c) for c in left.columns]
     left_rows = left.select(*keep, F.col(lt).alias("_t"), F.lit(1 if back else 0).alias("_side"), F.lit(None).cast(right.select(F.struct(rt, *cols)).schema[0].dataType).alias("_r"))
     empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) if c not in by else F.col(c) for c in left.columns]
@@ -63,7 +82,7 @@ def reconcile(local: DataFrame, remote: DataFrame, key: list[str], cols: list[st
     """Full diff of two books: matched, missing_local, missing_remote or mismatch, with a delta for each column."""
     a = local.select(*key, *(F.col(c).alias(f"local_{c}") for c in cols), F.lit(1).alias("_a"))
     b = remote.select(*key, *(F.col(c).alias(f"remote_{c}") for c in cols), F.lit(1).alias("_b"))
-    j = a.join(b, key, "full_outer")
+    j = null_safe_join(a, b, key, "full_outer")
     same = reduce(lambda x, y: x & y, (F.col(f"local_{c}").eqNullSafe(F.col(f"remote_{c}")) for c in cols))
     state = F.when(F.col("_a").isNull(), "missing_local").when(F.col("_b").isNull(), "missing_remote").when(same, "matched").otherwise("mismatch")
     return j.select(*key, state.alias("state"), *((F.col(f"local_{c}") - F.col(f"remote_{c}")).alias(f"delta_{c}") for c in cols))
@@ -76,7 +95,7 @@ def duplicates_between(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 def parity(offline: DataFrame, online: DataFrame, key: list[str], col: str, tol: float = 1e-9) -> DataFrame:
     """Whether online values equal offline ones within a tolerance; a value on one side only does not."""
-    j = offline.select(*key, F.col(col).alias("offline")).join(online.select(*key, F.col(col).alias("online")), key, "full_outer")
+    j = null_safe_join(offline.select(*key, F.col(col).alias("offline")), online.select(*key, F.col(col).alias("online")), key, "full_outer")
     both_null = F.col("offline").isNull() & F.col("online").isNull()
     return j.withColumn("equal", both_null | F.coalesce(F.abs(F.col("offline") - F.col("online")) <= tol, F.lit(False)))
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.carry import bucket_of, walk_sorted, with_carry
+from tidemark.operators.carry import RADIX, bucket_of, compose_all, compose_before, last_known, with_carry
+from tidemark.operators.lineage import materialize
 
 COSTS = ("fee", "spread", "slippage", "impact", "borrow", "funding", "transfer", "failure")
 SEVERITY = {"NORMAL": 0, "REDUCE_ONLY": 1, "HALT": 2}
@@ -40,31 +41,32 @@ def positions_from_fills(fills: DataFrame, by: list[str], order: list[str], buck
     return out.where(~F.col("_carry")).select(*fills.columns, "position", "position_notional")
 
 
-def average_cost_pnl(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def average_cost_pnl(fills: DataFrame, by: list[str], order: list[str], bucket: int | None = None, radix: int = RADIX) -> DataFrame:
     """Realised profit by average cost, fills in order within each account and instrument.
 
-    The running state (quantity, average cost) cannot be told by a window, so the fills
-    are walked in order, as a stream sorted by Spark with one state held at a time.
+    The position before a fill is a carried sum. Given it, a fill turns the average cost c
+    into a * c + b: a fill that adds mixes its price in, one that reduces leaves c alone, one
+    that crosses zero (or starts from it) has a = 0 and forgets c. Such maps compose, so the
+    cost before each fill comes from compositions of blocks and no task walks a whole group.
     """
     names = [c for c in fills.columns if c in {*by, *order}]
-    schema = ", ".join(f"`{c}` {fills.schema[c].dataType.simpleString()}" for c in names) + ", realised double, open_qty double, avg_cost double"
-
-    def step(state: dict, row: dict) -> dict:
-        held, cost, qty = state["held"], state["cost"], float(row["qty"] or 0)
-        move = qty if row["side"] == "BUY" else -qty
-        price = float(row["notional"] or 0) / qty if qty else 0.0
-        gain = 0.0
-        if held * move < 0:
-            gain = min(abs(move), abs(held)) * (price - cost) * (1 if held > 0 else -1)
-            if abs(move) > abs(held):
-                cost = price
-        elif held + move:
-            cost = (abs(held) * cost + abs(move) * price) / abs(held + move)
-        state["held"], state["cost"] = held + move, cost
-        return {c: row[c] for c in names} | {"realised": gain, "open_qty": held + move, "avg_cost": cost if held + move else 0.0}
-
-    read = fills.select(*names, *(c for c in ("side", "qty", "notional") if c not in names))
-    return walk_sorted(read, by, order, schema, lambda: {"held": 0.0, "cost": 0.0}, step)
+    qty = F.coalesce(F.col("qty").cast("double"), F.lit(0.0))
+    price = F.when(qty != 0, F.coalesce(F.col("notional").cast("double"), F.lit(0.0)) / qty).otherwise(0.0)
+    moves = fills.select(*names, F.when(F.col("side") == "BUY", qty).otherwise(-qty).alias("_q"), price.alias("_p"), F.lit(1).cast("long").alias("_n"))
+    rows = with_carry(moves, by, bucket_of(fills, order[0], bucket), {"_q": (F.sum("_q"), F.sum), "_n": (F.count("*"), F.sum)})
+    w = Window.partitionBy(*by, "_b").orderBy(F.desc("_carry"), *order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_held": F.coalesce(F.sum("_q").over(before), F.lit(0.0)), "open_qty": F.sum("_q").over(upto), "_rank": F.sum("_n").over(upto) - 1}).where(~F.col("_carry"))
+    held, move, after, p = F.col("_held"), F.col("_q"), F.col("open_qty"), F.col("_p")
+    against, crosses = held * move < 0, F.abs("_q") > F.abs("_held")
+    a = F.when(against, F.when(crosses, 0.0).otherwise(1.0)).when(after != 0, F.abs(held) / F.abs(after)).otherwise(1.0)
+    b = F.when(against, F.when(crosses, p).otherwise(0.0)).when(after != 0, F.abs(move) * p / F.abs(after)).otherwise(0.0)
+    mapped = materialize(rows.select(*names, "_q", "_p", "_held", "open_qty", "_rank", F.struct(a.alias("a"), b.alias("b")).alias("_map")))
+    then = lambda first, second: F.struct((second["a"] * first["a"]).alias("a"), (second["a"] * first["b"] + second["b"]).alias("b"))
+    told = compose_before(mapped, by, then, F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), radix)
+    cost = F.col("_before.b")
+    realised = F.when(against, F.least(F.abs(move), F.abs(held)) * (p - cost) * F.signum(held)).otherwise(0.0)
+    return told.select(*names, realised.alias("realised"), "open_qty", F.when(after != 0, F.col("_map.a") * cost + F.col("_map.b")).otherwise(0.0).alias("avg_cost"))
 
 
 def exposure(positions: DataFrame, account: str, instrument: str, notional: str, equity: str | None = None) -> DataFrame:
@@ -130,33 +132,49 @@ def scale_ladder(weekly: DataFrame, by: str, week: str, sharpe: str, drawdown: s
 
 
 # --- state machines in batch form ------------------------------------------------
-#: What may follow a state of an order.
+#: What may follow a state of an order; None is an order that nothing is known of.
 FOLLOWS = {
+    None: ("NEW",),
     "NEW": ("PARTIAL", "FILLED", "CANCELLED", "REJECTED", "EXPIRED", "UNKNOWN"),
     "PARTIAL": ("PARTIAL", "FILLED", "CANCELLED", "EXPIRED", "UNKNOWN"),
+    "FILLED": (),
+    "CANCELLED": (),
+    "REJECTED": (),
+    "EXPIRED": (),
     "UNKNOWN": ("NEW", "PARTIAL", "FILLED", "CANCELLED", "REJECTED", "EXPIRED"),
 }
+ORDER_STATES = list(FOLLOWS)
 
 
-def order_state(events: DataFrame, key: str, order: list[str], kind: str) -> DataFrame:
-    """T7, batch form: each order's last legal state and the illegal transitions, by an ordered fold; an event told twice, and a kind told twice in a row that is not PARTIAL, count once."""
+def follow(state: str | None, kind: str) -> tuple[str | None, int]:
+    """The state of an order after an event, and 1 if the event is illegal in it."""
+    return (kind, 0) if kind in FOLLOWS[state] else (state, 1)
 
-    def step(state: dict, row: dict) -> None:
-        now, event = row[kind], (*(row[c] for c in order), row[kind])
-        if event != state["event"] and (now != state["seen"] or now == "PARTIAL"):
-            if (state["state"] is None and now == "NEW") or now in FOLLOWS.get(state["state"], ()):
-                state["state"] = now
-            else:
-                state["illegal"] += 1
-            state["seen"] = now
-        state["event"] = event
 
-    def end(state: dict, row: dict) -> dict:
-        return {key: row[key], "state": state["state"] or "UNKNOWN", "illegal": state["illegal"]}
+def _as_map(pairs: list[tuple[Column, Column]]) -> Column:
+    return F.array(*(F.struct(to.cast("int").alias("to"), n.cast("long").alias("illegal")) for to, n in pairs))
 
-    read = events.select(key, *(c for c in dict.fromkeys([*order, kind]) if c != key))
-    schema = f"`{key}` {events.schema[key].dataType.simpleString()}, state string, illegal int"
-    return walk_sorted(read, [key], [*order, kind], schema, lambda: {"state": None, "illegal": 0, "seen": None, "event": None}, step, end)
+
+def order_state(events: DataFrame, key: str, order: list[str], kind: str, bucket: int | None = None, radix: int = RADIX) -> DataFrame:
+    """T7, batch form: each order's last legal state and the illegal transitions; an event told twice, and a kind told twice in a row that is not PARTIAL, count once.
+
+    An event is a function from the eight states to a state and a count of illegal
+    transitions. Functions compose, so a history of any length is a mergeable aggregate.
+    """
+    rows = events.select(F.col(key), *(F.col(c) for c in dict.fromkeys(order) if c != key), F.coalesce(kind, F.lit("")).alias("_kind")).dropDuplicates()
+    rows = rows.withColumns({"_last": F.col("_kind"), "_n": F.lit(1).cast("long")})
+    rows = with_carry(rows, [key], bucket_of(rows, order[0], bucket), {"_last": (F.max_by("_kind", F.struct(*order, "_kind")), last_known), "_n": (F.count("*"), F.sum)})
+    w = Window.partitionBy(key, "_b").orderBy(F.desc("_carry"), *order, "_kind")
+    rows = rows.withColumns({"_seen": last_known(F.col("_last")).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_rank": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1}).where(~F.col("_carry"))
+    now = F.col("_kind")
+    at = F.array_position(F.array(*(F.lit(s or "") for s in ORDER_STATES)), now) - 1
+    moved = _as_map([(F.when(now.isin(*after), at).otherwise(k), F.when(now.isin(*after), 0).otherwise(1)) if after else (F.lit(k), F.lit(1)) for k, after in enumerate(FOLLOWS.values())])
+    still = _as_map([(F.lit(k), F.lit(0)) for k in range(len(FOLLOWS))])
+    mapped = materialize(rows.select(key, "_rank", F.when((F.col("_seen") == now) & (now != "PARTIAL"), still).otherwise(moved).alias("_map")))
+    then = lambda first, second: F.transform(first, lambda x: F.struct(second[x["to"]]["to"].alias("to"), (x["illegal"] + second[x["to"]]["illegal"]).alias("illegal")))
+    whole = compose_all(mapped, [key], then, still, radix).select(key, F.col("_map")[0].alias("m"))
+    names = F.array(*(F.lit(s or "UNKNOWN") for s in ORDER_STATES))
+    return whole.select(key, names[F.col("m.to")].alias("state"), F.col("m.illegal").cast("int").alias("illegal"))
 
 
 def kill_switch(events: DataFrame, by: str, order: list[str], severity: str, reset: str) -> DataFrame:

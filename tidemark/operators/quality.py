@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators.joins import param_grid
+from tidemark.operators.joins import null_safe_join, param_grid
 
 _PASS, _FAIL, _UNKNOWN = "pass", "fail", "unknown"
 #: Statuses of an area of a review, and of the review.
@@ -266,7 +266,7 @@ def snapshot_drift(before: DataFrame, after: DataFrame, key: str, cols: list[str
     """By key, whether it is stable, the sorted names of changed columns, and both fingerprints; null equals null."""
     b = before.select(F.col(key), *(F.col(c).alias(f"b_{c}") for c in cols), F.lit(True).alias("_b"))
     a = after.select(F.col(key), *(F.col(c).alias(f"a_{c}") for c in cols), F.lit(True).alias("_a"))
-    j = b.join(a, key, "full_outer")
+    j = null_safe_join(b, a, [key], "full_outer")
     changed = F.array_compact(F.array(*(F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in sorted(cols))))
     there = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     prints = [F.when(F.col(f"_{s}"), F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(f"{s}_{c}").cast("string"), F.lit("\x00")) for c in sorted(cols))), 256)).alias(f"{n}_fingerprint") for s, n in (("b", "before"), ("a", "after"))]
@@ -285,7 +285,7 @@ def source_agreement(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> D
     """One fact from two sources: differing columns fail, a source that is absent gives at most partial."""
     x = a.select(F.col(key), *(F.col(c).alias(f"x_{c}") for c in cols), F.lit(True).alias("_x"))
     y = b.select(F.col(key), *(F.col(c).alias(f"y_{c}") for c in cols), F.lit(True).alias("_y"))
-    j = x.join(y, key, "full_outer")
+    j = null_safe_join(x, y, [key], "full_outer")
     both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     conflicts = F.array_compact(F.array(*(F.when(both & ~F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}")), F.lit(c)) for c in cols)))
     return j.select(key, conflicts.alias("conflicts"), F.when(F.size(conflicts) > 0, _FAIL).when(~both, "partial").otherwise(_PASS).alias("status"))

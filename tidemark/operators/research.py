@@ -9,6 +9,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.features import by_bar
 from tidemark.operators.joins import interval_join, is_small, param_grid
@@ -117,16 +118,16 @@ def rank_candidates(results: DataFrame, gates: Column, order: list[Column], k: i
     return results.where(gates).orderBy(*order).limit(k)
 
 
-def run_id(cols: list[str]) -> Column:
-    """The id of a run is a digest of everything that makes it: versions, ranges, parameters, seed, cost model, code."""
+def run_id(cols: list[str], schema: T.StructType) -> Column:
+    """The id of a run is a digest of everything that makes it: versions, ranges, parameters, seed, cost model, code; equal maps give equal ids."""
     from tidemark.functions.scalar import canonical_digest
 
-    return F.concat(F.lit("run-"), F.substring(canonical_digest(cols), 1, 16))
+    return F.concat(F.lit("run-"), F.substring(canonical_digest(cols, schema), 1, 16))
 
 
 def register_run(runs: DataFrame, registry: DataFrame, cols: list[str]) -> DataFrame:
     """The rows to append to the registry: runs whose id it does not have, each once."""
-    new = runs.withColumn("run_id", run_id(cols)).dropDuplicates(["run_id"])
+    new = runs.withColumn("run_id", run_id(cols, runs.schema)).dropDuplicates(["run_id"])
     return new.join(registry.select("run_id"), "run_id", "left_anti")
 
 

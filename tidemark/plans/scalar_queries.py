@@ -115,14 +115,20 @@ def n6_flatten_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.flatten_record(record, "record").select("event_id", "k", "body_sha256", "body_length", "names", "digest")
 
 
-@query("""select c_custkey, '<redacted>' as Authorization, c_name as safe, '<redacted>' as nested_api_key, c_mktsegment as token_count, '<redacted>' as map_token, c_mktsegment as map_safe, null::bigint as deep_cookie, c_custkey as deep_kept, '{"user":{"Password":"<redacted>","name":"' || c_name || '"},"tokens":[1]}' as payload from customer""")
+@query("""select c_custkey, '<redacted>' as Authorization, c_name as safe, '<redacted>' as nested_api_key, c_mktsegment as token_count, '<redacted>' as map_token, c_mktsegment as map_safe, null::bigint as deep_cookie, c_custkey as deep_kept,
+    case c_custkey % 4 when 0 then '{"user": {"Password": "<redacted>", "name": "' || c_name || '"}, "tokens": [1]}' when 1 then '{"big": 1e400, "exact": 0.12345678901234567890, "note": "<redacted> ' || c_name || '"}'
+        when 2 then '{"name": "' || c_name || '", <redacted>' else '"<redacted> ' || c_name || '"' end as payload from customer""")
 def r1_redact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads are JSON with a list under a key, JSON with numbers that no double holds, JSON that breaks off in a secret, and JSON that is one string."""
     c = table(spark, sf_dir, "customer")
+    shapes = [('{"user": {"Password": ["x"], "name": "', '"}, "tokens": [1]}'), ('{"big": 1e400, "exact": 0.12345678901234567890, "note": "Authorization: Basic dXNlcjpw ', '"}'), ('{"name": "', '", "password": "hunter2'), ('"password: hunter2 ', '"')]
+    k = F.col("c_custkey") % 4
+    payload = F.coalesce(*(F.when(k == i, F.concat(F.lit(a), F.col("c_name"), F.lit(b))) for i, (a, b) in enumerate(shapes)))
     nested = c.select(
         "c_custkey", F.col("c_name").alias("Authorization"), F.struct(F.col("c_name").alias("api_key"), F.col("c_name").alias("safe")).alias("nested"),
         F.col("c_mktsegment").alias("token_count"), F.create_map(F.lit("Token"), F.col("c_name"), F.lit("safe"), F.col("c_mktsegment")).alias("m"),
         F.create_map(F.lit("a"), F.create_map(F.lit("COOKIE"), F.col("c_custkey"), F.lit("kept"), F.col("c_custkey"))).alias("deep"),
-        F.concat(F.lit('{"user": {"Password": ["x"], "name": "'), F.col("c_name"), F.lit('"}, "tokens": [1]}')).alias("payload"),
+        payload.alias("payload"),
     )
     out = S.redact_keys(nested, json_cols=("payload",))
     return out.select("c_custkey", "Authorization", F.col("nested.safe").alias("safe"), F.col("nested.api_key").alias("nested_api_key"), "token_count", F.col("m")["Token"].alias("map_token"), F.col("m")["safe"].alias("map_safe"), F.col("deep")["a"]["COOKIE"].alias("deep_cookie"), F.col("deep")["a"]["kept"].alias("deep_kept"), "payload")
@@ -135,11 +141,25 @@ def _replaced(sql: str, forms: list[str], by: str) -> str:
     return sql
 
 
-_SECRETS_SQL = _replaced("{}", S.secret_formats(), S.REDACTED)
+#: What is secret, written out for DuckDB: key blocks, provider tokens, credentials, cookies, named values.
+_SECRETS = [
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(-[^-]+)*-----END [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----(\\s*[A-Za-z0-9+/=]{24,})*",
+    "\\b(gh[pousr]_|glpat-|xox[bp]-)[\\w-]{20,}", "\\bgithub_pat_[\\w-]{22,}", "\\bnpm_[\\w-]{30,}", "\\bhf_[\\w-]{30,}", "\\b(AKIA|ASIA)[\\w-]{16,}",
+    "(?i)\\b(proxy-)?authorization[\"'']?\\s*[:=]\\s*[\"'']?([a-z]+[ \\t]+)?\\S+", "(?i)\\bbearer\\s+[\\w.~+/=-]{16,}",
+    "(?i)\\b(set-)?cookie[\"'']?\\s*[:=]\\s*(\"[^\"\\\\]*(\\\\.[^\"\\\\]*)*\"?|''[^'']*''?|[^\\r\\n]+)", "(?i)[\"'']?(password|secret|token|api[_-]?key)[\"'']?\\s*[:=]\\s*(\"[^\"\\\\]*(\\\\.[^\"\\\\]*)*\"?|''[^'']*''?|\\S+)",
+]
+
+
+def _secrets(sql: str) -> str:
+    for form in _SECRETS:
+        sql = f"regexp_replace({sql}, '{form}', '<redacted>', 'g')"
+    return sql
+
+
 _PATHS_SQL = _replaced("{}", S.path_formats(), "\\1" + S.PATH_REDACTED)
 
 
-@query(f"select doc_id, sha256(x) as text_sha256, len(regexp_extract_all(x, '<redacted>')) as hits from (select doc_id, {_SECRETS_SQL.format('text')} as x from documents)")
+@query(f"select doc_id, sha256(x) as text_sha256, len(regexp_extract_all(x, '<redacted>')) as hits from (select doc_id, {_secrets('text')} as x from documents)")
 def r2_redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select("doc_id", S.redact_text(F.col("text")).alias("x"))
     return df.select("doc_id", F.sha2("x", 256).alias("text_sha256"), F.regexp_count("x", F.lit(S.REDACTED)).alias("hits"))
@@ -167,14 +187,14 @@ def r5_canary_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select doc_id, length(y) as n, sha256(y) as sha from (select doc_id, case when length(x) <= 512 then x else substr(x, 1, 496) || '…<truncated>' end as y
-    from (select doc_id, {_SECRETS_SQL.format("replace(text, '/', ' ')")} as x from documents))""")
+    from (select doc_id, {_secrets("replace(text, '/', ' ')")} as x from documents))""")
 def b1_bound_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select("doc_id", S.bound_text(F.replace("text", F.lit("/"), F.lit(" "))).alias("y"))
     return df.select("doc_id", F.length("y").alias("n"), F.sha2("y", 256).alias("sha"))
 
 
 @query(f"""select doc_id, length(y) as n, sha256(y) as sha from (select doc_id, case when length(x) <= 2000 then x else '<truncated>…' || right(x, 2000) end as y
-    from (select doc_id, {_SECRETS_SQL.format("trim(replace(text, '/', ' '))")} as x from documents))""")
+    from (select doc_id, {_secrets("trim(replace(text, '/', ' '))")} as x from documents))""")
 def b2_tail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select("doc_id", S.tail_text(F.replace("text", F.lit("/"), F.lit(" "))).alias("y"))
     return df.select("doc_id", F.length("y").alias("n"), F.sha2("y", 256).alias("sha"))
@@ -187,7 +207,7 @@ def b3_bound_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select page_id, case when length(x) > 40 then substr(x, 1, 40) || chr(10) || '<truncated>' || chr(10) else x end as text, length(x) > 40 as truncated, sha256(x) as digest
-    from (select page_id, {_SECRETS_SQL.format("replace(url, '/', ' ')")} as x from pages)""")
+    from (select page_id, {_secrets("replace(url, '/', ' ')")} as x from pages)""")
 def b4_bound_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "pages").select("page_id", S.bound_bytes(F.replace("url", F.lit("/"), F.lit(" ")), 40).alias("b"))
     return df.select("page_id", "b.text", "b.truncated", F.col("b.sha256").alias("digest"))
@@ -263,10 +283,20 @@ def k5_parse_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.groupBy("user_id").agg(F.max_by("name", "line").alias("name"), F.max_by("digest", "line").alias("digest"))
 
 
-@query("""select event_id, regexp_extract(props, '-?[0-9]+') as k from events""")
+#: Documents that nest a status in ways of their own; `@` is the event's number.
+_NESTED = [
+    '{"items": [{"id": @}, {"content": {"STATUS": {"id": 1, "name": "done-@"}}}], "status": "late"}', '{"a": {"status": {"deep": [[{"Status": "in-@"}]]}}, "z": {"status": "last"}}', '{"a": {"status": null, "name": "no"}, "b": [1, {"status": @}]}',
+    '{"name": "none", "tags": ["status"]}', '{"a": [{"b": [{"c": {"d": {"e": {"status": "deep-@"}}}}]}]}', '{"status": {"x": {"name": "inner"}, "name": "own-@"}}', '{"status": true, "Status": "second"}',
+]
+
+
+@query("""with d as (select event_id, replace(d, '@', event_id::varchar) as doc from events join (values {}) n(k, d) on event_id % {} = k),
+    t as (select event_id, d.doc, t.* from d, json_tree(d.doc::json) t), hit as (select event_id, id as place, case when type = 'OBJECT' then json_extract_string(value, '$.name') else json_extract_string(doc, fullkey) end as v
+        from t where lower(key) = 'status' and (type in ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') or type = 'OBJECT' and json_type(value, '$.name') = 'VARCHAR'))
+    select event_id, arg_min(v, place) as v from d left join hit using (event_id) group by event_id""".format(", ".join(f"({k}, '{d}')" for k, d in enumerate(_NESTED)), len(_NESTED)))
 def k6_find_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.concat(F.lit('{"a": {"status": '), F.col("props"), F.lit("}}"))
-    return table(spark, sf_dir, "events").select("event_id", S.find_key(doc, ["$.status", "$.a.status.k"]).alias("k"))
+    doc = F.element_at(F.array(*map(F.lit, _NESTED)), (F.col("event_id") % len(_NESTED) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", S.find_key(F.replace(doc, F.lit("@"), F.col("event_id").cast("string")), "status").alias("v"))
 
 
 @query(f"with {BARS} select instrument, bar_start, list_filter([case when n % 7 = 0 then 'high' end, case when n % 5 = 0 then 'volume' end], lambda x: x is not null) as violations from bars")

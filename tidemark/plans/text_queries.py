@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidemark.operators import text as E
 from tidemark.plans.base import BARS, query
 from tidemark.plans.market_queries import bars, fresh_path
-from tidemark.plans.scalar_queries import _SECRETS_SQL
+from tidemark.plans.scalar_queries import _secrets
 from tidemark.sources import ingest as I
 from tidemark.sources.tables import ntz, table
 
@@ -38,7 +38,7 @@ def e3_filter_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.filter_docs(table(spark, sf_dir, "documents"), ["en", "de"]).select("doc_id", "reasons")
 
 
-@query(f"""select doc_id, len(regexp_extract_all(x, '<redacted>')) as secret_hits, sha256(x) as sha from (select doc_id, {_SECRETS_SQL.format("replace(text, '/', ' ')")} as x from documents)""")
+@query(f"""select doc_id, len(regexp_extract_all(x, '<redacted>')) as secret_hits, sha256(x) as sha from (select doc_id, {_secrets("replace(text, '/', ' ')")} as x from documents)""")
 def e4_redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("/"), F.lit(" ")))
     out = E.redact_docs(d.withColumn("text", F.regexp_replace("text", "\\b([A-Za-z]):\\\\", "$1 ")))

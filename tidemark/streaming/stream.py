@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.bars import find_gaps
 from tidemark.operators.joins import asof_join
-from tidemark.operators.ledger import FOLLOWS
+from tidemark.operators.ledger import follow
 from tidemark.operators.research import run_vector_bt
 
 LATENESS = "10 minutes"
@@ -124,22 +124,24 @@ def gap_repair(journal: DataFrame, backfill: DataFrame, width: str) -> DataFrame
 
 
 class OrderState(StatefulProcessor):
-    """The state of an order across batches; events of a batch are taken in (ts, seq) order."""
+    """The state of an order across batches, by the same transitions as the batch form; events of a batch are taken in (ts, seq) order. The last event is kept, so one that is delivered again in a later batch counts once."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string, illegal int, seen string")
+        self.state = handle.getValueState("state", "state string, illegal int, seen string, last string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, illegal, seen = self.state.get() if self.state.exists() else (None, 0, None)
-        for kind in pd.concat(list(rows)).sort_values(["ts", "seq"])["kind"]:
-            if kind == seen and kind != "PARTIAL":
-                continue
-            if (state is None and kind == "NEW") or kind in FOLLOWS.get(state, ()):
-                state = kind
-            else:
-                illegal += 1
-            seen = kind
-        self.state.update((state, illegal, seen))
+        state, illegal, seen, last = self.state.get() if self.state.exists() else (None, 0, None, None)
+        events = pd.concat([r[["ts", "seq", "kind"]] for r in rows]).sort_values(["ts", "seq", "kind"]).drop_duplicates()
+        for ts, seq, kind in events.itertuples(index=False):
+            event = f"{ts}|{seq}|{kind}"
+            if event != last and (kind != seen or kind == "PARTIAL"):
+                state, wrong = follow(state, kind or "")
+                illegal, seen = illegal + wrong, kind
+            last = event
+        self.state.update((state, illegal, seen, last))
         yield pd.DataFrame({"key": [key[0]], "state": [state or "UNKNOWN"], "illegal": [illegal]})
 
     def close(self) -> None:
@@ -163,9 +165,10 @@ class KillSwitch(StatefulProcessor):
         pass
 
 
-def order_state_stream(stream: DataFrame, key: str) -> DataFrame:
+def order_state_stream(stream: DataFrame, key: str, ttl_ms: int | None = None) -> DataFrame:
+    """T7 over a stream of (key, ts, seq, kind). With `ttl_ms` an order that is not heard of for so long is forgotten."""
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).transformWithStateInPandas(OrderState(), f"key {kind}, state string, illegal int", "Update", "None")
+    return stream.groupBy(key).transformWithStateInPandas(OrderState(ttl_ms), f"key {kind}, state string, illegal int", "Update", "None" if ttl_ms is None else "ProcessingTime")
 
 
 def kill_switch_stream(stream: DataFrame, key: str) -> DataFrame:

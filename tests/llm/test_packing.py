@@ -54,6 +54,18 @@ def test_ids_are_the_librarys(odd_pieces):
         assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
 
 
+def test_words_of_every_letter():
+    """Every letter and sign by itself, doubled, in a word and beside a combining mark: as in a whole text."""
+    import unicodedata
+
+    with open(PATH, encoding="utf-8") as f:
+        words, tokenizer = packing.Words(f.read()), library()
+    letters = [chr(c) for c in [*range(1, 0x600), *range(0x1E00, 0x2100), *range(0x3040, 0x3100), *range(0x4E00, 0x4E40), *range(0x9F90, 0xA010), 0xAC00, 0xFB01, 0x1F600] if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    texts = [t for c in letters for t in (c, c + c.upper(), f"Ab{c}c's {c}1x", f"e{c}\u0301 <|endoftext|>{c}")]
+    for text, encoding in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(b"".join(words.encode(text)), "<u4").tolist() == encoding.ids, ascii(text)
+
+
 def check_places(rows, capacity):
     by: dict[int, list] = {}
     for r in rows:

@@ -16,7 +16,7 @@ A piece finds its place by its number among the pieces of its length: each task
 its own ones, and what the tasks before it have is a running sum over tasks. No key is
 gathered in one task and no document in the driver.
 
-Words (between white space) are tokenised by the library one by one and remembered: none
+Words (between white space) are tokenised one by one with the library and remembered: none
 of the steps of the vocabulary file looks beyond white space, which a test holds against
 whole texts. Null and empty texts are the end token only. Repeated and null ids are rows
 like any other. Further columns are ignored; empty tables give no rows.
@@ -27,29 +27,57 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import byte_names
 from tidemark.llm.common import materialize, text_blocks, text_slices
 
 CAPACITY, END = 4096, 1
+#: Letters, digits and signs that are their own composed form and have a lower case of their own: Latin, Cyrillic, kana, common ideographs.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]+").fullmatch
+#: Fixed value: the pattern that the vocabulary file cuts pre-tokens by.
+_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 #: Words and longest word that a task remembers; a longer run without white space is cut beside digits, which are tokens of their own.
-REMEMBERED, LONGEST, RUN = 400_000, 40, 1 << 16
+REMEMBERED, LONGEST, RUN = 600_000, 40, 1 << 16
 #: White space as Unicode defines it; Python's own splitting takes four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _DIGIT = re.compile(r"(?<=[0-9])(?=[!-~])")
 
 
+class Pieces(dict):
+    """The ids of pre-tokens, as bytes of 32-bit numbers, by the model of a tokenizer."""
+
+    def __init__(self, model):
+        self.model, self.names = model, {b: c for c, b in byte_names().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        named = piece if piece.isascii() else "".join(map(self.names.__getitem__, piece.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Words(dict):
-    """The ids of words, as bytes of 32-bit numbers, from a tokenizer file's content."""
+    """The ids of words, as bytes of 32-bit numbers, from a tokenizer file's content.
+
+    Words of plain letters, which no normal form changes, are lower-cased and cut into
+    pre-tokens here and merged by the library's model; any other word, and any that may hold
+    a special token, goes through the whole library.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,10 +86,14 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.pieces = Pieces(self.tokenizer.model)
 
     def __missing__(self, word: str) -> bytes:
-        parts = [word] if len(word) <= RUN else _DIGIT.split(word)
-        ids = b"".join(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in parts)
+        if _PLAIN(word) and "<|" not in word:
+            ids = b"".join(map(self.pieces.__getitem__, _PRE_TOKENS(word.lower())))
+        else:
+            parts = [word] if len(word) <= RUN else _DIGIT.split(word)
+            ids = b"".join(array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in parts)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.base import BARS, ORACLES, TRADES, query
 from tidemark.plans.ledger_queries import _KINDS
-from tidemark.plans.market_queries import _r, fresh_path
+from tidemark.operators import features as X
+from tidemark.plans.market_queries import _L24, _REGIME, _VOL, _W, _r, bars, fresh_path
 from tidemark.sources import ingest as I
 from tidemark.sources.tables import EVENTS, ntz, read_table
 from tidemark.streaming import stream as T
@@ -88,7 +89,7 @@ _CLOSED = f"{TRADES}, m as (select instrument, date_trunc('hour', ts) as start,
 @query(f"with {_CLOSED} select instrument, start, n, rejects from m where start + interval 1 hour <= (select max(ts) from events) - interval 10 minute")
 def t10_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _trades(spark, sf_dir).withColumn("qty", F.when(F.col("qty") < 20, 0).otherwise(F.col("qty")))
-    return ntz(_run(T.stream_metrics(t, "1 hour")).drop("last_ts"), "start")
+    return ntz(_run(T.stream_metrics(t, "1 hour")).select("instrument", "start", "n", "rejects"), "start")
 
 
 @query(f"""with {TRADES}, b as (select *, seq % 4 as batch from trades), m as (select instrument, batch, max(ts) as t from b group by 1, 2),
@@ -129,3 +130,82 @@ def t8_kill_switch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("instrument") == "ERROR", 1).when((F.col("instrument") == "PURCHASE") & (F.col("price") > 300), 2).otherwise(0)
     events = _arrivals(spark, sf_dir, "cast((day(ts) - 1) / 8 as int)").select(F.col("account").alias("user_id"), "ts", "seq", severity.alias("severity"), (F.col("instrument") == "SIGNUP").alias("reset"))
     return T.last_states(T.kill_switch_stream(events, "user_id"), _folder(spark)).withColumnRenamed("key", "user_id")
+
+
+_CLOSED_BARS = "bar_start + interval 1 hour <= (select max(ts) from events) - interval 10 minute"
+
+
+@query(f"""with {BARS}, s as (select instrument, date_trunc('hour', ts) as bar_start, sum(case when side = 'BUY' then qty else -qty end) as net from trades group by 1, 2), {_VOL}, {_REGIME},
+    xx as (select rg.*, net, net / nullif(volume, 0) as imbalance, close / nullif(avg(close) over (partition by bar_start), 0) - 1 as basis, close - lag(close) over {_W}) as dp, row_number() over {_W}) as k from rg join s using (instrument, bar_start))
+    select instrument, bar_start, round(close / lag(close, 24) over {_W}) - 1, 6) as ret_24, round(vol, 5) as vol, regime, round(case when count(*) over {_L24} >= 24 then (volume - avg(volume) over {_L24}) / nullif(stddev_samp(volume) over {_L24}, 0) end, 4) as volume_z,
+        round(case when count(*) over {_L24} >= 24 then (basis - avg(basis) over {_L24}) / nullif(stddev_samp(basis) over {_L24}, 0) end, 3) as basis_z, round(imbalance, 6) as imbalance,
+        case when k = 1 then null when net > 0 and dp > 0 then 'long_build' when net > 0 and dp < 0 then 'short_build' when net < 0 and dp > 0 then 'short_cover' when net < 0 and dp < 0 then 'long_exit' else 'flat' end as oi_state
+    from xx qualify {_CLOSED_BARS}""")
+def t3_bar_features_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row frames of 24 bars over bars that close in four batches; the index of a bar is the mean close of its instruments."""
+    path = _folder(spark)
+    signed = F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")))
+    closed = T.stream_bars(_arrivals(spark, sf_dir, "cast((day(ts) - 1) / 8 as int)"), "1 hour", more={"signed": signed})
+    with_index = lambda b: b.withColumns({"mark": F.col("close"), "index": F.avg("close").over(Window.partitionBy("bar_start"))})
+
+    def build(b: DataFrame) -> DataFrame:
+        out = X.basis(X.build_features(b))
+        # open interest is the running signed quantity: only its last step counts
+        oi = out.withColumn("oi", F.sum("signed").over(X.by_bar().rowsBetween(Window.unboundedPreceding, 0)))
+        return X.oi_price_state(oi).withColumn("imbalance", F.try_divide("signed", "volume"))
+
+    T.bar_features_stream(closed, path, build, 60, with_index)
+    out = spark.read.parquet(f"{path}/features").select("instrument", "bar_start", "ret_24", "vol", "regime", "volume_z", "basis_z", "imbalance", "oi_state")
+    return _r(_r(_r(_r(ntz(out, "bar_start"), "ret_24", "imbalance"), "vol", n=5), "volume_z", n=4), "basis_z", n=3)
+
+
+def _in_files(spark: SparkSession, rows: DataFrame, batch: str, batches: int = 4) -> DataFrame:
+    """Rows as a stream of several batches, one file after the other."""
+    path = _folder(spark)
+    rows = rows.withColumn("_batch", F.expr(batch)).persist()
+    for k in range(batches):
+        rows.where(f"_batch = {k}").drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    rows.unpersist()
+    return spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(ORACLES["t6_gap_repair"])
+def t6_gap_repair_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live and backfill bars in four batches, each in no order of time."""
+    path = _folder(spark)
+    b = bars(spark, sf_dir).withColumn("i", F.row_number().over(X.by_bar()))
+    both = b.where("i % 5 <> 2").withColumn("source", F.lit("live")).unionByName(b.withColumn("source", F.lit("backfill"))).drop("i")
+    T.gap_repair_stream(_in_files(spark, both, "cast(pmod(xxhash64(instrument, bar_start, source), 4) as int)"), path, "1 hour")
+    return ntz(spark.read.parquet(f"{path}/repaired").select("instrument", "bar_start", "source"), "bar_start")
+
+
+@query(f"select * from ({ORACLES['t9_shadow_ledger']}) where bar_start <= (select date_trunc('hour', max(ts)) from events) - interval 9 day")
+def t9_shadow_ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals and prices of eight days in each batch, every third price one batch late; a signal waits nine days for its price."""
+    path = _folder(spark)
+    b = X.returns(bars(spark, sf_dir), (1,))
+    signal = b.select("instrument", F.col("bar_start").alias("ts"), F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.0).alias("signal"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("ret"))
+    price = b.select("instrument", F.col("bar_start").alias("ts"), F.lit(None).cast("double").alias("signal"), F.col("close").cast("double").alias("price"), F.coalesce("ret_1", F.lit(0.0)).alias("ret"))
+    late = "price is not null and hour(ts) % 3 = 0 and day(ts) < 25"
+    T.shadow_ledger_stream(_in_files(spark, signal.unionByName(price), f"cast((day(ts) - 1) / 8 as int) + if({late}, 1, 0)"), path, delay="9 days")
+    return _r(ntz(spark.read.parquet(f"{path}/ledger").select("instrument", "bar_start", F.col("position").cast("int").alias("position"), "net"), "bar_start"), "net", n=5)
+
+
+#: Rules of the alerts: name, metric, and the most that is no breach.
+_RULES = [("rejects", "reject_share", 0.3), ("gap", "gap", 1.0), ("deviation", "deviation", 1.5)]
+_RULES_SQL = ", ".join(f"('{r}', '{m}', {x}::double)" for r, m, x in _RULES)
+_RULE_METRICS = f"""{TRADES}, w as (select instrument, date_trunc('hour', ts) as start, count(*) filter (where qty < 20)::double / count(*) as reject_share, avg(abs((price - 100.0) / 100.0)) as deviation from trades group by 1, 2),
+    m as (select *, coalesce(epoch(start) - epoch(lag(start) over (partition by instrument order by start)), 3600) / 3600 - 1 as gap from w where start + interval 1 hour <= (select max(ts) from events) - interval 10 minute),
+    v as (select instrument, start, unnest(['reject_share', 'deviation', 'gap']) as metric, unnest([reject_share, deviation, gap]) as value from m),
+    b as (select v.*, rule, value > most as breached from v join (values {_RULES_SQL}) r(rule, metric, most) using (metric)),
+    e as (select *, coalesce(lag(breached) over (partition by instrument, rule order by start), false) as was from b),
+    q as (select instrument, start, epoch(coalesce(lead(start) over (partition by instrument order by start), (select max(start) from m))) - epoch(start) as waited from m)"""
+
+
+@query(f"with {_RULE_METRICS} select instrument, rule, start, round(value, 6) as value from e where breached and not was union all select instrument, 'silence', start, 10800.0 from q where waited > 10800")
+def t10_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows closed in four batches against a table of rules; a breach that goes on over batches is told once, as is a silence."""
+    path = _folder(spark)
+    t = _arrivals(spark, sf_dir, "cast((day(ts) - 1) / 8 as int)").withColumns({"qty": F.when(F.col("qty") < 20, 0).otherwise(F.col("qty")), "reference": F.lit(100.0)})
+    T.alerts_stream(T.stream_metrics(t, "1 hour", "reference"), path, spark.createDataFrame(_RULES, "rule string, metric string, most double"), "1 hour", 10_800)
+    return _r(ntz(spark.read.parquet(f"{path}/alerts").select("instrument", "rule", "start", "value"), "start"), "value")

@@ -31,7 +31,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -62,7 +62,7 @@ def land_raw(df: DataFrame, path: str, key: list[str], partition: list[str], qua
     row = canonical_digest(df.columns, df.schema).alias("_row")  # tells rows apart, whatever types they hold
     batch = df.select("*", row).dropDuplicates(["_row"])
     held = df.select(*key).limit(0)
-    if _exists(df.sparkSession, path):
+    if path_exists(df.sparkSession, path):
         landed = _landed(df, path, partition).select(*dict.fromkeys(key), row)
         batch, held = batch.join(landed.select("_row"), "_row", "left_anti"), landed.select(*key).distinct()
     told = materialize(batch)
@@ -72,7 +72,7 @@ def land_raw(df: DataFrame, path: str, key: list[str], partition: list[str], qua
         raise ValueError(f"rows of one key differ: {odd.limit(3).collect()}")
     if quarantine is not None:
         bad = null_safe_join(told, odd, key, "left_semi")
-        if _exists(df.sparkSession, quarantine):
+        if path_exists(df.sparkSession, quarantine):
             bad = bad.join(df.sparkSession.read.schema(df.schema).parquet(quarantine).select(row), "_row", "left_anti")
         bad.drop("_row").write.mode("append").parquet(quarantine)
     null_safe_join(told, odd, key, "left_anti").drop("_row").write.mode("append").partitionBy(*partition).parquet(path)
@@ -114,7 +114,7 @@ def snapshot_id(cols: list[str], schema: T.StructType) -> Column:
 def store_snapshot(df: DataFrame, path: str, cols: list[str]) -> None:
     """Append the snapshots whose id is not stored yet, one for each id."""
     named = df.withColumn("snapshot_id", snapshot_id(cols, df.schema)).dropDuplicates(["snapshot_id"])
-    if _exists(df.sparkSession, path):
+    if path_exists(df.sparkSession, path):
         named = named.join(df.sparkSession.read.schema(named.schema).parquet(path).select("snapshot_id"), "snapshot_id", "left_anti").select(named.columns)
     materialize(named).write.mode("append").parquet(path)
 

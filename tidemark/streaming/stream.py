@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.operators.bars import find_gaps
 from tidemark.operators.joins import asof_join
 from tidemark.operators.ledger import follow
+from tidemark.operators.lineage import materialize
 from tidemark.operators.research import run_vector_bt
+from tidemark.sources.ingest import path_exists as _exists
 
 LATENESS = "10 minutes"
 
@@ -23,13 +25,14 @@ def stream_dedup(stream: DataFrame, key: list[str], delay: str = LATENESS, ts: s
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def stream_bars(stream: DataFrame, width: str, delay: str = LATENESS) -> DataFrame:
-    """Bars of (instrument, ts, seq, price, qty), each emitted once when the watermark has passed it."""
+def stream_bars(stream: DataFrame, width: str, delay: str = LATENESS, more: dict[str, Column] | None = None) -> DataFrame:
+    """Bars of (instrument, ts, seq, price, qty), each emitted once when the watermark has passed it; `more` are further aggregates of a bar's trades."""
     at = F.struct("ts", "seq")
+    more = more or {}
     out = stream.withWatermark("ts", delay).groupBy("instrument", F.window("ts", width).alias("w")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("n"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("n"), *(c.alias(name) for name, c in more.items()),
     )
-    return out.select("instrument", F.col("w.start").alias("bar_start"), "open", "high", "low", "close", "volume", "n")
+    return out.select("instrument", F.col("w.start").alias("bar_start"), "open", "high", "low", "close", "volume", "n", *more)
 
 
 def stream_features(stream: DataFrame, length: str, slide: str, delay: str = LATENESS) -> DataFrame:
@@ -72,6 +75,57 @@ def late_rows_stream(stream: DataFrame, path: str, delay: str = LATENESS) -> Non
     stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def fold_batches(stream: DataFrame, path: str, states: dict[str, str], step: Callable[[DataFrame, dict[str, DataFrame], int], dict[str, DataFrame]], once: bool = True):
+    """Run a stream with state in tables: `step(batch, states as they were, batch id)` gives the states as they are now and rows for sinks, by name.
+
+    Each is written as the partition batch_id=k of its table under `path`. A batch that is
+    run again reads the states of the one before it and overwrites its own partitions, so
+    replays change nothing. `states` has the schemas of the states; versions that no replay
+    can need are deleted, sinks stay. `once`: until the input is used up, else as it comes.
+    """
+    spark = stream.sparkSession
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        before = {}
+        for name, schema in states.items():
+            at = f"{path}/{name}/batch_id={batch_id - 1}"
+            before[name] = spark.read.schema(schema).parquet(at) if batch_id else spark.createDataFrame([], schema)
+        batch.persist()
+        try:
+            for name, rows in step(batch, before, batch_id).items():
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+        for name in states:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/batch_id={batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint")
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        query.awaitTermination()
+    return query
+
+
+def bar_features_stream(bars: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], keep: int, arrive: Callable[[DataFrame], DataFrame] = lambda b: b) -> None:
+    """T3, row frames: the features of each closed bar of a stream, by `build` (any of W5-W14 over bars) on the bar and the `keep` bars of its instrument before it.
+
+    `keep` is the longest frame of `build`, frames of frames added up; the values are then
+    those of the batch form. Bars come in the order of their time, as closed windows do.
+    `arrive` adds what the instruments of one bar make together (an index), once. Under
+    `path`: features, and the last `keep` bars of each instrument by batch.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrive(bars.sparkSession.createDataFrame([], bars.schema)).schema.fields)
+
+    def step(batch: DataFrame, before: dict[str, DataFrame], _: int) -> dict[str, DataFrame]:
+        both = before["history"].withColumn("_new", F.lit(False)).unionByName(arrive(batch).withColumn("_new", F.lit(True)))
+        latest = Window.partitionBy("instrument").orderBy(F.desc("bar_start"))
+        history = both.withColumn("_k", F.row_number().over(latest)).where(F.col("_k") <= keep).drop("_k", "_new")
+        return {"features": build(both).where("_new").drop("_new"), "history": history}
+
+    fold_batches(bars, path, {"history": kinds}, step)
+
+
 def freshness_stream(stream: DataFrame, path: str, required: DataFrame, max_age_seconds: int) -> None:
     """T5 over a stream: after each batch the gate of each required instrument at the newest time that any has reached, written by batch under `path`/gates; the newest times are kept as in `late_rows_stream`."""
     spark = stream.sparkSession
@@ -123,6 +177,44 @@ def gap_repair(journal: DataFrame, backfill: DataFrame, width: str) -> DataFrame
     return journal.withColumn("source", F.lit("live")).unionByName(refill.withColumn("source", F.lit("backfill")))
 
 
+def gap_repair_stream(rows: DataFrame, path: str, width: str) -> None:
+    """T6 over a stream of live and backfill bars (instrument, bar_start, ..., source `live` or `backfill`) in any order: the table under `path`/repaired is at all times what `gap_repair` gives for what has arrived.
+
+    A backfill bar counts where its instrument has no live bar between its first and last
+    one. What has arrived is kept by day (`path`/arrived), with the first and last live bar
+    of each instrument by batch (`path`/ends). A batch reads and overwrites the days that it
+    has rows of, and those that a first or last live bar has moved over, where waiting
+    backfill may now count. Both are unions of sets, so replays change nothing.
+    """
+    spark = rows.sparkSession
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    day = F.to_date("bar_start")
+
+    def held(days: DataFrame) -> DataFrame:
+        if not _exists(spark, f"{path}/arrived"):
+            return spark.createDataFrame([], f"{kinds}, day date")
+        return spark.read.schema(f"{kinds}, day date").parquet(f"{path}/arrived").join(F.broadcast(days), "day", "left_semi")
+
+    def step(batch: DataFrame, before: dict[str, DataFrame], _: int) -> dict[str, DataFrame]:
+        live = batch.where("source = 'live'").groupBy("instrument").agg(F.min("bar_start").alias("first"), F.max("bar_start").alias("last"))
+        ends = materialize(before["ends"].unionByName(live).groupBy("instrument").agg(F.min("first").alias("first"), F.max("last").alias("last")))
+        was = before["ends"].select("instrument", F.col("first").alias("f"), F.col("last").alias("l"))
+        moved = ends.join(was, "instrument", "left").select(F.array(F.struct(F.col("first").alias("a"), F.coalesce("f", "last").alias("b")), F.struct(F.coalesce("l", "first").alias("a"), F.col("last").alias("b"))).alias("spans"))
+        over = moved.select(F.explode("spans").alias("s")).where("s.a < s.b").select(F.explode(F.sequence(F.to_date("s.a"), F.to_date("s.b"))).alias("day"))
+        days = materialize(batch.select(day.alias("day")).union(over).distinct())  # a row for each day of the calendar at most
+        told = batch.withColumn("day", day)
+        arrived = materialize(held(days).select(told.columns).unionByName(told).dropDuplicates(["instrument", "bar_start", "source"]))
+        arrived.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/arrived")
+        is_live = F.max((F.col("source") == "live").cast("int")).over(Window.partitionBy("instrument", "bar_start"))
+        seconds = F.unix_timestamp(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {width}"))
+        on_grid = F.pmod(F.unix_timestamp("bar_start") - F.unix_timestamp("first"), seconds) == 0
+        counts = arrived.withColumn("_live", is_live).join(ends, "instrument", "left").where((F.col("source") == "live") | (F.col("_live") == 0) & on_grid & (F.col("bar_start") > F.col("first")) & (F.col("bar_start") < F.col("last")))
+        counts.select(told.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/repaired")
+        return {"ends": ends}
+
+    fold_batches(rows, path, {"ends": "instrument string, first timestamp, last timestamp"}, step)
+
+
 class OrderState(StatefulProcessor):
     """The state of an order across batches, by the same transitions as the batch form; events of a batch are taken in (ts, seq) order. The last event is kept, so one that is delivered again in a later batch counts once."""
 
@@ -182,22 +274,120 @@ def shadow_ledger(signals: DataFrame, prices: DataFrame, cost: float = 0.00065)
     return run_vector_bt(priced, cost)
 
 
-def stream_metrics(rows: DataFrame, width: str = "1 minute") -> DataFrame:
-    """Events, errors and the newest time in each window and instrument."""
+_LEDGER = "instrument string, bar_start timestamp, signal double, ret double, price double, position double, turnover double, gross double, cost double, net double, equity_gross double, equity_net double"
+
+
+def shadow_ledger_stream(rows: DataFrame, path: str, cost: float = 0.00065, delay: str = LATENESS) -> None:
+    """T9 over a stream of signals and prices: rows (instrument, ts, signal) or (instrument, ts, price, ret), the others null.
+
+    A signal is settled when the newest time of all rows is `delay` past it: until then
+    prices that come late still count. Under `path`, append-only by batch: ledger (what the
+    batch form gives for the settled signals), late (signals behind the settled time, which
+    change nothing). The states are the signals that wait, the prices that they may need
+    (for each instrument the last settled one and all later), the last two ledger rows of
+    each instrument, and the settled time.
+    """
+    states = {"waiting": "instrument string, bar_start timestamp, signal double", "prices": "instrument string, price_ts timestamp, price double, ret double", "book": _LEDGER, "clock": "ts timestamp"}
+
+    def step(batch: DataFrame, before: dict[str, DataFrame], _: int) -> dict[str, DataFrame]:
+        was = before["clock"].agg(F.max("ts")).first()[0]
+        newest = batch.agg((F.max("ts") - F.expr(f"interval {delay}")).alias("ts"))
+        clock = materialize(before["clock"].unionByName(newest).agg(F.max("ts").alias("ts")))
+        now = F.lit(clock.first()[0]).cast("timestamp")
+        came = batch.where("signal is not null").select("instrument", F.col("ts").alias("bar_start"), F.col("signal").cast("double").alias("signal"))
+        is_late = F.coalesce(F.col("bar_start") <= F.lit(was).cast("timestamp"), F.lit(False))
+        signals = before["waiting"].unionByName(came.where(~is_late))
+        prices = before["prices"].unionByName(batch.where("price is not null").select("instrument", F.col("ts").alias("price_ts"), "price", "ret"))
+        due, book = signals.where(F.col("bar_start") <= now), before["book"]
+        priced = asof_join(due, prices, ("bar_start", "price_ts"), ["instrument"], ["price", "ret"]).drop("matched_price_ts")
+        # two rows of the ledger stand before the new ones, for the position and its change
+        known = book.select("instrument", "bar_start", "signal", "price", "ret", F.lit(False).alias("_new"))
+        bt = run_vector_bt(priced.withColumn("_new", F.lit(True)).unionByName(known), cost).where("_new")
+        equity = book.groupBy("instrument").agg(F.max_by("equity_gross", "bar_start").alias("_g"), F.max_by("equity_net", "bar_start").alias("_n"))
+        run = Window.partitionBy("instrument").orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0)
+        bt = bt.join(equity, "instrument", "left").withColumns({"equity_gross": F.coalesce("_g", F.lit(0.0)) + F.sum("gross").over(run), "equity_net": F.coalesce("_n", F.lit(0.0)) + F.sum("net").over(run)})
+        names = [c.split()[0] for c in _LEDGER.split(", ")]
+        ledger = materialize(bt.select(*(F.col(c).cast(t) for c, t in (x.split() for x in _LEDGER.split(", ")))))
+        last = Window.partitionBy("instrument").orderBy(F.desc("bar_start"))
+        new_book = book.unionByName(ledger).withColumn("_k", F.row_number().over(last)).where("_k <= 2").select(names)
+        settled = Window.partitionBy("instrument").orderBy(F.desc(F.when(F.col("price_ts") <= now, F.col("price_ts"))), F.desc("price"), F.desc("ret"))
+        needed = prices.withColumn("_k", F.row_number().over(settled)).where((F.col("_k") == 1) | F.coalesce(F.col("price_ts") > now, F.lit(True))).drop("_k")
+        return {"ledger": ledger, "late": came.where(is_late), "waiting": signals.where(~F.coalesce(F.col("bar_start") <= now, F.lit(False))), "prices": needed, "book": new_book, "clock": clock}
+
+    fold_batches(rows, path, states, step)
+
+
+def stream_metrics(rows: DataFrame, width: str = "1 minute", reference: str | None = None) -> DataFrame:
+    """For each window and instrument its events, rejects (no quantity), newest time, the longest wait inside it in seconds, and with a `reference` price column the mean absolute relative deviation from it."""
     source = rows.withWatermark("ts", LATENESS) if rows.isStreaming else rows
-    out = source.groupBy("instrument", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("qty") == 0).alias("rejects"), F.max("ts").alias("last_ts"))
-    return out.select("instrument", F.col("w.start").alias("start"), "n", "rejects", "last_ts")
+    off = {"deviation": F.avg(F.abs(F.try_divide(F.col("price") - F.col(reference), F.col(reference))))} if reference else {}
+    out = source.groupBy("instrument", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("qty") == 0).alias("rejects"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *(c.alias(k) for k, c in off.items()))
+    return out.select("instrument", F.col("w.start").alias("start"), "n", "rejects", F.try_divide(F.col("rejects").cast("double"), F.col("n")).alias("reject_share"), "first_ts", "last_ts", *off)
 
 
 def alerts(metrics: DataFrame, limit: float) -> DataFrame:
     """Windows whose reject share crosses a limit while the window before did not: one alert for each run of breaches."""
-    from pyspark.sql import Window
-
     bad = F.try_divide("rejects", "n") > limit
     before = F.lag(bad).over(Window.partitionBy("instrument").orderBy("start"))
     return metrics.withColumn("_a", bad & ~F.coalesce(before, F.lit(False))).where("_a").drop("_a")
 
 
+_RULE_STATE = "instrument string, rule string, breached boolean, start timestamp"
+
+
+def _breaches(metrics: DataFrame, rules: DataFrame, last_seen: DataFrame, width: str) -> DataFrame:
+    """(instrument, rule, start, value, breached) for each window and rule (rule, metric, most). Beside the metrics of a window a rule may name `gap`: the windows without any event since the one before."""
+    seconds = F.unix_timestamp(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {width}"))
+    both = metrics.withColumn("_new", F.lit(True)).unionByName(last_seen.select("instrument", F.col("last_start").alias("start"), F.lit(False).alias("_new")), allowMissingColumns=True)
+    wait = F.unix_timestamp("start") - F.unix_timestamp(F.lag("start").over(Window.partitionBy("instrument").orderBy("start")))
+    rows = both.withColumn("gap", F.coalesce(wait / seconds - 1, F.lit(0.0))).where("_new")
+    numeric = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)]
+    long = rows.select("instrument", "start", F.explode(F.map_from_arrays(F.array(*map(F.lit, numeric)), F.array(*(F.col(c).cast("double") for c in numeric)))).alias("metric", "value"))
+    return long.join(F.broadcast(rules), "metric").select("instrument", "rule", "start", "value", F.coalesce(F.col("value") > F.col("most"), F.lit(False)).alias("breached"))
+
+
+def alert_rules(metrics: DataFrame, rules: DataFrame, width: str, silence: tuple[float, object] | None = None) -> DataFrame:
+    """T10, batch form: the first window of each run of breaches of each rule; with `silence` = (seconds, clock) also the instruments that have not been heard of for longer at the clock, or were not between two windows."""
+    last = metrics.groupBy("instrument").agg(F.max("start").alias("last_start")).where("false")
+    b = _breaches(metrics, rules, last, width)
+    before = F.lag("breached").over(Window.partitionBy("instrument", "rule").orderBy("start"))
+    edges = b.withColumn("_e", F.col("breached") & ~F.coalesce(before, F.lit(False))).where("_e").select("instrument", "rule", "start", "value")
+    if silence is None:
+        return edges
+    most, clock = silence
+    w = Window.partitionBy("instrument").orderBy("start")
+    quiet = metrics.withColumn("_next", F.coalesce(F.lead("start").over(w), F.lit(clock).cast("timestamp")))
+    waited = F.unix_timestamp("_next") - F.unix_timestamp("start")
+    return edges.unionByName(quiet.where(waited > most).select("instrument", F.lit("silence").alias("rule"), "start", F.lit(float(most)).alias("value")))
+
+
+def alerts_stream(metrics: DataFrame, path: str, rules: DataFrame, width: str, silence_seconds: float) -> None:
+    """T10 over a stream of windows of `stream_metrics`: one alert for each run of breaches, however many batches it lasts, and one for each silence, raised by the clock (the newest window of any instrument) without a row of the silent instrument.
+
+    Under `path`: alerts by batch, and as states whether each rule is in breach, the last
+    window of each instrument, and whether its silence has been told.
+    """
+
+    def step(batch: DataFrame, before: dict[str, DataFrame], _: int) -> dict[str, DataFrame]:
+        known = before["seen"]
+        b = _breaches(batch, rules, known, width)
+        both = b.withColumn("_new", F.lit(True)).unionByName(before["rules"].select("instrument", "rule", "start", F.lit(None).cast("double").alias("value"), "breached", F.lit(False).alias("_new")))
+        was = F.lag("breached").over(Window.partitionBy("instrument", "rule").orderBy("start"))
+        edges = both.withColumn("_e", F.col("_new") & F.col("breached") & ~F.coalesce(was, F.lit(False))).where("_e").select("instrument", "rule", "start", "value")
+        state = both.groupBy("instrument", "rule").agg(F.max_by("breached", "start").alias("breached"), F.max("start").alias("start")).select(*(c.split()[0] for c in _RULE_STATE.split(", ")))
+        # silences: between two windows, and from the last one to the clock; one that has been told is not told again when it ends
+        starts = batch.select("instrument", "start", F.lit(False).alias("told")).unionByName(known.select("instrument", F.col("last_start").alias("start"), "told"))
+        clock = starts.agg(F.max("start")).first()[0]
+        w = Window.partitionBy("instrument").orderBy("start")
+        waited = F.unix_timestamp(F.coalesce(F.lead("start").over(w), F.lit(clock).cast("timestamp"))) - F.unix_timestamp("start")
+        marked = materialize(starts.withColumn("_quiet", waited > silence_seconds))
+        quiet = marked.where("_quiet and not told").select("instrument", F.lit("silence").alias("rule"), "start", F.lit(float(silence_seconds)).alias("value"))
+        seen = marked.groupBy("instrument").agg(F.max("start").alias("last_start"), F.max_by(F.col("told") | F.col("_quiet"), "start").alias("told"))
+        return {"alerts": edges.unionByName(quiet), "rules": state, "seen": seen}
+
+    fold_batches(metrics, path, {"rules": _RULE_STATE, "seen": "instrument string, last_start timestamp, told boolean"}, step)
+
+
 def replay(stream: DataFrame, name: str, mode: str = "append") -> list[Row]:
     """Run a stream over what has arrived into a memory table and give its rows: for tests and reports, not for production sinks."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

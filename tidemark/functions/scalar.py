@@ -104,6 +104,11 @@ def valid_range(start: Column, end: Column) -> Column:
     return F.coalesce(start < end, F.lit(False))
 
 
+def range_duration(start: Column, end: Column) -> Column:
+    """Seconds of [start, end), with their fraction; null for a range that is empty or turned round."""
+    return F.when(valid_range(start, end), (F.unix_micros(end) - F.unix_micros(start)) / 1_000_000)
+
+
 # --- normalisation -------------------------------------------------------------
 def normalize_instrument(col: Column, longest: int = 32) -> Column:
     """Trimmed, upper case, ASCII letters and digits; null if it is not an id then."""
@@ -145,6 +150,12 @@ def url_identity(col: Column) -> Column:
     return F.when(bare.rlike("^[^/\\s]+\\.[^/\\s]+"), F.lower(bare))
 
 
+def repository_identity(col: Column) -> Column:
+    """`owner/name` of a repository URL, also of the form user@host:owner/name; scheme, credentials, host, `.git` and a closing slash go. Null for anything with more or fewer parts."""
+    path = F.regexp_extract(F.trim(col), "^(?:[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?[^/]+/|[^/@:]+@[^/:]+:)([^?#]+?)(?:\\.git)?/*$", 1)
+    return F.when(path.rlike("^[^/\\s]+/[^/\\s]+$"), path)
+
+
 # --- redaction --------------------------------------------------------------
 def redact_keys(df: DataFrame, keys: tuple[str, ...] = SENSITIVE_KEYS, json_cols: tuple[str, ...] = ()) -> DataFrame:
     """Everything under a sensitive key name (any case, exact) becomes `<redacted>`, at any depth of structs, arrays and maps.

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.carry import bucket_of, with_carry
+from tidemark.operators.joins import asof_join, null_safe_join
+from tidemark.operators.lineage import materialize
 
 
 def by_bar() -> WindowSpec:
@@ -52,16 +54,43 @@ def volatility(bars: DataFrame, n: int = 24) -> DataFrame:
     }).drop("_r", "_x")
 
 
-def volume_surprise(bars: DataFrame) -> DataFrame:
-    """Volume over its mean at the same hour of all earlier days, and the share of those days below it.
+#: Rows that an earlier-and-smaller count compares directly; beyond, blocks of that many are merged two by two.
+LEAF = 64
 
-    A frame holds one value a day of one instrument and hour, some thousands for ten years of bars.
+
+def smaller_before(df: DataFrame, by: list[Column], order: str, value: str, name: str, leaf: int = LEAF) -> DataFrame:
+    """For each row the number of earlier rows of its group with a smaller value (nulls are not smaller).
+
+    Rows of a block of `leaf` in time are compared in a frame of that size. At each level
+    above, blocks are paired, and rows of the later block count the smaller ones of the
+    earlier block by one running sum in the order of values: n log n rows in all, and no
+    frame that grows.
     """
-    past = Window.partitionBy("instrument", F.hour("bar_start")).orderBy("bar_start").rowsBetween(Window.unboundedPreceding, -1)
-    mean = F.avg("volume").over(past)
-    seen = F.collect_list("volume").over(past)
-    below = F.try_divide(F.size(F.filter(seen, lambda v: v < F.col("volume"))), F.nullif(F.size(seen), F.lit(0)))
-    return bars.withColumns({"volume_ratio": F.try_divide(F.col("volume"), mean), "volume_percentile": below})
+    keys = [f"_g{k}" for k in range(len(by))]
+    rows = df.withColumns(dict(zip(keys, by))).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    rows = materialize(rows)
+    near = F.collect_list(value).over(Window.partitionBy(*keys, F.floor(F.col("_i") / leaf)).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumn(name, F.size(F.filter(near, lambda v: v < F.col(value))).cast("long"))
+    most = rows.agg(F.max("_i")).first()[0] or 0
+    levels = [k for k in range(40) if leaf << k <= most]
+    if levels:
+        block = F.floor(F.col("_i") / F.element_at(F.array(*(F.lit(leaf << k) for k in levels)), F.col("_level") + 1))
+        dealt = rows.select(*keys, "_i", F.col(value).alias("_v"), F.explode(F.array(*map(F.lit, levels))).alias("_level")).withColumn("_block", block)
+        dealt = dealt.withColumns({"_early": F.col("_block") % 2 == 0, "_pair": F.floor(F.col("_block") / 2)})
+        upto = Window.partitionBy(*keys, "_level", "_pair").orderBy("_v", "_early").rowsBetween(Window.unboundedPreceding, 0)
+        counted = dealt.withColumn("_n", F.count_if(F.col("_early") & F.col("_v").isNotNull()).over(upto)).where(~F.col("_early"))
+        far = counted.groupBy(*keys, "_i").agg(F.sum("_n").alias("_far"))
+        out = null_safe_join(out, far, [*keys, "_i"], "left").withColumn(name, F.col(name) + F.coalesce("_far", F.lit(0)))
+    return out.select(*df.columns, name)
+
+
+def volume_surprise(bars: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Volume over its mean at the same hour of all earlier days, and the share of those days below it."""
+    hour = F.hour("bar_start")
+    past = Window.partitionBy("instrument", hour).orderBy("bar_start").rowsBetween(Window.unboundedPreceding, -1)
+    told = bars.withColumns({"_mean": F.avg("volume").over(past), "_seen": F.count("volume").over(past)})
+    told = smaller_before(told, [F.col("instrument"), hour], "bar_start", "volume", "_below", leaf)
+    return told.select(*bars.columns, F.try_divide(F.col("volume"), F.col("_mean")).alias("volume_ratio"), F.try_divide(F.col("_below"), F.nullif(F.col("_seen"), F.lit(0).cast("long"))).alias("volume_percentile"))
 
 
 def basis(marked: DataFrame, n: int = 24) -> DataFrame:
@@ -111,10 +140,36 @@ def regime(df: DataFrame, col: str = "vol", n: int = 24) -> DataFrame:
     return df.withColumn("regime", F.when(full & (F.col(col) > mean + sd), "stressed").when(full & (F.col(col) < mean - sd), "calm").when(full, "normal"))
 
 
-def build_features(bars: DataFrame, lookback: int = 24, version: str = "f1") -> DataFrame:
-    """Returns, volatility, regime and volume z-score with a flag for enough history and the feature version."""
+def build_features(
+    bars: DataFrame, lookback: int = 24, version: str = "f1", width: str = "1 hour", marks: DataFrame | None = None, funding: DataFrame | None = None,
+    interest: DataFrame | None = None, flow: DataFrame | None = None, book: DataFrame | None = None, surprise: bool = False,
+) -> DataFrame:
+    """One table of features of each bar, with a flag for enough history and the feature version.
+
+    Always returns, volatility, regime and volume z-score (W5, W6, W13); with `surprise` W7.
+    Of the tables that are given: `marks` (instrument, bar_start, mark, index) adds W8, `flow`
+    (instrument, bar_start, imbalance) W11. What has times of its own joins point in time, as
+    known at the end of the bar: settled `funding` (instrument, kind, ts, rate) as W9,
+    `interest` (instrument, ts, oi) as W10, `book` (instrument, ts, quotes) as W12.
+    """
     out = regime(volatility(returns(bars), lookback), "vol", lookback).withColumn("volume_z", zscore(F.col("volume").cast("double"), lookback))
-    return out.withColumns({"enough": F.count(F.lit(1)).over(by_bar().rowsBetween(-lookback, 0)) > lookback, "feature_version": F.lit(version)})
+    out = out.withColumns({"enough": F.count(F.lit(1)).over(by_bar().rowsBetween(-lookback, 0)) > lookback, "feature_version": F.lit(version)})
+    if surprise:
+        out = volume_surprise(out)
+    if marks is not None:
+        out = out.join(basis(marks, lookback).select("instrument", "bar_start", "basis", "basis_z"), ["instrument", "bar_start"], "left")
+    if flow is not None:
+        out = out.join(flow.select("instrument", "bar_start", "imbalance"), ["instrument", "bar_start"], "left")
+    timed = out.withColumn("_end", F.col("bar_start") + F.expr(f"interval {width}"))
+    known = lambda df, right, cols: asof_join(df, right, ("_end", "ts"), ["instrument"], cols).drop("matched_ts")
+    if funding is not None:
+        told = funding_deviation(funding).where("kind = 'settled'").select("instrument", "ts", F.col("rate").alias("funding_rate"), F.col("deviation").alias("funding_deviation"))
+        timed = known(timed, told, ["funding_rate", "funding_deviation"])
+    if interest is not None:
+        timed = oi_price_state(known(timed, interest, ["oi"]))
+    if book is not None:
+        timed = known(timed, book_features(book), ["spread", "mid", "book_imbalance"])
+    return timed.drop("_end")
 
 
 # --- labels ---------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.carry import RADIX, bucket_of, compose_all, compose_before, last_known, with_carry
+from tidemark.operators.joins import is_small, null_safe_join
 from tidemark.operators.lineage import materialize
 
 COSTS = ("fee", "spread", "slippage", "impact", "borrow", "funding", "transfer", "failure")
@@ -69,11 +70,13 @@ def average_cost_pnl(fills: DataFrame, by: list[str], order: list[str], bucket:
     return told.select(*names, realised.alias("realised"), "open_qty", F.when(after != 0, F.col("_map.a") * cost + F.col("_map.b")).otherwise(0.0).alias("avg_cost"))
 
 
-def exposure(positions: DataFrame, account: str, instrument: str, notional: str, equity: str | None = None) -> DataFrame:
-    """Gross and net notional per instrument and in total (instrument null), and leverage where equity is given."""
+def exposure(positions: DataFrame, account: str, instrument: str, notional: str, equity: str | None = None, funding_rate: str | None = None) -> DataFrame:
+    """Gross and net notional per instrument and in total (instrument null), leverage where equity is given, and where a funding rate is the funding that the positions pay (negative: receive) at it."""
     aggs = [F.sum(F.abs(notional)).alias("gross"), F.sum(notional).alias("net")]
     if equity:
         aggs.append(F.max(equity).alias("equity"))
+    if funding_rate:
+        aggs.append(F.sum(F.col(notional) * F.coalesce(funding_rate, F.lit(0.0))).alias("funding"))
     out = positions.rollup(account, instrument).agg(*aggs, F.grouping_id().alias("level")).where("level < 3")
     return out.withColumn("leverage", F.try_divide("gross", "equity")) if equity else out
 
@@ -85,11 +88,45 @@ def execution_quality(orders: DataFrame, by: list[str]) -> DataFrame:
     return orders.groupBy(*by).agg(n.alias("orders"), share(F.col("maker")).alias("maker_share"), share(F.col("state") == "F").alias("fill_rate"), share(F.col("state") == "O").alias("open_rate"), share(F.col("state") == "P").alias("partial_rate"), F.avg(F.try_divide(F.col("filled") - F.col("intended"), F.col("intended"))).alias("deviation"))
 
 
-def latency_quantiles(df: DataFrame, by: list[str], col: str, exact: bool = True) -> DataFrame:
-    """P50, P95 and P99; the approximate form for large groups."""
+#: Rows of a group from which exact quantiles are found by selection, and how finely the sketch that narrows it divides ranks.
+LARGE_GROUP, SKETCH = 1_000_000, 10_000
+
+
+def exact_quantiles(df: DataFrame, by: list[str], col: str, quantiles: dict[str, float], sketch: int = SKETCH) -> DataFrame:
+    """Quantiles of each group as `percentile` gives them, without holding its values: a sketch tells an interval that surely holds the two ranks of each quantile, a scan counts what lies below and in it, and only what lies in it is sorted, equal values once."""
+    x = F.col("_x")
+    work = df.select(*by, F.col(col).cast("double").alias("_x")).where(x.isNotNull())
+    names, at = list(quantiles), list(quantiles.values())
+    ends = [p for q in at for p in (max(0.0, q - 3 / sketch), min(1.0, q + 3 / sketch))]
+    told = materialize(work.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, sketch).alias("_e")))
+    everything = F.array(*(F.lit(float(v)) for _ in at for v in ("-inf", "inf")))
+    told = told.withColumn("_e", F.when(F.col("_n") > 10 * sketch, F.col("_e")).otherwise(everything))  # a sketch does not divide the ranks of few rows
+    met = null_safe_join(work, F.broadcast(told) if is_small(told) else told, by, "inner")
+    inside = [(x >= F.col("_e")[2 * k]) & (x <= F.col("_e")[2 * k + 1]) for k in range(len(at))]
+    below = [F.count_if(x < F.col("_e")[2 * k]).alias(f"_b{k}") for k in range(len(at))]
+    counts = met.groupBy(*by).agg(F.max("_n").alias("n"), *below)
+    near = met.select(*by, "_x", F.explode(F.array_compact(F.array(*(F.when(i, k) for k, i in enumerate(inside))))).alias("_k"))
+    values = near.groupBy(*by, "_k", "_x").agg(F.count("*").alias("_c"))
+    values = values.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    j = null_safe_join(values, F.broadcast(counts) if is_small(counts) else counts, by, "inner")
+    last = F.col("_b0") if len(at) == 1 else F.element_at(F.array(*(F.col(f"_b{k}") for k in range(len(at)))), F.col("_k") + 1)
+    place = F.element_at(F.array(*map(F.lit, at)), F.col("_k") + 1) * (F.col("n") - 1)
+    lower, upper = F.floor(place), F.ceil(place)
+    picked = j.withColumns({"_lo": lower, "_hi": upper, "_p": place}).groupBy(*by, "_k", "n").agg(F.min(F.when(last + F.col("_upto") > F.col("_lo"), x)).alias("a"), F.min(F.when(last + F.col("_upto") > F.col("_hi"), x)).alias("b"), F.max("_lo").alias("lo"), F.max("_p").alias("p"))
+    value = F.when(F.col("p") == F.col("lo"), F.col("a")).otherwise((F.col("lo") + 1 - F.col("p")) * F.col("a") + (F.col("p") - F.col("lo")) * F.col("b"))
+    return picked.groupBy(*by, "n").agg(*(F.max(F.when(F.col("_k") == k, value)).alias(name) for k, name in enumerate(names)))
+
+
+def latency_quantiles(df: DataFrame, by: list[str], col: str, exact: bool = True, large: int = LARGE_GROUP, sketch: int = SKETCH) -> DataFrame:
+    """P50, P95 and P99. The exact form takes groups of more than `large` rows by selection; the other one is approximate."""
     q = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    f = (lambda s: F.percentile(col, s)) if exact else (lambda s: F.percentile_approx(col, s, 10_000))
-    return df.groupBy(*by).agg(F.count(col).alias("n"), *(f(s).alias(n) for n, s in q.items()))
+    if not exact:
+        return df.groupBy(*by).agg(F.count(col).alias("n"), *(F.percentile_approx(col, s, 10_000).alias(n) for n, s in q.items()))
+    sizes = df.groupBy(*by).agg(F.count(col).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= large:
+        return df.groupBy(*by).agg(F.count(col).alias("n"), *(F.percentile(col, s).alias(n) for n, s in q.items()))
+    none = sizes.where("_n = 0").select(*by, F.col("_n").alias("n"), *(F.lit(None).cast("double").alias(c) for c in q))
+    return exact_quantiles(df, by, col, q, sketch).unionByName(none)
 
 
 def period_extremes(bt: DataFrame, by: list[str], ts: str = "bar_start") -> DataFrame:
@@ -124,11 +161,13 @@ def target_position(df: DataFrame, signal: str, vol: str, target_vol: float, lim
     return df.withColumns({"target": F.greatest(F.least(raw, F.lit(limit)), F.lit(-limit)), "refused": F.when(F.col(vol).isNull() | (F.col(vol) <= 0), "no-volatility").when(F.col(signal).isNull(), "no-signal")})
 
 
-def scale_ladder(weekly: DataFrame, by: str, week: str, sharpe: str, drawdown: str, weeks: int = 2, good: float = 1.0, deep: float = 0.1) -> DataFrame:
-    """Promote, hold or roll back from trailing weeks: all good Sharpe and shallow drawdown promote, a deep drawdown rolls back."""
+def scale_ladder(weekly: DataFrame, by: str, week: str, sharpe: str, drawdown: str, weeks: int = 2, good: float = 1.0, deep: float = 0.1, slippage_error: str | None = None, wide: float = 0.5) -> DataFrame:
+    """Promote, hold or roll back from trailing weeks: all good Sharpe, shallow drawdown and, where it is told, slippage as modelled promote; a deep drawdown or a slippage error of `wide` or more (either sign) rolls back; an unknown slippage error does not promote."""
     w = Window.partitionBy(by).orderBy(week).rowsBetween(1 - weeks, 0)
     full = F.count(F.lit(1)).over(w) >= weeks
-    return weekly.withColumn("decision", F.when(F.max(drawdown).over(w) >= deep, "roll_back").when(full & (F.min(sharpe).over(w) >= good), "promote").otherwise("hold"))
+    off = F.coalesce(F.max(F.abs(slippage_error)).over(w) >= wide, F.lit(False)) if slippage_error else F.lit(False)
+    told = F.count(slippage_error).over(w) >= weeks if slippage_error else F.lit(True)
+    return weekly.withColumn("decision", F.when((F.max(drawdown).over(w) >= deep) | off, "roll_back").when(full & told & (F.min(sharpe).over(w) >= good), "promote").otherwise("hold"))
 
 
 # --- state machines in batch form ------------------------------------------------

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
-from statistics import NormalDist
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.normal import normal_cdf, normal_quantile
 from tidemark.operators.features import by_bar
 from tidemark.operators.joins import interval_join, is_small, param_grid
 
@@ -50,6 +51,14 @@ def leakage_report(df: DataFrame, available: str, decision: str, label_start: st
     return df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(available) > F.col(decision)).alias("future_features"), F.count_if(F.col(label_start) <= F.col(decision)).alias("early_labels"))
 
 
+def fold_overlap(assigned: DataFrame, key: list[str], label_end: str) -> DataFrame:
+    """By fold of (fold, role, test_start) how many keys are in train and test at once, and how many training labels settle after the test begins; all are leaks."""
+    both = assigned.groupBy("fold", *key).agg(F.bool_or(F.col("role") == "train").alias("_a"), F.bool_or(F.col("role") == "test").alias("_b"))
+    shared = both.groupBy("fold").agg(F.count_if(F.col("_a") & F.col("_b")).alias("shared_keys"))
+    late = assigned.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "test").alias("test_rows"), F.count_if((F.col("role") == "train") & (F.col(label_end) > F.col("test_start"))).alias("late_labels"))
+    return late.join(shared, "fold")
+
+
 def prefix_stability(build, bars: DataFrame, cutoff: Column, key: list[str], cols: list[str]) -> DataFrame:
     """Rows whose features differ if built on the prefix alone; none if nothing looks ahead."""
     full, prefix = build(bars).where(cutoff), build(bars.where(cutoff))
@@ -143,6 +152,13 @@ def factor_ic(df: DataFrame, factor: str, label: str, period: str) -> DataFrame:
     return d.withColumns({"_rf": r(factor), "_rl": r(label)}).groupBy("period").agg(F.count("*").alias("n"), F.corr(factor, label).alias("ic"), F.corr("_rf", "_rl").alias("rank_ic"))
 
 
+def factor_ic_summary(ics: DataFrame) -> DataFrame:
+    """Over the periods the mean of each correlation, its deviation, and their ratio (IR)."""
+    cols = ("ic", "rank_ic")
+    stats = ics.agg(F.count("*").alias("periods"), *(f(c).alias(f"{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_samp))))
+    return stats.withColumns({f"ir_{c}": F.try_divide(f"mean_{c}", F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}"))) for c in cols})
+
+
 def quantile_buckets(df: DataFrame, factor: str, label: str, n: int = 5) -> DataFrame:
     """Mean following return by bucket of the factor within each instrument."""
     d = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
@@ -158,22 +174,15 @@ def correlation_matrix(df: DataFrame, col: str) -> DataFrame:
 
 
 def deflated_sharpe(trials: DataFrame, by: str, value: str) -> DataFrame:
-    """The Sharpe ratio of each trial and the probability that it beats the expected best of that many trials without skill."""
+    """The Sharpe ratio of each trial and the probability that it beats the expected best of that many trials without skill (Bailey and López de Prado), in column arithmetic."""
     s = trials.groupBy(by).agg(F.count(value).alias("n"), (F.avg(value) / F.stddev_samp(value)).alias("sharpe"), F.skewness(value).alias("skew"), (F.kurtosis(value) + 3).alias("kurt"))
-    n_trials, spread = s.agg(F.count("*"), F.var_samp("sharpe")).first()
-    normal, euler = NormalDist(), 0.5772156649015329
-
-    @F.pandas_udf("double")
-    def probability(n: pd.Series, sharpe: pd.Series, skew: pd.Series, kurt: pd.Series, trials: pd.Series, var: pd.Series) -> pd.Series:
-        out = []
-        for a, sr, g3, g4, t, v in zip(n, sharpe, skew, kurt, trials, var.fillna(0.0)):
-            best = math.sqrt(v) * ((1 - euler) * normal.inv_cdf(1 - 1 / t) + euler * normal.inv_cdf(1 - 1 / (t * math.e))) if t > 1 and v > 0 else 0.0
-            scale = 1 - g3 * sr + (g4 - 1) / 4 * sr * sr
-            out.append(normal.cdf((sr - best) * math.sqrt(a - 1) / math.sqrt(scale)) if a > 1 and scale > 0 else None)
-        return pd.Series(out)
-
-    j = s.withColumns({"trials": F.lit(n_trials), "var": F.lit(spread).cast("double")})
-    return j.withColumn("deflated", probability("n", "sharpe", "skew", "kurt", "trials", "var")).select(by, "n", "sharpe", "deflated")
+    all_ = s.agg(F.count("*").cast("double").alias("t"), F.coalesce(F.var_samp("sharpe"), F.lit(0.0)).alias("v"))
+    j = s.crossJoin(F.broadcast(all_))  # one row
+    t, sr, euler = F.col("t"), F.col("sharpe"), 0.5772156649015329
+    best = F.when((t > 1) & (F.col("v") > 0), F.sqrt("v") * ((1 - euler) * normal_quantile(1 - 1 / t) + euler * normal_quantile(1 - 1 / (t * math.e)))).otherwise(0.0)
+    scale = 1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr
+    z = F.when((F.col("n") > 1) & (scale > 0), (sr - best) * F.sqrt(F.col("n") - 1) / F.sqrt(scale))
+    return j.select(by, "n", "sharpe", normal_cdf(z).alias("deflated"))
 
 
 def pbo(returns: DataFrame, config: str, block: str, value: str, spark: SparkSession, blocks: int = 8) -> DataFrame:
@@ -203,20 +212,139 @@ def feature_drift(train: DataFrame, live: DataFrame, col: str, edges: list[float
     return shares(train, "p").join(shares(live, "q"), "bin", "full_outer").agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
 
 
+RIDGE = 1e-3
+
+
+def _sums(features: list[str], label: str, weight: Column | None = None) -> list[Column]:
+    """The sums of products of (1, features) with each other and with the label: all that a least-squares fit needs of its rows."""
+    xs = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
+    w = F.lit(1.0) if weight is None else weight
+    pairs = [F.sum(w * xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(len(xs)) for j in range(i, len(xs))]
+    return pairs + [F.sum(w * x * F.col(label).cast("double")).alias(f"h{i}") for i, x in enumerate(xs)]
+
+
+def _solve_ridge(sums: dict[str, float], p: int, ridge: float = RIDGE) -> list[float] | None:
+    """Intercept and slopes of the least squares with a ridge on the features in units of their deviation; None without rows."""
+    n = sums["g0_0"]
+    if not n:
+        return None
+    mean = np.array([sums[f"g0_{i}"] for i in range(1, p + 1)]) / n
+    cov = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(1, p + 1)] for i in range(1, p + 1)]) / n - np.outer(mean, mean)
+    with_y = np.array([sums[f"h{i}"] for i in range(1, p + 1)]) / n - mean * sums["h0"] / n
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    used = sd > 1e-12 * (1 + np.abs(mean))
+    slopes = np.zeros(p)
+    if used.any():
+        unit = np.outer(sd[used], sd[used])
+        slopes[used] = np.linalg.solve(cov[np.ix_(used, used)] / unit + ridge * np.eye(int(used.sum())), with_y[used] / sd[used]) / sd[used]
+    return [float(sums["h0"] / n - slopes @ mean), *map(float, slopes)]
+
+
+def _predicted(test: DataFrame, models: dict[int, list[float] | None], features: list[str], link=lambda x: x) -> DataFrame:
+    """Test rows with their fold's prediction, or null and the reason."""
+    known = [(k, m) for k, m in models.items() if m is not None]
+    coefs = test.sparkSession.createDataFrame(known, "fold int, _w array<double>").withColumn("fold", F.col("fold").cast(test.schema["fold"].dataType))
+    whole = reduce(lambda a, b: a & b, (F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features))
+    linear = reduce(lambda a, b: a + b, (F.col("_w")[k + 1] * F.col(f) for k, f in enumerate(features)), F.col("_w")[0])
+    out = test.join(F.broadcast(coefs), "fold", "left").withColumn("reason", F.when(F.col("_w").isNull(), "no-model").when(~whole, "null-feature"))
+    return out.withColumn("prediction", F.when(F.col("reason").isNull(), link(linear))).drop("_w").select(*test.columns, "prediction", "reason")
+
+
+def _complete(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    return df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in [*features, label])))
+
+
+def _logistic(train: DataFrame, folds: list[int], features: list[str], label: str, steps: int = 25) -> dict[int, list[float] | None]:
+    """Reweighted least squares of all folds at once: a step is one scan that sums the products of each fold with its weights."""
+    p = len(features)
+    spark, now = train.sparkSession, {k: np.zeros(p + 1) for k in folds}
+    scale = {r["fold"]: np.maximum(np.nan_to_num(np.array([r[f"s{i}"] for i in range(p)], float)), 1e-12) for r in train.groupBy("fold").agg(*(F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features))).collect()}
+    done: dict[int, list[float] | None] = {k: None for k in folds if k not in scale}
+    for _ in range(steps):
+        todo = [k for k in folds if k not in done]
+        if not todo:
+            break
+        coefs = spark.createDataFrame([(k, now[k].tolist()) for k in todo], "fold int, _w array<double>").withColumn("fold", F.col("fold").cast(train.schema["fold"].dataType))
+        linear = reduce(lambda a, b: a + b, (F.col("_w")[i + 1] * F.col(f) for i, f in enumerate(features)), F.col("_w")[0])
+        rows = train.join(F.broadcast(coefs), "fold").withColumn("_p", 1 / (1 + F.exp(-linear))).withColumn("_e", F.col(label) - F.col("_p"))
+        weight = F.col("_p") * (1 - F.col("_p"))
+        grams = [c for c in _sums(features, label, weight)][: (p + 1) * (p + 2) // 2]
+        slopes = [F.sum((F.lit(1.0) if i == 0 else F.col(features[i - 1])) * F.col("_e")).alias(f"e{i}") for i in range(p + 1)]
+        for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *grams, *slopes).collect():
+            k = r["fold"]
+            ridge = RIDGE * r["n"] * np.r_[0.0, scale[k] ** 2]
+            hessian = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)]) + np.diag(ridge)
+            move = np.linalg.lstsq(hessian, np.array([r[f"e{i}"] for i in range(p + 1)]) - ridge * now[k], rcond=None)[0]
+            now[k] = now[k] + move
+            if np.abs(move[1:] * scale[k]).max(initial=abs(move[0])) < 1e-10:
+                done[k] = now[k].tolist()
+    return {k: done.get(k, now[k].tolist()) for k in folds}
+
+
 def fit_folds(df: DataFrame, folds: list[int], features: list[str], label: str, kind: str = "linear", seed: int = 7) -> DataFrame:
-    """M2: one model for each fold on its training rows, predictions for its test rows only. kind: linear, logistic or trees."""
-    from pyspark.ml.classification import LogisticRegression
+    """M2: one model for each fold on its training rows (fold, role), predictions for its test rows only. kind: linear (ridge), logistic (label 0 or 1) or trees.
+
+    Linear models of all folds come from the sums of products of one scan, logistic ones from
+    one such scan a step. A test row with a null feature has a null prediction and the reason
+    `null-feature`; one whose fold has no training rows `no-model`. No folds give no rows.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col("fold").isin(folds)) if folds else df.where("false")
+    test, train = rows.where("role = 'test'"), _complete(rows.where("role = 'train'"), features, label)
+    if kind == "linear":
+        sums = {r["fold"]: r.asDict() for r in train.groupBy("fold").agg(*_sums(features, label)).collect()} if folds else {}
+        return _predicted(test, {k: _solve_ridge(sums[k], len(features)) if k in sums else None for k in folds}, features)
+    if kind == "logistic":
+        return _predicted(test, _logistic(train, folds, features, label) if folds else {}, features, lambda x: 1 / (1 + F.exp(-x)))
+    if kind != "trees":
+        raise ValueError(f"no model of kind {kind}")
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
-
-    make = {"linear": lambda: LinearRegression(featuresCol="_f", labelCol=label, regParam=1e-3), "logistic": lambda: LogisticRegression(featuresCol="_f", labelCol=label, regParam=1e-3), "trees": lambda: GBTRegressor(featuresCol="_f", labelCol=label, maxIter=5, maxDepth=3, seed=seed)}[kind]
-    rows = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="skip").transform(df.where(F.col(label).isNotNull()))
-    out = None
-    for fold in folds:
-        model = make().fit(rows.where((F.col("fold") == fold) & (F.col("role") == "train")))
-        part = model.transform(rows.where((F.col("fold") == fold) & (F.col("role") == "test"))).drop("_f", "rawPrediction", "probability")
-        out = part if out is None else out.unionByName(part)
-    return out
+    from pyspark.ml.regression import GBTRegressor
+
+    vectors = VectorAssembler(inputCols=features, outputCol="_f")
+    out = _predicted(test, {}, features)
+    whole = _complete(test, features, label)
+    told = out.where("false")
+    known = {r["fold"] for r in train.select("fold").distinct().collect()} if folds else set()
+    for fold in sorted(known):
+        model = GBTRegressor(featuresCol="_f", labelCol=label, maxIter=5, maxDepth=3, seed=seed).fit(vectors.transform(train.where(F.col("fold") == fold)))
+        told = told.unionByName(model.transform(vectors.transform(whole.where(F.col("fold") == fold))).withColumn("reason", F.lit(None).cast("string")).select(out.columns))
+    is_whole = reduce(lambda a, b: a & b, (F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features))
+    left = out.where(~F.col("fold").isin(list(known)) | ~is_whole if known else F.lit(True))
+    return told.unionByName(left.withColumn("reason", F.when(F.col("fold").isin(list(known)) if known else F.lit(False), "null-feature").otherwise("no-model")))
+
+
+def predict_oof(df: DataFrame, folds: DataFrame, ts: str, label_end: str, features: list[str], label: str, kind: str = "linear") -> DataFrame:
+    """M2: out-of-fold predictions of unassigned rows for walk-forward folds (S1), training labels settled by the start of the test window.
+
+    A fold trains on the rows whose label is settled by its test start, less those from
+    before its training start. Both are prefixes in time, so the linear fits of all folds are
+    differences of running sums of one scan, in which no row meets a fold. The folds are few
+    and pass through the driver; where labels take longer to settle than the shortest training
+    window, and for other kinds of models, rows are assigned to folds.
+    """
+    if not is_small(folds):
+        raise ValueError("too many folds")
+    plan = sorted(folds.select("fold", "train_start", "test_start").collect(), key=lambda f: f.test_start)
+    numbers = [f.fold for f in plan]
+    test = lambda: assign_folds(df.where(F.col(label).isNotNull()), folds, ts).where("role = 'test'")
+    rows = _complete(df.where(F.col(label_end).isNotNull()), features, label)
+    longest = rows.agg(F.max(F.unix_micros(label_end) - F.unix_micros(ts))).first()[0] if plan else None
+    shortest = min((f.test_start - f.train_start for f in plan), default=None)
+    ordered = all(a.train_start <= b.train_start for a, b in zip(plan, plan[1:]))
+    if kind != "linear" or not ordered or (longest is not None and longest > shortest.total_seconds() * 1e6):
+        return fit_folds(purge(assign_folds(df, folds, ts), label_end), numbers, features, label, kind)
+    edges = lambda name: F.array(*(F.lit(f[name]) for f in plan))
+    if not plan:
+        return fit_folds(df.withColumns({"fold": F.lit(0), "role": F.lit("test")}).where("false"), [], features, label)
+    known = F.size(F.filter(edges("test_start"), lambda e: e < F.col(label_end)))  # the first fold that knows the label
+    gone = F.size(F.filter(edges("train_start"), lambda e: e <= F.col(ts)))  # the first fold that the row is too old for
+    sums = rows.groupBy(known.alias("_known"), gone.alias("_gone")).agg(*_sums(features, label)).collect()
+    models = {}
+    for k, f in enumerate(plan):
+        own = [s for s in sums if s["_known"] <= k < s["_gone"]]
+        names = [c for c in (own[0].asDict() if own else {}) if not c.startswith("_")]
+        models[f.fold] = _solve_ridge({c: sum(s[c] for s in own) for c in names}, len(features)) if own else None
+    return _predicted(test(), models, features)
 
 
 def challenger(champion: DataFrame, other: DataFrame, key: list[str], loss: str) -> DataFrame:

@@ -79,6 +79,13 @@ def token_audit(docs: DataFrame, required: list[str], forbidden: list[str], fold
     )
 
 
+def token_audit_totals(audited: DataFrame) -> DataFrame:
+    """Over all audited documents their lines, bytes and mentions, how many lack or hold what they should not, and pass or fail."""
+    bad = {"without_required": F.size("missing") > 0, "with_forbidden": F.size("forbidden") > 0, "with_traces": F.size("traces") > 0}
+    sums = audited.agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "bytes", "mentions")), *(F.count_if(c).alias(n) for n, c in bad.items()))
+    return sums.withColumn("status", F.when(F.col("without_required") + F.col("with_forbidden") + F.col("with_traces") == 0, "pass").otherwise("fail"))
+
+
 # --- usage -------------------------------------------------------------------------
 def usage_rollup(usage: DataFrame, phase: str = "phase", actor: str = "actor") -> DataFrame:
     """Tokens by phase and actor with subtotals. Cached is part of input and reasoning part of output: neither is added again."""

@@ -72,9 +72,10 @@ def a27_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.decide(table(spark, sf_dir, "orders"), rules).select("o_orderkey", "reasons", "eligible")
 
 
-@query("""select c_custkey from customer where c_custkey not in (select o_custkey from orders)""")
+@query("""select c_custkey from customer where c_custkey not in (select o_custkey from orders) or c_custkey % 9 = 4""")
 def j5_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = table(spark, sf_dir, "orders").select(F.array("o_custkey").alias("files"))
+    """The orders' lists leave out every ninth customer on purpose."""
+    areas = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 9 != 4, F.array(F.col("o_custkey"), F.col("o_custkey"))).otherwise(F.array().cast("array<bigint>")).alias("files"))
     return Q.uncovered(table(spark, sf_dir, "customer").select("c_custkey"), areas, "c_custkey")
 
 

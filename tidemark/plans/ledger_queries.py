@@ -76,6 +76,17 @@ def a20_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(L.exposure(o, "account", "instrument", "notional"), "gross", "net", n=2)
 
 
+@query("""with o as (select o_custkey as account, o_orderstatus as instrument, case when o_orderkey % 2 = 0 then o_totalprice else -o_totalprice end as n, case when o_orderkey % 3 > 0 then (o_orderkey % 7 - 3) * 0.0001 end as rate, c_acctbal as equity from orders join customer on o_custkey = c_custkey)
+    select account, instrument, round(sum(abs(n)), 2) as gross, round(sum(n), 2) as net, round(max(equity), 2) as equity, round(sum(n * coalesce(rate, 0)), 2) as funding, round(sum(abs(n)) / nullif(max(equity), 0), 3) as leverage, grouping(account, instrument)::bigint as level
+    from o group by rollup (account, instrument) having grouping(account, instrument) < 3""")
+def a20_exposure_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leverage and the funding that positions pay; an unknown rate pays nothing."""
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("equity")), "o_custkey")
+    o = o.select(F.col("o_custkey").alias("account"), F.col("o_orderstatus").alias("instrument"), F.when(key % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("notional"), F.when(key % 3 > 0, (key % 7 - 3) * 0.0001).alias("rate"), "equity")
+    return _r(_r(L.exposure(o, "account", "instrument", "notional", "equity", "rate"), "gross", "net", "equity", "funding", n=2), "leverage", n=3)
+
+
 @query(f"""with {FILLS}, f as (select order_id, sum(notional) as filled from fills group by 1)
     select o_orderpriority, count(*) as orders, round(avg(case when o_orderpriority like '4%' or o_orderpriority like '5%' then 1.0 else 0.0 end), 6) as maker_share, round(avg((o_orderstatus = 'F')::int), 6) as fill_rate, round(avg((o_orderstatus = 'O')::int), 6) as open_rate, round(avg((o_orderstatus = 'P')::int), 6) as partial_rate,
     round(avg((filled - o_totalprice) / o_totalprice), 4) as deviation from orders left join f on o_orderkey = order_id group by 1""")
@@ -92,6 +103,12 @@ def a15_latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(L.latency_quantiles(j.select("o_orderpriority", F.abs(F.datediff("l_shipdate", "o_orderdate")).alias("d")), ["o_orderpriority"], "d"), "p50", "p95", "p99", n=4)
 
 
+@query("""select l_returnflag, count(l_extendedprice) as n, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.95), 4) as p95, round(quantile_cont(l_extendedprice, 0.99), 4) as p99 from lineitem group by 1""")
+def a15_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By selection, as groups of over a million rows are."""
+    return _r(L.latency_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", large=0, sketch=100), "p50", "p95", "p99", n=4)
+
+
 @query("""with m as (select user_id, event_id, event_type = 'error' as c, row_number() over (partition by user_id order by ts, event_id) - sum((event_type = 'error')::int) over (partition by user_id order by ts, event_id) as i from events)
     select user_id, min(event_id) as first, max(event_id) as last, count(*) as length from m where c group by user_id, i""")
 def w17_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +144,17 @@ def w21_scale_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntz(L.scale_ladder(w, "event_type", "week", "sharpe", "dd", deep=0.11).select("event_type", "week", "decision"), "week")
 
 
+@query("""with w as (select event_type, date_trunc('week', ts) as week, avg(value) / stddev_samp(value) as sharpe, count(*) filter (where event_id % 10 = 0)::double / count(*) as dd, case when event_type <> 'view' then avg(value) / 100 - 1 end as slip from events group by 1, 2)
+    select event_type, week, case when max(dd) over w2 >= 0.11 or coalesce(max(abs(slip)) over w2 >= 0.02, false) then 'roll_back' when count(*) over w2 >= 2 and count(slip) over w2 >= 2 and min(sharpe) over w2 >= 0.5 then 'promote' else 'hold' end as decision
+    from w window w2 as (partition by event_type order by week rows between 1 preceding and current row)""")
+def w21_scale_ladder_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide slippage error rolls back, an unknown one never promotes."""
+    w = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("week", F.col("ts").cast("timestamp")).alias("week")).agg(
+        (F.avg("value") / F.stddev_samp("value")).alias("sharpe"), (F.count_if(F.col("event_id") % 10 == 0) / F.count("*")).alias("dd"), (F.avg("value") / 100 - 1).alias("slip"))
+    w = w.withColumn("slip", F.when(F.col("event_type") != "view", F.col("slip")))
+    return ntz(L.scale_ladder(w, "event_type", "week", "sharpe", "dd", good=0.5, deep=0.11, slippage_error="slip", wide=0.02).select("event_type", "week", "decision"), "week")
+
+
 # --- batch twins of the streams ------------------------------------------------------
 @query("select event_type, count(*) as n from events group by 1")
 def t1_stream_dedup_twin(spark: SparkSession, sf_dir: str) -> DataFrame:

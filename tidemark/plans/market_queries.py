@@ -297,6 +297,34 @@ def w14_build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntz(out, "bar_start")
 
 
+_END = "bar_start + interval 1 hour"
+
+
+@query(f"""with {BARS}, {_VOL}, {_REGIME}, flow as (select instrument, date_trunc('hour', ts) as bar_start, sum(case when side = 'BUY' then qty else -qty end) / nullif(sum(qty), 0) as imbalance from trades group by 1, 2),
+    bs as (select instrument, bar_start, close / nullif(avg(close) over (partition by bar_start), 0) - 1 as basis from bars),
+    fund as (select instrument, time_bucket(interval '8 hours', ts) as ts, avg(price) as rate from trades where side = 'SELL' group by 1, 2), fd as (select *, case when count(*) over w >= 3 then rate - avg(rate) over w end as dev from fund window w as (partition by instrument order by ts rows between 2 preceding and current row)),
+    oi as (select instrument, ts, max(run) as oi from (select *, sum(case when side = 'BUY' then qty else -qty end) over (partition by instrument order by ts, seq rows between unbounded preceding and current row) as run from trades) group by 1, 2),
+    bk as (select instrument, ts, max(struct_pack(price := price, qty := qty)) as q from trades group by 1, 2), h as (select *, avg(volume) over w as vmean, list(volume) over w as seen from bars window w as (partition by instrument, hour(bar_start) order by bar_start rows between unbounded preceding and 1 preceding)),
+    j as (select rg.*, f.rate, f.dev, o.oi, b.q, imbalance, basis, volume / nullif(vmean, 0) as volume_ratio, len(list_filter(seen, lambda v: v < rg.volume)) / nullif(len(seen), 0) as volume_percentile from rg join flow using (instrument, bar_start) join bs using (instrument, bar_start) join (select instrument, bar_start, vmean, seen from h) hh using (instrument, bar_start)
+        asof left join fd f on f.instrument = rg.instrument and f.ts <= rg.{_END} asof left join oi o on o.instrument = rg.instrument and o.ts <= rg.{_END} asof left join bk b on b.instrument = rg.instrument and b.ts <= rg.{_END}),
+    d as (select *, oi - lag(oi) over {_W}) as a, close - lag(close) over {_W}) as p from j)
+    select instrument, bar_start, round(volume_ratio, 5) as volume_ratio, round(volume_percentile, 6) as volume_percentile, round(case when count(*) over {_L24} >= 24 then (basis - avg(basis) over {_L24}) / nullif(stddev_samp(basis) over {_L24}, 0) end, 3) as basis_z, round(imbalance, 6) as imbalance, round(rate, 5) as funding_rate, round(dev, 4) as funding_deviation,
+        case when a > 0 and p > 0 then 'long_build' when a > 0 and p < 0 then 'short_build' when a < 0 and p > 0 then 'short_cover' when a < 0 and p < 0 then 'long_exit' when a is not null and p is not null then 'flat' end as oi_state,
+        round(q.price, 6) as mid, round(0.02::double * q.qty, 6) as spread, round((2 * q.qty - 100) / 102, 6) as book_imbalance from d""")
+def w14_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 to W13 in one table: what has times of its own as it was known at the end of each bar."""
+    t, b = trades(spark, sf_dir), bars(spark, sf_dir)
+    marks = b.select("instrument", "bar_start", F.col("close").alias("mark"), F.avg("close").over(Window.partitionBy("bar_start")).alias("index"))
+    fund = t.groupBy("instrument", F.window("ts", "8 hours").alias("w"), F.when(F.col("side") == "BUY", "predicted").otherwise("settled").alias("kind")).agg(F.avg("price").alias("rate")).select("instrument", "kind", F.col("w.start").alias("ts"), "rate")
+    run = F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))).over(Window.partitionBy("instrument").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    oi = t.select("instrument", "ts", run.alias("oi")).groupBy("instrument", "ts").agg(F.max("oi").alias("oi"))
+    quote = t.groupBy("instrument", "ts").agg(F.max(F.struct("price", "qty")).alias("q"))
+    book = quote.select("instrument", "ts", (F.col("q.price") - 0.01 * F.col("q.qty")).alias("bid"), (F.col("q.price") + 0.01 * F.col("q.qty")).alias("ask"), (F.col("q.qty") + 1).alias("bid_size"), (101 - F.col("q.qty")).alias("ask_size"))
+    out = X.build_features(b, marks=marks, funding=fund, interest=oi, flow=X.flow_imbalance_by_time(t, "1 hour"), book=book, surprise=True)
+    cols = {"volume_ratio": 5, "volume_percentile": 6, "basis_z": 3, "imbalance": 6, "funding_rate": 5, "funding_deviation": 4, "mid": 6, "spread": 6, "book_imbalance": 6}
+    return ntz(out.select("instrument", "bar_start", "oi_state", *(F.round(c, n).alias(c) for c, n in cols.items())), "bar_start")
+
+
 _LABEL = f"lab as (select *, lead(close, 4) over {_W}) / lead(close, 1) over {_W}) - 1 as label, lead(bar_start, 4) over {_W}) as label_end from bars)"
 
 

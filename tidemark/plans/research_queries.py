@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import normal as N
 from tidemark.operators import features as X
 from tidemark.operators import research as R
 from tidemark.plans.base import BARS, query
@@ -63,6 +64,19 @@ def s4_leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.leakage_report(lab, "available", "decision", "label_start")
 
 
+@query(f"""with {BARS}, {_LABEL}, {_FOLDS}, r as (select *, {_ROLE} as role from lab, folds), wide as (select fold, test_start, label_end, instrument, bar_start, role from r where role is not null union all
+        select fold, test_start, label_end, instrument, bar_start, 'train' from r where role = 'test' and hour(bar_start) = 7),
+    k as (select fold, instrument, bar_start, bool_or(role = 'train') and bool_or(role = 'test') as both_ from wide group by all)
+    select fold, count(*) filter (where role = 'train') as train_rows, count(*) filter (where role = 'test') as test_rows, count(*) filter (where role = 'train' and label_end > test_start) as late_labels,
+        (select count(*) from k where k.fold = wide.fold and both_) as shared_keys from wide group by fold""")
+def s4_fold_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not purged, so labels settle late, and with the test rows of one hour put into train."""
+    lab, folds = _folds(spark, sf_dir)
+    rows = R.assign_folds(lab, folds, "bar_start")
+    leaked = rows.where((F.col("role") == "test") & (F.hour("bar_start") == 7)).withColumn("role", F.lit("train"))
+    return R.fold_overlap(rows.unionByName(leaked), ["instrument", "bar_start"], "label_end")
+
+
 @query(f"""with {BARS}, f as (select instrument, bar_start, lead(close, 4) over {_W}) as ahead from bars), p as (select instrument, bar_start, lead(close, 4) over {_W}) as ahead from bars where bar_start < timestamp '2024-01-15')
     select f.instrument, f.bar_start from f join p using (instrument, bar_start) where f.ahead is distinct from p.ahead""")
 def s5_prefix_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +158,23 @@ def a21_capacity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(R.capacity_curve(_bt(spark, sf_dir), spark, (1.0, 10.0, 100.0)), "net_return", n=4)
 
 
-@query()
+def _horner(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[0]!r}::double"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::double)"
+    return out
+
+
+_CDF_SQL = f"case when z > 0 then 1 - tail else tail end from (select *, case when abs(z) > 37 then 0.0 when abs(z) < 7.07106781186547 then exp(-z * z / 2) * {_horner('abs(z)', N.TAIL[0])} / {_horner('abs(z)', N.TAIL[1])} else exp(-z * z / 2) / ((abs(z) + 1.0 / (abs(z) + 2.0 / (abs(z) + 3.0 / (abs(z) + 4.0 / (abs(z) + 0.65))))) * 2.506628274631) end as tail from z)"
+_TAIL_SQL = "{h0} / {h1}".format(h0=_horner("sqrt(-2 * ln(least(p, 1 - p)))", N.TAILS[0]), h1=_horner("sqrt(-2 * ln(least(p, 1 - p)))", N.TAILS[1]))
+_QUANTILE_SQL = f"case when p < 0.02425 then {_TAIL_SQL} when p > 1 - 0.02425 then -({_TAIL_SQL}) else (p - 0.5) * {_horner('((p - 0.5) * (p - 0.5))', N.MIDDLE[0])} / {_horner('((p - 0.5) * (p - 0.5))', N.MIDDLE[1])} end"
+
+
+@query(f"""with {BARS}, {_GRID}, m as (select threshold, count(net) as n, avg(net) as mu, stddev_samp(net) as sd from g3 group by 1), c as (select g3.threshold, avg(pow(net - mu, 2)) as m2, avg(pow(net - mu, 3)) as m3, avg(pow(net - mu, 4)) as m4 from g3 join m using (threshold) group by 1),
+    s as (select m.threshold, n, mu / sd as sharpe, m3 / pow(m2, 1.5) as skew, m4 / (m2 * m2) as kurt from m join c using (threshold)), a as (select count(*)::double as t, var_samp(sharpe) as v from s),
+    p as (select unnest([1 - 1 / t, 1 - 1 / (t * exp(1))]) as p, unnest([1 - 0.5772156649015329, 0.5772156649015329]) as share from a), q as (select sum(share * ({_QUANTILE_SQL})) as q from p),
+    z as (select threshold, n, sharpe, (sharpe - sqrt(v) * q) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) as z from s, a, q)
+    select threshold, n, round(sharpe, 6) as sharpe, round({_CDF_SQL.split(' from ', 1)[0]}, 6) as deflated from {_CDF_SQL.split(' from ', 1)[1]}""")
 def a22_deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(R.deflated_sharpe(_grid_scores(spark, sf_dir), "threshold", "net"), "sharpe", "deflated")
 
@@ -167,6 +197,14 @@ def a17_factor_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(ntz(R.factor_ic(lab, "ret_4", "label", "week"), "period"), "ic", "rank_ic", n=4)
 
 
+@query(f"""with {BARS}, {_LABEL}, f as (select *, date_trunc('week', bar_start) as period, close / lag(close, 4) over {_W}) - 1 as factor from lab), d as (select * from f where factor is not null and label is not null),
+    k as (select *, rank() over (partition by period order by factor)::double as rf, rank() over (partition by period order by label)::double as rl from d), i as (select period, corr(factor, label) as ic, corr(rf, rl) as rank_ic from k group by 1)
+    select count(*) as periods, round(avg(ic), 4) as mean_ic, round(avg(rank_ic), 4) as mean_rank_ic, round(stddev_samp(ic), 4) as sd_ic, round(stddev_samp(rank_ic), 4) as sd_rank_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 3) as ir_ic, round(avg(rank_ic) / nullif(stddev_samp(rank_ic), 0), 3) as ir_rank_ic from i""")
+def a17_factor_ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.factor_ic_summary(R.factor_ic(X.label_forward_return(X.returns(bars(spark, sf_dir))), "ret_4", "label", "week"))
+    return _r(_r(out, "mean_ic", "mean_rank_ic", "sd_ic", "sd_rank_ic", n=4), "ir_ic", "ir_rank_ic", n=3)
+
+
 @query(f"""with {BARS}, {_LABEL}, f as (select *, close / lag(close, 4) over {_W}) - 1 as factor from lab), d as (select *, ntile(5) over (partition by instrument order by factor, bar_start) as bucket from f where factor is not null and label is not null)
     select instrument, bucket, count(*) as n, round(avg(label), 4) as mean_label from d group by 1, 2""")
 def a18_quantile_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,13 +228,56 @@ def a24_period_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(period_extremes(_bt(spark, sf_dir), ["instrument"]), "worst_day", "best_day", "weekly_drawdown", n=4)
 
 
-@query()
+_X = ("ret_1", "ret_4", "ret_24")
+
+
+def _ridge_sql(where: str) -> str:
+    """Closed form for three features in units of their deviation: Cramer's rule on the correlations plus the ridge."""
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    c = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    slope = lambda k: f"{det([[f'r{i}' if j == k else c[i][j] for j in range(3)] for i in range(3)])} / {det(c)}"
+    sums = ", ".join([f"avg({x}) as m{k}, stddev_pop({x}) as s{k}, covar_pop({x}, label) / stddev_pop({x}) as r{k}" for k, x in enumerate(_X)] + [f"corr({_X[i]}, {_X[j]}) + {0.001 if i == j else 0.0} as c{i}{j}" for i in range(3) for j in range(i, 3)])
+    lags = ", ".join(f"close / lag(close, {n}) over {_W}) - 1 as ret_{n}" for n in (1, 4, 24))
+    return f"""with {BARS}, {_LABEL}, {_FOLDS}, x as (select *, {lags} from lab), t as (select fold, avg(label) as my, {sums} from x, folds
+            where {_ROLE} = 'train' and label_end <= test_start and label is not null and ret_24 is not null and ret_4 is not null and ret_1 is not null group by fold),
+        w as (select *, {", ".join(f"{slope(k)} as w{k}" for k in range(3))} from t)
+        select instrument, bar_start, fold, round(my + {" + ".join(f"w{k} * ({x} - m{k}) / s{k}" for k, x in enumerate(_X))}, 5) as prediction, case when t2.ret_24 is null or t2.ret_4 is null or t2.ret_1 is null then 'null-feature' end as reason
+        from (select x.*, fold as f from x, folds where {_ROLE} = 'test' and {where}) t2 join w on w.fold = t2.f"""
+
+
+def _labelled_folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    lab, folds = _folds(spark, sf_dir)
+    return R.purge(R.assign_folds(lab, folds, "bar_start"), "label_end"), sorted(r.fold for r in folds.select("fold").collect())
+
+
+def _told(out: DataFrame) -> DataFrame:
+    return ntz(out.select("instrument", "bar_start", "fold", F.round("prediction", 5).alias("prediction"), "reason"), "bar_start")
+
+
+@query(_ridge_sql("label is not null"))
 def m2_fit_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge of each fold; test rows without a whole day of history keep a null prediction and its reason."""
+    rows, numbers = _labelled_folds(spark, sf_dir)
+    return _told(R.fit_folds(rows, numbers, list(_X), "label"))
+
+
+@query(_ridge_sql("label is not null"))
+def m2_predict_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from running sums: no row meets a fold."""
     lab, folds = _folds(spark, sf_dir)
-    rows = R.purge(R.assign_folds(lab, folds, "bar_start"), "label_end").where("ret_24 is not null and label is not null")
-    numbers = sorted(r.fold for r in folds.select("fold").collect())
-    out = R.fit_folds(rows, numbers, ["ret_1", "ret_4", "ret_24"], "label")
-    return ntz(out.select("instrument", "bar_start", "fold", F.round("prediction", 6).alias("prediction")), "bar_start")
+    return _told(R.predict_oof(lab, folds, "bar_start", "label_end", list(_X), "label"))
+
+
+@query()
+def m2_fit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, numbers = _labelled_folds(spark, sf_dir)
+    return _told(R.fit_folds(rows.withColumn("up", (F.col("label") > 0).cast("double")), numbers, list(_X), "up", "logistic"))
+
+
+@query()
+def m2_fit_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, numbers = _labelled_folds(spark, sf_dir)
+    return _told(R.fit_folds(rows, numbers, list(_X), "label", "trees"))
 
 
 @query(f"""with {BARS}, {_LABEL}, {_FOLDS}, f as (select *, close / lag(close, 1) over {_W}) - 1 as m from lab), t as (select fold, abs(label) as a, abs(label - m) as b from f, folds where {_ROLE} = 'test' and label is not null and m is not null)

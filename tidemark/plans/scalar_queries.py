@@ -67,6 +67,15 @@ def u6_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.in_range(F.col("ts").cast("timestamp"), start, end).alias("inside"), seconds.alias("seconds"), S.valid_range(start, end).alias("valid"))
 
 
+@query("""select event_id, case when event_id % 3 > 0 then (event_id % 3) * (event_id % 1000) + 0.25 end as seconds from events where (event_id % 3) * (event_id % 1000) > 0 or event_id % 3 = 0
+    union all select event_id, 0.25 from events where event_id % 3 > 0 and event_id % 1000 = 0""")
+def u6_range_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of some seconds and a quarter, and every third one turned round or empty."""
+    start, k = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    end = start + F.make_dt_interval(secs=F.when(k > 0, k * (F.col("event_id") % 1000) + 0.25).otherwise(-(F.col("event_id") % 2)).cast("decimal(18,6)"))
+    return table(spark, sf_dir, "events").select("event_id", S.range_duration(start, end).alias("seconds"))
+
+
 @query("""select event_id, case when event_id % 4 = 1 then null else upper(event_type) || (event_id % 4) end as instrument from events""")
 def n1_normalize_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 4
@@ -107,6 +116,15 @@ def n5_url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", S.url_identity(F.col("url")).alias("key"))
 
 
+@query("""select page_id, case page_id % 6 when 4 then null when 5 then null else 'Owner-' || page_id || '/name.' || (page_id % 6) end as repository from pages""")
+def n5_repository_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with credentials, of the user@host form, with `.git`, slashes and a query; two have too many or too few parts."""
+    name, k = F.concat(F.lit("Owner-"), F.col("page_id"), F.lit("/name."), F.col("page_id") % 6), F.col("page_id") % 6
+    host = F.concat(F.regexp_replace("url", "^([a-z]+://)([^/]+).*$", "$1u:p@$2/"), name)
+    forms = [F.concat(host, F.lit(".git")), F.concat(F.lit(" git@host.example:"), name, F.lit(".git ")), F.concat(host, F.lit("//")), F.concat(F.lit("ssh://git@host.example:22/"), name, F.lit("/")), F.concat(host, F.lit("/tree")), F.lit("https://host.example/alone.git")]
+    return table(spark, sf_dir, "pages").select("page_id", S.repository_identity(F.coalesce(*(F.when(k == i, f) for i, f in enumerate(forms)))).alias("repository"))
+
+
 @query("""select event_id, cast(regexp_extract(props, '-?[0-9]+') as bigint) as k, sha256(props) as body_sha256, length(props) as body_length,
     list_sort([event_type, 'user']) as names, null::varchar as digest from events""")
 def n6_flatten_record(spark: SparkSession, sf_dir: str) -> DataFrame:

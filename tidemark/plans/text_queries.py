@@ -69,6 +69,13 @@ def e7_token_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.token_audit(table(spark, sf_dir, "documents"), [".", ","], ["###"], ["license"], "the").drop("lines")
 
 
+@query("""select count(*) as documents, sum(case when text = '' then 0 else len(string_split(regexp_replace(text, '\n$', ''), chr(10))) end)::bigint as lines, sum(strlen(text))::bigint as bytes, sum((length(text) - length(replace(text, 'the', ''))) // 3)::bigint as mentions,
+    count(*) filter (where not contains(text, '.') or not contains(text, ',')) as without_required, count(*) filter (where contains(text, '###')) as with_forbidden, count(*) filter (where contains(lower(text), 'license')) as with_traces,
+    case when count(*) filter (where not contains(text, '.') or not contains(text, ',') or contains(text, '###') or contains(lower(text), 'license')) = 0 then 'pass' else 'fail' end as status from (select coalesce(text, '') as text from documents)""")
+def e7_token_audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.token_audit_totals(E.token_audit(table(spark, sf_dir, "documents"), [".", ","], ["###"], ["license"], "the"))
+
+
 _USAGE = "u as (select role as phase, case when conv_id % 2 = 0 then 'a' else 'b' end as actor, length(text) as input, (length(text) // 2)::bigint as output, (length(text) // 3)::bigint as cached, (length(text) // 4)::bigint as reasoning from conversations)"
 
 

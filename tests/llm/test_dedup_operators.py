@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -150,8 +151,8 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot, by_count", [(16384, True), (2, True), (16384, False), (2, False)])
-def test_repeats_against_all_windows(spark, hot, by_count):
+@pytest.mark.parametrize("hot", [16384, 2])
+def test_repeats_against_all_windows(spark, hot):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdeéü") for _ in range(rng.randint(1, 7)))
     passage = " ".join(word() for _ in range(60))
@@ -166,17 +167,37 @@ def test_repeats_against_all_windows(spark, hot, by_count):
         texts[k] = body
     texts |= {60: "x" * 1000, 61: "line of text \n" * 60, 62: texts[3], 63: texts[3], 64: "", 65: None, 66: "ab" * 99 + "a", 67: "\x00" * 250, 68: "é" * 150}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumns({"id": F.lit("clash"), "runs": F.lit(1), "n": F.lit(2)})
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, hot=hot, by_count=by_count).collect()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, hot=hot).collect()}
     assert got == plain_removal({k: (t or "").encode() for k, t in texts.items()}, 200)
-    stripped = {r.doc_id: r.text for r in substrings.strip_repeats(docs, hot=hot, by_count=by_count).collect()}
+    stripped = {r.doc_id: r.text for r in substrings.strip_repeats(docs, hot=hot).collect()}
     assert stripped[65] is None and stripped[62] == "" and all("�" not in (t or "") for t in stripped.values())
 
 
-def test_suffix_arrays_alone_find_what_counting_finds(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    counted, sorted_ = (sorted(map(tuple, substrings.remove_repeats(docs, by_count=c).select(*columns).collect())) for c in (True, False))
-    assert counted == sorted_ and sum(r[2] for r in counted) > 0
+def test_shards_against_all_windows():
+    """Entries that stand for copies, in the array of a shard: as all windows of all copies tell."""
+    rng = random.Random(4)
+    for _ in range(60):
+        common = "".join(rng.choice("ab") for _ in range(12))
+        entries = list({"".join(rng.choice("ab") for _ in range(rng.randrange(5, 30))) + common[: rng.randrange(12)] for _ in range(6)})
+        copies = [rng.choice([1, 1, 2, 5]) for _ in entries]
+        length = 5
+        starts = Counter(t[i : i + length] for t, n in zip(entries, copies) for _ in range(n) for i in range(len(t) - length + 1))
+        got = substrings._repeats_in_shard([t.encode() for t in entries], copies, length)
+        assert [g.tolist() for g in got] == [[starts[t[i : i + length]] > 1 for i in range(len(t) - length + 1)] for t in entries]
+
+
+def test_nothing_is_removed_without_the_arrays(spark):
+    """All repeats come out of the shards: without their rows no window is told."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"), F.lit(1).cast("long").alias("n"))
+    assert substrings.repeated_windows(texts).count() > 0
+
+    plain = substrings._sort_shards
+    substrings._sort_shards = lambda length: lambda batches: iter(())
+    try:
+        assert substrings.repeated_windows(texts).count() == 0
+    finally:
+        substrings._sort_shards = plain
 
 
 def test_repeats_odd_rows(spark, odd, empty):

@@ -8,10 +8,12 @@ all documents counted, matches never crossing texts:
    minimizer occurs twice can repeat. The windows that share one minimizer form a
    segment of the text.
 2. Segments are dealt by minimizer. Equal segments are one entry with a count before
-   anything is gathered; the windows of an entry that stands twice repeat.
-3. The distinct segments of a minimizer meet in one shard. Shards are ordered by
-   induced sorting and their permuted common prefixes computed: a window repeats if
-   it shares `length` bytes with a neighbour in the suffix array.
+   anything is gathered.
+3. The entries of a minimizer that occurs twice meet in one shard. Shards are ordered by
+   induced sorting and their permuted common prefixes computed: a window repeats if it
+   shares `length` bytes with a neighbour in the suffix array. The array holds a suffix
+   once for all copies of its entry; where there are copies, one of them is the neighbour,
+   and what they share is the whole suffix. No window is told to repeat in another way.
 4. A minimizer with more than `hot` distinct segments (a passage in very many
    different surroundings) is not gathered: its segments are taken as texts again
    and named by longer minimizers. At the last level the minimizer is the window
@@ -145,8 +147,8 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return texts.select("id", "text").join(by_text, "id").select("text", "cuts").mapInArrow(run, "key long, segment long, n long, text binary")
 
 
-def _repeats_in_shard(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """Of each segment the windows that start elsewhere too, from one suffix array over all of them."""
+def _repeats_in_shard(texts: list[bytes], copies: list[int], length: int) -> list[np.ndarray]:
+    """Of each distinct segment the windows that start elsewhere too, from one suffix array over all of them; a segment stands for its copies."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes + 1) - 1  # of the separators
     s = np.frombuffer(b"\xff".join(texts) + b"\xff\xff", np.uint8) + np.uint8(2)  # UTF-8 has no 0xff: separators are 1, the end is 0
@@ -155,7 +157,7 @@ def _repeats_in_shard(texts: list[bytes], length: int) -> list[np.ndarray]:
     bound = np.r_[np.repeat(ends, sizes + 1), len(s) - 1]
     room = bound - np.arange(len(s))  # bytes up to the separator
     shared = permuted_prefixes(s, sa, room)
-    repeats = np.zeros(len(s), bool)
+    repeats = np.repeat(np.r_[np.array(copies) > 1, False], np.r_[sizes + 1, 1]) & (room >= length)  # the next copy's suffix shares all of it
     both = np.flatnonzero(shared[sa[1:]] >= length) + 1  # neighbours in the array share a window
     repeats[sa[both]] = True
     repeats[sa[both - 1]] = True
@@ -167,7 +169,7 @@ def _runs(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "b": int(b)} for a, b in edge.reshape(-1, 2)]
 
 
-def _sort_shards(length: int, by_count: bool):
+def _sort_shards(length: int):
     def shards(table: pa.Table) -> Iterator[pa.Table]:
         """About SHARD bytes of whole keys."""
         key = table.column("key").to_numpy()
@@ -181,9 +183,7 @@ def _sort_shards(length: int, by_count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key", least=20_000):
             for shard in shards(group):
-                texts = shard.column("text").to_pylist()
-                again = [] if by_count else [t for t, n in zip(texts, shard.column("n").to_pylist()) if n > 1]
-                found = [_runs(f) for f in _repeats_in_shard(texts + again, length)[: len(texts)]]
+                found = [_runs(f) for f in _repeats_in_shard(shard.column("text").to_pylist(), shard.column("n").to_pylist(), length)]
                 kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
                 columns = {c: shard.column(c).combine_chunks() for c in ("key", "segment")} | {"runs": pa.array(found, kind)}
                 yield from pa.table(columns).to_batches()
@@ -191,13 +191,10 @@ def _sort_shards(length: int, by_count: bool):
     return run
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
     """(id, a, b): ranges [a, b) of starts of windows that start elsewhere too, for texts (id, text, n standing n times).
 
-    The ranges of a text may touch but do not overlap. With `by_count` the windows of a
-    segment that stands twice are repeats by its count; without it every segment of a
-    minimizer that stands twice is sorted, those that stand twice as two, and all repeats
-    come from the suffix arrays and their common prefixes (three times the sorting).
+    The ranges of a text may touch but do not overlap.
     """
     rows = materialize(_segments(texts, levels[0], length))
     keys = rows.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
@@ -206,23 +203,19 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int,
     found = rows.join(F.broadcast(keys), "key") if small else materialize(rows.join(keys, "key"))  # read twice; a broadcast join is no work
     classes = found.groupBy("key", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "windows")).alias("first"))
     classes = materialize(classes.select("key", "segment", "n", "first.*"))
-    whole = classes.where("n > 1" if by_count or levels[0] == length else "false").select("key", "segment", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
-    if levels[0] < length:
-        met = classes.groupBy("key").agg(F.count("*").alias("distinct"), F.min("n").alias("least")).where("distinct > 1 and least = 1" if by_count else "distinct > 1 or least > 1")
-        met = materialize(met)  # the join below is then a stage of its own, which deals a hot key out
-        wanted = classes.join(met.select("key", "distinct"), "key")
+    if levels[0] == length:  # a segment is one window here
+        whole = classes.where("n > 1").select("key", "segment", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
+    else:
+        met = materialize(classes.groupBy("key").agg(F.count("*").alias("distinct")))  # the join below is then a stage of its own, which deals a hot key out
+        wanted = classes.join(met, "key")
         cut = _cut(texts, wanted.where(F.col("distinct") <= hot), length)
-        sorted_ = cut.select("key", "segment", "n", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length, by_count), "key long, segment long, runs array<struct<a:int,b:int>>")
-        told = sorted_.where("size(runs) > 0")
-        if by_count:
-            told = told.join(classes.where("n = 1").select("key", "segment"), ["key", "segment"], "left_semi")
-        whole = whole.union(told)
-        crowded = wanted.where(F.col("distinct") > hot)
+        sorted_ = cut.select("key", "segment", "n", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length), "key long, segment long, runs array<struct<a:int,b:int>>")
+        whole = sorted_.where("size(runs) > 0")
         if met.where(F.col("distinct") > hot).limit(1).count():
-            again = materialize(_cut(texts, crowded, length).withColumn("id", F.monotonically_increasing_id()))
-            deeper = repeated_windows(again.select("id", "text", "n"), length, levels[1:], hot, by_count)
+            again = materialize(_cut(texts, wanted.where(F.col("distinct") > hot), length).withColumn("id", F.monotonically_increasing_id()))
+            deeper = repeated_windows(again.select("id", "text", "n"), length, levels[1:], hot)
             runs = deeper.groupBy("id").agg(F.collect_list(F.struct(F.col("a").cast("int"), F.col("b").cast("int"))).alias("runs"))
-            whole = whole.union(runs.join(again.where("n = 1") if by_count else again, "id").select("key", "segment", "runs"))
+            whole = whole.union(runs.join(again, "id").select("key", "segment", "runs"))
     out = found.join(whole, ["key", "segment"]).select("id", "lo", F.explode("runs").alias("r"))
     return out.select("id", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
 
@@ -237,15 +230,15 @@ def _merged(runs: list[dict] | None, length: int) -> np.ndarray:
     return np.c_[r[first, 0], reach[np.r_[first[1:] - 1, len(r) - 1]]]
 
 
-def _runs_by_text(texts: DataFrame, length: int, levels: tuple[int, ...], hot: int, by_count: bool) -> DataFrame:
-    windows = repeated_windows(texts.withColumn("n", F.lit(1).cast("long")), length, levels, hot, by_count)
+def _runs_by_text(texts: DataFrame, length: int, levels: tuple[int, ...], hot: int) -> DataFrame:
+    windows = repeated_windows(texts.withColumn("n", F.lit(1).cast("long")), length, levels, hot)
     return windows.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`; spans are maximal removed runs of bytes."""
     keyed = bucketed(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")), "row")
-    by_text = _runs_by_text(keyed.select(F.col("row").alias("id"), "text"), length, levels, hot, by_count).withColumnRenamed("id", "row")
+    by_text = _runs_by_text(keyed.select(F.col("row").alias("id"), "text"), length, levels, hot).withColumnRenamed("id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,12 +261,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keyed.join(by_text, "row", "left").mapInArrow(run, schema)
 
 
-def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT, by_count: bool = True) -> DataFrame:
+def strip_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS, hot: int = HOT) -> DataFrame:
     """The rows of `docs`, all columns, with the repeated bytes taken out of the text; a character that a cut would halve stays. Null texts stay null."""
     row, runs = unused(docs, "row"), unused(docs, "runs")
     keyed = bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row)
     texts = keyed.select(F.col(row).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    by_text = _runs_by_text(texts, length, levels, hot, by_count).select(F.col("id").alias(row), F.col("runs").alias(runs))
+    by_text = _runs_by_text(texts, length, levels, hot).select(F.col("id").alias(row), F.col("runs").alias(runs))
 
     def strip(text: str | None, found: list[dict] | None) -> str | None:
         if not found or text is None:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from tidemark.llm import licenses, toxicity, weaklabels
@@ -166,3 +167,19 @@ def test_altered_licenses_are_found():
                 score = m["matched"] - 0.3 * (n - m["matched"] + len(inside) - m["matched"])
                 assert score == pytest.approx(whole_alignment(licenses.WORD.findall(t.lower()), own))
     assert found >= 118
+
+
+def test_weak_labels_do_not_depend_on_ids(spark):
+    """The same texts with ids of their own, with one id, and without ids: the same fit."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null").dropDuplicates(["text"])
+    told = []
+    for key in (F.col("doc_id"), F.lit(7).cast("long"), F.lit(None).cast("long")):
+        out, _ = weaklabels.label_and_score(docs.select(key.alias("doc_id"), "text"))
+        told.append(sorted((r.pattern, round(r.posterior, 9), round(r.score, 6)) for r in out.collect()))
+    assert told[0] == told[1] == told[2] and len({s for _, _, s in told[0]}) > 10
+
+
+def test_weak_labels_count_equal_rows(spark):
+    rows = [(k % 3, "A good sentence with words of many kinds. It goes on, and ends.") for k in range(300)] + [(k, f"buy now {k} cheap " * 40) for k in range(30)]
+    out, _ = weaklabels.label_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert out.count() == 330

@@ -27,7 +27,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(folds: int, fold: int):
-    return F.crc32(F.col("doc_id").cast("string")) % folds == fold
+    """Whether a row is held out; one without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,8 +162,8 @@ def features(text: str | Facts | None, known: dict) -> tuple[np.ndarray, np.ndar
     return np.r_[at, own], np.r_[n / f.n, np.ones(len(own))]
 
 
-def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.5, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer on soft labels, by Adagrad over (label, buckets, weights)."""
+def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.5, l2: float = 1e-5, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer on soft labels, by Adagrad over (label, buckets, weights); `weights` are how often each row stands."""
     theta, bias = np.zeros(1 << BITS), 0.0
     if not rows:
         return theta, bias
@@ -171,10 +171,11 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], steps: int = 150, rate
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     used, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
     x = np.concatenate([r[2] for r in rows])
+    share = np.full(len(rows), 1 / len(rows)) if weights is None else weights / weights.sum()
     w, seen, seen_bias = np.zeros(len(used)), np.full(len(used), 1e-10), 1e-10
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[at] * x, len(rows)), -30, 30)))
-        off = (y - p) / len(rows)
+        off = (y - p) * share
         g, gb = np.bincount(at, off[row] * x, len(used)) - l2 * w, off.sum()
         seen += g * g
         seen_bias += gb * gb
@@ -187,29 +188,34 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], steps: int = 150, rate
 def label_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[DataFrame, dict[str, list[float]]]:
     """(id, pattern, posterior, score) for each row of `docs`, and of each labeller the estimated rates of catching poor texts and passing good ones."""
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = read.select(F.xxhash64("id", "text").alias("row"), "text")
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t.as_py()) for t in batch.column(1)], pa.string())], ["id", "pattern"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t.as_py()) for t in batch.column(1)], pa.string())], ["row", "pattern"])
 
-    patterns = checkpoint(map_text(read, vote, "id long, pattern string"))
-    counts = {r.pattern: r["count"] for r in patterns.groupBy("pattern").count().collect()}  # at most 3**labellers rows
+    # equal rows are one entry with a count, whatever ids they have
+    entries = checkpoint(map_text(named, vote, "row long, pattern string").groupBy("row", "pattern").agg(F.count("*").alias("n")))
+    counts = {r.pattern: r.n for r in entries.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most 3**labellers rows
     accuracy, _, posterior = estimate(counts)
-    chosen = patterns.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = entries.groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").limit(sample)
+    texts = named.join(F.broadcast(chosen), "row").groupBy("row", "n").agg(F.first("text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
         for batch in batches:
-            found = [features(t.as_py(), known) for t in batch.column("text")]
+            told = [facts(t.as_py()) for t in batch.column("text")]
+            found = [features(f, known) for f in told]
             lists = [pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pattern"), *lists], ["id", "pattern", "at", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array([votes(f) for f in told], pa.string()), *lists], ["row", "n", "pattern", "at", "x"])
 
-    sampled = checkpoint(read.join(F.broadcast(chosen), "id").mapInArrow(featurise, "id long, pattern string, at array<int>, x array<float>"))
-    got = within(sampled, F.size("at"), MAX_FEATURES, [F.xxhash64("id"), F.col("id"), F.col("pattern")]).toArrow()
-    rows, names = [], got.column("pattern").to_pylist()
+    sampled = checkpoint(texts.mapInArrow(featurise, "row long, n long, pattern string, at array<int>, x array<float>"))
+    got = within(sampled, F.size("at"), MAX_FEATURES, [F.col("row")]).toArrow()
+    rows, names, weights = [], got.column("pattern").to_pylist(), got.column("n").to_numpy()
     at, x = got.column("at").combine_chunks(), got.column("x").combine_chunks()
-    for k in np.argsort(got.column("id").to_numpy(), kind="stable").tolist():
+    order = np.argsort(got.column("row").to_numpy(), kind="stable")
+    for k in order.tolist():
         rows.append((posterior[names[k]], at[k].values.to_numpy().astype(np.int64), x[k].values.to_numpy().astype(float)))
-    theta, bias = fit(rows)
+    theta, bias = fit(rows, weights=weights[order])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()

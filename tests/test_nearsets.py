@@ -49,10 +49,34 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_classes_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,names", [(256, 2048), (3, 2048), (3, 1)])
+def test_classes_against_all_pairs(spark, monkeypatch, block, names):
+    """Also in many small tiles, and with every group of two names taken for a crowded one."""
     monkeypatch.setattr(nearsets, "BLOCK", block)
+    monkeypatch.setattr(nearsets, "NAMES", names)
     rows = texts()
     df = spark.createDataFrame(list(enumerate(rows)), "k bigint, text string")
     got = {r.row: r.class_row for r in nearsets.near_set_classes(df, df.k, df.text).collect()}
     assert [got[k] for k in range(len(rows))] == plain_classes(rows)
+
+
+def test_texts_that_share_a_template_are_not_paired(spark, monkeypatch):
+    """3,000 texts of which three quarters are one template: unlike each other, but in the same bands. Compared by rare shingles, hardly any of them meet."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(90)]
+    rows = [" ".join(template + [word() for _ in range(30)]) for _ in range(3000)]
+    rows += [rows[5] + " more", rows[7].upper()]
+    df = spark.createDataFrame(list(enumerate(rows)), "k bigint, text string")
+    seen = []
+    plain = nearsets._compared
+
+    def compared(state, sets, threshold):
+        seen.append(state.groupBy("key").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0)").first()[0])
+        return plain(state, sets, threshold)
+
+    monkeypatch.setattr(nearsets, "_compared", compared)
+    monkeypatch.setattr(nearsets, "NAMES", 200)
+    got = {r.row: r.class_row for r in nearsets.near_set_classes(df, df.k, df.text).collect()}
+    assert got == {k: {3000: 5, 3001: 7}.get(k, k) for k in range(3002)}
+    assert len(seen) == 2 and sum(seen) < 300_000  # of 4.5 million pairs in every crowded band

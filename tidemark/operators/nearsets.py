@@ -5,7 +5,8 @@ Equal sets are one node. MinHash bands give the candidates: with the defaults a
 whole sets. The pairs of a band group are not emitted: first each group compares its
 members with one of them, its lead, and a member goes by the lead that it is linked to;
 only members that go by different names are compared after that, group by group in tiles
-of two blocks, of which each gives a tree of its links. A text of fewer words than a shingle has its whole
+of two blocks, of which each gives a tree of its links. A group with very many names (texts
+that share a template and no more) is not compared as it stands: see `_by_rare_shingles`. A text of fewer words than a shingle has its whole
 word sequence as its one shingle; texts without words, nulls included, are one set.
 Empty tables give empty results; ties have no effect, a class is named by its smallest row.
 """
@@ -19,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
@@ -29,6 +30,8 @@ SEED = 42
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Members of a band group that a task compares with as many others at a time.
 BLOCK = 256
+#: Names in a band group (about) up to which its members are compared all with all.
+NAMES = 2048
 #: Shingles of a tile that are compared at once.
 COLUMNS = 1 << 15
 
@@ -198,6 +201,43 @@ def _tiles(threshold: float):
     return run
 
 
+def _compared(state: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): links between the components of groups (key, node, component), by tiles of two blocks of a group."""
+    open_ = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
+    open_ = checkpoint(open_.where("a <> b").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    dealt = state.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tiles = dealt.select(F.xxhash64("key", low, high).alias("tile"), "node", "component", (F.col("block") == low).alias("low"), (F.col("block") == high).alias("high"))
+    return tiles.join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "src long, dst long")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set, some hundred thousand at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            h = _set(batch.column("hashes")[k]).view(np.int64)
+            for at in range(0, len(h), 1 << 18):
+                part = h[at : at + (1 << 18)]
+                same = [pa.array(np.full(len(part), v, np.int64)) for v in (batch.column("node")[k].as_py(), batch.column("component")[k].as_py(), len(h))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(part)], ["node", "component", "size", "shingle"])
+
+
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, node, component): other groups for the nodes of crowded band groups, in which all pairs at the threshold meet.
+
+    Shingles are ordered by how many of these sets hold them, rare ones first. Two sets of
+    sizes m and n that are alike share t * max(m, n) shingles at least, so one of the first
+    m - ceil(t * m) + 1 of the one is among the first n - ceil(t * n) + 1 of the other: those are
+    the groups. What a template brings into every text is frequent and stands last.
+    """
+    spread = materialize(nodes.join(sets, "node").select("node", "component", "hashes").mapInArrow(_spread, "node long, component long, size long, shingle long"))
+    counts = checkpoint(spread.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"))
+    ranked = spread.join(counts, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "shingle")))
+    first = ranked.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & F.col("held").isNotNull())
+    return materialize(first.select(F.col("shingle").alias("key"), "node", "component"))
+
+
 def near_set_classes(docs: DataFrame, row: Column, text: Column, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
     """(row, set_row, class_row) for each row of `docs`: the smallest row with an equal set, and the smallest one reached by links. `row` must be distinct, not null, and the same each time that `docs` is read.
 
@@ -221,13 +261,14 @@ def near_set_classes(docs: DataFrame, row: Column, text: Column, threshold: floa
     # a node goes by the lead that it is linked to; rows of a group that go by one name are joined already
     label = led.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.xxhash64("dst")).alias("to"))
     state = groups.join(label, "node", "left").select("key", "node", F.coalesce("to", "node").alias("component"))
-    open_ = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
-    open_ = checkpoint(open_.where("a <> b").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    dealt = state.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    tiles = dealt.select(F.xxhash64("key", low, high).alias("tile"), "node", "component", (F.col("block") == low).alias("low"), (F.col("block") == high).alias("high"))
-    met = tiles.join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "src long, dst long")
+    crowded = checkpoint(state.groupBy("key").agg(F.approx_count_distinct("component").alias("names")).where(F.col("names") > NAMES).select("key"))
+    met = None
+    if not crowded.isEmpty():
+        rare = _by_rare_shingles(state.join(crowded, "key", "left_semi").select("node", "component").distinct(), sets, threshold)
+        met = _compared(rare, sets, threshold)
+        state = state.join(crowded, "key", "left_anti")
+    links = _compared(state, sets, threshold)
+    met = links if met is None else links.union(met)
     found = connected_components(led.union(met))
     classes = nodes.join(found, "node", "left").select("digest", F.col("node").alias("set_row"), F.coalesce("component", "node").alias("class_row"))
     return sketches.select("row", "digest").join(classes, "digest").select("row", "set_row", "class_row")

@@ -106,6 +106,18 @@ def test_contamination_is_checked_word_by_word(spark, monkeypatch):
     bench = spark.createDataFrame([(7, "a b c d e f g h i"), (8, None), (9, "a b c d e f g h")], "item_id int, text string")
     want = sorted([(1, 7, 2), (1, 9, 1), (4, 7, 1), (4, 9, 1)])
     assert sorted(map(tuple, J.contamination(docs, bench).collect())) == want
-    monkeypatch.setattr(J, "_gram_hashes", lambda text, n: F.transform(J.ngrams(text, n), lambda g: F.lit(1).cast("bigint")))  # every n-gram collides
-    monkeypatch.setattr(F, "xxhash64", lambda *cols: F.lit(1).cast("bigint"))
+    assert sorted(map(tuple, J.contamination(docs, bench, bits=0).collect())) == want  # every n-gram collides
+    monkeypatch.setattr(J, "SMALL_ROWS", 0)  # joined by a shuffle
     assert sorted(map(tuple, J.contamination(docs, bench).collect())) == want
+
+
+def test_gram_names_of_blocks():
+    text = b" ".join(b"w%d" % (k % 300) for k in range(5000))
+    whole = J._gram_names(text, 8, 64)
+    assert len(whole) == 300 and all((J._gram_names(text, 8, 64, block) == whole).all() for block in (1, 7, 100, 5000))
+
+
+def test_set_delta_of_nulls(spark):
+    a = spark.createDataFrame([(1, "x"), (1, None), (None, "y")], "g int, m string")
+    b = spark.createDataFrame([(1, "z"), (1, None), (None, "y")], "g int, m string")
+    assert {(r.g, r.m, r.state) for r in J.set_delta_rows(a, b, ["g"], "m").collect()} == {(1, "x", "removed"), (1, "z", "added"), (1, None, "kept"), (None, "y", "kept")}

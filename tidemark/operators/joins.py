@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.carry import bucket_of, last_known, with_carry
-from tidemark.operators.lineage import checkpoint
+from tidemark.operators.lineage import checkpoint, materialize
+
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 #: A side of a range join or a grid up to this many rows is broadcast.
 SMALL_ROWS = 200_000
@@ -128,25 +136,54 @@ def ngrams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *(z[str(k)] for k in range(n)))))
 
 
-def _gram_hashes(text: Column, n: int) -> Column:
-    """The distinct 64-bit hashes of the word n-grams of a lower-cased text."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[^\\s]+"), 0)
-    m = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    shifted = [F.slice(words, F.lit(k + 1), m).alias(str(k)) for k in range(n)]
-    return F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*(z[str(k)] for k in range(n)))))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+def _gram_names(text: bytes, n: int, bits: int, block: int = 1 << 20) -> np.ndarray:
+    """The distinct names (hashes of `bits` bits) of the word n-grams of a text: the words are hashed once, block by block, and n of them combined as a polynomial."""
+    found, carried, at = [np.zeros(0, np.uint64)], np.zeros(0, np.uint64), 0
+    while at < len(text):
+        gap = _BLANK.search(text, at + block) if at + block < len(text) else None
+        end = gap.start() if gap else len(text)
+        words = text[at:end].split()  # at ASCII white space
+        h = np.r_[carried, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))]
+        at, m = end, len(h) - n + 1
+        if m > 0:
+            name = np.zeros(m, np.uint64)
+            for k in range(n):
+                name = (name ^ h[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+                name ^= name >> np.uint64(29)
+            found.append(np.unique(name >> np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64))
+        carried = h[max(m, 0) :] if n > 1 else h[:0]
+    return np.unique(np.concatenate(found))
+
+
+def _named(df: DataFrame, keep: list[str], n: int, bits: int, known: np.ndarray | None = None) -> DataFrame:
+    """(keep, hash) for the n-grams of the column `_words`; of `known` hashes only, if they are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [_gram_names(t.as_buffer().to_pybytes() if t.is_valid else b"", n, bits) for t in batch.column("_words")]
+            if known is not None:
+                names = [x[known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x] if len(known) else x[:0] for x in names]
+            row = pa.array(np.repeat(np.arange(len(names)), [len(x) for x in names]))
+            flat = np.concatenate(names) if names else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in keep), pa.array(flat.view(np.int64))], [*keep, "hash"])
+
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("hash", T.LongType())])
+    return df.select(*keep, F.col("_words").cast("binary").alias("_words")).mapInArrow(run, schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id", bits: int = 64) -> DataFrame:
     """Documents that share word n-grams with a benchmark item, and how many of its n-grams.
 
-    N-grams meet as 64-bit hashes, which are all that is taken from each document; a
-    benchmark of up to SMALL_ROWS n-grams is broadcast, so that nothing of the others is
-    shuffled. What met is then checked word by word in the few texts concerned.
+    N-grams meet by hashed names. Those of a benchmark of up to SMALL_ROWS n-grams go to the
+    tasks, so that only hits leave a document; a larger one is joined. What met is then
+    checked word by word in the few texts concerned.
     """
-    grams = benchmark.select(item_col, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    b = grams.select(item_col, "gram", F.xxhash64(*(F.split("gram", " ")[k] for k in range(n))).alias("hash"))
-    d = docs.select(id_col, F.explode(_gram_hashes(F.col("text"), n)).alias("hash"))
-    met = checkpoint(d.join(F.broadcast(b) if is_small(b) else b, "hash").select(id_col, item_col, "gram"))
+    grams = materialize(benchmark.select(item_col, F.explode(ngrams(F.col("text"), n)).alias("gram")))
+    b = materialize(_named(grams.withColumn("_words", F.col("gram")), [item_col, "gram"], n, bits))
+    small = is_small(b)
+    known = np.sort(np.array([r.hash for r in b.select("hash").distinct().collect()], np.int64).view(np.uint64)) if small else None
+    d = _named(docs.select(id_col, F.lower("text").alias("_words")), [id_col], n, bits, known)
+    met = checkpoint(d.join(F.broadcast(b) if small else b, "hash").select(id_col, item_col, "gram"))
     ids = met.select(id_col).distinct()
     texts = docs.join(F.broadcast(ids) if is_small(ids) else ids, id_col, "left_semi")
     padded = texts.select(id_col, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[^\\s]+"), 0), " "), F.lit(" ")).alias("_words"))
@@ -159,13 +196,19 @@ def merged_names(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     return a.select(col).union(b.select(col)).distinct()
 
 
+def set_delta_rows(before: DataFrame, after: DataFrame, by: list[str], item: str) -> DataFrame:
+    """X2 in rows: (by, item, state) with the state added, removed or kept; a group may have any number of members."""
+    x = before.select(*by, item).distinct().withColumn("_b", F.lit(True))
+    y = after.select(*by, item).distinct().withColumn("_a", F.lit(True))
+    state = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("kept")
+    return null_safe_join(x, y, [*by, item], "full_outer").select(*by, item, state.alias("state"))
+
+
 def set_delta(before: DataFrame, after: DataFrame, by: list[str], item: str) -> DataFrame:
-    """By group the members added, removed and kept, sorted."""
-    x = before.select(*by, item).distinct().withColumn("_b", F.lit(1))
-    y = after.select(*by, item).distinct().withColumn("_a", F.lit(1))
-    j = x.join(y, [*by, item], "full_outer")
-    pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col(item))))
-    return j.groupBy(*by).agg(pick(F.col("_b").isNull()).alias("added"), pick(F.col("_a").isNull()).alias("removed"), pick(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("kept"))
+    """By group the members added, removed and kept, as sorted lists, for groups whose members fit a row; `set_delta_rows` has no such bound."""
+    rows = set_delta_rows(before, after, by, item)
+    pick = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.col(item)))).alias(state)
+    return rows.groupBy(*by).agg(*map(pick, ("added", "removed", "kept")))
 
 
 def bounded_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:

@@ -116,10 +116,13 @@ def capacity_curve(bt: DataFrame, spark: SparkSession, sizes: tuple[float, ...],
 
 
 def param_stability(results: DataFrame, param: str, score: str, radius: float) -> DataFrame:
-    """For each setting the mean and spread of the scores of settings within `radius`."""
+    """For each setting the mean and spread of the scores of settings within `radius`. Settings are dealt to cells of that width, each with the settings of the cells beside it, so no task sorts them all."""
     a = results.select(F.col(param).alias("p"), F.col(score).alias("s"))
-    w = Window.orderBy("p").rangeBetween(-radius, radius)
-    return a.select(F.col("p").alias(param), F.col("s").alias(score), F.avg("s").over(w).alias("near_mean"), (F.max("s").over(w) - F.min("s").over(w)).alias("near_range"))
+    cell = F.floor(F.col("p") / radius) if radius else F.col("p")
+    beside = a.withColumns({"_own": cell, "_cell": F.explode(F.array(cell - 1, cell, cell + 1) if radius else F.array(cell))})
+    w = Window.partitionBy("_cell").orderBy("p").rangeBetween(-radius, radius)
+    told = beside.withColumns({"near_mean": F.avg("s").over(w), "near_range": F.max("s").over(w) - F.min("s").over(w)}).where("_cell = _own")
+    return told.select(F.col("p").alias(param), F.col("s").alias(score), "near_mean", "near_range")
 
 
 def rank_candidates(results: DataFrame, gates: Column, order: list[Column], k: int) -> DataFrame:

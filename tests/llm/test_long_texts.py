@@ -79,5 +79,26 @@ def test_templates_in_parts(spark, monkeypatch):
 def test_languages_by_join(spark, odd, monkeypatch):
     profiles = langid.learn_profiles(odd)
     whole = sorted(map(str, langid.predict(odd, profiles).collect()))
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 0)
+    with monkeypatch.context() as m:
+        m.setattr(langid, "MOST_LANGUAGES", 0)
+        assert sorted(map(str, langid.predict(odd, profiles).collect())) == whole
+    monkeypatch.setattr(langid, "MOST_CELLS", 0)
     assert sorted(map(str, langid.predict(odd, profiles).collect())) == whole
+
+
+def test_a_long_text_through_whole_operators(spark):
+    """4 MB of different words in one row: removal, rules, tokens and packing take it as any other."""
+    import public_tokenizers
+
+    from tidemark.llm import bpe, packing, quality, substrings
+
+    text = " ".join(f"w{k * 2654435761 % 999983}x" for k in range(450_000))
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, text[: 1 << 20], "en", "s"), (3, "short text", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    removed = {r.id: (r.n_bytes, r.n_removed) for r in substrings.remove_repeats(docs).collect()}
+    assert removed == {1: (len(text), 1 << 20), 2: (1 << 20, 1 << 20), 3: (10, 0)}
+    judged = {r.id: (r.n_words, r.base_failed) for r in quality.judge(docs.where("doc_id <> 2")).collect()}
+    assert judged == {1: (450_000, False), 3: (2, True)}
+    told = bpe.encode(docs.where("doc_id = 1"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True).first()
+    assert told.text == text and len(told.ids) > 450_000
+    pieces = packing.pack_documents(docs.where("doc_id <> 2"), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sum(p.length for p in pieces if p.doc_id == 1) > 450_000 and max(p.length for p in pieces) == 4096

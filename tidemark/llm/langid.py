@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_text, materialize, text_slices
 
 SIZE = 300
-#: Up to this number of languages the profiles (SIZE rows of about 16 bytes each) go to every task; more are compared by a join.
-MOST_LANGUAGES = 2000
+#: Up to this number of languages the profiles (SIZE rows of about 16 bytes each) pass the driver, and up to this number of cells of their table (languages by different n-grams, 2 bytes each) that goes to every task; more are compared by a join.
+MOST_LANGUAGES, MOST_CELLS = 2000, 50_000_000
 #: Characters that are counted at once, and distinct n-grams that a task holds before it hands them on.
 COUNT_CHARS, HELD_GRAMS = 1_000_000, 1_000_000
 
@@ -132,7 +132,9 @@ def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_c
     langs = sorted({r.lang for r in rows})
     at_of = {lang: k for k, lang in enumerate(langs)}
     grams = np.unique(np.array([r.gram for r in rows], np.int64))
-    places = np.full((len(langs), len(grams)), -1, np.int64)
+    if len(langs) * len(grams) > MOST_CELLS or size > np.iinfo(np.int16).max:
+        return _predict_by_join(read, profiles, size, list(extra))
+    places = np.full((len(langs), len(grams)), -1, np.int16)
     for r in rows:
         places[at_of[r.lang], np.searchsorted(grams, r.gram)] = r.place - 1
 

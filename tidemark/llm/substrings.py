@@ -11,9 +11,9 @@ all documents counted, matches never crossing texts:
    anything is gathered.
 3. The entries of a minimizer that occurs twice meet in one shard. Shards are ordered by
    induced sorting and their permuted common prefixes computed: a window repeats if it
-   shares `length` bytes with a neighbour in the suffix array. The array holds a suffix
-   once for all copies of its entry; where there are copies, one of them is the neighbour,
-   and what they share is the whole suffix. No window is told to repeat in another way.
+   shares `length` bytes with a neighbour in the suffix array. An entry with copies
+   stands twice in the array, which is found in its place by one sort of the entries. No
+   window is told to repeat in another way.
 4. A minimizer with more than `hot` distinct segments (a passage in very many
    different surroundings) is not gathered: its segments are taken as texts again
    and named by longer minimizers. At the last level the minimizer is the window
@@ -147,20 +147,39 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return texts.select("id", "text").join(by_text, "id").select("text", "cuts").mapInArrow(run, "key long, segment long, n long, text binary")
 
 
-def _repeats_in_shard(texts: list[bytes], copies: list[int], length: int) -> list[np.ndarray]:
-    """Of each distinct segment the windows that start elsewhere too, from one suffix array over all of them; a segment stands for its copies."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes + 1) - 1  # of the separators
+def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as one string, each closed by a separator, and how many bytes follow each place up to its separator."""
     s = np.frombuffer(b"\xff".join(texts) + b"\xff\xff", np.uint8) + np.uint8(2)  # UTF-8 has no 0xff: separators are 1, the end is 0
     s[-1] = 0
-    sa = suffix_array(s)
-    bound = np.r_[np.repeat(ends, sizes + 1), len(s) - 1]
-    room = bound - np.arange(len(s))  # bytes up to the separator
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return s, np.r_[np.repeat(np.cumsum(sizes) - 1, sizes), len(s) - 1] - np.arange(len(s))
+
+
+def _repeats_in_shard(texts: list[bytes], copies: list[int], length: int) -> list[np.ndarray]:
+    """Of each distinct segment the windows that start elsewhere too, from one suffix array of all of them, in which a segment that has copies stands twice.
+
+    Each is sorted once; the suffixes of its second standing follow those of the first one by
+    one, as equal suffixes do.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes + 1) - 1
+    once, _ = _symbols(texts)
+    sa = suffix_array(once)
+    again = [k for k, n in enumerate(copies) if n > 1]
+    s, room = _symbols(texts + [texts[k] for k in again])
+    twin = np.full(len(once), -1, np.int64)
+    at = len(once) - 1
+    for k in again:
+        first = ends[k] - sizes[k]
+        twin[first : ends[k] + 1] = np.arange(at, at + sizes[k] + 1)
+        at += sizes[k] + 1
+    both = np.stack((np.where(sa == len(once) - 1, len(s) - 1, sa), twin[sa]), axis=1).ravel()
+    sa = both[both >= 0]
     shared = permuted_prefixes(s, sa, room)
-    repeats = np.repeat(np.r_[np.array(copies) > 1, False], np.r_[sizes + 1, 1]) & (room >= length)  # the next copy's suffix shares all of it
-    both = np.flatnonzero(shared[sa[1:]] >= length) + 1  # neighbours in the array share a window
-    repeats[sa[both]] = True
-    repeats[sa[both - 1]] = True
+    repeats = np.zeros(len(s), bool)
+    near = np.flatnonzero(shared[sa[1:]] >= length) + 1  # neighbours in the array share a window
+    repeats[sa[near]] = True
+    repeats[sa[near - 1]] = True
     return [repeats[e - n : e - length + 1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 

@@ -71,7 +71,7 @@ def test_canary_is_nowhere(spark):
     row = safe.first()
     assert row.nested["items"][0].safe == "s" and row.m["ok"] == "v" and row.cookie_jar == "kept"
     assert row.numbers == {"password": None, "n": 1} and row.structs["token"] is None and row.structs["x"].v == "kept" and row.inner["x"].q == 2
-    assert row.js == '{"a":[{"Token":"<redacted>","c":1}]}' and row.bad_js == "no json, <redacted>" and row.no_js is None
+    assert row.js == '{"a": [{"Token": "<redacted>", "c": 1}]}' and row.bad_js == "no json, <redacted>" and row.no_js is None
 
 
 @pytest.mark.parametrize("text, want", [

@@ -261,8 +261,11 @@ def near_set_classes(docs: DataFrame, row: Column, text: Column, threshold: floa
     # a node goes by the lead that it is linked to; rows of a group that go by one name are joined already
     label = led.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.xxhash64("dst")).alias("to"))
     state = groups.join(label, "node", "left").select("key", "node", F.coalesce("to", "node").alias("component"))
-    crowded = checkpoint(state.groupBy("key").agg(F.approx_count_distinct("component").alias("names")).where(F.col("names") > NAMES).select("key"))
-    met = None
+    large = checkpoint(state.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > NAMES).select("key"))
+    crowded, met = large, None
+    if not large.isEmpty():  # names are counted in large groups only: a count of them is dear, and hardly any group is large
+        names = state.join(large, "key", "left_semi").groupBy("key").agg(F.approx_count_distinct("component").alias("names"))
+        crowded = checkpoint(names.where(F.col("names") > NAMES).select("key"))
     if not crowded.isEmpty():
         rare = _by_rare_shingles(state.join(crowded, "key", "left_semi").select("node", "component").distinct(), sets, threshold)
         met = _compared(rare, sets, threshold)

@@ -13,7 +13,9 @@ all documents counted, matches never crossing texts:
    induced sorting and their permuted common prefixes computed: a window repeats if it
    shares `length` bytes with a neighbour in the suffix array. An entry with copies
    stands twice in the array, which is found in its place by one sort of the entries. No
-   window is told to repeat in another way.
+   window is told to repeat in another way. An entry that is the only one of its minimizer
+   meets no other entry; those that follow one another in a text are sorted as one string,
+   so the bytes in which they overlap are sorted once.
 4. A minimizer with more than `hot` distinct segments (a passage in very many
    different surroundings) is not gathered: its segments are taken as texts again
    and named by longer minimizers. At the last level the minimizer is the window
@@ -127,24 +129,43 @@ def _segments(texts: DataFrame, k: int, length: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, segment long, id long, lo int, windows int, n long")
 
 
+def _chains(cuts: list[dict], most: int) -> Iterator[list[dict]]:
+    """The cuts of a text: each by itself, but those that are `alone` with the ones that follow them window by window, up to `most` windows."""
+    chain: list[dict] = []
+    for c in sorted(cuts, key=lambda c: c["lo"]):
+        if not c["alone"]:
+            yield [c]
+            continue
+        if chain and (chain[-1]["lo"] + chain[-1]["windows"] != c["lo"] or c["lo"] - chain[0]["lo"] >= most):
+            yield chain
+            chain = []
+        chain.append(c)
+    if chain:
+        yield chain
+
+
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, segment, n, text): the bytes of the wanted segments (key, segment, n, id, lo, windows)."""
+    """(key, n, text, parts): the bytes of the wanted segments (key, segment, n, id, lo, windows, alone), and which segments they hold one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_kind = pa.list_(pa.struct([("key", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32())]))
         for batch in batches:
             for part in text_slices(batch):
-                names = ("key", "segment", "n")
-                out: dict[str, list] = {"key": [], "segment": [], "n": [], "text": []}
+                out: dict[str, list] = {"key": [], "n": [], "text": [], "parts": []}
                 for value, cuts in zip(part.column("text"), part.column("cuts")):
                     text = value.as_buffer()
-                    for c in cuts.as_py():
-                        out["text"].append(text.slice(c["lo"], c["windows"] + length - 1).to_pybytes())
-                        for x in names:
-                            out[x].append(c[x])
-                yield pa.RecordBatch.from_pydict({**{x: pa.array(out[x], pa.int64()) for x in names}, "text": pa.array(out["text"], pa.binary())})
+                    for chain in _chains(cuts.as_py(), CHUNK):
+                        lo, hi = chain[0]["lo"], chain[-1]["lo"] + chain[-1]["windows"]
+                        out["key"].append(chain[0]["key"])
+                        out["n"].append(min(c["n"] for c in chain))
+                        out["text"].append(text.slice(lo, hi - lo + length - 1).to_pybytes())
+                        out["parts"].append([{x: c[x] for x in ("key", "segment", "windows")} for c in chain])
+                kinds = {"key": pa.int64(), "n": pa.int64(), "text": pa.binary(), "parts": part_kind}
+                yield pa.RecordBatch.from_pydict({x: pa.array(out[x], kind) for x, kind in kinds.items()})
 
-    by_text = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "segment", "n", "lo", "windows")).alias("cuts"))
-    return texts.select("id", "text").join(by_text, "id").select("text", "cuts").mapInArrow(run, "key long, segment long, n long, text binary")
+    by_text = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "segment", "n", "lo", "windows", "alone")).alias("cuts"))
+    schema = "key long, n long, text binary, parts array<struct<key:long,segment:long,windows:int>>"
+    return texts.select("id", "text").join(by_text, "id").select("text", "cuts").mapInArrow(run, schema)
 
 
 def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +223,17 @@ def _sort_shards(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key", least=20_000):
             for shard in shards(group):
-                found = [_runs(f) for f in _repeats_in_shard(shard.column("text").to_pylist(), shard.column("n").to_pylist(), length)]
-                kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-                columns = {c: shard.column(c).combine_chunks() for c in ("key", "segment")} | {"runs": pa.array(found, kind)}
-                yield from pa.table(columns).to_batches()
+                found = _repeats_in_shard(shard.column("text").to_pylist(), shard.column("n").to_pylist(), length)
+                out: dict[str, list] = {"key": [], "segment": [], "runs": []}
+                for flags, parts in zip(found, shard.column("parts").to_pylist()):
+                    at = 0
+                    for p in parts:
+                        out["key"].append(p["key"])
+                        out["segment"].append(p["segment"])
+                        out["runs"].append(_runs(flags[at : at + p["windows"]]))
+                        at += p["windows"]
+                kinds = {"key": pa.int64(), "segment": pa.int64(), "runs": pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))}
+                yield pa.RecordBatch.from_pydict({c: pa.array(out[c], kind) for c, kind in kinds.items()})
 
     return run
 
@@ -227,14 +255,14 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, levels: tuple[int,
     else:
         met = materialize(classes.groupBy("key").agg(F.count("*").alias("distinct")))  # the join below is then a stage of its own, which deals a hot key out
         wanted = classes.join(met, "key")
-        cut = _cut(texts, wanted.where(F.col("distinct") <= hot), length)
-        sorted_ = cut.select("key", "segment", "n", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length), "key long, segment long, runs array<struct<a:int,b:int>>")
+        cut = _cut(texts, wanted.where(F.col("distinct") <= hot).withColumn("alone", F.col("distinct") == 1), length)
+        sorted_ = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length), "key long, segment long, runs array<struct<a:int,b:int>>")
         whole = sorted_.where("size(runs) > 0")
         if met.where(F.col("distinct") > hot).limit(1).count():
-            again = materialize(_cut(texts, wanted.where(F.col("distinct") > hot), length).withColumn("id", F.monotonically_increasing_id()))
+            again = materialize(_cut(texts, wanted.where(F.col("distinct") > hot).withColumn("alone", F.lit(False)), length).withColumn("id", F.monotonically_increasing_id()))
             deeper = repeated_windows(again.select("id", "text", "n"), length, levels[1:], hot)
             runs = deeper.groupBy("id").agg(F.collect_list(F.struct(F.col("a").cast("int"), F.col("b").cast("int"))).alias("runs"))
-            whole = whole.union(runs.join(again, "id").select("key", "segment", "runs"))
+            whole = whole.union(runs.join(again, "id").select("key", F.col("parts")[0]["segment"].alias("segment"), "runs"))
     out = found.join(whole, ["key", "segment"]).select("id", "lo", F.explode("runs").alias("r"))
     return out.select("id", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
 

@@ -52,7 +52,7 @@ HOT = 16384
 #: Repeated minimizers up to this number are broadcast (about 30 bytes each), more are joined by a shuffle.
 KEYS_BROADCAST = 1_000_000
 #: Bytes of a text whose minimizers are worked out at once, and bytes of a shard.
-CHUNK, SHARD = 1 << 19, 1 << 20
+CHUNK, SHARD = 1 << 19, 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 

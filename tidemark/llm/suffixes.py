@@ -78,29 +78,30 @@ def _induce_wide(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.
 
 
 def _induce_narrow(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The same, symbol by symbol."""
+    """The same, symbol by symbol. The symbol before each place is looked up once: -1 if that suffix is of the other type, at place 0, and at -1 (a free place)."""
     n = len(s)
     ends = np.cumsum(sizes)
-    sym, small = s.tolist(), smaller.tolist()
-    sa = [-1] * n
-    tail = ends.tolist()
-    for p in reversed(lms.tolist()):
-        c = sym[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
+    before = np.full((2, n + 1), -1, np.int64)
+    before[0, 1:n][~smaller[:-1]] = s[:-1][~smaller[:-1]]
+    before[1, 1:n][smaller[:-1]] = s[:-1][smaller[:-1]]
+    larger_before, smaller_before = before.tolist()
+    seed = s[lms]
+    n_seed = np.bincount(seed, minlength=len(sizes))
+    start = np.full(n, -1, np.int64)  # leftmost-smaller suffixes at the ends of their buckets
+    start[(ends - np.cumsum(n_seed))[seed] + np.arange(len(lms))] = lms
+    sa = start.tolist()
     head = (ends - sizes).tolist()
     for p in sa:  # the list grows rightwards of the place being read
-        if p > 0 and not small[p - 1]:
-            c = sym[p - 1]
+        c = larger_before[p]
+        if c >= 0:
             sa[head[c]] = p - 1
             head[c] += 1
-    tail = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        p = sa[k]
-        if p > 0 and small[p - 1]:
-            c = sym[p - 1]
-            tail[c] -= 1
+    tail = (ends - 1).tolist()
+    for p in reversed(sa):
+        c = smaller_before[p]
+        if c >= 0:
             sa[tail[c]] = p - 1
+            tail[c] -= 1
     sa[0] = n - 1
     return np.array(sa, np.int64)
 

@@ -5,8 +5,8 @@ template's `k`-word strings the smallest of every `window` neighbours is kept in
 inverted index, hash -> (template, place). A text's words get the same treatment, so
 any run of ``window + k - 1`` words that it shares with a template gives a common
 fingerprint. Fingerprints that agree on the diagonal, up to `band` words, make one
-candidate, if they are enough for the template's length; an alignment of the whole template with the text within the band of that
-diagonal gives the matched words. A match covers at least `coverage` of the template's
+candidate, be it a single one; an alignment of the whole template with the text within
+the band of that diagonal gives the matched words. A match covers at least `coverage` of the template's
 words; of matches that overlap in a text the one with most matched words stays, then
 the better coverage, then the first name.
 
@@ -38,8 +38,6 @@ WORD = re.compile(r"[^\W_]+")
 K, WINDOW, BAND, COVERAGE = 3, 2, 16, 0.8
 #: Up to this number of fingerprints the index goes to every task; more are searched in parts of that size.
 MOST_FINGERPRINTS = 2_000_000
-#: A candidate has one common fingerprint at least for so many words of its template. A text that covers 0.8 of them with evenly spread changes has one for every 5.
-WORDS_A_HIT = 20
 #: Words of a text that are fingerprinted at a time.
 WORDS_AT_ONCE = 1 << 20
 
@@ -184,9 +182,7 @@ def scan(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE)
         for k in range(1, len(found) + 1):
             if k < len(found) and found[k] - found[first] <= near:
                 continue
-            hits, middle, first = k - first, found[(first + k - 1) // 2], k
-            if hits < len(words) // WORDS_A_HIT:
-                continue
+            middle, first = found[(first + k - 1) // 2], k
             pairs = align(words, ids, middle, near)
             share = len(pairs) / len(words)
             if share >= coverage:

@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies (Jaccard similarity of 5-word shingles of 0.8 or more) stays, that of the smallest id."""
+    """One row of each class of near copies stays, that of the smallest id: linked by fingerprints that differ in 3 bits at most, or by a Jaccard similarity of 5-word shingles of 0.8 or more."""
     row = unused(docs, "row")
     keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     classes = materialize(simhash.near_copies(keyed, F.col(row)).join(keyed.select(F.col(row).alias("row"), "doc_id"), "row"))

@@ -39,3 +39,14 @@ def test_mixing_stage_is_the_same_each_time(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one, other = (sorted(r.doc_id for r in corpus_pipeline.mixing_stage(spark, d, SF).collect()) for d in (docs, docs.repartition(7)))
     assert one == other and 0 < len(one) <= docs.count()
+
+
+def test_near_copy_stage_links_by_fingerprints(spark):
+    from tidemark.llm.simhash import fingerprint
+
+    said = " ".join(f"word{k}" for k in range(40))
+    rows = [" ".join([said] * 60 + [f"tail{t}x{k}" for k in range(200)]) for t in range(2)] + ["some other text that is of no one's kind at all"]
+    bits = [fingerprint(t, 5) for t in rows]
+    assert (bits[0] ^ bits[1]).bit_count() <= 3 and plain_classes(rows) == [0, 1, 2]  # beyond the sets' similarity
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(rows)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()) == [0, 2]

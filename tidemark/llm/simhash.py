@@ -19,8 +19,9 @@ empty results. Long texts are hashed block by block.
 
 Three differing bits find copies with an edit or two. A pair at a Jaccard similarity of
 0.8 differs in about 10 of 64 bits, so two fingerprints of 64 bits that far apart are
-out of the reach of any anchors that still part strangers: `near_copies`, for 5-word
-shingles at 0.8 and more, takes its candidates from MinHash bands (README).
+out of the reach of any anchors that still part strangers: `near_copies` takes the links
+of the fingerprints and adds those of 5-word shingle sets at 0.8 and more, whose
+candidates come from MinHash bands (README).
 """
 
 from __future__ import annotations
@@ -150,6 +151,18 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, row: Column, text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, set_row, class_row): classes of texts whose shingle sets have a Jaccard similarity of `similarity` or more; `row` is as in `near_set_classes`."""
-    return near_set_classes(docs, row, F.col(text_col), similarity, words_in_shingle)
+def near_copies(docs: DataFrame, row: Column, text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, threshold: int = 3) -> DataFrame:
+    """(row, class_row): classes of near copies, named by their smallest row; `row` is as in `near_set_classes`.
+
+    Two texts are linked if their fingerprints differ in `threshold` bits at most (found at
+    the anchors), and also if their shingle sets have a Jaccard similarity of `similarity`
+    or more: what is beyond the anchors' reach is found and checked on whole sets. The
+    classes are those of all these links together.
+    """
+    by_print = simhash_classes(docs.select(row.cast("long").alias("row"), F.col(text_col).alias("text")), "row", "text", words_in_shingle, threshold)
+    by_set = near_set_classes(docs, row, F.col(text_col), similarity, words_in_shingle)
+    both = materialize(by_set.select("row", "class_row").join(by_print.select(F.col("id").alias("row"), "component_id"), "row"))
+    # a class goes by one of its rows, so rows join the classes of the one kind with those of the other
+    links = both.where("class_row <> component_id").select(F.col("class_row").alias("src"), F.col("component_id").alias("dst")).distinct()
+    found = connected_components(links)
+    return both.join(found, F.col("class_row") == F.col("node"), "left").select("row", F.coalesce("component", "class_row").alias("class_row"))

@@ -83,7 +83,7 @@ def a20_exposure_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leverage and the funding that positions pay; an unknown rate pays nothing."""
     key = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("equity")), "o_custkey")
-    o = o.select(F.col("o_custkey").alias("account"), F.col("o_orderstatus").alias("instrument"), F.when(key % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("notional"), F.when(key % 3 > 0, (key % 7 - 3) * 0.0001).alias("rate"), "equity")
+    o = o.select(F.col("o_custkey").alias("account"), F.col("o_orderstatus").alias("instrument"), F.when(key % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("notional"), F.when(key % 3 > 0, (key % 7 - 3) / 10_000).alias("rate"), "equity")
     return _r(_r(L.exposure(o, "account", "instrument", "notional", "equity", "rate"), "gross", "net", "equity", "funding", n=2), "leverage", n=3)
 
 

@@ -26,3 +26,16 @@ def test_hints_stand_in_every_match():
                 met.add(k)
                 assert any(h in (text if cased else text.lower()) for h in hints)
     assert len(met) == len(S.secret_formats())
+
+
+def test_slugs_are_made_without_python(spark):
+    import unicodedata
+
+    one, many = S.ascii_forms()
+    every = [(f"a {c}b",) for c in [*list(one)[::7], *many]] + [("[tag] Ünïcode… ½ straße 漢字 ﬁn № éa \U0001d400x",), ("漢" * 3000 + " late wörd",), ("w " * 490 + "half" * 9 + " é",), ("",), (None,)]
+    df = spark.createDataFrame(every, "t string")
+    out = df.select("t", S.slugify(F.col("t")).alias("slug"))
+    assert "Python" not in plan(out) and "Pandas" not in plan(out)
+    for t, slug in out.collect():
+        bare = unicodedata.normalize("NFKD", re.sub(r"^\s*\[[^\]]+\]\s*", "", t or "")).encode("ascii", "ignore").decode().lower()
+        assert slug == ("-".join(re.findall("[0-9a-z]+", bare)[:12]) or "task"), t

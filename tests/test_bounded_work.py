@@ -39,3 +39,9 @@ def test_slugs_are_made_without_python(spark):
     for t, slug in out.collect():
         bare = unicodedata.normalize("NFKD", re.sub(r"^\s*\[[^\]]+\]\s*", "", t or "")).encode("ascii", "ignore").decode().lower()
         assert slug == ("-".join(re.findall("[0-9a-z]+", bare)[:12]) or "task"), t
+
+
+def test_lines_are_cut_once_in_a_plan(spark):
+    df = spark.createDataFrame([("# H\nA: 1\nB: 2\n# N\nA: 3",)], "t string").select(S.extract_fields(F.col("t"), "# H", ["a", "b"]).alias("f")).select("f.*")
+    assert plan(df).count("split(") == 1
+    assert df.first().asDict() == {"status": "ok", "a": "1", "b": "2"}

@@ -128,3 +128,45 @@ def test_equal_maps_have_one_id(spark):
     df = spark.sql("select map('a', 1, 'b', 2) as m union all select map('b', 2, 'a', 1)")
     assert df.select(I.snapshot_id(["m"], df.schema)).distinct().count() == 1
     assert R.register_run(df, spark.createDataFrame([], "run_id string"), ["m"]).count() == 1
+
+
+def test_order_states_in_tables_across_batches(spark, tmp_path, histories):
+    """As above with the states in tables; a batch that is run again changes nothing."""
+    from test_stream_state import run_last_batch_again
+
+    rows = sorted({(e[0], e[1], e[2], k) for k, events in histories.items() for e in events})
+    parts = [[r for r in rows if r[0] == b] for b in range(5)]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for b, part in enumerate(parts):
+        again = {r[3]: r for r in sorted(parts[b - 1])}.values() if b else []
+        spark.createDataFrame([(r[3], r[0], r[1], r[2]) for r in [*part, *again]], "k int, ts int, seq int, kind string").coalesce(1).write.mode("append").parquet(path)
+    files = lambda: spark.readStream.schema("k int, ts int, seq int, kind string").option("maxFilesPerTrigger", 1).parquet(path)
+    for again in (False, True):
+        if again:
+            run_last_batch_again(out)
+        got = {r.key: (r.state, r.illegal) for r in T.order_states_stream(files(), out, "k").collect()}
+        assert got == {k: fold(events) for k, events in histories.items()}
+
+
+def test_kill_switch_with_late_events(spark, tmp_path):
+    """A reset and a severity that come a batch late count at their own time, as in the batch form, and no Python runs."""
+    schema = "k int, ts int, seq int, severity int, reset boolean"
+    batches = [[(1, 5, 1, 2, False), (2, 1, 2, 1, False), (3, 9, 3, 3, True)], [(1, 4, 4, 0, True), (2, 3, 5, 0, True), (3, 8, 6, 2, False), (4, 1, 7, 0, False)], [(2, 4, 8, 1, False), (2, 4, 9, 0, None)]]
+    path = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    switch = T.kill_switch_stream(stream, "k")
+    assert "Python" not in switch._jdf.queryExecution().analyzed().toString()
+    assert {r.key: r.switch for r in T.last_states(switch, str(tmp_path / "out")).collect()} == {1: "HALT", 2: "REDUCE_ONLY", 3: "NORMAL", 4: "NORMAL"}
+
+
+def test_batches_of_many_files(spark, tmp_path, monkeypatch):
+    from tidemark.plans import stream_queries as Q
+
+    monkeypatch.setattr(Q, "MANY_ROWS", 100)
+    stream = Q._in_files(spark, spark.range(1200), "cast(id % 3 as int)", 3)
+    query = stream.withColumn("b", stream["id"] % 3).writeStream.foreachBatch(lambda df, k: seen.append((sorted(r.b for r in df.select("b").distinct().collect()), df.count())))
+    seen = []
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [([k], 400) for k in range(3)]

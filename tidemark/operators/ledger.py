@@ -200,20 +200,49 @@ def order_state(events: DataFrame, key: str, order: list[str], kind: str, bucket
     An event is a function from the eight states to a state and a count of illegal
     transitions. Functions compose, so a history of any length is a mergeable aggregate.
     """
+    return order_states(order_histories(events, key, order, kind, bucket, radix), key)
+
+
+def order_states(histories: DataFrame, key: str) -> DataFrame:
+    """What `order_histories` tell, by names."""
+    names = F.array(*(F.lit(s or "UNKNOWN") for s in ORDER_STATES))
+    return histories.select(key, names[F.col("at")].alias("state"), F.col("illegal").cast("int").alias("illegal"))
+
+
+#: The bucket of the events that histories go on from, before all others.
+_KNOWN = -(1 << 62)
+
+
+def order_histories(events: DataFrame, key: str, order: list[str], kind: str, bucket: int | None = None, radix: int = RADIX, known: DataFrame | None = None) -> DataFrame:
+    """(key, at, illegal) for each order, `at` the number of its state; with `known`, histories so far that these events follow, also `last`, the last event of each order."""
+    last = F.struct(*order, "_kind")
     rows = events.select(F.col(key), *(F.col(c) for c in dict.fromkeys(order) if c != key), F.coalesce(kind, F.lit("")).alias("_kind")).dropDuplicates()
+    at = bucket_of(rows, order[0], bucket)
+    if known is not None:
+        told = null_safe_join(rows, known.select(key, F.col("last").alias("_told")), [key], "left")
+        rows = told.where(~F.coalesce(last.eqNullSafe(F.col("_told")), F.lit(False))).drop("_told").withColumn("_known", F.lit(False))
+        rows = materialize(rows.unionByName(known.select(key, "last.*", F.lit(True).alias("_known"))))
+        at = F.when(F.col("_known"), F.lit(_KNOWN)).otherwise(at)
     rows = rows.withColumns({"_last": F.col("_kind"), "_n": F.lit(1).cast("long")})
-    rows = with_carry(rows, [key], bucket_of(rows, order[0], bucket), {"_last": (F.max_by("_kind", F.struct(*order, "_kind")), last_known), "_n": (F.count("*"), F.sum)})
+    rows = with_carry(rows, [key], at, {"_last": (F.max_by("_kind", last), last_known), "_n": (F.count("*"), F.sum)})
     w = Window.partitionBy(key, "_b").orderBy(F.desc("_carry"), *order, "_kind")
     rows = rows.withColumns({"_seen": last_known(F.col("_last")).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_rank": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1}).where(~F.col("_carry"))
     now = F.col("_kind")
-    at = F.array_position(F.array(*(F.lit(s or "") for s in ORDER_STATES)), now) - 1
-    moved = _as_map([(F.when(now.isin(*after), at).otherwise(k), F.when(now.isin(*after), 0).otherwise(1)) if after else (F.lit(k), F.lit(1)) for k, after in enumerate(FOLLOWS.values())])
+    to = F.array_position(F.array(*(F.lit(s or "") for s in ORDER_STATES)), now) - 1
+    moved = _as_map([(F.when(now.isin(*after), to).otherwise(k), F.when(now.isin(*after), 0).otherwise(1)) if after else (F.lit(k), F.lit(1)) for k, after in enumerate(FOLLOWS.values())])
     still = _as_map([(F.lit(k), F.lit(0)) for k in range(len(FOLLOWS))])
-    mapped = materialize(rows.select(key, "_rank", F.when((F.col("_seen") == now) & (now != "PARTIAL"), still).otherwise(moved).alias("_map")))
+    idle = (F.col("_seen") == now) & (now != "PARTIAL")
+    if known is not None:
+        idle = F.col("_known") | idle
+    mapped = materialize(rows.select(key, "_rank", F.when(idle, still).otherwise(moved).alias("_map"), *([] if known is None else [F.when(~F.col("_known"), last).alias("_event")])))
     then = lambda first, second: F.transform(first, lambda x: F.struct(second[x["to"]]["to"].alias("to"), (x["illegal"] + second[x["to"]]["illegal"]).alias("illegal")))
-    whole = compose_all(mapped, [key], then, still, radix).select(key, F.col("_map")[0].alias("m"))
-    names = F.array(*(F.lit(s or "UNKNOWN") for s in ORDER_STATES))
-    return whole.select(key, names[F.col("m.to")].alias("state"), F.col("m.illegal").cast("int").alias("illegal"))
+    whole = compose_all(mapped, [key], then, still, radix)
+    if known is None:
+        return whole.select(key, F.col("_map")[0].alias("m")).select(key, F.col("m.to").alias("at"), "m.illegal")
+    newest = mapped.groupBy(key).agg(F.max("_event").alias("_event"))
+    both = null_safe_join(null_safe_join(whole, newest, [key], "inner"), known.select(key, F.col("at").alias("_at"), F.col("illegal").alias("_illegal"), F.col("last").alias("_told")), [key], "left")
+    both = both.withColumn("m", F.col("_map")[F.coalesce("_at", F.lit(0))])
+    return both.select(key, F.col("m.to").alias("at"), (F.col("m.illegal") + F.coalesce("_illegal", F.lit(0))).alias("illegal"), F.coalesce("_event", "_told").alias("last"))
 
 
 def kill_switch(events: DataFrame, by: str, order: list[str], severity: str, reset: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.base import BARS, ORACLES, TRADES, query
 from tidemark.plans.ledger_queries import _KINDS
 from tidemark.operators import features as X
+from tidemark.operators.lineage import materialize
 from tidemark.plans.market_queries import _L24, _REGIME, _VOL, _W, _r, bars, fresh_path
 from tidemark.sources import ingest as I
 from tidemark.sources.tables import EVENTS, ntz, read_table
@@ -18,13 +19,23 @@ def _folder(spark: SparkSession) -> str:
     return fresh_path(spark, "stream")
 
 
-def _arrivals(spark: SparkSession, sf_dir: str, order: str, batches: int = 4) -> DataFrame:
-    """The trades as a stream of several batches, one file after the other: `order` is the number of a row's batch, in SQL over events."""
+#: Rows of each batch from which a batch is written as several files, and how many.
+MANY_ROWS, FILES = 1_000_000, 8
+
+
+def _in_files(spark: SparkSession, rows: DataFrame, batch: str, batches: int = 4) -> DataFrame:
+    """Rows as a stream of several batches, one after the other: `batch` is the number of a row's batch, in SQL. All batches have as many files, which one trigger takes."""
     path = _folder(spark)
-    events = read_table(spark, f"{sf_dir}/events.parquet", EVENTS)
-    for k in range(batches):
-        events.where(f"{order} = {k}").coalesce(1).write.mode("append").parquet(path)  # a file at a time: the source takes them by their times
-    return _as_trades(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path))
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.expr(batch).alias("k")).count().collect()}
+    files = FILES if min(sizes.get(k, 0) for k in range(batches)) >= MANY_ROWS else 1
+    for k in range(batches):  # dealt in turn, so that no file of many rows is empty; the source takes files by their times
+        rows.where(f"{batch} = {k}").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, order: str, batches: int = 4) -> DataFrame:
+    """The trades as a stream of several batches: `order` is the number of a row's batch, in SQL over events."""
+    return _as_trades(_in_files(spark, read_table(spark, f"{sf_dir}/events.parquet", EVENTS), order, batches))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +132,7 @@ def t7_order_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of the batch form, state kept over four batches."""
     kind = F.create_map(*(F.lit(x) for p in _KINDS.items() for x in p))[F.lower("instrument")]
     orders = _arrivals(spark, sf_dir, "cast((day(ts) - 1) / 8 as int)").select(F.col("account").alias("user_id"), "ts", "seq", kind.alias("kind"))
-    return T.last_states(T.order_state_stream(orders, "user_id"), _folder(spark)).withColumnRenamed("key", "user_id")
+    return T.order_states_stream(orders, _folder(spark), "user_id").withColumnRenamed("key", "user_id")
 
 
 @query(f"""with s as ({ORACLES["t8_kill_switch"]}) select user_id, arg_max(switch, (ts, event_id)) as switch from s join events using (event_id) group by 1""")
@@ -159,23 +170,13 @@ def t3_bar_features_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(_r(_r(_r(ntz(out, "bar_start"), "ret_24", "imbalance"), "vol", n=5), "volume_z", n=4), "basis_z", n=3)
 
 
-def _in_files(spark: SparkSession, rows: DataFrame, batch: str, batches: int = 4) -> DataFrame:
-    """Rows as a stream of several batches, one file after the other."""
-    path = _folder(spark)
-    rows = rows.withColumn("_batch", F.expr(batch)).persist()
-    for k in range(batches):
-        rows.where(f"_batch = {k}").drop("_batch").coalesce(1).write.mode("append").parquet(path)
-    rows.unpersist()
-    return spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query(ORACLES["t6_gap_repair"])
 def t6_gap_repair_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live and backfill bars in four batches, each in no order of time."""
     path = _folder(spark)
     b = bars(spark, sf_dir).withColumn("i", F.row_number().over(X.by_bar()))
     both = b.where("i % 5 <> 2").withColumn("source", F.lit("live")).unionByName(b.withColumn("source", F.lit("backfill"))).drop("i")
-    T.gap_repair_stream(_in_files(spark, both, "cast(pmod(xxhash64(instrument, bar_start, source), 4) as int)"), path, "1 hour")
+    T.gap_repair_stream(_in_files(spark, materialize(both), "cast(pmod(xxhash64(instrument, bar_start, source), 4) as int)"), path, "1 hour")
     return ntz(spark.read.parquet(f"{path}/repaired").select("instrument", "bar_start", "source"), "bar_start")
 
 
@@ -187,7 +188,7 @@ def t9_shadow_ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = b.select("instrument", F.col("bar_start").alias("ts"), F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.0).alias("signal"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("ret"))
     price = b.select("instrument", F.col("bar_start").alias("ts"), F.lit(None).cast("double").alias("signal"), F.col("close").cast("double").alias("price"), F.coalesce("ret_1", F.lit(0.0)).alias("ret"))
     late = "price is not null and hour(ts) % 3 = 0 and day(ts) < 25"
-    T.shadow_ledger_stream(_in_files(spark, signal.unionByName(price), f"cast((day(ts) - 1) / 8 as int) + if({late}, 1, 0)"), path, delay="9 days")
+    T.shadow_ledger_stream(_in_files(spark, materialize(signal.unionByName(price)), f"cast((day(ts) - 1) / 8 as int) + if({late}, 1, 0)"), path, delay="9 days")
     return _r(ntz(spark.read.parquet(f"{path}/ledger").select("instrument", "bar_start", F.col("position").cast("int").alias("position"), "net"), "bar_start"), "net", n=5)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.bars import find_gaps
 from tidemark.operators.joins import asof_join
-from tidemark.operators.ledger import follow
+from tidemark.operators.ledger import follow, order_histories, order_states
 from tidemark.operators.lineage import materialize
 from tidemark.operators.research import run_vector_bt
 from tidemark.sources.ingest import path_exists as _exists
@@ -240,32 +240,40 @@ class OrderState(StatefulProcessor):
         pass
 
 
-class KillSwitch(StatefulProcessor):
-    """The largest severity since the last reset, across batches."""
+def order_state_stream(stream: DataFrame, key: str, ttl_ms: int | None = None) -> DataFrame:
+    """T7 over a stream of (key, ts, seq, kind). With `ttl_ms` an order that is not heard of for so long is forgotten."""
+    kind = dict(stream.dtypes)[key]
+    return stream.groupBy(key).transformWithStateInPandas(OrderState(ttl_ms), f"key {kind}, state string, illegal int", "Update", "None" if ttl_ms is None else "ProcessingTime")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "level int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        level = self.level.get()[0] if self.level.exists() else 0
-        for severity, reset in pd.concat(list(rows)).sort_values(["ts", "seq"])[["severity", "reset"]].itertuples(index=False):
-            level = 0 if reset else max(level, severity)
-        self.level.update((level,))
-        yield pd.DataFrame({"key": [key[0]], "switch": [("NORMAL", "REDUCE_ONLY", "HALT")[min(level, 2)]]})
+def order_states_stream(stream: DataFrame, path: str, key: str) -> DataFrame:
+    """T7 over a stream of (key, ts, seq, kind) with the states in a table, until its input is used up: the state of each order at the end.
 
-    def close(self) -> None:
-        pass
+    A batch is composed as in the batch form, so there is no step in Python for an order, and
+    an order may have any number of events. The last event of each order is kept: delivered
+    again in a later batch it counts once.
+    """
+    spark, fields = stream.sparkSession, dict(stream.dtypes)
+    kinds = f"key {fields[key]}, at int, illegal long, last struct<ts:{fields['ts']},seq:{fields['seq']},_kind:string>"
 
+    def step(batch: DataFrame, before: dict[str, DataFrame], _: int) -> dict[str, DataFrame]:
+        return {"orders": order_histories(batch.withColumnRenamed(key, "key"), "key", ["ts", "seq"], "kind", known=before["orders"])}
 
-def order_state_stream(stream: DataFrame, key: str, ttl_ms: int | None = None) -> DataFrame:
-    """T7 over a stream of (key, ts, seq, kind). With `ttl_ms` an order that is not heard of for so long is forgotten."""
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).transformWithStateInPandas(OrderState(ttl_ms), f"key {kind}, state string, illegal int", "Update", "None" if ttl_ms is None else "ProcessingTime")
+    fold_batches(stream, path, {"orders": kinds}, step)
+    if not _exists(spark, f"{path}/orders"):
+        return order_states(spark.createDataFrame([], kinds), "key")
+    states = spark.read.schema(f"{kinds}, batch_id long").parquet(f"{path}/orders")
+    return order_states(states.where(F.col("batch_id") == states.agg(F.max("batch_id")).first()[0]), "key")
 
 
 def kill_switch_stream(stream: DataFrame, key: str) -> DataFrame:
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).transformWithStateInPandas(KillSwitch(), f"key {kind}, switch string", "Update", "None")
+    """T8 over a stream of (key, ts, seq, severity, reset): the largest severity since the last reset, in the order of (ts, seq) across batches. The newest event of each level tells it, so the state is three maxima."""
+    at = F.struct("ts", "seq")
+    newest = lambda cond: F.max(F.when(cond, at))
+    reset = F.coalesce("reset", F.lit(False))
+    out = stream.groupBy(F.col(key).alias("key")).agg(newest(reset).alias("r"), newest(~reset & (F.col("severity") >= 1)).alias("low"), newest(~reset & (F.col("severity") >= 2)).alias("high"))
+    since = lambda c: F.coalesce(F.col(c) > F.col("r"), F.col(c).isNotNull())
+    return out.select("key", F.when(since("high"), "HALT").when(since("low"), "REDUCE_ONLY").otherwise("NORMAL").alias("switch"))
 
 
 def shadow_ledger(signals: DataFrame, prices: DataFrame, cost: float = 0.00065) -> DataFrame:

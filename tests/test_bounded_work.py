@@ -45,3 +45,18 @@ def test_lines_are_cut_once_in_a_plan(spark):
     df = spark.createDataFrame([("# H\nA: 1\nB: 2\n# N\nA: 3",)], "t string").select(S.extract_fields(F.col("t"), "# H", ["a", "b"]).alias("f")).select("f.*")
     assert plan(df).count("split(") == 1
     assert df.first().asDict() == {"status": "ok", "a": "1", "b": "2"}
+
+
+def test_quantiles_work_out_their_values_once(spark):
+    from tidemark.operators.ledger import latency_quantiles
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).selectExpr("id % 2 as g", "id as d").mapInArrow(count, "g long, d long")
+    got = {r.g: (r.n, r.p50) for r in latency_quantiles(df, ["g"], "d", large=0, sketch=10).collect()}
+    assert got == {0: (500, 499.0), 1: (500, 500.0)} and seen.value == 1000

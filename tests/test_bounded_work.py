@@ -60,3 +60,20 @@ def test_quantiles_work_out_their_values_once(spark):
     df = spark.range(1000).selectExpr("id % 2 as g", "id as d").mapInArrow(count, "g long, d long")
     got = {r.g: (r.n, r.p50) for r in latency_quantiles(df, ["g"], "d", large=0, sketch=10).collect()}
     assert got == {0: (500, 499.0), 1: (500, 500.0)} and seen.value == 1000
+
+
+def test_few_wide_rows_go_to_python_at_once(spark):
+    from tidemark.operators import nearsets
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    most = spark.sparkContext.accumulator(0)
+
+    def sizes(batches):
+        for batch in batches:
+            most.add(int(batch.num_rows > nearsets.AT_A_TIME))
+            yield batch
+
+    with nearsets._few_at_a_time(spark):
+        assert spark.range(0, 3000, 1, 1).mapInArrow(sizes, "id long").count() == 3000
+    assert most.value == 0 and spark.conf.get(name) == was

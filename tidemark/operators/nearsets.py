@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
@@ -34,6 +35,8 @@ BLOCK = 256
 NAMES = 2048
 #: Shingles of a tile that are compared at once.
 COLUMNS = 1 << 15
+#: Texts or sets that a task is sent at a time. They are wide, so the session's own number may be more than its memory.
+AT_A_TIME = 128
 
 
 def hash_blocks(text: str | None, words_in_shingle: int, size: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -238,11 +241,29 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: float) -> Da
     return materialize(first.select(F.col("shingle").alias("key"), "node", "component"))
 
 
+@contextmanager
+def _few_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """What is run inside sends at most AT_A_TIME rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(AT_A_TIME if int(was) <= 0 else min(int(was), AT_A_TIME)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def near_set_classes(docs: DataFrame, row: Column, text: Column, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
     """(row, set_row, class_row) for each row of `docs`: the smallest row with an equal set, and the smallest one reached by links. `row` must be distinct, not null, and the same each time that `docs` is read.
 
     What a group is joined with is written first, so that the join is a stage of its own and a hot group is dealt to several tasks.
+    All that Python does is run in here, a few texts at a time; what is left to run are joins.
     """
+    with _few_at_a_time(docs.sparkSession):
+        return _near_set_classes(docs, row, text, threshold, words, bands, rows)
+
+
+def _near_set_classes(docs: DataFrame, row: Column, text: Column, threshold: float, words: int, bands: int, rows: int) -> DataFrame:
     read = docs.select(row.cast("long").alias("row"), F.lower(text).alias("text"))
     sketches = materialize(read.mapInArrow(_sketches(bands, rows, words), "row long, digest binary, keys array<long>"))
     nodes = sketches.groupBy("digest").agg(F.min("row").alias("node"))

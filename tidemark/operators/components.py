@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.lineage import checkpoint
+from tidemark.operators.lineage import checkpoint, shuffles_freed
 
 
 def _hang(pairs: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     was = None
     for _ in range(most):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with shuffles_freed(edges.sparkSession):
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not now[0] or now == was:
             break
         was = now

@@ -1,9 +1,11 @@
-"""Tables and checkpoints in the shared folder of the session, which cut lineage and outlive a lost executor."""
+"""Tables and checkpoints in the shared folder of the session, which cut lineage and outlive a lost executor. Once one is written, the shuffles that made it are deleted."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +21,30 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """An action inside deletes its shuffle files when it ends; else they stay until the driver collects its garbage. For DataFrames that are made inside and run once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: columnar and compressed, for what is read more than once."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -37,5 +53,6 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_folder(spark)}/{name}"
-    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    with shuffles_freed(spark):
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
     return spark.table(name)

@@ -26,6 +26,8 @@ TEXTS = [
     ("x" * 512, "x" * 512),
     ("é" * 513, "é" * 496 + "…<truncated>"),
     ("y" * 490 + " /srv/" + "z" * 40, ("y" * 490 + " " + PATH)[:496] + "…<truncated>"),
+    ("日Bearer aaaaaaaaaaaaaaaa éghp_" + "b" * 20, "日<redacted> é<redacted>"),
+    ("token\f: abc\fdef", "<redacted>\fdef"),
     ("", ""),
     (None, None),
 ]
@@ -43,3 +45,10 @@ def test_query_bounds_texts_as_they_are(spark, tmp_path):
     assert oracle.differences(df, oracle.connect(str(tmp_path)), registry.ORACLES["b1_bound_text"]) == ""
     got = {r.doc_id: r.sha for r in df.collect()}
     assert got == {k: want if want is None else hashlib.sha256(want.encode()).hexdigest() for k, (_, want) in enumerate(TEXTS)}
+
+
+def test_secrets_of_many_parts(spark):
+    key = "-----BEGIN PRIVATE KEY-----"
+    long = [key + " a-b" * 20000 + key.replace("BEGIN", "END"), key + ("\n" + "A" * 64) * 20000, 'password="' + "a\\n" * 20000 + '"']
+    df = spark.createDataFrame([(t + " end",) for t in long], "t string")
+    assert [r.y for r in df.select(S.bound_text(F.col("t")).alias("y")).collect()] == ["<redacted> end"] * 3
